@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,12 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .packing import pack
+from .secrets import scan_secrets
+from .token_counts import count_tokens
+from .toxicity import score_toxicity
+
+# Where the box keeps the public vocabulary files; SPLICELOOM_RANKS names another file.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +28,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_lexed")
+
+
+def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -28,10 +46,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = Path(os.environ.get("SPLICELOOM_RANKS", RANKS)).read_bytes()
+    return count_tokens(_table(spark, sf_dir, "documents"), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_scan_secrets": op3_scan_secrets,
+    "op4_score_toxicity": op4_score_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_count_tokens": op10_count_tokens,
 }
 
 OP8_SQL = r"""
