@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .packing import pack
 from .secrets import scan_secrets
@@ -42,6 +43,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_scan_secrets": op3_scan_secrets,
     "op4_score_toxicity": op4_score_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_count_tokens": op10_count_tokens,
 }
