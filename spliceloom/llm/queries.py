@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .lm_scoring import score_texts
 from .mixing import mix_sources
+from .ngram_join import jaccard_join
 from .packing import pack
 from .secrets import scan_secrets
 from .token_counts import count_tokens
@@ -51,6 +52,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join(_table(spark, sf_dir, "documents"), n=4, part=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Path(os.environ.get("SPLICELOOM_RANKS", RANKS)).read_bytes()
     return count_tokens(_table(spark, sf_dir, "documents"), ranks)
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_count_tokens": op10_count_tokens,
 }
 
