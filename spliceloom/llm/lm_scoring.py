@@ -227,7 +227,7 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     folds: int = 10,
-    block_bytes: int = 24_000_000,
+    block_bytes: int = 16_000_000,
     bits: int = 6,
 ) -> DataFrame:
     """Log10 probability of every whole text, learned from the ids outside fold 0.
