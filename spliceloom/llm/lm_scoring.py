@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_texts, pack_blocks, planes, unplanes
+from .blocks import cuts as cuts_of
 from .common import fold, materialize
 from .shingles import mix, word_hashes
 
@@ -33,66 +34,11 @@ STEP = 2.0  # cells per factor of two in the statistics of EM
 WORDS, PAIRS = 0, 1
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, which compresses well."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def _unplanes(data: bytes, dtype: str) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
-
-
-def pack_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """One row per block: (block, ids, train, texts compressed); ``rows`` is (id, train, text)."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            whole = table.slice(0).to_batches()[0]
-            sink = pa.BufferOutputStream()
-            texts = pa.RecordBatch.from_arrays([whole.column(2)], ["text"])
-            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(texts)
-            n = pa.array([0, len(whole)], pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.ListArray.from_arrays(n, whole.column(0)),
-                    pa.ListArray.from_arrays(n, whole.column(1)),
-                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                ],
-                ["block", "ids", "train", "texts"],
-            )
-
-        for batch in batches:
-            at = 0
-            lengths = np.diff(np.frombuffer(batch.column(2).buffers()[1], dtype=np.int32)[batch.column(2).offset :][: len(batch) + 1])
-            for i, length in enumerate(lengths):
-                size += int(length)
-                if size >= block_bytes:
-                    held.append(batch.slice(at, i + 1 - at))
-                    yield flush()
-                    block, held, size, at = block + 1, [], 0, i + 1
-            if at < len(batch):
-                held.append(batch.slice(at))
-        if held:
-            yield flush()
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(pack, f"block long, ids array<{kind}>, train array<boolean>, texts binary")
-
-
 class Block:
     """Tokens of a block's texts: distinct words and bigrams, and each token's place among them."""
 
     def __init__(self, train: list[bool], texts: bytes) -> None:
-        column = pa.ipc.open_stream(texts).read_next_batch().column(0)
-        words = list(word_hashes(column))
+        words = list(word_hashes(block_texts(texts)))
         self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
         ends = np.cumsum(self.lengths)
         tokens = np.full(int(ends[-1]), END, dtype=np.uint64)
@@ -116,12 +62,6 @@ class Block:
         return np.bincount(self.places[kind][self.train], minlength=len(self.grams[kind])).astype(np.uint32)
 
 
-def _cuts(grams: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket of leading bits begins in sorted hashes, and the end."""
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(grams, edges), len(grams))
-
-
 def send_counts(blocks: DataFrame, bits: int) -> DataFrame:
     """(kind, bucket, block, hashes, counts) of every block."""
 
@@ -131,7 +71,7 @@ def send_counts(blocks: DataFrame, bits: int) -> DataFrame:
                 block = Block(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
                 for kind in (WORDS, PAIRS):
                     grams, counts = block.grams[kind], block.training_counts(kind)
-                    cuts = _cuts(grams, bits)
+                    cuts = cuts_of(grams, bits)
                     full = np.flatnonzero(np.diff(cuts))
                     steps = [np.diff(grams[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)) for b in full]
                     n = len(full)
@@ -140,13 +80,13 @@ def send_counts(blocks: DataFrame, bits: int) -> DataFrame:
                             pa.array([kind] * n, pa.int32()),
                             pa.array(full, pa.int32()),
                             batch.column(0).slice(i, 1).take(pa.array([0] * n, pa.int32())),
-                            pa.array([_planes(s) for s in steps], pa.binary()),
-                            pa.array([_planes(counts[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
+                            pa.array([planes(s) for s in steps], pa.binary()),
+                            pa.array([planes(counts[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
                         ],
                         ["kind", "bucket", "block", "hashes", "counts"],
                     )
 
-    return blocks.select("block", "train", "texts").mapInArrow(send, "kind int, bucket int, block long, hashes binary, counts binary")
+    return blocks.select("block", "flags", "texts").mapInArrow(send, "kind int, bucket int, block long, hashes binary, counts binary")
 
 
 def answer_counts(sent: DataFrame) -> DataFrame:
@@ -154,9 +94,9 @@ def answer_counts(sent: DataFrame) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        asked = [np.cumsum(_unplanes(h.as_py(), "<u8"), dtype=np.uint64) for h in table["hashes"]]
+        asked = [np.cumsum(unplanes(h.as_py(), "<u8"), dtype=np.uint64) for h in table["hashes"]]
         grams, place = np.unique(np.concatenate(asked), return_inverse=True)
-        local = np.concatenate([_unplanes(c.as_py(), "<u4") for c in table["counts"]])
+        local = np.concatenate([unplanes(c.as_py(), "<u4") for c in table["counts"]])
         totals = np.bincount(place, weights=local, minlength=len(grams)).astype(np.uint64)
         summary = np.array([totals.sum(), np.count_nonzero(totals)], dtype=np.uint64)
         answers = np.split(totals[place], np.cumsum([len(a) for a in asked])[:-1])
@@ -166,7 +106,7 @@ def answer_counts(sent: DataFrame) -> DataFrame:
                 "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
                 "kind": pa.array([kind] * n, pa.int32()),
                 "bucket": pa.array([bucket] * n, pa.int32()),
-                "totals": pa.array([*map(_planes, answers), _planes(summary)], pa.binary()),
+                "totals": pa.array([*map(planes, answers), planes(summary)], pa.binary()),
             }
         )
 
@@ -177,11 +117,11 @@ class Counted:
     """A block's tokens with totals over all training texts."""
 
     def __init__(self, left: pa.Table, right: pa.Table) -> None:
-        self.block = Block(left["train"][0].as_py(), left["texts"][0].as_py())
+        self.block = Block(left["flags"][0].as_py(), left["texts"][0].as_py())
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         totals: list[list[np.ndarray]] = [[], []]
         for kind, data in zip(right["kind"].to_pylist(), right["totals"]):
-            totals[kind].append(_unplanes(data.as_py(), "<u8"))
+            totals[kind].append(unplanes(data.as_py(), "<u8"))
         words, pairs = (np.concatenate(t).astype(np.float64) for t in totals)
         assert len(words) == len(self.block.grams[WORDS]) and len(pairs) == len(self.block.grams[PAIRS])
         self.word = words[self.block.places[WORDS]]
@@ -244,15 +184,15 @@ def score_texts(
     whatever their names.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), (fold(F.col(id_col), folds) != 0).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("id"), (fold(F.col(id_col), folds) != 0).alias("flag"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
     blocks = materialize(pack_blocks(rows, block_bytes), "lm-blocks")
     answers = materialize(answer_counts(send_counts(blocks, bits)), "lm-totals")
     # One row per bucket and kind.
-    sums = [_unplanes(bytes(r.totals), "<u8") for r in answers.where((F.col("block") == -1) & (F.col("kind") == WORDS)).collect()]
+    sums = [unplanes(bytes(r.totals), "<u8") for r in answers.where((F.col("block") == -1) & (F.col("kind") == WORDS)).collect()]
     n_train, n_types = (int(sum(int(s[k]) for s in sums)) for k in (0, 1))
-    n_docs = blocks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
+    n_docs = blocks.select(F.sum(F.size(F.filter("flags", lambda t: t)))).first()[0] or 0
     uniform = 1 / (n_types + 1)
     pairs = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
 
@@ -285,7 +225,7 @@ def score_texts(
         return pa.table(
             {
                 "id": ids,
-                "held_out": pa.array(~np.array(left["train"][0].as_py(), dtype=bool)),
+                "held_out": pa.array(~np.array(left["flags"][0].as_py(), dtype=bool)),
                 "n_tokens": pa.array(c.block.lengths, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((c.word > 0).astype(np.int64), starts), pa.int64()),
                 "train_tokens": pa.array(np.full(len(starts), n_train, dtype=np.int64)),

@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .ngram_join import jaccard_join
 from .packing import pack
 from .secrets import scan_secrets
+from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -45,6 +46,10 @@ def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_scan_secrets": op3_scan_secrets,
     "op4_score_toxicity": op4_score_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_exact_dedup": op8_exact_dedup,

@@ -9,6 +9,8 @@ from .shingles import mix
 GRAM = 16
 _PLACE = 24  # bits of a position
 LONGEST = 1 << _PLACE
+#: Windows of a text that are read together.
+PIECE = 1 << 20
 _RANDOM = np.random.default_rng(77)
 _BYTES = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,18 +53,33 @@ def owners(raw: np.ndarray, length: int) -> np.ndarray:
 def stretches(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one owner: (first window, last window, owner, gram hash, hash of all their bytes).
 
-    The last hash also covers where the owner lies in them.
+    The last hash also covers where the owner lies in them. A text is read in
+    pieces, and a run may be cut where a piece ends.
     """
-    if len(raw) < length:
+    pieces = [_stretches(raw[a : a + PIECE + length - 1], length) for a in range(0, max(0, len(raw) - length + 1), PIECE)]
+    if not pieces:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    moved = [(f + k * PIECE, l + k * PIECE, o + k * PIECE, g, w) for k, (f, l, o, g, w) in enumerate(pieces)]
+    return moved[0] if len(moved) == 1 else tuple(np.concatenate(c) for c in zip(*moved))
+
+
+def running_hash(raw: np.ndarray) -> np.ndarray:
+    """Running sum from which ``range_hash`` takes the hash of any range."""
+    up, _ = _powers(len(raw))
+    return np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)))
+
+
+def range_hash(running: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (running[end] - running[begin]) * _powers(len(running))[1][begin]
+
+
+def _stretches(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     owner = owners(raw, length)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     last = np.append(first[1:], len(owner)) - 1
     own = owner[first]
-    up, down = _powers(len(raw))
-    running = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)))
-    whole = (running[last + length] - running[first]) * down[first]
+    running = running_hash(raw)
+    whole = range_hash(running, first, last + length)
     whole = mix(whole + (own - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + mix((last - first).astype(np.uint64)))
-    gram = (running[own + GRAM] - running[own]) * down[own]
-    return first, last, own, mix(gram), whole
+    return first, last, own, mix(range_hash(running, own, own + GRAM)), whole
