@@ -5,13 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.dna import reverse_complement
 from ..functions.scores import differences
 from .contexts import interval_on_transcript, overlapping_transcripts
 
-EDIT = "struct<cdna_start:int,cdna_end:int,alt_bases:string,source_variant:long>"
-
 
 def variant_edits(variants: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(variant_id, transcript_id, transcript_name, edit) of each variant on each transcript's exons."""
@@ -22,7 +21,7 @@ def variant_edits(variants: DataFrame, transcripts: DataFrame) -> DataFrame:
     return rows.select("variant_id", "transcript_id", "transcript_name", edit.alias("edit"))
 
 
-@F.pandas_udf("array<struct<cdna_start:int,cdna_end:int,alt_bases:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("cdna_start", IntegerType()), StructField("cdna_end", IntegerType()), StructField("alt_bases", StringType())])))
 def _unexplained(reference_before: pd.Series, before: pd.Series, reference_after: pd.Series, after: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     out = []
     for rb, b, ra, a, s, e in zip(reference_before, before, reference_after, after, start, end):

@@ -56,32 +56,39 @@ def variant_orf(prefix: Column, alt: Column, suffix: Column, strand: Column, bef
     )
 
 
+ORF_TYPE = (
+    "struct<cdna_sequence:string,offset_to_first_complete_codon:int,variant_cdna_interval_start:int,variant_cdna_interval_end:int,"
+    "reference_cdna_sequence_before_variant:string,reference_cdna_sequence_after_variant:string,"
+    "num_mismatches_before_variant:int,num_mismatches_after_variant:int>"
+)
+
+
 def match_frames(sequences: DataFrame, contexts: DataFrame, options: ProteinOptions = ProteinOptions()) -> DataFrame:
     """Every sequence against every context of its variant, with ``orf`` where they match.
 
     A sequence with too many mismatches is cut to the positions that one read more
-    covers and tried again, up to ``attempts`` times; the attempts are unrolled
-    into one projection.
+    covers and tried again, up to ``attempts`` times: a fold over the attempts
+    inside one projection.
     """
     rows = sequences.join(contexts, "variant_id")
-    cut = ["prefix", "alt", "suffix"]
-    rows = rows.withColumn("_s0", F.struct(*cut))
-    found = F.lit(None)
-    open_ = F.lit(True)
-    for k in range(options.attempts):
-        p, a, s = (F.col(f"_s{k}.{c}") for c in cut)
-        leading = F.when(F.col("strand") == "+", F.length(p)).otherwise(F.length(s))
-        orf = variant_orf(p, a, s, F.col("strand"), *(F.col(c) for c in (KEY[1], KEY[3], KEY[4])))
-        rows = rows.withColumns({f"_o{k}": orf, f"_long{k}": leading >= options.min_prefix})
-        wrong = F.col(f"_o{k}.num_mismatches_before_variant") + (F.col(f"_o{k}.num_mismatches_after_variant") if options.count_after else F.lit(0))
-        open_ &= F.col(f"_long{k}")
-        good = open_ & (wrong <= options.max_mismatches)
-        found = F.when(good, F.col(f"_o{k}")).otherwise(found) if k == 0 else F.coalesce(found, F.when(good, F.col(f"_o{k}")))
-        if k + 1 < options.attempts:
-            coverage = min_coverage(p, s, F.col("reads")) + 1
-            rows = rows.withColumn(f"_s{k + 1}", trim_by_coverage(p, a, s, F.col("reads"), coverage))
-    rows = rows.withColumn("orf", found).where("orf IS NOT NULL")
-    return rows.drop(*[f"_{x}{k}" for x in ("s", "o", "long") for k in range(options.attempts)])
+    strand, reads = F.col("strand"), F.col("reads")
+    before, after, offset = (F.col(c) for c in (KEY[1], KEY[3], KEY[4]))
+
+    def attempt(state: Column, _: Column) -> Column:
+        p, a, s = state["prefix"], state["alt"], state["suffix"]
+        long = F.when(strand == "+", F.length(p)).otherwise(F.length(s)) >= options.min_prefix
+        orf = variant_orf(p, a, s, strand, before, after, offset)
+        wrong = orf["num_mismatches_before_variant"]
+        if options.count_after:
+            wrong = wrong + orf["num_mismatches_after_variant"]
+        over = state["closed"] | ~long
+        found = F.when(state["orf"].isNotNull(), state["orf"]).when(~over & (wrong <= options.max_mismatches), orf.cast(ORF_TYPE))
+        cut = trim_by_coverage(p, a, s, reads, min_coverage(p, s, reads) + 1)
+        return F.struct(cut["prefix"].alias("prefix"), cut["alt"].alias("alt"), cut["suffix"].alias("suffix"), over.alias("closed"), found.alias("orf"))
+
+    start = F.struct("prefix", "alt", "suffix", F.lit(False).alias("closed"), F.lit(None).cast(ORF_TYPE).alias("orf"))
+    tried = F.aggregate(F.sequence(F.lit(1), F.lit(options.attempts)), start, attempt, lambda state: state["orf"])
+    return rows.withColumn("orf", tried).where("orf IS NOT NULL")
 
 
 def mutant_interval(coding_before: Column, n_alt: Column, n_ref: Column, n_acids: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..operators.filters import DEFAULT_FLAGS, DEFAULT_THRESHOLDS, with_filters
 from ..operators.proteins import ProteinOptions, match_frames, protein_sequences, translations
 from ..operators.reads import ReadOptions, allele_reads, locus_reads, read_evidence
 from ..operators.results import results, with_phasing
+from .scratch import stage_table
 
 
 @dataclass(frozen=True)
@@ -45,28 +47,55 @@ class Options:
 
 
 class Run:
-    """The stages of one run by name; nothing is computed until a stage is written or collected."""
+    """The stages of one run by name.
+
+    Stages that several others read are written once to the shared folder when they
+    are first asked for; the others are plans.
+    """
 
     def __init__(self, variants: DataFrame, alignments: DataFrame | None, transcripts: DataFrame | None, options: Options = Options()) -> None:
-        self.variants, self.options = variants, options
-        o = options
-        if alignments is not None:
-            self.locus_reads = locus_reads(variants, alignments, o.reads)
-            self.allele_reads = allele_reads(self.locus_reads)
-            self.evidence = read_evidence(variants, self.allele_reads)
-            self.counts = counts_for_variants(variants, self.evidence)
-            self.alt_reads = self.evidence.where("allele_class = 'alt'")
-        if transcripts is not None:
-            self.contexts = reference_contexts(variants, transcripts, o.context_size or o.proteins.cdna_length, o.whitelist)
-            self.effects = transcript_effects(variants, transcripts)
-        if alignments is not None:
-            self.sequences = variant_sequences(self.alt_reads, o.sequences)
-        if alignments is not None and transcripts is not None:
-            # Only variants with a context need sequences: the rest is left out before any assembly.
-            translatable = self.contexts.select("variant_id").distinct()
-            sequences = variant_sequences(self.alt_reads.join(translatable, "variant_id", "left_semi"), o.sequences)
-            self.translations = translations(match_frames(sequences, self.contexts, o.proteins), o.proteins)
-            self.proteins = protein_sequences(self.translations, o.proteins)
+        self.variants, self.alignments, self.transcripts, self.options = variants, alignments, transcripts, options
+
+    @cached_property
+    def locus_reads(self) -> DataFrame:
+        return locus_reads(self.variants, self.alignments, self.options.reads)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return stage_table(read_evidence(self.variants, allele_reads(self.locus_reads)), "evidence")
+
+    @property
+    def alt_reads(self) -> DataFrame:
+        return self.evidence.where("allele_class = 'alt'")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return counts_for_variants(self.variants, self.evidence)
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        size = self.options.context_size or self.options.proteins.cdna_length
+        return stage_table(reference_contexts(self.variants, self.transcripts, size, self.options.whitelist), "contexts")
+
+    @cached_property
+    def effects(self) -> DataFrame:
+        return stage_table(transcript_effects(self.variants, self.transcripts), "effects")
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        return variant_sequences(self.alt_reads, self.options.sequences)
+
+    @cached_property
+    def translations(self) -> DataFrame:
+        # Only variants with a context need sequences: the rest is left out before any assembly.
+        translatable = self.contexts.select("variant_id").distinct()
+        sequences = stage_table(variant_sequences(self.alt_reads.join(translatable, "variant_id", "left_semi"), self.options.sequences), "sequences")
+        frames = stage_table(match_frames(sequences, self.contexts, self.options.proteins), "frames")
+        return stage_table(translations(frames, self.options.proteins), "translations")
+
+    @cached_property
+    def proteins(self) -> DataFrame:
+        return stage_table(protein_sequences(self.translations, self.options.proteins), "proteins")
 
     def phased_by_reads(self) -> DataFrame:
         return phasing.phased_pairs(phasing.shared_names(self.alt_reads), self.options.min_shared_fragments)
