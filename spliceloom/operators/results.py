@@ -152,9 +152,11 @@ def frame(
         c = rows[f"`{f.name}`"]
         c = converters[f.name](c) if f.name in converters else F.size(c) if isinstance(f.dataType, ArrayType) else c
         columns.append(c.alias(rename.get(f.name, f.name)))
-    joined = rows.join(variants, "variant_id")
-    head = [variants["contig"].alias("chr"), variants["pos"], variants["ref"], variants["alt"]]
-    return joined.select(*head, *columns, *[c.alias(n) for n, c in (extra or {}).items()])
+    columns += [c.alias(n) for n, c in (extra or {}).items()]
+    body = rows.select(rows["variant_id"].alias("_variant"), *columns)
+    head = variants.select(F.col("variant_id").alias("_variant"), *[F.col(c).alias(f"_{c}") for c in ("contig", "pos", "ref", "alt")])
+    first = [F.col("_contig").alias("chr"), *[F.col(f"_{c}").alias(c) for c in ("pos", "ref", "alt")]]
+    return body.join(head, "_variant").select(*first, *[body[f"`{c}`"] for c in body.columns[1:]])
 
 
 def allele_reads_frame(reads: DataFrame, variants: DataFrame) -> DataFrame:
