@@ -11,10 +11,11 @@ one-deletion segment one per element, but the first agrees by chance far more
 often, which counts as the level's sets grow in number.
 
 Sets that share a key are compared by parity bitmaps: the number of unequal bits
-bounds the difference from below, so rejecting is exact. Pairs that stay are
-verified on the sets themselves: first a maximum spanning forest of each group,
-then every pair that still lies between two components. So all links between
-components are found, and no group is expanded into verified pairs.
+bounds the difference from below, so rejecting is exact. The pairs that stay,
+reduced to a spanning forest in each group, make families. The sets of a family
+meet in one task, or part by part, and are verified there, closest first; pairs
+that are connected already need no check. So no link between components is lost,
+and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ from .graph import Forest, components, runs
 from .shingles import mix, ngrams, word_hashes
 
 RATIO = 1.6  # sizes of a level; near the least number of keys for t from 0.8 to 0.9
-BITMAP_BITS = 1024
 #: Members of a group that are compared in one task; larger groups are cut, and parts compared in pairs.
-PART = 2048
+PART = 1024
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -123,9 +123,41 @@ def segment_keys(items: np.ndarray, level: Level) -> np.ndarray:
 
 
 def parity_bitmap(items: np.ndarray) -> np.ndarray:
-    """Bit k is the parity of the number of elements that hash to k."""
-    bits = (mix(items ^ _C3) >> np.uint64(17)).astype(np.int64) % BITMAP_BITS
-    return np.packbits((np.bincount(bits, minlength=BITMAP_BITS) & 1).astype(np.uint8))
+    """Bit k is the parity of the number of elements that hash to k; a power of two of bits, at least as many as elements."""
+    n = max(256, 1 << int(len(items) - 1).bit_length())
+    bits = (mix(items ^ _C3) >> np.uint64(17)).astype(np.int64) & (n - 1)
+    return np.packbits((np.bincount(bits, minlength=n) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def near_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray, crossed: bool, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, the ones not smaller (of the other side, if ``crossed``) that may link with it, closest first.
+
+    Of two bitmaps the longer is folded to the shorter's length: its halves are
+    combined, which again gives parities. Unequal bits bound the difference.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, side, bitmaps = sizes[order], side[order], [bitmaps[k] for k in order.tolist()]
+    widths = np.array([len(b) for b in bitmaps])
+    for width in np.unique(widths).tolist():
+        begin = int(np.searchsorted(widths, width))
+        own_end = int(np.searchsorted(widths, width, side="right"))
+        largest = sizes[own_end - 1] * rule.whole // rule.part
+        end = int(np.searchsorted(sizes, largest, side="right"))
+        folded = []
+        for b in bitmaps[begin:end]:
+            while len(b) > width:
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            folded.append(b)
+        matrix = np.stack(folded)
+        for i in range(begin, own_end):
+            stop = int(np.searchsorted(sizes, sizes[i] * rule.whole // rule.part, side="right"))
+            others = np.arange(i + 1, stop)
+            if crossed:
+                others = others[side[others] != side[i]]
+            apart = np.bitwise_count(matrix[others - begin] ^ matrix[i - begin]).sum(axis=1)
+            ok = apart <= (rule.whole - rule.part) * (sizes[others] + sizes[i]) // (rule.whole + rule.part)
+            if ok.any():
+                yield int(order[i]), order[others[ok][np.argsort(apart[ok], kind="stable")]]
 
 
 def set_of(words: np.ndarray, n: int) -> np.ndarray:
@@ -247,37 +279,22 @@ def tiles(parts: DataFrame) -> DataFrame:
     return inner.unionByName(crossed)
 
 
-def candidates(members: DataFrame, rule: Rule, forest_only: bool) -> DataFrame:
-    """(a, b): pairs of a tile in two components whose bitmaps allow a link; or a spanning forest of them, closest first.
+def candidates(members: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): a spanning forest, in each tile, of the pairs whose bitmaps allow a link.
 
-    ``members`` is (tile, side, class, component, size, bitmap).
+    ``members`` is (tile, side, class, size, bitmap).
     """
 
     def pairs(group: pa.RecordBatch) -> list[tuple[int, int]]:
         ids = group.column("class").to_pylist()
-        comps = np.array(group.column("component").to_pylist())
-        if (comps == comps[0]).all():
-            return []
-        sizes = group.column("size").to_numpy()
-        side = group.column("side").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        rows = np.flatnonzero(side == 0)
-        crossed = bool(side.any())
-        found: list[tuple[int, int, int]] = []
-        for i in rows.tolist():
-            others = np.flatnonzero(side == 1) if crossed else np.arange(i + 1, len(ids))
-            if not len(others):
-                continue
-            small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-            ok = (comps[others] != comps[i]) & (rule.whole * small >= rule.part * large)
-            others = others[ok]
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-            ok = apart <= (rule.whole - rule.part) * (sizes[others] + sizes[i]) // (rule.whole + rule.part)
-            found += zip(apart[ok].tolist(), [i] * int(ok.sum()), others[ok].tolist())
-        if forest_only:
-            forest = Forest()
-            found = [(d, i, j) for d, i, j in sorted(found) if forest.join(int(comps[i]), int(comps[j]))]
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for _, i, j in found]
+        sizes, side = group.column("size").to_numpy(), group.column("side").to_numpy()
+        bitmaps = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("bitmap")]
+        forest, found = Forest(), []
+        for i, others in near_pairs(sizes, bitmaps, side, bool(side.any()), rule):
+            for j in others.tolist():
+                if forest.join(ids[i], ids[j]):
+                    found.append((ids[i], ids[j]))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -288,35 +305,56 @@ def candidates(members: DataFrame, rule: Rule, forest_only: bool) -> DataFrame:
                 out = []
         yield _pairs(out)
 
-    return members.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) with ``linked``, decided on the sets (class, items)."""
-    second = pairs.join(sets.select(F.col("class").alias("b"), F.col("items").alias("other")), "b")
-    first = sets.select(F.col("class").alias("a"), "items")
-    both = second.join(first, "a").select("a", "b", "items", "other")
+def family_tiles(families: DataFrame) -> DataFrame:
+    """(tile, side, crossed, class, id): each family within one tile, or a large one part by part and part against part."""
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    rows = families.join(sizes, "family").withColumn("part", F.expr("pmod(xxhash64(class, 11), parts)"))
+    each = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return each.select(
+        F.xxhash64("family", low, high).alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), (low != high).alias("crossed"), "class", "id"
+    )
+
+
+def verified(tiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links that connect the sets of each tile, decided on the sets (id, class, items) themselves."""
+
+    def links(group: pa.RecordBatch) -> list[tuple[int, int]]:
+        ids = group.column("class").to_pylist()
+        items = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("items")]
+        sizes, side = np.array([len(x) for x in items]), group.column("side").to_numpy()
+        crossed = group.column("crossed")[0].as_py()
+        forest, found = Forest(), []
+        for i, others in near_pairs(sizes, [parity_bitmap(x) for x in items], side, crossed, rule):
+            for j in others.tolist():
+                if forest.find(ids[i]) == forest.find(ids[j]):
+                    continue
+                common = sizes[i] + sizes[j] - len(np.union1d(items[i], items[j]))
+                if rule.links(int(common), int(sizes[i]), int(sizes[j])):
+                    forest.join(ids[i], ids[j])
+                    found.append((ids[i], ids[j]))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(rule.links(common, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        for group in runs(batches, "tile"):
+            if found := links(group):
+                yield _pairs(found)
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    filled = sets.join(tiles, ["id", "class"]).select("tile", "side", "crossed", "class", "items")
+    return filled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(class, items) of the wanted (class, id), by reading those texts again.
+    """(id, class, items) of the wanted ids and few others, by reading those texts again.
 
-    A bitmap of fixed size (128 KB) of hashed ids spares most other texts the shuffle.
+    A bitmap of fixed size (128 KB) of hashed ids leaves most other texts out.
     """
     slots = 1 << 20
     slot = F.expr(f"pmod(xxhash64(id), {slots})")
@@ -331,12 +369,12 @@ def sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         bits = np.unpackbits(shared.value, bitorder="little")
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()] == 1))
-            items = [set_of(words, n).tobytes() for words in word_hashes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["id", "items"])
+            items = [set_of(words, n) for words in word_hashes(batch.column(1))]
+            classes = pa.array([class_of(x) if len(x) else None for x in items], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), classes, pa.array([x.tobytes() for x in items], pa.binary())], ["id", "class", "items"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "text", slot.alias("slot")).mapInArrow(run, f"id {kind}, items binary")
-    return found.join(wanted, "id").select("class", "items").dropDuplicates(["class"])
+    return rows.select("id", "text", slot.alias("slot")).mapInArrow(run, f"id {kind}, class long, items binary")
 
 
 def jaccard_join(
@@ -374,18 +412,10 @@ def jaccard_join(
     levels = {number: plan_level(rule, number, sets) for number, sets in population.items()}
 
     parts = materialize(group_parts(keyed(rows, n, rule, levels)), "join-groups")
-    members = materialize(tiles(parts), "join-tiles").join(classes.drop("id"), "class")
-    wanted = members.select("class").distinct().join(classes.select("class", "id"), "class")
-    first = materialize(candidates(members.withColumn("component", F.col("class")), rule, forest_only=True), "join-forest")
-    sets = materialize(sets_of(rows, wanted, n), "join-items")
-    tried = materialize(verified(first, sets, rule), "join-tried")
-    done = materialize(components(tried.where("linked")), "join-components")
-
-    again = members.join(done.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rest = candidates(again, rule, forest_only=False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(materialize(rest, "join-rest"), sets, rule).where("linked").select("a", "b")
-    links = materialize(tried.where("linked").select("a", "b").unionByName(more), "join-links")
-    found = components(links).withColumnRenamed("node", "class")
+    members = tiles(parts).join(classes.drop("id"), "class")
+    families = components(candidates(members, rule)).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    families = materialize(families.join(classes.select("class", "id"), "class"), "join-families")
+    found = components(verified(family_tiles(families), sets_of(rows, families, n), rule)).withColumnRenamed("node", "class")
 
     labelled = classes.select("class", "id").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     labelled = materialize(labelled, "join-labelled")
