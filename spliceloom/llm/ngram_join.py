@@ -192,8 +192,17 @@ def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys: list[np.ndarray] = []
+        classes: list[int] = []
+
+        def rows() -> pa.RecordBatch:
+            arrays = [np.concatenate(keys).view(np.int64), np.repeat(np.array(classes, dtype=np.int64), [len(k) for k in keys])]
+            keys.clear()
+            classes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "class"])
+
+        held = 0
         for batch in batches:
-            keys, classes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for words in word_hashes(batch.column(0)):
                 items = set_of(words, n)
                 if not len(items) or (c := class_of(items)) in seen:
@@ -201,9 +210,13 @@ def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level]) -> Data
                 seen.add(c)
                 for number in rule.levels_of(len(items)):
                     keys.append(segment_keys(items, levels[number]))
-                    classes.append(np.full(len(keys[-1]), c, dtype=np.int64))
-            arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "class"])
+                    classes.append(c)
+                    held += len(keys[-1])
+                if held > 100_000:
+                    yield rows()
+                    held = 0
+        if keys:
+            yield rows()
 
     return rows.select("text").mapInArrow(run, "key long, class long")
 

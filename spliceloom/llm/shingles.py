@@ -16,7 +16,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text hashed together.
-_CHUNK = 2_000_000
+_CHUNK = 400_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
