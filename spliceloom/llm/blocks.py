@@ -72,3 +72,8 @@ def cuts(grams: np.ndarray, bits: int) -> np.ndarray:
 
 def block_texts(data: bytes) -> pa.Array:
     return pa.ipc.open_stream(data).read_next_batch().column(0)
+
+
+def bucket_bits(blocks: DataFrame, least: int) -> int:
+    """Leading bits that make at least as many buckets as blocks: a bucket then stays about as large as a block."""
+    return max(least, int(blocks.select("block").count() - 1).bit_length())

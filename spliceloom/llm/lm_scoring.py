@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_texts, pack_blocks, planes, unplanes
+from .blocks import block_texts, bucket_bits, pack_blocks, planes, unplanes
 from .blocks import cuts as cuts_of
 from .common import fold, materialize
 from .shingles import mix, word_hashes
@@ -175,8 +175,8 @@ def score_texts(
     Words are runs of characters other than white space, A-Z lower-cased, and an
     end follows each text. Returns one row per input row: the id column,
     held_out, n_tokens, n_known, train_tokens, base_score (unigrams with 0.1 added
-    to each count) and score. ``2**bits`` buckets share the counts; raise it with
-    the input so that a bucket's hashes fit a task.
+    to each count) and score. ``2**bits`` buckets share the counts, or as
+    many as there are blocks, so that a bucket's hashes fit a task at any size.
 
     Null or empty texts are the end alone. A null id is not held out. Repeated
     rows count and are scored as often as they occur. No rows give no rows;
@@ -188,6 +188,7 @@ def score_texts(
     )
     kind = rows.schema["id"].dataType.simpleString()
     blocks = materialize(pack_blocks(rows, block_bytes), "lm-blocks")
+    bits = bucket_bits(blocks, bits)
     answers = materialize(answer_counts(send_counts(blocks, bits)), "lm-totals")
     # One row per bucket and kind.
     sums = [unplanes(bytes(r.totals), "<u8") for r in answers.where((F.col("block") == -1) & (F.col("kind") == WORDS)).collect()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_texts, cuts, pack_blocks, planes, unplanes
+from .blocks import block_texts, bucket_bits, cuts, pack_blocks, planes, unplanes
 from .common import materialize
 from .graph import runs
 from .shingles import mix
@@ -308,7 +308,8 @@ def suffix_dedup(
     Texts are UTF-8 bytes; strings never cross documents and are judged on the
     input. Returns one row per input row: the id column, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256 and kept (the remaining bytes,
-    which may cut a character). ``2**bits`` buckets share the hashes of stretches;
+    which may cut a character). ``2**bits`` buckets, or as many as
+    there are blocks, share the hashes of stretches;
     beyond ``crowd`` distinct stretches of a gram, windows are counted by hash.
 
     Null text counts as empty; texts shorter than ``length`` lose nothing. Rows
@@ -319,6 +320,7 @@ def suffix_dedup(
     rows = docs.select(F.col(id_col).alias("id"), F.lit(True).alias("flag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = materialize(pack_blocks(rows, block_bytes), "suffix-blocks")
+    bits = bucket_bits(blocks, bits)
     flags = materialize(answer_stretches(send_stretches(blocks, length, bits), crowd), "suffix-flags")
     known = materialize(resolve(blocks.select("block", "texts"), flags, length, bits), "suffix-known")
     unsure = known.where("kind = 1")
