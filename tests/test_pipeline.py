@@ -243,7 +243,7 @@ def test_commands(spark, inputs, transcripts, tmp_path):
     transcripts.write.parquet(str(tmp_path / "transcripts"))
     vcf = tmp_path / "v.vcf"
     vcf.write_text("".join(f"{r.contig}\t{r.pos}\t.\t{r.ref}\t{r.alt}\t.\t.\t.\n" for r in variants.collect()))
-    rows = {"allele-counts": 4, "allele-reads": 34, "variant-sequences": 3, "reference-contexts": 3, "protein-sequences": 3, "results": 4}
+    rows = {"allele-counts": 4, "allele-reads": 34, "variant-sequences": 4, "reference-contexts": 3, "protein-sequences": 3, "results": 4}
     for command, n in rows.items():
         out = str(tmp_path / command)
         args = [command, "--vcf", str(vcf), "--bam", str(tmp_path / "reads"), "--transcripts", str(tmp_path / "transcripts"), "--output", out]
