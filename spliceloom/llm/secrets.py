@@ -43,8 +43,14 @@ SENSITIVE = {
     "credentials": 0.9,
     "auth": 0.7,
 }
-GATE = ("assword", "asswd", "assphrase", "pwd", "ecret", "oken", "pi_key", "pikey", "pi-key", "ccess", "rivate", "redential", "auth")
-PLACEHOLDER = re.compile(r"[<>${}*]|x{4}|example|changeme|placeholder|your[_-]|none|null|true|false", re.IGNORECASE)
+# Literals that stand for a value to be filled in. Templates and masks count anywhere, words only as
+# whole parts of a literal, variables and angle brackets only as the whole literal.
+PLACEHOLDER = re.compile(
+    r"\$\{[^{}]*\}|\{\{[^{}]*\}\}|\*{3}|(?<![a-z0-9])x{4,}(?![a-z0-9])"
+    r"|^(?:<[^<>]*>|\{[\w.-]+\}|(?-i:\$[A-Z_]+|\$[a-z_]+)|(?:(?:none|null|true|false)[_.-]?)+"
+    r"|(?:[a-z]+[_.-])*(?:example|changeme|placeholder|your)(?:[_.-][a-z]+)*)$",
+    re.IGNORECASE,
+)
 
 TERM = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^\s,;+(){}\[\]\"']++"
 PAIR = re.compile(
@@ -52,6 +58,9 @@ PAIR = re.compile(
 )
 TERMS = re.compile(TERM)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+GATE = tuple(w.encode() for w in SENSITIVE)
+_FOLDED = bytes(range(256)).lower()
+_BETWEEN = bytes(c for c in range(256) if not (chr(c).isascii() and chr(c).isalnum()))
 
 Literal = tuple[int, int, str]
 
@@ -73,6 +82,12 @@ def literal_weight(value: str) -> float:
     return min(1.0, kinds / 3) * min(1.0, entropy / 3)
 
 
+def may_name_secrets(text: str) -> bool:
+    """False only if no name in the text is sensitive: words of a name that follow each other touch once all but letters and digits is gone."""
+    squeezed = text.encode("ascii", "ignore").translate(_FOLDED, _BETWEEN)
+    return any(w in squeezed for w in GATE)
+
+
 def lexed_secrets(text: str, least: float = 0.6) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name; each place once."""
     known: dict[str, list[Literal]] = {}
@@ -108,8 +123,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: a lexed literal that lies in a base span is not reported again."""
     base = base_spans(text)
-    folded = text.lower()
-    if not any(w in folded for w in GATE):
+    if not may_name_secrets(text):
         return base, base
     more = [(s, 3, e) for s, e in lexed_secrets(text) if not any(b <= s and e <= f for b, _, f in base)]
     return base, sorted(base + more)

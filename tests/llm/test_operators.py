@@ -163,6 +163,28 @@ def test_secrets(docs, none, rows):
     assert scan_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line, secret",
+    [
+        ("api.key=Zk83hQpL20vvT9", "Zk83hQpL20vvT9"),
+        ("api__key = Zk83hQpL20vvT9", "Zk83hQpL20vvT9"),
+        ("pass_phrase: Zk83hQpL20vvT9", "Zk83hQpL20vvT9"),
+        ('pass-word = "Zk83hQpL20vvT9"', "Zk83hQpL20vvT9"),
+        ('pwd = "Tr0ub4dor$3xY"', "Tr0ub4dor$3xY"),
+        ('pwd = "Zk8{hQ<pL*0>v}T"', "Zk8{hQ<pL*0>v}T"),
+        ('pwd = "9aNullQ7trueZ"', "9aNullQ7trueZ"),
+    ],
+)
+def test_secrets_do_not_hang_on_unrelated_text(line, secret):
+    for text in (line, line + "\ntoken"):
+        assert [text[s:e] for s, _, e in scan_text(text)[1]] == [secret]
+
+
+@pytest.mark.parametrize("value", ["${DB_PASSWORD}", "<your-password>", "{{vault.password}}", "Ab1***********", "$DB_PASSWORD", "sk-xxxxxxxx-A1", "your_api_key", "{access_token}"])
+def test_placeholders_are_no_secrets(value):
+    assert scan_text(f'pwd = "{value}"')[1] == []
+
+
 def test_maximal_segments():
     assert maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4), (2, 3, 3), (4, 11, 7)]
     rng = random.Random(1)
