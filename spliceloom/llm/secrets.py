@@ -72,13 +72,53 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in joined), default=0.0)
 
 
-def literal_weight(value: str) -> float:
-    """0 to 1: length, mixture of character kinds and entropy of a literal; 0 for prose and placeholders."""
-    if len(value) < 8 or any(c.isspace() for c in value) or PLACEHOLDER.search(value):
+class Value:
+    """What an assignment gives its name: literals written in it, and earlier values by reference, in order."""
+
+    __slots__ = ("parts", "_counts")
+
+    def __init__(self, parts: list[Literal | Value]) -> None:
+        self.parts = parts
+        self._counts: Counter | None = None
+
+    def counts(self) -> Counter:
+        """How often each character occurs, repeated parts counted as often as they are joined; each value once."""
+        stack = [self]
+        while stack:
+            value = stack[-1]
+            if value._counts is None:
+                if ahead := [p for p in value.parts if isinstance(p, Value) and p._counts is None]:
+                    stack += ahead
+                    continue
+                value._counts = Counter()
+                for p in value.parts:
+                    value._counts.update(p._counts if isinstance(p, Value) else p[2])
+            stack.pop()
+        return self._counts
+
+    def literals(self) -> list[Literal]:
+        """All literals it is joined from, each written place once."""
+        seen: set[int] = set()
+        out: list[Literal] = []
+        stack: list[Literal | Value] = [self]
+        while stack:
+            part = stack.pop()
+            if not isinstance(part, Value):
+                out.append(part)
+            elif id(part) not in seen:
+                seen.add(id(part))
+                stack += reversed(part.parts)
+        return out
+
+
+def literal_weight(counts: Counter) -> float:
+    """0 to 1: length, mixture of character kinds and entropy of a literal with these characters; 0 for prose."""
+    n = sum(counts.values())
+    if n < 8 or any(c.isspace() for c in counts):
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    letters = "".join(counts)
+    kinds = sum(bool(re.search(p, letters)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     return min(1.0, kinds / 3) * min(1.0, entropy / 3)
 
 
@@ -90,24 +130,25 @@ def may_name_secrets(text: str) -> bool:
 
 def lexed_secrets(text: str, least: float = 0.6) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name; each place once."""
-    known: dict[str, list[Literal]] = {}
+    known: dict[str, Value] = {}
     found: dict[tuple[int, int], None] = {}
     for pair in PAIR.finditer(text):
         name, at = pair[1], pair.start(2)
-        literals: list[Literal] = []
+        parts: list[Literal | Value] = []
         for term in TERMS.finditer(pair[2]):
             word = term[0]
             if word[0] in "\"'" and len(word) > 1:
-                literals.append((at + term.start() + 1, at + term.end() - 1, word[1:-1]))
+                parts.append((at + term.start() + 1, at + term.end() - 1, word[1:-1]))
             elif word in known:
-                literals += known[word]
+                parts.append(known[word])
             else:
-                literals.append((at + term.start(), at + term.end(), word))
-        literals = literals[:16]
-        known[name] = literals
+                parts.append((at + term.start(), at + term.end(), word))
+        value = known[name] = Value(parts)
         weight = name_weight(name)
-        if weight and weight * literal_weight("".join(v for _, _, v in literals)) >= least:
-            found |= dict.fromkeys((s, e) for s, e, v in literals if len(v) >= 4)
+        if weight and weight * literal_weight(value.counts()) >= least:
+            literals = value.literals()
+            if not PLACEHOLDER.search("".join(v for _, _, v in literals)):
+                found |= dict.fromkeys((s, e) for s, e, v in literals if v)
     return list(found)
 
 

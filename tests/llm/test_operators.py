@@ -185,6 +185,20 @@ def test_placeholders_are_no_secrets(value):
     assert scan_text(f'pwd = "{value}"')[1] == []
 
 
+def test_secrets_of_many_pieces():
+    def lexed(text):
+        return [text[s:e] for s, k, e in scan_text(text)[1] if k == 3]
+
+    pieces = [f"a{k:02d}Xy" for k in range(40)]
+    assert lexed("password = " + " + ".join(f'"{p}"' for p in pieces)) == pieces
+    assert lexed("\n".join(f'k{i} = "{p}"' for i, p in enumerate(pieces)) + "\npwd = " + " + ".join(f"k{i}" for i in range(40))) == pieces
+    assert lexed('password = "" + "aB3" + "xY7" + "kQ" + "9"') == ["aB3", "xY7", "kQ", "9"]
+    assert lexed('x = "aB3$"\npassword = x + x') == ["aB3$"]
+    assert lexed('x = "aB3$"\n' + "x = x + x\n" * 300 + "password = x") == ["aB3$"]
+    # Prose after the 16th piece is part of the value.
+    assert lexed("password = " + " + ".join(f'"{p}"' for p in pieces[:16]) + ' + " is long"') == []
+
+
 def test_maximal_segments():
     assert maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4), (2, 3, 3), (4, 11, 7)]
     rng = random.Random(1)
