@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import is_empty, materialize
 from .graph import Forest, components, runs
 from .shingles import mix, ngrams, word_hashes
 
@@ -360,7 +360,10 @@ def verified(tiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             if found := links(group):
                 yield _pairs(found)
 
-    filled = sets.join(tiles, ["id", "class"]).select("tile", "side", "crossed", "class", "items")
+    # A class without numbered members has a null id.
+    wanted = tiles.withColumnsRenamed({"id": "wanted_id", "class": "wanted_class"})
+    filled = sets.join(wanted, (F.col("class") == F.col("wanted_class")) & F.col("id").eqNullSafe(F.col("wanted_id")))
+    filled = filled.select("tile", "side", "crossed", "class", "items")
     return filled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
@@ -428,7 +431,13 @@ def jaccard_join(
     members = tiles(parts).join(classes.drop("id"), "class")
     families = components(candidates(members, rule)).select(F.col("node").alias("class"), F.col("component").alias("family"))
     families = materialize(families.join(classes.select("class", "id"), "class"), "join-families")
-    found = components(verified(family_tiles(families), sets_of(rows, families, n), rule)).withColumnRenamed("node", "class")
+    sets = sets_of(rows.where("id IS NOT NULL"), families.where("id IS NOT NULL"), n)
+    unnumbered = families.where("id IS NULL")
+    if not is_empty(unnumbered):
+        # Nothing but the class tells rows without id apart: one row of each stays.
+        found = sets_of(rows.where("id IS NULL"), unnumbered, n).join(unnumbered.select("class"), "class", "left_semi")
+        sets = sets.unionByName(found.groupBy("class").agg(F.first("id").alias("id"), F.first("items").alias("items")))
+    found = components(verified(family_tiles(families), sets, rule)).withColumnRenamed("node", "class")
 
     labelled = classes.select("class", "id").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     labelled = materialize(labelled, "join-labelled")

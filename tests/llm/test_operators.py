@@ -311,6 +311,18 @@ def test_jaccard_join(docs, none, rows, n, part):
     assert jaccard_join(none).count() == 0
 
 
+def test_jaccard_join_links_through_documents_without_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    bridge = words[:96] + [f"x{k}" for k in range(4)]
+    far = words[:92] + [f"y{k}" for k in range(4)] + bridge[96:]
+    lone = [f"z{k}" for k in range(50)]
+    rows = [(5, words), (None, bridge), (None, bridge), (9, far), (None, lone), (None, lone[:-1]), (7, [f"v{k}" for k in range(50)])]
+    rows += [(20, [f"u{k}" for k in range(60)]), (None, [f"u{k}" for k in range(58)])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join(docs, n=1, part=90).collect())
+    assert got == Counter([(5, 5), (None, 5), (None, 5), (9, 5), (None, None), (None, None), (7, 7), (20, 20), (None, 20)])
+
+
 def test_segment_keys_find_every_pair_that_links():
     rng = np.random.default_rng(4)
     rule = Rule(85, 100)
