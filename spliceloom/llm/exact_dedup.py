@@ -10,6 +10,9 @@ key follow each other. Bytes are compared by grouping the normalised texts
 themselves: two texts share a link only if they are equal byte by byte. Should
 one link ever hold two texts, it is split by text.
 
+The directory only describes the index (bucket_depth, bucket): rows are grouped
+and joined by key and SHA-256, and no decision depends on it.
+
 Only DataFrame functions are used.
 """
 
