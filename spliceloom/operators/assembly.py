@@ -98,19 +98,19 @@ def merge_round(sequences: list[Sequence], least: int) -> list[Sequence] | None:
     return [Sequence(*key, reads) for key, reads in merged.items()] + [s for k, s in enumerate(sequences) if k not in used]
 
 
-def assemble(sequences: list[Sequence], least: int) -> list[Sequence]:
-    """Collapse, then merge overlaps until nothing changes; very many sequences are only collapsed."""
+def assemble(sequences: list[Sequence], least: int, limit: int | None = MERGE_LIMIT) -> list[Sequence]:
+    """Collapse, then merge overlaps until nothing changes; more than ``limit`` sequences are only collapsed; None merges all."""
     if len(sequences) <= 1:
         return sequences
     current = collapse(sequences)
-    if len(current) <= MERGE_LIMIT:
+    if limit is None or len(current) <= limit:
         while (further := merge_round(current, least)) is not None:
             current = further
     return sorted(current, key=lambda s: -len(s.reads))
 
 
-def assemble_groups(unique: DataFrame, least: Column) -> DataFrame:
-    """Unique sequences of each variant assembled; ``least`` is the overlap that merging needs."""
+def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_LIMIT) -> DataFrame:
+    """Unique sequences of each variant assembled; ``least`` is the overlap that merging needs, ``limit`` as in ``assemble``."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["seen"])
@@ -129,7 +129,7 @@ def assemble_groups(unique: DataFrame, least: Column) -> DataFrame:
                 "reads": [by_number[k] for k in sorted(s.reads)],
                 "seen": n,
             }
-            for n, s in enumerate(assemble(found, rows[0]["least"]))
+            for n, s in enumerate(assemble(found, rows[0]["least"], limit))
         ]
         return pa.Table.from_pylist(out, schema=table.schema.remove(table.schema.get_field_index("least")))
 
@@ -195,12 +195,16 @@ def with_support(sequences: DataFrame, coverage: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class SequenceOptions:
-    """How sequences are built: length around the variant, coverage, and whether overlaps are merged."""
+    """How sequences are built: length around the variant, coverage, and whether overlaps are merged.
+
+    Variants with more than ``merge_limit`` sequences after collapsing are not merged; None merges all.
+    """
 
     length: int = 90
     coverage: int = 2
     assembly: bool = False
     min_overlap: int = 30
+    merge_limit: int | None = MERGE_LIMIT
 
 
 def variant_sequences(alt_reads: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
@@ -223,7 +227,7 @@ def variant_sequences(alt_reads: DataFrame, options: SequenceOptions = SequenceO
         .withColumnsRenamed({"_p": "prefix", "_s": "suffix"})
     )
     if options.assembly:
-        unique = assemble_groups(unique, F.least(F.lit(options.min_overlap), F.floor((options.length - F.length("alt")) / 2)))
+        unique = assemble_groups(unique, F.least(F.lit(options.min_overlap), F.floor((options.length - F.length("alt")) / 2)), options.merge_limit)
     kept = keep_long_enough(trim_and_collapse(unique, options.coverage), options.length)
     order = Window.partitionBy("variant_id").orderBy(F.desc(F.size("reads")), "seen")
     return kept.select(

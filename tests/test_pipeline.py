@@ -171,6 +171,24 @@ def test_assembly():
     assert pairs_to_try(unrelated, 11) == []
 
 
+def test_merge_limit_can_be_lifted(spark):
+    rng = random.Random(5)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    many = [Sequence(dna(20), "G", dna(20), frozenset([k])) for k in range(1000)]
+    pair = [Sequence("A" * 20, "G", "C" * 12, frozenset([1000])), Sequence("A" * 12, "G", "C" * 20, frozenset([1001]))]
+    whole = ("A" * 20, "G", "C" * 20)
+    assert whole not in {(x.prefix, x.alt, x.suffix) for x in assemble(many + pair, 25)}
+    assert whole in {(x.prefix, x.alt, x.suffix) for x in assemble(many + pair, 25, None)}
+
+    rows = [("v", k, x.prefix, x.alt, x.suffix, str(k), 1) for k, x in enumerate(pair)]
+    reads = spark.createDataFrame(rows, "variant_id string, read_ordinal long, prefix string, allele string, suffix string, name string, source_read_count long")
+    made = {
+        limit: {r.sequence for r in assembly.variant_sequences(reads, assembly.SequenceOptions(length=41, coverage=1, assembly=True, min_overlap=15, merge_limit=limit)).collect()}
+        for limit in (1, None)
+    }
+    assert made == {1: {"".join((x.prefix, x.alt, x.suffix)) for x in pair}, None: {"".join(whole)}}
+
+
 def test_coverage(spark):
     reads = [("AA", "TT"), ("AA", "T"), ("A", "TT")]
     frame = spark.createDataFrame([([{"prefix": p, "suffix": s} for p, s in reads],)], "reads array<struct<prefix:string,suffix:string>>")
