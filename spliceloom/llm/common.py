@@ -22,9 +22,9 @@ def scratch_root(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return context.getCheckpointDir().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

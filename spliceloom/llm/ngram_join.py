@@ -13,15 +13,26 @@ often, which counts as the level's sets grow in number.
 Sets that share a key are compared by parity bitmaps: the number of unequal bits
 bounds the difference from below, so rejecting is exact. The pairs that stay,
 reduced to a spanning forest in each group, make families. The sets of a family
-meet in one task, or part by part, and are verified there, closest first; pairs
-that are connected already need no check. So no link between components is lost,
-and no group is expanded into pairs.
+meet in one task, or part by part, and are verified there on their words, closest
+first; pairs that are connected already need no check. So no link between
+components is lost, and no group is expanded into pairs.
+
+Large groups and families are compared star-wise first: each part within itself
+and with one hub. What is then in the group's largest component needs no more
+comparison among itself; only the rest is compared with all parts. A set is
+copied as often as that rest has parts.
+
+Hashes of words and n-grams only find candidates. Links are decided on the words,
+and texts are one class if they agree in a 128-bit cryptographic digest of their
+words; classes have numbers, which are the digest's first bytes or, where two
+digests share those, others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import is_empty, materialize
 from .graph import Forest, components, runs
-from .shingles import mix, ngrams, word_hashes
+from .shingles import exact_sets, mix, ngrams, plain_words, word_hashes
 
 RATIO = 1.6  # sizes of a level; near the least number of keys for t from 0.8 to 0.9
-#: Members of a group that are compared in one task; larger groups are cut, and parts compared in pairs.
-PART = 1024
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -164,34 +173,66 @@ def set_of(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(words, n))
 
 
-def class_of(items: np.ndarray) -> int:
-    """A number for equal sets."""
-    return int(mix(np.array([mix(items + _C2).sum(dtype=np.uint64) + np.uint64(len(items))], dtype=np.uint64)).view(np.int64)[0])
+def digest_of(words: list[bytes]) -> bytes:
+    """Digest of a text's words; texts of equal digest are one class."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def describe(rows: DataFrame, n: int) -> DataFrame:
-    """(id, size, class, bitmap) of each row of (id, text); an empty set has no class."""
+def _number(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True) >> (64 - bits)
+
+
+def describe(rows: DataFrame, n: int, bits: int) -> DataFrame:
+    """(id, size, class, digest, bitmap) of each row of (id, text); an empty set has no class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, bitmaps = [], [], []
-            for words in word_hashes(batch.column(1)):
+            sizes, digests, bitmaps = [], [], []
+            for text, words in zip(batch.column(1), word_hashes(batch.column(1))):
                 items = set_of(words, n)
                 sizes.append(len(items))
-                classes.append(class_of(items) if len(items) else None)
+                digests.append(digest_of(plain_words(text.as_py())) if len(items) else None)
                 bitmaps.append(parity_bitmap(items).tobytes() if len(items) else None)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bitmaps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "class", "bitmap"])
+            classes = [None if d is None else _number(d, bits) for d in digests]
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "class", "digest", "bitmap"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, size long, class long, bitmap binary")
+    return rows.mapInArrow(run, f"id {kind}, size long, class long, digest binary, bitmap binary")
 
 
-def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level]) -> DataFrame:
+def gather(table: DataFrame) -> DataFrame:
+    """One row of each class: (class, id, size, bitmap, alone); not ``alone`` if several digests have its number."""
+    grouped = table.where("class IS NOT NULL").groupBy("class")
+    found = grouped.agg(
+        F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), (F.min("digest") == F.max("digest")).alias("alone")
+    )
+    return materialize(found, "join-classes")
+
+
+def renumbered(table: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, dict[bytes, int]]:
+    """Table and classes with a number of its own for every digest, and the numbers that aren't the digest's first bytes.
+
+    Of n digests about n * n / 2**65 pairs share a number, so a handful even among 10**10.
+    """
+    moved: dict[bytes, int] = {}
+    while not is_empty(classes.where("NOT alone")):
+        shared = classes.where("NOT alone").select("class")
+        for k, row in enumerate(table.join(F.broadcast(shared), "class").select("digest").distinct().sort("digest").collect()):
+            salted = bytes(row.digest) + len(moved).to_bytes(8, "little") + bytes([k % 256])
+            moved[bytes(row.digest)] = _number(hashlib.blake2b(salted, digest_size=16).digest(), 64)
+        changes = table.sparkSession.createDataFrame([(bytearray(d), c) for d, c in moved.items()], "digest binary, moved long")
+        fresh = table.join(F.broadcast(changes), "digest", "left").withColumn("class", F.coalesce("moved", "class"))
+        table = materialize(fresh.select(table.columns), "join-sets")
+        classes = gather(table)
+    return table, classes, moved
+
+
+def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level], bits: int, moved: dict[bytes, int]) -> DataFrame:
     """(key, class): equal sets of a task are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         keys: list[np.ndarray] = []
         classes: list[int] = []
 
@@ -203,14 +244,14 @@ def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level]) -> Data
 
         held = 0
         for batch in batches:
-            for words in word_hashes(batch.column(0)):
-                items = set_of(words, n)
-                if not len(items) or (c := class_of(items)) in seen:
+            for text, words in zip(batch.column(0), word_hashes(batch.column(0))):
+                if not len(words) or (d := digest_of(plain_words(text.as_py()))) in seen:
                     continue
-                seen.add(c)
+                seen.add(d)
+                items = set_of(words, n)
                 for number in rule.levels_of(len(items)):
                     keys.append(segment_keys(items, levels[number]))
-                    classes.append(c)
+                    classes.append(moved.get(d, _number(d, bits)))
                     held += len(keys[-1])
                 if held > 100_000:
                     yield rows()
@@ -221,8 +262,8 @@ def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level]) -> Data
     return rows.select("text").mapInArrow(run, "key long, class long")
 
 
-def group_parts(keys: DataFrame) -> DataFrame:
-    """(key, part, members, digest) of keys that several classes share, in parts of bounded size."""
+def group_parts(keys: DataFrame, most: int) -> DataFrame:
+    """(key, part, members, digest) of keys that several classes share, in parts of ``most`` members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held, parts = None, [], 0
@@ -262,9 +303,9 @@ def group_parts(keys: DataFrame) -> DataFrame:
                 else:
                     close()
                     held_key, held, parts = k, members, 0
-                while len(held) > PART:
-                    out.append((held_key, parts, held[:PART]))
-                    held, parts = held[PART:], parts + 1
+                while len(held) > most:
+                    out.append((held_key, parts, held[:most]))
+                    held, parts = held[most:], parts + 1
             if out:
                 yield rows()
         if held_key is not None:
@@ -276,76 +317,96 @@ def group_parts(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, part int, members array<long>, digest long")
 
 
-def tiles(parts: DataFrame) -> DataFrame:
-    """(tile, side, class): groups to compare within (side 0), or part against part (sides 0 and 1).
-
-    Groups with the same members are compared once.
-    """
-    inner = parts.groupBy("digest").agg(F.min(F.struct("key", "part", "members")).alias("g"))
-    inner = inner.select(F.xxhash64("digest").alias("tile"), F.lit(0).alias("side"), F.explode("g.members").alias("class"))
-    many = parts.join(parts.where("part = 1").select("key"), "key", "left_semi").drop("digest")
-    a = many.select("key", F.col("part").alias("p"), F.col("members").alias("m"))
-    b = many.select("key", F.col("part").alias("q"), F.col("members").alias("o"))
-    crossed = a.join(b, "key").where("p < q").select(F.xxhash64("key", "p", "q").alias("tile"), "m", "o")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("m").alias("members")), F.struct(F.lit(1).alias("side"), F.col("o").alias("members"))))
-    crossed = crossed.select("tile", sides.alias("s")).select("tile", "s.side", F.explode("s.members").alias("class"))
-    return inner.unionByName(crossed)
+def star(groups: DataFrame, most: int) -> DataFrame:
+    """Rows of (group, class) with the group's number of parts, the row's part, and the group's hub."""
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / most).alias("parts"), F.min("class").alias("hub"))
+    return groups.join(sizes, "group").withColumn("part", F.expr("pmod(xxhash64(class, 11), parts)"))
 
 
-def candidates(members: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): a spanning forest, in each tile, of the pairs whose bitmaps allow a link.
+def connect(small: DataFrame, large: DataFrame, most: int, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect, within each group, all the classes that links of the group connect.
 
-    ``members`` is (tile, side, class, size, bitmap).
+    ``small`` is (tile, class), ``large`` what ``star`` gives. ``links_of`` finds
+    links in tiles (tile, side, crossed, label, class): within a tile, or between
+    its sides if ``crossed``; classes of one label are connected already.
     """
-
-    def pairs(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        ids = group.column("class").to_pylist()
-        sizes, side = group.column("size").to_numpy(), group.column("side").to_numpy()
-        bitmaps = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("bitmap")]
-        forest, found = Forest(), []
-        for i, others in near_pairs(sizes, bitmaps, side, bool(side.any()), rule):
-            for j in others.tolist():
-                if forest.join(ids[i], ids[j]):
-                    found.append((ids[i], ids[j]))
-        return found
+    none = [F.lit(0).alias("side"), F.lit(False).alias("crossed"), F.lit(None).cast("long").alias("label")]
+    inner = large.select(F.xxhash64("group", "part").alias("tile"), "class")
+    hubs = large.where("parts > 1").select("group", "hub", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).distinct()
+    hubs = hubs.select(F.xxhash64("group", "part").alias("tile"), F.col("hub").alias("class"))
+    first = small.select("tile", "class").unionByName(inner.unionByName(hubs)).select("tile", *none, "class")
+    links = materialize(links_of(first), "join-star")
+    if is_empty(large.where("parts > 1")):
+        return links
+    large = large.where("parts > 1")
+    labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
+    rows = large.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    rows = materialize(rows.select("group", "class", "part", "parts", "label"), "join-large")
+    counts = rows.groupBy("group", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    loose = rows.join(main, "group").where("label <> main").drop("main")
+    sizes = loose.groupBy("group").agg(F.ceil(F.count("*") / most).alias("blocks"))
+    loose = loose.join(sizes, "group").withColumn("block", F.expr("pmod(xxhash64(class, 13), blocks)"))
+    loose = loose.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    every = rows.join(sizes, "group").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tile = F.xxhash64("group", "block", "part").alias("tile")
+    sides = [x.select(tile, F.lit(k).alias("side"), F.lit(True).alias("crossed"), "label", "class") for k, x in enumerate((every, loose))]
+    return links.unionByName(links_of(sides[0].unionByName(sides[1])))
+
+
+def group_tiles(parts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of ``group_parts`` as ``connect`` takes them: those in one part, the same members once, and larger ones."""
+    large = parts.join(parts.where("part = 1").select("key"), "key", "left_semi")
+    small = parts.where("part = 0").join(parts.where("part = 1").select("key"), "key", "left_anti")
+    small = small.groupBy("digest").agg(F.min(F.struct("key", "members")).alias("g"))
+    small = small.select(F.xxhash64("digest").alias("tile"), F.explode("g.members").alias("class"))
+    return small, star(large.select(F.col("key").alias("group"), F.explode("members").alias("class")), most)
+
+
+def _links(frame: DataFrame, links: Callable[[pa.RecordBatch, Forest], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) of all tiles of ``frame``; classes of one label are joined before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in runs(batches, "tile"):
-            out += pairs(group)
+            forest = Forest()
+            for c, label in zip(group.column("class").to_pylist(), group.column("label").to_pylist()):
+                if label is not None:
+                    forest.join(c, label)
+            out += links(group, forest)
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
         yield _pairs(out)
 
-    return members.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return frame.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def family_tiles(families: DataFrame) -> DataFrame:
-    """(tile, side, crossed, class, id): each family within one tile, or a large one part by part and part against part."""
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    rows = families.join(sizes, "family").withColumn("part", F.expr("pmod(xxhash64(class, 11), parts)"))
-    each = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    return each.select(
-        F.xxhash64("family", low, high).alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), (low != high).alias("crossed"), "class", "id"
-    )
+def candidates(tiles: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): a spanning forest, in each tile, of the pairs whose bitmaps allow a link."""
+
+    def links(group: pa.RecordBatch, forest: Forest) -> list[tuple[int, int]]:
+        ids = group.column("class").to_pylist()
+        sizes, side = group.column("size").to_numpy(), group.column("side").to_numpy()
+        bitmaps = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("bitmap")]
+        near = near_pairs(sizes, bitmaps, side, group.column("crossed")[0].as_py(), rule)
+        return [(ids[i], ids[j]) for i, others in near for j in others.tolist() if forest.join(ids[i], ids[j])]
 
+    return _links(tiles.join(classes.select("class", "size", "bitmap"), "class"), links)
 
-def verified(tiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): links that connect the sets of each tile, decided on the sets (id, class, items) themselves."""
 
-    def links(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        ids = group.column("class").to_pylist()
-        items = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("items")]
+def verified(tiles: DataFrame, sets: DataFrame, n: int, rule: Rule) -> DataFrame:
+    """(a, b): links that connect the sets of each tile, decided on the words of ``sets`` (class, words)."""
+
+    def links(group: pa.RecordBatch, forest: Forest) -> list[tuple[int, int]]:
+        ids, found = group.column("class").to_pylist(), []
+        items = exact_sets(group.column("words").to_pylist(), n)
         sizes, side = np.array([len(x) for x in items]), group.column("side").to_numpy()
-        crossed = group.column("crossed")[0].as_py()
-        forest, found = Forest(), []
-        for i, others in near_pairs(sizes, [parity_bitmap(x) for x in items], side, crossed, rule):
+        for i, others in near_pairs(sizes, [parity_bitmap(x) for x in items], side, group.column("crossed")[0].as_py(), rule):
             for j in others.tolist():
                 if forest.find(ids[i]) == forest.find(ids[j]):
                     continue
@@ -355,20 +416,11 @@ def verified(tiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                     found.append((ids[i], ids[j]))
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, "tile"):
-            if found := links(group):
-                yield _pairs(found)
-
-    # A class without numbered members has a null id.
-    wanted = tiles.withColumnsRenamed({"id": "wanted_id", "class": "wanted_class"})
-    filled = sets.join(wanted, (F.col("class") == F.col("wanted_class")) & F.col("id").eqNullSafe(F.col("wanted_id")))
-    filled = filled.select("tile", "side", "crossed", "class", "items")
-    return filled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return _links(tiles.join(sets.select("class", "words"), "class"), links)
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, class, items) of the wanted ids and few others, by reading those texts again.
+def sets_of(rows: DataFrame, wanted: DataFrame, bits: int, moved: dict[bytes, int]) -> DataFrame:
+    """(id, class, words) of the wanted ids and few others, by reading those texts again.
 
     A bitmap of fixed size (128 KB) of hashed ids leaves most other texts out.
     """
@@ -382,15 +434,16 @@ def sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value, bitorder="little")
+        marked = np.unpackbits(shared.value, bitorder="little")
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()] == 1))
-            items = [set_of(words, n) for words in word_hashes(batch.column(1))]
-            classes = pa.array([class_of(x) if len(x) else None for x in items], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), classes, pa.array([x.tobytes() for x in items], pa.binary())], ["id", "class", "items"])
+            batch = batch.filter(pa.array(marked[batch.column(2).to_numpy()] == 1))
+            plain = [plain_words(text.as_py()) for text in batch.column(1)]
+            digests = [digest_of(w) if w else None for w in plain]
+            classes = pa.array([None if d is None else moved.get(d, _number(d, bits)) for d in digests], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), classes, pa.array([b" ".join(w) for w in plain], pa.binary())], ["id", "class", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text", slot.alias("slot")).mapInArrow(run, f"id {kind}, class long, items binary")
+    return rows.select("id", "text", slot.alias("slot")).mapInArrow(run, f"id {kind}, class long, words binary")
 
 
 def jaccard_join(
@@ -400,13 +453,17 @@ def jaccard_join(
     n: int = 5,
     part: int = 80,
     whole: int = 100,
+    class_bits: int = 64,
+    most: int = 1024,
 ) -> DataFrame:
     """Components of the links between texts whose word n-gram sets are ``part``/``whole`` similar or more.
 
     Words are runs of characters other than white space, A-Z lower-cased; fewer
     than ``n`` words are one n-gram. Returns one row per input row: the id column,
-    n_shingles, class_id (a number for equal sets) and component_id, the smallest
-    id reachable by links, its own included.
+    n_shingles, class_id (a number for equal words) and component_id, the smallest
+    id reachable by links, its own included. ``class_bits`` of a digest number the
+    classes, and digests that share them get others. ``most`` members of a group
+    are compared in one task.
 
     Null or empty texts have no n-grams and link with nothing, not even with each
     other. Ids must be integers; a null id reaches its component's smallest other
@@ -415,9 +472,8 @@ def jaccard_join(
     """
     rule = Rule(part, whole)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = materialize(describe(rows, n), "join-sets")
-    classes = table.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
-    classes = materialize(classes, "join-classes")
+    table = materialize(describe(rows, n, class_bits), "join-sets")
+    table, classes, moved = renumbered(table, gather(table))
 
     # One row per size: a number of rows that grows with the longest text only.
     sizes = classes.groupBy("size").agg(F.count("*").alias("n")).collect()
@@ -427,22 +483,26 @@ def jaccard_join(
             population[number] = population.get(number, 0) + r.n
     levels = {number: plan_level(rule, number, sets) for number, sets in population.items()}
 
-    parts = materialize(group_parts(keyed(rows, n, rule, levels)), "join-groups")
-    members = tiles(parts).join(classes.drop("id"), "class")
-    families = components(candidates(members, rule)).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    parts = materialize(group_parts(keyed(rows, n, rule, levels, class_bits, moved), most), "join-groups")
+    families = components(connect(*group_tiles(parts, most), most, lambda t: candidates(t, classes, rule)))
+    families = families.select(F.col("node").alias("class"), F.col("component").alias("group"))
     families = materialize(families.join(classes.select("class", "id"), "class"), "join-families")
-    sets = sets_of(rows.where("id IS NOT NULL"), families.where("id IS NOT NULL"), n)
-    unnumbered = families.where("id IS NULL")
-    if not is_empty(unnumbered):
-        # Nothing but the class tells rows without id apart: one row of each stays.
-        found = sets_of(rows.where("id IS NULL"), unnumbered, n).join(unnumbered.select("class"), "class", "left_semi")
-        sets = sets.unionByName(found.groupBy("class").agg(F.first("id").alias("id"), F.first("items").alias("items")))
-    found = components(verified(family_tiles(families), sets, rule)).withColumnRenamed("node", "class")
+    wanted = families.select("class", F.col("id").alias("wanted"))
+    sets = sets_of(rows.where("id IS NOT NULL"), families.where("id IS NOT NULL"), class_bits, moved).join(wanted, "class").where("id = wanted")
+    if not is_empty(families.where("id IS NULL")):
+        # Nothing but the class tells rows without id apart.
+        unnumbered = sets_of(rows.where("id IS NULL"), families.where("id IS NULL"), class_bits, moved)
+        sets = sets.unionByName(unnumbered.join(wanted, "class").where("wanted IS NULL"))
+    # Of rows that repeat id and words, one stays.
+    sets = sets.select("class", "words").dropDuplicates(["class"])
+    nothing = families.select(F.col("group").alias("tile"), "class").limit(0)
+    found = connect(nothing, star(families.drop("id"), most), most, lambda t: verified(t, sets, n, rule))
+    found = components(found).withColumnRenamed("node", "class")
 
     labelled = classes.select("class", "id").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     labelled = materialize(labelled, "join-labelled")
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = labelled.join(least, "component").select("class", "component_id")
-    out = table.drop("bitmap").join(by_class, "class", "left")
+    out = table.drop("bitmap", "digest").join(by_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("class").alias("class_id"), component.alias("component_id"))

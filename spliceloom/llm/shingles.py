@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 
 _RANDOM = np.random.default_rng(20_240_229)
-_BYTES = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15
+_PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text hashed together.
 _CHUNK = 400_000
 
@@ -26,34 +25,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = np.array([1], dtype=np.uint64)
-
-
-def _power_table(n: int) -> np.ndarray:
-    """Powers of the base from 0 to at least ``n``."""
-    global _powers
-    if len(_powers) <= n:
-        size = 1 << int(n + 1).bit_length()
-        _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, _BASE, dtype=np.uint64), dtype=np.uint64)))
-    return _powers
-
-
 def _hash_chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts (A-Z lower-cased) that lie end to end, and where each text's words begin."""
+    """Word hashes of texts (A-Z lower-cased) that lie end to end, and where each text's words begin.
+
+    A word is cut into lanes of 8 bytes. Each lane is mixed with its place before
+    the lanes are added, so no sum of bytes of one word makes up for another's.
+    """
     solid = ~_SPACE[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(raw)]
     first[inner] = solid[inner]
-    at = np.flatnonzero(solid)
-    begins = np.flatnonzero(first[at])
-    counts = np.searchsorted(at[begins], offsets)
-    if not len(begins):
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | first[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    counts = np.searchsorted(starts, offsets)
+    if not len(starts):
         return np.zeros(0, dtype=np.uint64), counts
-    lengths = np.diff(np.append(begins, len(at)))
-    place = np.arange(len(at)) - np.repeat(begins, lengths)
-    values = _BYTES[_LOWER[raw[at]]] * _power_table(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, begins)), counts
+    lanes = (ends - starts + 7) // 8
+    begins = np.cumsum(lanes) - lanes
+    word = np.repeat(np.arange(len(starts)), lanes)
+    place = np.arange(len(word)) - begins[word]
+    at = starts[word] + 8 * place
+    padded = np.concatenate((_LOWER[raw], np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))[at]
+    eight &= np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(8, ends[word] - at))).astype(np.uint64)
+    values = mix(eight + place.astype(np.uint64) * _PLACE)
+    return mix(np.add.reduceat(values, begins) + (ends - starts).astype(np.uint64) * _LENGTH), counts
 
 
 def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -79,3 +77,32 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(m):
         total += words[k : len(words) - m + 1 + k] * _ODD[k]
     return mix(total)
+
+
+def plain_words(text: str) -> list[bytes]:
+    """The words themselves, in UTF-8: white space and letter case of bytes are those of the contracts."""
+    return text.encode().lower().split()
+
+
+def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sets of word n-grams of texts of single-spaced words, as numbers that are equal only for equal words.
+
+    Words are numbered as they appear. A gram's word numbers are joined to one
+    number, and renumbered by rank whenever the next would not fit 64 bits. Fewer
+    than ``n`` words are one gram, filled up with 0.
+    """
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number) + 1) for w in t.split(b" ")] if t else [] for t in texts]
+    fill = [0] * (n - 1)
+    flat = np.array([x for w in words for x in (*w, *fill)], dtype=np.uint64)
+    begins = np.cumsum([0, *(len(w) + n - 1 for w in words)])
+    counts = [max(len(w) - n + 1, min(1, len(w))) for w in words]
+    at = np.concatenate([np.arange(b, b + c) for b, c in zip(begins, counts)]) if counts else np.zeros(0, dtype=np.int64)
+    grams, high, base = flat[at], len(number) + 1, len(number) + 1
+    for k in range(1, n):
+        if high * base >= 1 << 64:
+            distinct, grams = np.unique(grams, return_inverse=True)
+            grams, high = grams.astype(np.uint64), len(distinct)
+        grams = grams * np.uint64(base) + flat[at + k]
+        high *= base
+    return [np.unique(g) for g in np.split(grams, np.cumsum(counts)[:-1])] if counts else []

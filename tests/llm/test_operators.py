@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spliceloom.llm.embedding_dedup import collision_rule, embedding_dedup
@@ -18,6 +19,7 @@ from spliceloom.llm.mixing import mix_sources
 from spliceloom.llm.ngram_join import Rule, jaccard_join, plan_level, segment_keys
 from spliceloom.llm.packing import best_fit, pack
 from spliceloom.llm.secrets import scan_secrets, scan_text
+from spliceloom.llm.shingles import exact_sets, word_hashes
 from spliceloom.llm.suffix_dedup import suffix_dedup
 from spliceloom.llm.suffixes import suffix_array
 from spliceloom.llm.toxicity import maximal_segments, score_toxicity
@@ -286,8 +288,8 @@ def test_lm_scoring(docs, none, rows):
     assert score_texts(none).count() == 0
 
 
-@pytest.mark.parametrize(("n", "part"), [(4, 85), (5, 80), (2, 60)])
-def test_jaccard_join(docs, none, rows, n, part):
+@pytest.mark.parametrize(("n", "part", "class_bits", "most"), [(4, 85, 64, 1024), (5, 80, 3, 3), (2, 60, 64, 2)])
+def test_jaccard_join(docs, none, rows, n, part, class_bits, most):
     sets = {}
     for i, t, _ in rows:
         w = WORD.findall(lower(t))
@@ -303,7 +305,7 @@ def test_jaccard_join(docs, none, rows, n, part):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= part * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    got = jaccard_join(docs, n=n, part=part).collect()
+    got = jaccard_join(docs, n=n, part=part, class_bits=class_bits, most=most).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
@@ -323,6 +325,37 @@ def test_jaccard_join_links_through_documents_without_id(spark):
     assert got == Counter([(5, 5), (None, 5), (None, 5), (9, 5), (None, None), (None, None), (7, 7), (20, 20), (None, 20)])
 
 
+def awkward_words():
+    """Two words of 1,024 letters, unequal in every place, whose sums of letters times powers of any odd base agree modulo 2**64."""
+    sign = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join("ab"[s] for s in sign), "".join("ba"[s] for s in sign)
+
+
+def test_words_of_equal_sums_stay_apart(spark):
+    one, two = awkward_words()
+    texts = pa.array([one, two, one + "x", "x" + one, "12345678", "123456781"])
+    assert len({h.tobytes() for h in word_hashes(texts)}) == len(texts)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    scored = {r.doc_id: r.base_score for r in score_texts(docs).collect()}
+    assert scored[1] == scored[3] > scored[2]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7])
+def test_exact_sets(n):
+    rng = random.Random(n)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"ab", b"\xc3\xa9", b"q%d" % rng.randrange(400)]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        m = min(n, len(w))
+        sets.append({tuple(w[k : k + m]) for k in range(len(w) - m + 1)} if w else set())
+    found = exact_sets(texts, n)
+    for a, x in zip(sets, found):
+        for b, y in zip(sets, found):
+            assert len(a & b) == len(np.intersect1d(x, y))
+
+
 def test_segment_keys_find_every_pair_that_links():
     rng = np.random.default_rng(4)
     rule = Rule(85, 100)
