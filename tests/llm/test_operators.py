@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spliceloom.llm.embedding_dedup import collision_rule, embedding_dedup
 from spliceloom.llm.exact_dedup import exact_dedup, split_directory
@@ -86,14 +87,49 @@ def test_exact_dedup(docs, none, rows):
     assert exact_dedup(none).count() == 0
 
 
-def test_directory_splits_until_buckets_fit(spark):
-    keys = spark.range(2000).selectExpr("xxhash64(id) as key")
-    found = split_directory(keys, 100).collect()
+@pytest.mark.parametrize("spread", [False, True])
+def test_directory_splits_until_buckets_fit(spark, spread):
+    # Keys that agree in their leading 20 bits need a directory deeper than one count of bits.
+    key = F.xxhash64("id") if spread else F.shiftrightunsigned(F.xxhash64("id"), 20)
+    keys = spark.range(400).select(key.alias("key"))
+    found, depth = split_directory(keys, 20 if spread else 50)
+    slots = {r.slot: (r.depth, r.bucket) for r in found.collect()}
+    assert len(slots) == found.count() and max(d for d, _ in slots.values()) == depth
     held = Counter()
-    depth = {(r.slot): (r.depth, r.bucket) for r in found}
     for r in keys.collect():
-        held[depth[(r.key & (2**64 - 1)) >> 48]] += 1
-    assert max(held.values()) <= 100 and sum(held.values()) == 2000
+        bits = r.key & (2**64 - 1)
+        d, bucket = slots[bits >> (64 - depth)]
+        assert bits >> (64 - d) == bucket
+        held[d, bucket] += 1
+    assert max(held.values()) <= (20 if spread else 50) and sum(held.values()) == 400
+    # A bucket is split only if it was overfull.
+    for d, bucket in held:
+        if d:
+            assert sum(n for (e, b), n in held.items() if e >= d - 1 and b >> (e - d + 1) == bucket >> 1) > (20 if spread else 50)
+
+
+def test_exact_dedup_goes_through_the_directory(docs, monkeypatch):
+    """Without some of its slots, rows that they lead to are not found; a chain holds what shares a key."""
+    whole = {r.doc_id: (r.bucket_depth, r.bucket) for r in exact_dedup(docs, capacity=4).collect()}
+    assert len(set(whole.values())) > 5
+
+    def half(keys, capacity):
+        directory, depth = split_directory(keys, capacity)
+        return directory.where("bucket % 2 = 0"), depth
+
+    monkeypatch.setattr("spliceloom.llm.exact_dedup.split_directory", half)
+    assert {r.doc_id for r in exact_dedup(docs, capacity=4).collect()} == {i for i, (_, b) in whole.items() if b % 2 == 0}
+
+
+def test_exact_dedup_chains_texts_of_one_key(docs, rows, monkeypatch):
+    """With one key for all texts, links of its chain tell them apart; with one hash for all, the texts do."""
+    want = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(docs).collect())
+    monkeypatch.setattr("spliceloom.llm.exact_dedup.F.xxhash64", lambda *c: F.lit(7).cast("long"))
+    chained = exact_dedup(docs, capacity=4).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in chained) == want
+    assert len({r.chain_link for r in chained}) > 40
+    monkeypatch.setattr("spliceloom.llm.exact_dedup.F.sha2", lambda c, n: F.lit("00"))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(docs).collect()) == want
 
 
 def test_mixing(docs, none, rows):
