@@ -5,9 +5,12 @@ into blocks of equally many words. The schedule has as many slots as all
 sources need together; slot n has the golden-ratio point n/phi mod 1, which
 falls into one source's part of the cumulative weights. Slots are ranked per
 source, and rank r takes block r mod (number of blocks), so a source is read
-again only after all of it was read. The few slots that a source gets beyond its
-need (the discrepancy, a logarithm of the number of slots) go to the sources
-that are as many slots short.
+again only after all of it was read. What is taken is what the slots take: a
+slot beyond its source's need takes nothing, and a source that got too few stays
+short by these. The golden ratio's points are so even that this is a logarithm of
+the number of slots; random points would miss by its square root.
+
+Blocks grow with the input, so that there are about ``SLOTS`` slots at any size.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import materialize, word_count
 # Fixed value: 2**32 divided by the golden ratio, an odd number.
 GOLDEN = 2_654_435_769
 SPAN = 1 << 32
+#: Slots of a schedule, about: bounds the schedule's tables and a target's relative error.
+SLOTS = 1 << 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
@@ -61,7 +66,7 @@ def _plan(targets: DataFrame, block: int) -> DataFrame:
 
 
 def schedule(spark: SparkSession, plan: DataFrame, chunk: int = 4096, bins: int = 12) -> DataFrame:
-    """Slots of the mix in order: (slot, sid, rank); each source has as many as its plan says."""
+    """Slots of the mix in order: (slot, sid, rank); each source has about as many as its plan says."""
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)).cast("long")).first()[0]
     n = F.col("id")
     high, low = F.shiftright(n, 16).bitwiseAND(F.lit(0xFFFF)), n.bitwiseAND(F.lit(0xFFFF))
@@ -76,16 +81,8 @@ def schedule(spark: SparkSession, plan: DataFrame, chunk: int = 4096, bins: int
     counts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("sid", "chunk").orderBy("slot")
     ranked = owned.withColumn("k", F.row_number().over(within)).join(counts, ["sid", "chunk"])
-    ranked = ranked.select("slot", "sid", (F.col("base") + F.col("k") - 1).alias("rank")).join(plan.select("sid", "slots"), "sid")
-    ranked = materialize(ranked, "mix-slots")
-
-    got = ranked.groupBy("sid").agg(F.count("*").alias("got"))
-    short = plan.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
-    missing = short.select("sid", F.explode(F.expr("sequence(got, slots - 1)")).alias("rank"))
-    # Surplus and shortage are a logarithm of the number of slots per source.
-    missing = missing.withColumn("turn", F.row_number().over(Window.orderBy("rank", "sid")))
-    surplus = ranked.where("rank >= slots").select("slot").withColumn("turn", F.row_number().over(Window.orderBy("slot")))
-    return ranked.where("rank < slots").select("slot", "sid", "rank").unionByName(surplus.join(missing, "turn").select("slot", "sid", "rank"))
+    ranked = ranked.select("slot", "sid", (F.col("base") + F.col("k") - 1).alias("rank"))
+    return materialize(ranked.select("slot", "sid", "rank"), "mix-slots")
 
 
 def place_documents(sized: DataFrame, buckets: int = 4096, seed: int = 17) -> DataFrame:
@@ -110,12 +107,14 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3),
     max_repeats: int = 3,
-    block: int = 512,
+    block: int | None = None,
 ) -> DataFrame:
     """Words of each document that the mix takes, with its source's target.
 
     Returns one row per input row: the id column, size (words), source, source_size,
-    target, taken. Runs agree for equal rows. Null or empty texts have size 0 and
+    target, taken. ``block`` is the number of words of a block, of which
+    ``SLOTS`` or fewer cover all words if it is not given, 16 words at least.
+    Runs agree for equal rows. Null or empty texts have size 0 and
     are taken 0 times; a null source is a source of its own; a source without
     words has target 0. Repeated rows each have a place of their own. No rows give
     no rows. Other columns are not read, whatever their names.
@@ -126,13 +125,16 @@ def mix_sources(
     )
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     targets = materialize(targets.coalesce(1), "mix-targets")
-    plan = _plan(targets, block)
+    if block is None:
+        words = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+        block = max(16, -(-words // SLOTS))
+    plan = materialize(_plan(targets, block).coalesce(1), "mix-plan")
 
     slots = schedule(spark, plan).join(plan.select("sid", "source_size", "quota", "blocks"), "sid")
     slots = slots.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("pass", F.expr("rank div blocks"))
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     left = F.col("quota") - F.col("pass") * F.col("source_size") - F.col("block") * block
-    slots = slots.withColumn("length", length).withColumn("words", F.least(length, left))
+    slots = slots.withColumn("length", length).withColumn("words", F.greatest(F.lit(0), F.least(length, left)))
     takes = slots.groupBy("sid", "block").agg(
         F.count(F.when(F.col("words") == F.col("length"), 1)).alias("whole"),
         F.coalesce(F.sum(F.when(F.col("words") < F.col("length"), F.col("words"))), F.lit(0)).alias("part"),

@@ -43,12 +43,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: one row for each started pass over the document.
+    """Documents as often as the mix takes them: as many rows as come nearest to its words.
 
-    Documents of which the mix takes no word go; documents without words are in no mix and stay.
+    The mix goes through a source in order, so at most one document of a source is
+    taken in part. Documents of which the mix takes less than half of their words
+    go; documents without words are in no mix and stay.
     """
     taken = mix_sources(docs).groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
-    passes = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    passes = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     counted = taken.where("doc_id IS NOT NULL").select("doc_id", passes.alias("passes")).where("passes <> 1")
     changed = docs.join(counted.where("passes > 1"), "doc_id").withColumn("copy", F.explode(F.expr("sequence(1, passes)")))
     return _without(docs, counted).unionByName(changed.select(*docs.columns))
