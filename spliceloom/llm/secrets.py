@@ -2,8 +2,8 @@
 
 Method. A lexer reads source and configuration syntax (``name = literal``,
 ``"name": "literal"``, ``name := a + "b"``, ...) into name-literal pairs. Names
-that stand for constants are replaced by the literals they were given earlier in
-the text. A literal is reported if the name it reaches is sensitive and the
+that stand for constants are replaced by the literals they were given last before
+in the text, or else first after. A literal is reported if the name it reaches is sensitive and the
 literal looks like a secret, at the place where it is written.
 """
 
@@ -73,13 +73,14 @@ def name_weight(name: str) -> float:
 
 
 class Value:
-    """What an assignment gives its name: literals written in it, and earlier values by reference, in order."""
+    """What an assignment gives its name: literals written in it, and other values by reference, in order."""
 
-    __slots__ = ("parts", "_counts")
+    __slots__ = ("parts", "_counts", "_done")
 
     def __init__(self, parts: list[Literal | Value]) -> None:
         self.parts = parts
         self._counts: Counter | None = None
+        self._done = False
 
     def counts(self) -> Counter:
         """How often each character occurs, repeated parts counted as often as they are joined; each value once."""
@@ -87,13 +88,14 @@ class Value:
         while stack:
             value = stack[-1]
             if value._counts is None:
-                if ahead := [p for p in value.parts if isinstance(p, Value) and p._counts is None]:
-                    stack += ahead
-                    continue
-                value._counts = Counter()
+                value._counts = Counter()  # a value that refers to itself through others adds nothing there
+                stack += [p for p in value.parts if isinstance(p, Value) and p._counts is None]
+                continue
+            stack.pop()
+            if not value._done:
+                value._done = True
                 for p in value.parts:
                     value._counts.update(p._counts if isinstance(p, Value) else p[2])
-            stack.pop()
         return self._counts
 
     def literals(self) -> list[Literal]:
@@ -131,21 +133,31 @@ def may_name_secrets(text: str) -> bool:
 def lexed_secrets(text: str, least: float = 0.6) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name; each place once."""
     known: dict[str, Value] = {}
-    found: dict[tuple[int, int], None] = {}
+    first: dict[str, Value] = {}
+    ahead: list[tuple[Value, int, str]] = []  # names that have no literal yet
+    sensitive: list[tuple[float, Value]] = []
     for pair in PAIR.finditer(text):
         name, at = pair[1], pair.start(2)
-        parts: list[Literal | Value] = []
+        value = Value([])
         for term in TERMS.finditer(pair[2]):
             word = term[0]
             if word[0] in "\"'" and len(word) > 1:
-                parts.append((at + term.start() + 1, at + term.end() - 1, word[1:-1]))
+                value.parts.append((at + term.start() + 1, at + term.end() - 1, word[1:-1]))
             elif word in known:
-                parts.append(known[word])
+                value.parts.append(known[word])
             else:
-                parts.append((at + term.start(), at + term.end(), word))
-        value = known[name] = Value(parts)
-        weight = name_weight(name)
-        if weight and weight * literal_weight(value.counts()) >= least:
+                ahead.append((value, len(value.parts), word))
+                value.parts.append((at + term.start(), at + term.end(), word))
+        known[name] = value
+        first.setdefault(name, value)
+        if weight := name_weight(name):
+            sensitive.append((weight, value))
+    for value, k, word in ahead:
+        if first.get(word, value) is not value:
+            value.parts[k] = first[word]
+    found: dict[tuple[int, int], None] = {}
+    for weight, value in sensitive:
+        if weight * literal_weight(value.counts()) >= least:
             literals = value.literals()
             if not PLACEHOLDER.search("".join(v for _, _, v in literals)):
                 found |= dict.fromkeys((s, e) for s, e, v in literals if v)

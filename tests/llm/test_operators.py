@@ -257,6 +257,86 @@ def test_secrets_of_many_pieces():
     assert lexed("password = " + " + ".join(f'"{p}"' for p in pieces[:16]) + ' + " is long"') == []
 
 
+def test_constants_may_follow_their_use():
+    def lexed(text):
+        return [text[s:e] for s, k, e in scan_text(text)[1] if k == 3]
+
+    assert lexed('password = k\nk = "Zk83hQpL20vvT"') == ["Zk83hQpL20vvT"]
+    assert lexed('k = "Zk83hQpL20vvT"\npassword = k\nk = "Yk94hQpM31wwU"') == ["Zk83hQpL20vvT"]
+    assert lexed('password = a + b\na = c\nb = "hQpL20vvT"\nc = "Zk83x"') == ["hQpL20vvT", "Zk83x"]
+    assert lexed('password = a\na = b\nb = a + "Zk83hQpL20vvT"') == ["Zk83hQpL20vvT"]
+    assert lexed("password = password") == lexed("password = a\na = b\nb = password") == []
+
+
+def plain_scan(text):
+    """The base patterns, matched step by step."""
+    spans = []
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    k = 0
+    while k < len(text):
+        name = next((w for w in names if low.startswith(w, k)), None)
+        ends = []
+        if name:
+            for quote in (1, 0):
+                j = k + len(name)
+                if quote and text[j : j + 1] not in ('"', "'"):
+                    continue
+                j += quote
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+                m = j
+                while m < len(text) and text[m] in value:
+                    m += 1
+                if m > j:
+                    ends.append((m, m - j))
+                    break
+        if ends:
+            if ends[0][1] >= 12:
+                spans.append((k, 0, ends[0][0]))
+            k = ends[0][0]
+        else:
+            k += 1
+    for kind, start, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+        k = 0
+        while k < len(text):
+            m = k + len(start)
+            if text.startswith(start, k):
+                while m < len(text) and text[m] in allowed:
+                    m += 1
+            if text.startswith(start, k) and m > k + len(start):
+                if m - k >= least:
+                    spans.append((k, kind, m))
+                k = m
+            else:
+                k += 1
+    return sorted(spans)
+
+
+def test_secret_scan_against_brute_force(spark):
+    rng = random.Random(7)
+    pieces = ["password", "PassWd", "secret", "toKen", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH", "0123456789abcdef", "x9+/_.-", "\n", "é", "K", "ſecret", "deadbeef"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    rows = [(k, t, t) for k, t in enumerate(texts)] + [(1, texts[1], "y"), (9000, None, None), (None, 'token = "abcdefghijkl"', "x"), (9001, "x " * 200_000 + "secret=abcdefghijklm", "x")]
+    found = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    assert len(found) == len(rows)
+    by_id = {r.doc_id: r for r in found}
+    for i, t, _ in rows:
+        base = plain_scan(t or "")
+        r = by_id[i]
+        assert r.base_spans == ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in base), t
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert not r.base_spans or set(r.base_spans.split(",")) <= set(r.spans.split(","))
+    assert sum(r.n_assign for r in found) > 100 and sum(r.n_hex for r in found) > 100
+
+
 def test_maximal_segments():
     assert maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4), (2, 3, 3), (4, 11, 7)]
     rng = random.Random(1)
