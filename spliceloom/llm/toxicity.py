@@ -8,7 +8,8 @@ scoring segments of a text. By extreme-value theory the best segment of n
 random tokens follows a Gumbel law: with lambda from the clean score
 distribution and K from clean texts, lambda*S - ln(K*n) is a segment's evidence
 in nats. The evidence of all significant segments is added up, and a logistic
-curve over it gives the score.
+curve over the logarithm of that sum gives the score, so that more evidence always
+means a higher one.
 """
 
 from __future__ import annotations
@@ -28,13 +29,11 @@ from .common import fold, materialize
 TOKEN = re.compile(r"\w+")
 PREFIXES = (5, 4)
 EULER = 0.5772156649015329
-#: Evidence in nats beyond which more does not raise the score.
-LIMIT = 60.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """At most ``max_units`` unit scores, and the calibration."""
+    """Unit scores, as many as the bounded sample of labelled texts has reliable units, and the calibration."""
 
     scores: dict[str, float]
     rest: float
@@ -98,7 +97,8 @@ def evidence(text: str, model: Model, least: float = 0.0) -> tuple[float, list[t
 
 
 def probability(x: float, model: Model) -> float:
-    return 1 / (1 + math.exp(-max(-40.0, min(40.0, model.intercept + model.slope * x))))
+    """Score of a text with evidence ``x``."""
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.intercept + model.slope * math.log1p(x)))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, folds: int) -> DataFrame:
@@ -128,8 +128,8 @@ def unit_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, totals: tuple[int, int], prior: float, z_least: float, least_count: int, max_units: int) -> dict[str, float]:
-    """Log-odds ratios of the ``max_units`` units with the largest z.
+def log_odds(counts: DataFrame, totals: tuple[int, int], prior: float, z_least: float, least_count: int) -> dict[str, float]:
+    """Log-odds ratios of the units whose z is ``z_least`` or more either way.
 
     ``totals`` are the numbers of toxic and clean texts. Counts of a class are
     smoothed by ``prior`` pseudo-texts in which a unit is as frequent as in all
@@ -142,8 +142,8 @@ def log_odds(counts: DataFrame, totals: tuple[int, int], prior: float, z_least:
     delta = F.log(a / (toxic + prior + 1 - a)) - F.log(b / (clean + prior + 1 - b))
     scored = counts.where(F.col("toxic") + F.col("clean") >= least_count).withColumn("delta", delta)
     scored = scored.withColumn("z", F.col("delta") / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= z_least)
-    top = scored.orderBy(F.abs("z").desc(), "unit").limit(max_units).collect()
-    return {r.unit: r.delta for r in top}
+    # The bounded sample of labelled texts bounds them.
+    return {r.unit: r.delta for r in scored.select("unit", "delta").collect()}
 
 
 def solve_lambda(spread: list[tuple[float, float]]) -> float:
@@ -188,18 +188,17 @@ def fit(
     prior: float = 10.0,
     z_least: float = 3.0,
     least_count: int = 4,
-    max_units: int = 20_000,
     drift: float = 0.2,
     clip: float = 6.0,
 ) -> Model:
     """Learn the model from (text, toxic) rows."""
     sizes = {bool(r.toxic): r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    odds = log_odds(unit_counts(train), (sizes.get(True, 0), sizes.get(False, 0)), prior, z_least, least_count, max_units)
+    odds = log_odds(unit_counts(train), (sizes.get(True, 0), sizes.get(False, 0)), prior, z_least, least_count)
     scores = {u: max(-clip, min(clip, d)) - drift for u, d in odds.items()}
     context = train.sparkSession.sparkContext
 
-    def histogram(model: Model, measure) -> list:
-        """Counts of a measure's values in quarters, by class: a few hundred rows, however many texts there are."""
+    def histogram(model: Model, measure, parts: int = 4) -> list:
+        """Counts of a measure's values in steps of 1/parts, by class: a few hundred rows, however many texts there are."""
         shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +207,7 @@ def fit(
                 for text, toxic in zip(batch.column(0), batch.column(1)):
                     side = bool(toxic.as_py())
                     for x, n in measure(text.as_py(), shared.value):
-                        bins[round(x * 4), side] += n
+                        bins[round(x * parts), side] += n
                 keys = list(bins)
                 columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([bins[k] for k in keys], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["x", "toxic", "n"])
@@ -223,18 +222,18 @@ def fit(
         return [(max(-25.0, m.lam * best - math.log(n)), 1)]
 
     def total_measure(text: str, m: Model) -> list[tuple[float, int]]:
-        return [(min(LIMIT, evidence(text, m)[0]), 1)]
+        return [(math.log1p(evidence(text, m)[0]), 1)]
 
     model = Model(scores, -drift)
     spread = [(r.x / 4, r.n) for r in histogram(model, token_measure) if not r.toxic]
     tokens = max(1, sum(n for _, n in spread))
-    model = replace(model, lam=min(1.0, solve_lambda([(s, n / tokens) for s, n in spread])))
+    model = replace(model, lam=solve_lambda([(s, n / tokens) for s, n in spread]))
     clean = [(r.x / 4, r.n) for r in histogram(model, best_measure) if not r.toxic]
     mean = sum(x * n for x, n in clean) / max(1, sum(n for _, n in clean))
     model = replace(model, k=math.exp(mean - EULER))
     points: dict[float, list[int]] = {}
-    for r in histogram(model, total_measure):
-        points.setdefault(r.x / 4, [0, 0])[r.toxic] += r.n
+    for r in histogram(model, total_measure, 32):
+        points.setdefault(r.x / 32, [0, 0])[r.toxic] += r.n
     intercept, slope = fit_logistic([(x, c, t) for x, (c, t) in sorted(points.items())])
     return replace(model, intercept=intercept, slope=slope)
 
@@ -271,7 +270,7 @@ def score_toxicity(
             scores, passages = [], []
             for text in batch.column(1):
                 x, strong, _, _ = evidence(text.as_py(), m)
-                scores.append(probability(min(x, LIMIT), m))
+                scores.append(probability(x, m))
                 passages.append([{"start": a, "end": b, "evidence": e} for a, b, e in strong])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, passage)], ["id", "score", "passages"])
 
