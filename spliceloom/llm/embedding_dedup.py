@@ -7,12 +7,15 @@ query vector and projection, the window of values around it is a run of the
 sorted projection; a pair's collisions are counted over the projections, and
 pairs with enough of them are verified by cosine in double precision. The count
 is the largest that a pair at the threshold still reaches with the wanted recall.
+It is asked for twice: of the first ``FIRST`` projections, by which a few in a
+hundred pairs are left, and of all projections of those.
 
 Plan. Only equal labels are compared. Two leading projections cut each label's
 vectors into cells so wide that vectors above the threshold lie in the same or
 neighbouring cells but for a chance below the recall's; large cells are cut into
 blocks. A task compares two blocks and sends back each vector's number of links
-and a spanning forest, never the pairs.
+and a spanning forest, never the pairs. Equal vectors of one label are one class,
+grouped by the vectors themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from .common import materialize
 from .graph import Forest, components, runs
 
 BLOCK = 512
+FIRST = 8
+#: At most so many classes can have more than 1/HOT of the rows.
+HOT = 5_000
 
 
 def directions(dim: int, count: int) -> np.ndarray:
@@ -69,15 +75,30 @@ def _read(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_buffer() for v in data), dtype=np.float64).reshape(len(data), -1)
 
 
+def passing(queries: np.ndarray, values: np.ndarray, half: float, rules: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with enough collisions: ``rules`` has numbers of leading projections and the collisions they ask for, in order."""
+    done, least = rules[0]
+    counts = collisions(queries[:, :done], values[:, :done], half)
+    i, j = np.nonzero(counts >= least)
+    held = counts[i, j].astype(np.int64)
+    for count, least in rules[1:]:
+        held += (np.abs(queries[i, done:count] - values[j, done:count]) <= half).sum(axis=1)
+        enough = held >= least
+        i, j, held, done = i[enough], j[enough], held[enough], count
+    return i, j
+
+
 def placed(classes: DataFrame, width: float) -> DataFrame:
     """Classes with their cell on two leading projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = np.zeros((len(batch), 2), dtype=np.int64)
-            vectors = [np.array(v.as_py(), dtype=np.float64) for v in batch.column("vector")]
-            for i, v in enumerate(vectors):
-                cells[i] = np.floor(unit(v[None]) @ directions(len(v), 2) / width)[0]
+            vectors = [v.values.to_numpy(zero_copy_only=False) for v in batch.column("vector")]
+            lengths = np.array([len(v) for v in vectors])
+            for n in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == n)
+                cells[at] = np.floor(unit(np.stack([vectors[i] for i in at])) @ directions(n, 2) / width)
             arrays = [batch.column(k) for k in range(3)] + [pa.array([v.tobytes() for v in vectors], pa.binary()), *map(pa.array, cells.T)]
             yield pa.RecordBatch.from_arrays(arrays, ["class", "space", "copies", "data", "x", "y"])
 
@@ -102,17 +123,17 @@ def tiled(cells: DataFrame) -> DataFrame:
     return rows.join(first.unionByName(second), [*cell, "part"]).select("tile", "side", "class", "copies", "data")
 
 
-def compared(members: DataFrame, cosine: float, count: int, half: float, least: int) -> DataFrame:
+def compared(members: DataFrame, cosine: float, half: float, rules: list[tuple[int, int]]) -> DataFrame:
     """Rows (a, b, links): number of vectors that class a links with in a tile (b null), and forest links."""
 
     def compare(group: pa.RecordBatch) -> tuple[list, list, list]:
         side = group.column("side").to_numpy()
         ids, copies = group.column("class").to_numpy(), group.column("copies").to_numpy()
         vectors = unit(_read(group, "data"))
-        values = vectors @ directions(vectors.shape[1], count)
+        values = vectors @ directions(vectors.shape[1], rules[-1][0])
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if side.any() else one
-        i, j = np.nonzero(collisions(values[one], values[two], half) >= least)
+        i, j = passing(values[one], values[two], half, rules)
         i, j = one[i], two[j]
         if two is one:
             i, j = i[i < j], j[i < j]
@@ -162,22 +183,31 @@ def embedding_dedup(
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0)
     space = F.when(F.coalesce(usable, F.lit(False)), F.concat_ws(":", F.size("vector").cast("string"), "label"))
-    rows = rows.select("id", space.alias("space"), F.when(space.isNotNull(), F.xxhash64("label", "vector")).alias("class"), "vector")
-    classes = rows.where("space IS NOT NULL").groupBy("class", "space").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("vector").alias("vector"))
-    classes = materialize(classes, "embedding-classes")
-
-    half, least = collision_rule(cosine, projections, window, recall)
+    rows = rows.select("id", space.alias("space"), "vector")
+    classes = rows.where("space IS NOT NULL").groupBy("space", "vector").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "embedding-classes")
+
+    # Half of what recall may lose goes to each of the two counts.
+    share = 1 - (1 - recall) / 2
+    counts = sorted({min(FIRST, projections), projections})
+    half = collision_rule(cosine, projections, window, share)[0]
+    rules = [(n, collision_rule(cosine, n, window, share)[1]) for n in counts]
     width = 5.5 * math.sqrt(2 - 2 * cosine)
     cells = materialize(placed(classes, width), "embedding-cells")
-    found = materialize(compared(tiled(cells), cosine, projections, half, least), "embedding-links")
+    found = materialize(compared(tiled(cells), cosine, half, rules), "embedding-links")
     direct = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "class")
 
     full = classes.select("class", "copies", "id").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     full = materialize(full.join(direct, "class", "left"), "embedding-components")
     smallest = full.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = full.join(smallest, "component").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("id", "class").join(by_class, "class", "left")
+    by_class = full.join(smallest, "component").select("class", "component_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    by_vector = classes.select("space", "vector", "class").join(by_class, "class").drop("class")
+    # Vectors with very many copies are not shuffled to.
+    large = F.col("copies") > max(1000, rows.count() // HOT)
+    hot = F.broadcast(by_vector.where(large))
+    rest = rows.join(hot.select("space", "vector"), ["space", "vector"], "left_anti")
+    out = rows.join(hot, ["space", "vector"]).unionByName(rest.join(by_vector.where(~large), ["space", "vector"], "left"))
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.llm.embedding_dedup import collision_rule, embedding_dedup
+from spliceloom.llm.embedding_dedup import collision_rule, directions, embedding_dedup, passing, unit
 from spliceloom.llm.exact_dedup import exact_dedup, split_directory
 from spliceloom.llm.graph import components
 from spliceloom.llm.lm_scoring import score_texts
@@ -547,6 +547,30 @@ def test_embedding_dedup(spark):
     assert collision_rule(0.98, 32, 2.0, 0.9999)[1] < 32
 
 
+def test_collision_counts_leave_few_pairs_and_every_link():
+    """Of spread vectors under 5 % of the pairs get the full count and nearly none the cosine; pairs at the threshold stay."""
+    rng = np.random.default_rng(3)
+    spread = unit(rng.standard_normal((1500, 64)))
+    step = rng.standard_normal(spread.shape)
+    step -= (step * spread).sum(axis=1, keepdims=True) * spread
+    near = 0.98 * spread + math.sqrt(1 - 0.98**2) * step / np.linalg.norm(step, axis=1, keepdims=True)
+    share = 0.99995
+    half = collision_rule(0.98, 32, 2.0, share)[0]
+    rules = [(n, collision_rule(0.98, n, 2.0, share)[1]) for n in (8, 32)]
+    a, b = (v @ directions(64, 32) for v in (spread, near))
+    pairs = 1500 * 1500
+    assert len(passing(a, b, half, rules[:1])[0]) < 0.08 * pairs
+    i, j = passing(a, b, half, rules)
+    assert (i == j).sum() >= 1499 and len(i) < 1500 + pairs // 1000
+
+
+def test_embeddings_without_id_and_of_other_lengths(spark):
+    near = [1.0, 0.1, 0.0]
+    data = [(None, near, 1), (4, [1.0, 0.0, 0.0], 1), (None, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (9, near, 1), (7, near, 2)]
+    got = Counter(embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == Counter({(None, 0, None, True): 2, (2, 0, 2, True): 1, (4, 1, 4, True): 1, (9, 1, 4, False): 1, (7, 0, 7, True): 1})
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(300)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(150)]
