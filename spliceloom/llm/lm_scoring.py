@@ -5,12 +5,13 @@ how often the context was seen (buckets by powers of two) and are learned by
 expectation-maximisation on counts from which the token itself is deleted, so
 every training token serves as held-out data once.
 
-Plan. Texts are packed into blocks, one row each. A block sends the hashes of its
-distinct words and bigrams with their training counts to buckets by leading
-bits; a bucket adds up the counts of all blocks and answers each block with the
-totals alone, in the order in which the block asked. So hot words are summed
-before any shuffle, and no vocabulary is ever gathered in one place. Words and
-bigrams are told apart by 64-bit hashes.
+Plan. Texts are packed into blocks, one row each. A block sends each of its
+distinct words once, with its training count; these are summed and numbered by a
+grouping over the words themselves, and each block gets the numbers and totals of
+its own words back. Bigrams are pairs of word numbers: a block sends its distinct
+ones, sorted and packed, to buckets of their hash, and gets their totals back in
+the order in which it asked. So hot words are summed before any shuffle, no
+vocabulary is gathered in one place, and no hash stands for a word or bigram.
 """
 
 from __future__ import annotations
@@ -23,111 +24,156 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_texts, bucket_bits, pack_blocks, planes, unplanes
-from .blocks import cuts as cuts_of
 from .common import fold, materialize
-from .shingles import mix, word_hashes
+from .shingles import mix, plain_words
 
-END = np.uint64(0x5851F42D4C957F2D)
-BEGIN = np.uint64(0x14057B7EF767814F)
-LEVELS = 20
-STEP = 2.0  # cells per factor of two in the statistics of EM
-WORDS, PAIRS = 0, 1
+LEVELS = 48
+STEP = 8.0  # cells per factor of two in the statistics of EM
+#: Number of a text's begin, as a context, and of its end, as a token.
+EDGE = 0
+_A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-class Block:
-    """Tokens of a block's texts: distinct words and bigrams, and each token's place among them."""
-
-    def __init__(self, train: list[bool], texts: bytes) -> None:
-        words = list(word_hashes(block_texts(texts)))
-        self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        ends = np.cumsum(self.lengths)
-        tokens = np.full(int(ends[-1]), END, dtype=np.uint64)
-        inner = np.ones(len(tokens), dtype=bool)
-        inner[ends - 1] = False
-        tokens[inner] = np.concatenate(words)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[ends - self.lengths] = BEGIN
-        pairs = mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
-        self.starts = ends - self.lengths
-        self.train = np.repeat(np.array(train, dtype=bool), self.lengths)
-        self.grams: list[np.ndarray] = []
-        self.places: list[np.ndarray] = []
-        for values in (tokens, pairs):
-            distinct, place = np.unique(values, return_inverse=True)
-            self.grams.append(distinct)
-            self.places.append(place)
-
-    def training_counts(self, kind: int) -> np.ndarray:
-        return np.bincount(self.places[kind][self.train], minlength=len(self.grams[kind])).astype(np.uint32)
-
-
-def send_counts(blocks: DataFrame, bits: int) -> DataFrame:
-    """(kind, bucket, block, hashes, counts) of every block."""
+def local_words(texts: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """A block's distinct words by first appearance, each token's place among them (-1 for an end), and tokens per text."""
+    place: dict[bytes, int] = {}
+    tokens: list[int] = []
+    lengths: list[int] = []
+    for text in block_texts(texts):
+        words = plain_words(text.as_py())
+        tokens.extend([place.setdefault(w, len(place)) for w in words])
+        tokens.append(-1)
+        lengths.append(len(words) + 1)
+    return place, np.array(tokens, dtype=np.int64), np.array(lengths, dtype=np.int64)
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(word, block, place, n): each word of each block with its training count."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = Block(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                for kind in (WORDS, PAIRS):
-                    grams, counts = block.grams[kind], block.training_counts(kind)
-                    cuts = cuts_of(grams, bits)
-                    full = np.flatnonzero(np.diff(cuts))
-                    steps = [np.diff(grams[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)) for b in full]
-                    n = len(full)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([kind] * n, pa.int32()),
-                            pa.array(full, pa.int32()),
-                            batch.column(0).slice(i, 1).take(pa.array([0] * n, pa.int32())),
-                            pa.array([planes(s) for s in steps], pa.binary()),
-                            pa.array([planes(counts[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
-                        ],
-                        ["kind", "bucket", "block", "hashes", "counts"],
-                    )
-
-    return blocks.select("block", "flags", "texts").mapInArrow(send, "kind int, bucket int, block long, hashes binary, counts binary")
-
-
-def answer_counts(sent: DataFrame) -> DataFrame:
-    """Totals of a bucket, returned to each block in its own order; block -1 has (sum, distinct) of all."""
+            for block, flags, texts in zip(*batch.columns):
+                place, tokens, lengths = local_words(texts.as_py())
+                train = np.repeat(np.array(flags.as_py(), dtype=bool), lengths) & (tokens >= 0)
+                counts = np.bincount(tokens[train], minlength=len(place))
+                words = list(place)
+                for a in range(0, len(words), 50_000):
+                    part = words[a : a + 50_000]
+                    arrays = [part, [block.as_py()] * len(part), range(a, a + len(part)), counts[a : a + len(part)]]
+                    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, kinds)], ["word", "block", "place", "n"])
+
+    return blocks.select("block", "flags", "texts").mapInArrow(send, "word binary, block long, place int, n long")
+
+
+def number_words(words: DataFrame) -> DataFrame:
+    """(word, total, number): training counts summed; numbers from 1, with few gaps."""
+    totals = words.groupBy("word").agg(F.sum("n").alias("total"))
+    totals = materialize(totals.withColumn("at", F.monotonically_increasing_id()), "lm-words")
+    parts = totals.agg(F.coalesce(F.max(F.shiftright("at", 33)), F.lit(0)) + 1).first()[0]
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return totals.select("word", "total", (within * parts + F.shiftright("at", 33) + 1).alias("number"))
+
+
+def answer_words(words: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(block, numbers, totals) of each block's words, by place."""
+
+    def collect(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        columns = [[planes(table[c].to_numpy())] for c in ("number", "total")]
+        return pa.table([table["block"].slice(0, 1), *(pa.array(c, pa.binary()) for c in columns)], ["block", "numbers", "totals"])
+
+    found = words.select("word", "block", "place").join(numbered, "word").select("block", "place", "number", "total")
+    return found.groupBy("block").applyInArrow(collect, "block long, numbers binary, totals binary")
+
+
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the place of each pair among them."""
+    if len(first) and max(first.max(), second.max()) >= 1 << 32:
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        place = np.empty(len(a), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        return a[new], b[new], place
+    both, place = np.unique(first << np.uint64(32) | second, return_inverse=True)
+    return both >> np.uint64(32), both & np.uint64((1 << 32) - 1), place
 
-    def answer(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        asked = [np.cumsum(unplanes(h.as_py(), "<u8"), dtype=np.uint64) for h in table["hashes"]]
-        grams, place = np.unique(np.concatenate(asked), return_inverse=True)
-        local = np.concatenate([unplanes(c.as_py(), "<u4") for c in table["counts"]])
-        totals = np.bincount(place, weights=local, minlength=len(grams)).astype(np.uint64)
-        summary = np.array([totals.sum(), np.count_nonzero(totals)], dtype=np.uint64)
-        answers = np.split(totals[place], np.cumsum([len(a) for a in asked])[:-1])
-        n = len(asked) + 1
-        return pa.table(
-            {
-                "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
-                "kind": pa.array([kind] * n, pa.int32()),
-                "bucket": pa.array([bucket] * n, pa.int32()),
-                "totals": pa.array([*map(planes, answers), planes(summary)], pa.binary()),
-            }
-        )
 
-    return sent.groupBy("kind", "bucket").applyInArrow(answer, "block long, kind int, bucket int, totals binary")
+class Block:
+    """Tokens of a block with the training totals of their words and of their contexts, and its distinct bigrams."""
+
+    def __init__(self, flags: list[bool], texts: bytes, numbers: bytes | None, totals: bytes | None, n_docs: int, bits: int) -> None:
+        _, tokens, self.lengths = local_words(texts)
+        number, total = (np.append(unplanes(x or b"", "<i8"), y) for x, y in ((numbers, EDGE), (totals, n_docs)))
+        self.train = np.repeat(np.array(flags, dtype=bool), self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.word = total[tokens].astype(np.float64)
+        second = number[tokens].astype(np.uint64)
+        first = np.roll(second, 1)
+        first[self.starts] = EDGE
+        self.context = np.roll(self.word, 1)
+        self.context[self.starts] = n_docs
+        # Bigrams with a word that training texts don't hold are not there either.
+        self.known = np.flatnonzero((self.word > 0) & (self.context > 0))
+        a, b, place = distinct_pairs(first[self.known], second[self.known])
+        bucket = (mix(a * _A + mix(b ^ _B)) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        moved = np.empty(len(order), dtype=np.int64)
+        moved[order] = np.arange(len(order))
+        self.first, self.second, self.place = a[order], b[order], moved[place]
+        self.cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+
+    def pair_totals(self, answers: pa.Table) -> np.ndarray:
+        """Total of each token's bigram, from the buckets' answers."""
+        sizes = np.diff(self.cuts)
+        answers = answers.sort_by("bucket")
+        parts = [unplanes(t.as_py(), f"<u{len(t.as_py()) // int(sizes[b.as_py()])}") for b, t in zip(answers["bucket"], answers["totals"])]
+        totals = np.concatenate([np.zeros(0), *parts])
+        assert len(totals) == len(self.first)
+        out = np.zeros(len(self.word))
+        out[self.known] = totals[self.place]
+        return out
+
+
+def send_pairs(blocks: DataFrame, n_docs: int, bits: int) -> DataFrame:
+    """(bucket, block, firsts, seconds, counts): a block's distinct bigrams and their training counts."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *rest in zip(*batch.columns):
+                b = Block(*(x.as_py() for x in rest), n_docs, bits)
+                counts = np.bincount(b.place[b.train[b.known]], minlength=len(b.first)).astype(np.uint32)
+                full = np.flatnonzero(np.diff(b.cuts)).tolist()
+                spans = [slice(b.cuts[k], b.cuts[k + 1]) for k in full]
+                columns = [
+                    pa.array(full, pa.int32()),
+                    pa.array([block.as_py()] * len(full), pa.int64()),
+                    pa.array([planes(np.diff(b.first[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
+                    pa.array([planes(b.second[s]) for s in spans], pa.binary()),
+                    pa.array([planes(counts[s]) for s in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "firsts", "seconds", "counts"])
+
+    fields = ["block", "flags", "texts", "numbers", "totals"]
+    return blocks.select(*fields).mapInArrow(send, "bucket int, block long, firsts binary, seconds binary, counts binary")
+
+
+def answer_pairs(sent: DataFrame) -> DataFrame:
+    """(block, bucket, totals): totals of a bucket's bigrams, returned to each block in its own order."""
 
-class Counted:
-    """A block's tokens with totals over all training texts."""
+    def answer(table: pa.Table) -> pa.Table:
+        firsts = [np.cumsum(unplanes(x.as_py(), "<u8"), dtype=np.uint64) for x in table["firsts"]]
+        seconds = np.concatenate([unplanes(x.as_py(), "<u8") for x in table["seconds"]])
+        a, _, place = distinct_pairs(np.concatenate(firsts), seconds)
+        counts = np.concatenate([unplanes(x.as_py(), "<u4") for x in table["counts"]])
+        totals = np.bincount(place, weights=counts, minlength=len(a))
+        answers = np.split(totals[place], np.cumsum([len(x) for x in firsts])[:-1])
+        packed = [planes(x.astype(np.uint8 if x.max() < 256 else np.uint32 if x.max() < 1 << 32 else np.uint64)) for x in answers]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array(packed, pa.binary())})
 
-    def __init__(self, left: pa.Table, right: pa.Table) -> None:
-        self.block = Block(left["flags"][0].as_py(), left["texts"][0].as_py())
-        right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        totals: list[list[np.ndarray]] = [[], []]
-        for kind, data in zip(right["kind"].to_pylist(), right["totals"]):
-            totals[kind].append(unplanes(data.as_py(), "<u8"))
-        words, pairs = (np.concatenate(t).astype(np.float64) for t in totals)
-        assert len(words) == len(self.block.grams[WORDS]) and len(pairs) == len(self.block.grams[PAIRS])
-        self.word = words[self.block.places[WORDS]]
-        self.pair = pairs[self.block.places[PAIRS]]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
+    return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, totals binary")
 
 
 def level(context: np.ndarray) -> np.ndarray:
@@ -168,15 +214,15 @@ def score_texts(
     text_col: str = "text",
     folds: int = 10,
     block_bytes: int = 16_000_000,
-    bits: int = 6,
+    bits: int = 9,
 ) -> DataFrame:
     """Log10 probability of every whole text, learned from the ids outside fold 0.
 
     Words are runs of characters other than white space, A-Z lower-cased, and an
     end follows each text. Returns one row per input row: the id column,
     held_out, n_tokens, n_known, train_tokens, base_score (unigrams with 0.1 added
-    to each count) and score. ``2**bits`` buckets share the counts, or as
-    many as there are blocks, so that a bucket's hashes fit a task at any size.
+    to each count) and score. ``2**bits`` buckets share the bigrams, or as
+    many as there are blocks, so that a bucket's fit a task at any size.
 
     Null or empty texts are the end alone. A null id is not held out. Repeated
     rows count and are scored as often as they occur. No rows give no rows;
@@ -189,51 +235,53 @@ def score_texts(
     kind = rows.schema["id"].dataType.simpleString()
     blocks = materialize(pack_blocks(rows, block_bytes), "lm-blocks")
     bits = bucket_bits(blocks, bits)
-    answers = materialize(answer_counts(send_counts(blocks, bits)), "lm-totals")
-    # One row per bucket and kind.
-    sums = [unplanes(bytes(r.totals), "<u8") for r in answers.where((F.col("block") == -1) & (F.col("kind") == WORDS)).collect()]
-    n_train, n_types = (int(sum(int(s[k]) for s in sums)) for k in (0, 1))
     n_docs = blocks.select(F.sum(F.size(F.filter("flags", lambda t: t)))).first()[0] or 0
+    words = materialize(block_words(blocks), "lm-block-words")
+    numbered = number_words(words)
+    n_words, n_types = numbered.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
+    n_train, n_types = n_words + n_docs, n_types + (n_docs > 0)
     uniform = 1 / (n_types + 1)
-    pairs = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
 
-    def counted(left: pa.Table, right: pa.Table) -> Counted:
-        c = Counted(left, right)
-        c.context[c.block.starts] = n_docs
-        return c
+    vocabulary = materialize(answer_words(words, numbered), "lm-answers")
+    blocks = blocks.join(vocabulary, "block", "left")
+    answers = materialize(answer_pairs(send_pairs(blocks, n_docs, bits)), "lm-totals")
+    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+
+    def counted(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray]:
+        block = Block(*(left[c][0].as_py() for c in ("flags", "texts", "numbers", "totals")), n_docs, bits)
+        return block, block.pair_totals(right)
 
     def statistics(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = counted(left, right)
-        t = c.block.train
-        context = c.context[t] - 1
+        block, pair = counted(left, right)
+        t = block.train
+        context = block.context[t] - 1
         cell = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * STEP), 1).astype(np.int64)
-        p2, p1 = cell(_ratio(c.pair[t] - 1, context)), cell((c.word[t] - 1) / max(1, n_train - 1))
+        p2, p1 = cell(_ratio(pair[t] - 1, context)), cell((block.word[t] - 1) / max(1, n_train - 1))
         code = (level(context) * 1024 + (p2 + 512)) * 1024 + (p1 + 512)
         codes, n = np.unique(code, return_counts=True)
         return pa.table({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    # Cells of powers of two: some thousands, however large the input.
-    found = pairs.applyInArrow(statistics, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    # Cells of an eighth of a power of two: their number is bounded, however large the input.
+    found = both.applyInArrow(statistics, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([(r.code >> 20, (r.code >> 10 & 1023) - 512, (r.code & 1023) - 512, r.n) for r in found], uniform)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = counted(left, right)
-        w = weights[level(c.context)]
-        p = w[:, 0] * _ratio(c.pair, c.context) + w[:, 1] * (c.word / max(1, n_train)) + w[:, 2] * uniform
-        starts = c.block.starts
-        base = np.log10((c.word + 0.1) / (n_train + 0.1 * (n_types + 1)))
-        ids = left["ids"].combine_chunks().flatten()
+        block, pair = counted(left, right)
+        w = weights[level(block.context)]
+        p = w[:, 0] * _ratio(pair, block.context) + w[:, 1] * (block.word / max(1, n_train)) + w[:, 2] * uniform
+        base = np.log10((block.word + 0.1) / (n_train + 0.1 * (n_types + 1)))
+        n, starts = len(block.starts), block.starts
         return pa.table(
             {
-                "id": ids,
+                "id": left["ids"].combine_chunks().flatten(),
                 "held_out": pa.array(~np.array(left["flags"][0].as_py(), dtype=bool)),
-                "n_tokens": pa.array(c.block.lengths, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((c.word > 0).astype(np.int64), starts), pa.int64()),
-                "train_tokens": pa.array(np.full(len(starts), n_train, dtype=np.int64)),
+                "n_tokens": pa.array(block.lengths, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((block.word > 0).astype(np.int64), starts), pa.int64()),
+                "train_tokens": pa.array(np.full(n, n_train, dtype=np.int64)),
                 "base_score": pa.array(np.add.reduceat(base, starts)),
                 "score": pa.array(np.add.reduceat(np.log10(p), starts)),
             }
         )
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return pairs.applyInArrow(score, schema).withColumnRenamed("id", id_col)
+    return both.applyInArrow(score, schema).withColumnRenamed("id", id_col)

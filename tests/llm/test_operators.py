@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spliceloom.llm.embedding_dedup import collision_rule, directions, embedding_dedup, passing, unit
 from spliceloom.llm.exact_dedup import exact_dedup, split_directory
 from spliceloom.llm.graph import components
-from spliceloom.llm.lm_scoring import score_texts
+from spliceloom.llm.lm_scoring import distinct_pairs, score_texts
 from spliceloom.llm.mixing import mix_sources, schedule
 from spliceloom.llm.ngram_join import Rule, jaccard_join, plan_level, segment_keys
 from spliceloom.llm.packing import best_fit, pack
@@ -407,21 +407,73 @@ def test_suffix_dedup(docs, none, rows, crowd):
     assert suffix_dedup(none).count() == 0
 
 
-def test_lm_scoring(docs, none, rows):
+def plain_model(tokens):
+    """Deleted interpolation over dictionaries: log10 probability of a text, from (held out, words and end) of all texts."""
+    words, pairs = Counter(), Counter()
+    for held, ws in tokens:
+        if not held:
+            words.update(ws)
+            pairs.update(zip(["begin", *ws], ws))
+    words["begin"] = words[None]
+    n, uniform = sum(words.values()) - words["begin"], 1 / (len(words) - 1 + 1)
+    bucket = lambda k: int(math.log2(k + 1))
+    cells = {}
+    for (a, b), k in pairs.items():
+        left = words[a] - 1
+        row = ((k - 1) / left if left else 0.0, (words[b] - 1) / (n - 1), uniform)
+        cells.setdefault(bucket(left), Counter())[row] += k
+    weights = {}
+    for lv, rows in cells.items():
+        w = (0.4, 0.4, 0.2)
+        for _ in range(200):
+            share = [0.0, 0.0, 0.0]
+            for row, k in rows.items():
+                total = sum(x * y for x, y in zip(w, row))
+                for z in range(3):
+                    share[z] += k * w[z] * row[z] / total
+            w = [max(x / sum(share), 1e-7) for x in share]
+        weights[lv] = w
+    for lv in range(48):
+        if lv not in weights:
+            weights[lv] = weights.get(lv - 1, (0.4, 0.4, 0.2))
+
+    def score(ws):
+        out = 0.0
+        for a, b in zip(["begin", *ws], ws):
+            w = weights[bucket(words[a])]
+            out += math.log10(w[0] * (pairs[a, b] / words[a] if words[a] else 0.0) + w[1] * words[b] / n + w[2] * uniform)
+        return out
+
+    return score
+
+
+def test_lm_scoring(spark, docs, none, rows):
     tokens = [(i, zlib.crc32(str(i).encode()) % 10 == 0, WORD.findall(lower(t)) + [None]) for i, t, _ in rows]
     counts = Counter(w for _, held, ws in tokens if not held for w in ws)
     n, v = sum(counts.values()), len(counts)
+    model = plain_model([(held, ws) for _, held, ws in tokens])
     want = {
-        i: (held, len(ws), sum(w in counts for w in ws), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        i: (held, len(ws), sum(w in counts for w in ws), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), model(ws))
         for i, held, ws in tokens
     }
     got = score_texts(docs, block_bytes=5_000, bits=2).collect()
     assert len(got) == len(rows)
     for r in got:
-        held, length, known, total, base = want[r.doc_id]
+        held, length, known, total, base, score = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, length, known, total)
-        assert r.base_score == pytest.approx(base) and r.score < 0
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=0.01)
     assert score_texts(none).count() == 0
+    held = spark.createDataFrame([(i, f"w{i} w") for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
+    assert all(r.n_known == r.train_tokens == 0 and r.score < 0 for r in score_texts(held).collect())
+
+
+def test_distinct_pairs_of_large_numbers():
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(0, 9, 200).astype(np.uint64) for _ in range(2))
+    for shift in (0, 40):
+        x, y = a << np.uint64(shift), b << np.uint64(shift)
+        first, second, place = distinct_pairs(x, y)
+        assert (first[place] == x).all() and (second[place] == y).all() and len(set(zip(first, second))) == len(first)
 
 
 @pytest.mark.parametrize(("n", "part", "class_bits", "most"), [(4, 85, 64, 1024), (5, 80, 3, 3), (2, 60, 64, 2)])
