@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_texts, bucket_bits, pack_blocks, planes, unplanes
+from .blocks import block_texts, bucket_bits, distinct_pairs, pack_blocks, planes, unplanes
 from .common import fold, materialize
 from .shingles import mix, plain_words
 
@@ -87,20 +87,6 @@ def answer_words(words: DataFrame, numbered: DataFrame) -> DataFrame:
     return found.groupBy("block").applyInArrow(collect, "block long, numbers binary, totals binary")
 
 
-def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and the place of each pair among them."""
-    if len(first) and max(first.max(), second.max()) >= 1 << 32:
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        place = np.empty(len(a), dtype=np.int64)
-        place[order] = np.cumsum(new) - 1
-        return a[new], b[new], place
-    both, place = np.unique(first << np.uint64(32) | second, return_inverse=True)
-    return both >> np.uint64(32), both & np.uint64((1 << 32) - 1), place
-
-
 class Block:
     """Tokens of a block with the training totals of their words and of their contexts, and its distinct bigrams."""
 

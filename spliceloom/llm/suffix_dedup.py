@@ -14,8 +14,11 @@ stretch. Equal windows have equal owners at equal offsets, so:
 
 Grams with very many distinct stretches (the edges of a passage that many
 documents share) would fill a shard; their windows are counted one by one by
-hash, summed in each block before the shuffle. So no group is bounded by
+digest, summed in each block before the shuffle. So no group is bounded by
 dropping anything, and hot passages are one entry a block.
+
+Stretches and windows are equal if their 128-bit cryptographic digests are;
+symbols and what surrounds them are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -28,16 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_texts, bucket_bits, cuts, pack_blocks, planes, unplanes
+from .blocks import block_texts, bucket_bits, cuts, distinct_pairs, pack_blocks, planes, unplanes
 from .common import materialize
 from .graph import runs
-from .shingles import mix
 from .suffixes import suffix_array
-from .windows import range_hash, running_hash, stretches
+from .windows import digests, stretches
 
 SYMBOL = 16
 REPEATED, UNSURE, MANY = 1, 2, 4
-_C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 class Stretches:
@@ -51,10 +52,10 @@ class Stretches:
         found = [stretches(r, length) for r in self.raw]
         self.doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         self.first, self.last, self.own, self.gram, self.whole = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((self.whole, self.gram))
+        order = np.lexsort((self.whole[:, 1], self.whole[:, 0], self.gram))
         gram, whole = self.gram[order], self.whole[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
+        new[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]).any(axis=1)
         begins = np.flatnonzero(new)
         self.sample = order[begins]  # one stretch of each distinct one
         self.distinct_gram, self.distinct_whole = gram[begins], whole[begins]
@@ -68,7 +69,7 @@ def _blobs(block: int, keys: np.ndarray, columns: list[np.ndarray], bits: int) -
     at = cuts(keys, bits)
     for b in np.flatnonzero(np.diff(at)).tolist():
         part = slice(at[b], at[b + 1])
-        yield b, block, planes(np.diff(keys[part], prepend=np.uint64(0))), *(planes(c[part]) for c in columns)
+        yield b, block, planes(np.diff(keys[part], prepend=np.uint64(0))), *(planes(np.ascontiguousarray(c[part])) for c in columns)
 
 
 def send_stretches(blocks: DataFrame, length: int, bits: int) -> DataFrame:
@@ -76,12 +77,12 @@ def send_stretches(blocks: DataFrame, length: int, bits: int) -> DataFrame:
         for batch in batches:
             for block, texts in zip(batch.column(0), batch.column(1)):
                 s = Stretches(texts.as_py(), length)
-                rows = list(_blobs(block.as_py(), s.distinct_gram, [s.distinct_whole, s.counts], bits))
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                names = ["bucket", "block", "grams", "wholes", "counts"]
+                rows = list(_blobs(block.as_py(), s.distinct_gram, [*s.distinct_whole.T, s.counts], bits))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                names = ["bucket", "block", "grams", "wholes", "more", "counts"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return blocks.select("block", "texts").mapInArrow(send, "bucket int, block long, grams binary, wholes binary, counts binary")
+    return blocks.select("block", "texts").mapInArrow(send, "bucket int, block long, grams binary, wholes binary, more binary, counts binary")
 
 
 def answer_stretches(sent: DataFrame, crowd: int) -> DataFrame:
@@ -90,12 +91,12 @@ def answer_stretches(sent: DataFrame, crowd: int) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         asked = [np.cumsum(unplanes(h.as_py(), "<u8"), dtype=np.uint64) for h in table["grams"]]
         gram = np.concatenate(asked)
-        whole = np.concatenate([unplanes(w.as_py(), "<u8") for w in table["wholes"]])
+        whole, more = (np.concatenate([unplanes(w.as_py(), "<u8") for w in table[c]]) for c in ("wholes", "more"))
         count = np.concatenate([unplanes(c.as_py(), "<u4") for c in table["counts"]]).astype(np.int64)
-        order = np.lexsort((whole, gram))
-        g, w = gram[order], whole[order]
+        order = np.lexsort((more, whole, gram))
+        g, w, m = gram[order], whole[order], more[order]
         new_gram = np.concatenate(([True], g[1:] != g[:-1]))
-        new = new_gram | np.concatenate(([True], w[1:] != w[:-1]))
+        new = new_gram | np.concatenate(([True], (w[1:] != w[:-1]) | (m[1:] != m[:-1])))
         total = np.bincount(np.cumsum(new) - 1, weights=count[order])[np.cumsum(new) - 1]
         kinds = np.bincount(np.cumsum(new_gram) - 1, weights=new)[np.cumsum(new_gram) - 1]
         flags = np.empty(len(order), dtype=np.uint8)
@@ -108,8 +109,9 @@ def answer_stretches(sent: DataFrame, crowd: int) -> DataFrame:
 
 #: Rows that a block sends after the first answers. kind 0: what it knows (a, b, c: documents, begins and
 #: ends of repeated ranges). kind 1: a stretch to compare (number: its gram, doc, at: first window and owner,
-#: a: bytes, c: its hash, flag: whether it is repeated). kind 2: hashes of windows to count (bucket, a: steps,
-#: b: weights). kind 3: documents and begins of those windows, and their places among the distinct hashes.
+#: a: bytes, c: its hash, flag: whether it is repeated). kind 2: digests of windows to count (bucket, a: steps
+#: of first numbers, b: weights, c: second numbers). kind 3: documents and begins of those windows, and their places
+#: among the distinct digests.
 SCHEMA = "kind int, block long, bucket int, number long, doc long, at long, owner long, flag boolean, a binary, b binary, c binary"
 _FIELDS = ["kind", "block", "bucket", "number", "doc", "at", "owner", "flag", "a", "b", "c"]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
@@ -144,16 +146,16 @@ def resolve(blocks: DataFrame, answers: DataFrame, length: int, bits: int) -> Da
             )
         hot = s.sample[np.flatnonzero(flags & MANY)]
         if len(hot):
-            hashes = []
+            found = []
             for i in hot.tolist():
                 part = s.raw[s.doc[i]][s.first[i] : s.last[i] + length]
                 begins = np.arange(len(part) - length + 1)
-                hashes.append(mix(range_hash(running_hash(part), begins, begins + length)))
-            sizes = [len(h) for h in hashes]
+                found.append(digests(part, begins, begins + length))
+            sizes = [len(h) for h in found]
             weights = np.repeat(np.where(flags[s.entry[hot]] & REPEATED, 2, 1), sizes)
-            distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            one, two, place = distinct_pairs(*np.concatenate(found).T)
             summed = np.bincount(place, weights=weights).astype(np.uint32)
-            rows += [_row(2, block, bucket=k, a=steps, b=w) for k, _, steps, w in _blobs(block, distinct, [summed], bits)]
+            rows += [_row(2, block, bucket=k, a=steps, b=w, c=more) for k, _, steps, w, more in _blobs(block, one, [summed, two], bits)]
             starts = np.concatenate([s.first[i] + np.arange(n) for i, n in zip(hot.tolist(), sizes)])
             rows.append(_row(3, block, a=planes(np.repeat(s.doc[hot], sizes)), b=planes(starts), c=planes(place.astype(np.int64))))
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], names=_FIELDS)
@@ -161,6 +163,20 @@ def resolve(blocks: DataFrame, answers: DataFrame, length: int, bits: int) -> Da
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, SCHEMA)
 
 
+def _numbered(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of bytes, equal for equal rows and in their order; 8 bytes are compared at a time."""
+    width = -(-rows.shape[1] // 8) * 8
+    wide = np.zeros((len(rows), width), dtype=np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    lanes = wide.view(">u8").astype(np.uint64).T
+    order = np.lexsort(lanes[::-1])
+    new = np.zeros(len(rows), dtype=np.int64)
+    new[1:] = (lanes[:, order[1:]] != lanes[:, order[:-1]]).any(axis=0)
+    place = np.empty(len(rows), dtype=np.int64)
+    place[order] = np.cumsum(new)
+    return place
+
+
 def repeated_windows(texts: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
     """Per text, which of its windows occur in another one; owners are offsets in the texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -174,10 +190,8 @@ def repeated_windows(texts: list[bytes], owner: np.ndarray, length: int) -> list
     step = np.arange(len(text_of)) - begin[text_of]
     inside = step < n_symbols[text_of]
     byte = base[text_of] + lead[text_of] + SYMBOL * step
-    running = running_hash(raw)
     symbols = np.zeros(len(text_of), dtype=np.int64)
-    at = byte[inside]
-    symbols[inside] = np.unique(mix(range_hash(running, at, at + SYMBOL)), return_inverse=True)[1] + 1
+    symbols[inside] = _numbered(raw[byte[inside][:, None] + np.arange(SYMBOL)]) + 1
 
     order = np.array(suffix_array(symbols), dtype=np.int64)
     core = (length - SYMBOL + 1) // SYMBOL  # symbols that any window holds whole
@@ -192,18 +206,18 @@ def repeated_windows(texts: list[bytes], owner: np.ndarray, length: int) -> list
 
     windows = sizes - length + 1
     first = np.cumsum(windows) - windows
-    keys, which = [], []
+    found = np.zeros(int(windows.sum()), dtype=bool)
+    around = length - core * SYMBOL  # bytes of a window outside those symbols
     for before in range(SYMBOL):
         s = start - before
         ok = (s >= 0) & (s < windows[owner_text])
-        t, s, a = owner_text[ok], s[ok] + base[owner_text[ok]], byte[order[ok]]
-        head, tail = range_hash(running, s, a), range_hash(running, a + core * SYMBOL, s + length)
-        keys.append(mix(head * _C[0] + mix(tail * _C[1] + (run[ok] * SYMBOL + before).astype(np.uint64) * _C[2])))
-        which.append(first[t] + s - base[t])
-    found = np.zeros(int(windows.sum()), dtype=bool)
-    if keys:
-        _, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        found[np.concatenate(which)[n[place] > 1]] = True
+        if before > around or not ok.any():
+            continue
+        t, s, a, r = owner_text[ok], s[ok] + base[owner_text[ok]], byte[order[ok]], run[ok]
+        outside = np.concatenate((s[:, None] + np.arange(before), (a + core * SYMBOL)[:, None] + np.arange(around - before)), axis=1)
+        place = _numbered(np.concatenate((raw[outside], r.astype("<u8")[:, None].view(np.uint8)), axis=1))
+        n = np.bincount(place)
+        found[(first[t] + s - base[t])[n[place] > 1]] = True
     return np.split(found, np.cumsum(windows)[:-1])
 
 
@@ -233,11 +247,12 @@ def compare_shards(rows: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
-    """Windows counted by hash; answers as rows of kind 2 with flags in the order asked."""
+    """Windows counted by digest; answers as rows of kind 2 with flags in the order asked."""
 
     def work(table: pa.Table) -> pa.Table:
         asked = [np.cumsum(unplanes(h.as_py(), "<u8"), dtype=np.uint64) for h in table["a"]]
-        _, place = np.unique(np.concatenate(asked), return_inverse=True)
+        more = np.concatenate([unplanes(x.as_py(), "<u8") for x in table["c"]])
+        _, _, place = distinct_pairs(np.concatenate(asked), more)
         weights = np.concatenate([unplanes(w.as_py(), "<u4") for w in table["b"]])
         flags = (np.bincount(place, weights=weights)[place] > 1).astype(np.uint8)
         parts = np.split(flags, np.cumsum([len(a) for a in asked])[:-1])
@@ -299,7 +314,7 @@ def suffix_dedup(
     text_col: str = "text",
     length: int = 200,
     block_bytes: int = 12_000_000,
-    bits: int = 6,
+    bits: int = 9,
     crowd: int = 512,
     shard_bytes: int = 3_000_000,
 ) -> DataFrame:
@@ -310,12 +325,11 @@ def suffix_dedup(
     n_spans (maximal removed runs), kept_sha256 and kept (the remaining bytes,
     which may cut a character). ``2**bits`` buckets, or as many as
     there are blocks, share the hashes of stretches;
-    beyond ``crowd`` distinct stretches of a gram, windows are counted by hash.
+    beyond ``crowd`` distinct stretches of a gram, windows are counted by digest.
 
     Null text counts as empty; texts shorter than ``length`` lose nothing. Rows
     that repeat a text lose all of it if it is long enough. No rows give no rows.
-    Other columns are not read, whatever their names. Byte strings are told apart
-    by 64-bit hashes.
+    Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.lit(True).alias("flag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .shingles import mix
@@ -11,19 +13,6 @@ _PLACE = 24  # bits of a position
 LONGEST = 1 << _PLACE
 #: Windows of a text that are read together.
 PIECE = 1 << 20
-_RANDOM = np.random.default_rng(77)
-_BYTES = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_tables = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_tables[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            _tables[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, base, dtype=np.uint64), dtype=np.uint64)))
-    return _tables
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -50,36 +39,30 @@ def owners(raw: np.ndarray, length: int) -> np.ndarray:
     return (least & np.uint64(LONGEST - 1)).astype(np.int64)
 
 
+def digests(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit cryptographic digests of byte ranges, as two numbers each."""
+    text = raw.tobytes()
+    found = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())]
+    return np.frombuffer(b"".join(found), dtype="<u8").reshape(-1, 2).astype(np.uint64)
+
+
 def stretches(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one owner: (first window, last window, owner, gram hash, hash of all their bytes).
+    """Runs of windows with one owner: (first window, last window, owner, gram hash, digest of all their bytes).
 
-    The last hash also covers where the owner lies in them. A text is read in
+    Where the owner lies in them follows from the bytes. A text is read in
     pieces, and a run may be cut where a piece ends.
     """
     pieces = [_stretches(raw[a : a + PIECE + length - 1], length) for a in range(0, max(0, len(raw) - length + 1), PIECE)]
     if not pieces:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), np.zeros((0, 2), dtype=np.uint64)
     moved = [(f + k * PIECE, l + k * PIECE, o + k * PIECE, g, w) for k, (f, l, o, g, w) in enumerate(pieces)]
     return moved[0] if len(moved) == 1 else tuple(np.concatenate(c) for c in zip(*moved))
 
 
-def running_hash(raw: np.ndarray) -> np.ndarray:
-    """Running sum from which ``range_hash`` takes the hash of any range."""
-    up, _ = _powers(len(raw))
-    return np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)))
-
-
-def range_hash(running: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (running[end] - running[begin]) * _powers(len(running))[1][begin]
-
-
 def _stretches(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     owner = owners(raw, length)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     last = np.append(first[1:], len(owner)) - 1
     own = owner[first]
-    running = running_hash(raw)
-    whole = range_hash(running, first, last + length)
-    whole = mix(whole + (own - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + mix((last - first).astype(np.uint64)))
-    return first, last, own, mix(range_hash(running, own, own + GRAM)), whole
+    return first, last, own, gram_hashes(raw)[own], digests(raw, first, last + length)

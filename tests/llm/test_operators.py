@@ -12,10 +12,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spliceloom.llm.blocks import distinct_pairs
 from spliceloom.llm.embedding_dedup import collision_rule, directions, embedding_dedup, passing, unit
 from spliceloom.llm.exact_dedup import exact_dedup, split_directory
 from spliceloom.llm.graph import components
-from spliceloom.llm.lm_scoring import distinct_pairs, score_texts
+from spliceloom.llm.lm_scoring import score_texts
 from spliceloom.llm.mixing import mix_sources, schedule
 from spliceloom.llm.ngram_join import Rule, jaccard_join, plan_level, segment_keys
 from spliceloom.llm.packing import best_fit, pack
