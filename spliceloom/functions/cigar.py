@@ -23,6 +23,11 @@ def aligned_blocks(cigar: str, pos: str) -> Column:
     )
 
 
+def read_length(cigar: str) -> Column:
+    """Number of read bases a CIGAR string accounts for. Takes a column name."""
+    return F.expr(f"aggregate(regexp_extract_all({cigar}, '([0-9]+)[MIS=X]', 1), bigint(0), (s, n) -> s + bigint(n))")
+
+
 def clipped_start(cigar: Column) -> Column:
     """Length of the soft clip before the aligned part."""
     return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cigar, r"^(?:\d+H)?(\d+)S", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("long")
@@ -46,10 +51,14 @@ def first_overlap(blocks: Column, start: Column, end: Column) -> Column:
 
 
 def reference_positions(blocks: Column, length: Column) -> Column:
-    """Reference position of each base of the read; null where it is inserted or clipped."""
+    """Reference position of each base of the read; null where it is inserted or clipped.
+
+    Every block is laid out once, after the unmapped bases before it.
+    """
+    none = lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")), lambda _: F.lit(None).cast("long"))
 
-    def place(i: Column) -> Column:
-        block = F.get(F.filter(blocks, lambda b: (b["read"] <= i) & (i < b["read"] + b["len"])), F.lit(0))
-        return block["ref"] + i - block["read"]
+    def lay(done: Column, b: Column) -> Column:
+        return F.concat(done, none(b["read"] - F.size(done)), F.sequence(b["ref"], b["ref"] + b["len"] - 1))
 
-    return F.when(length > 0, F.transform(F.sequence(F.lit(0).cast("long"), length.cast("long") - 1), place)).otherwise(F.array().cast("array<bigint>"))
+    laid = F.aggregate(F.filter(blocks, lambda b: b["len"] > 0), F.array().cast("array<bigint>"), lay)
+    return F.concat(laid, none(length.cast("long") - F.size(laid)))

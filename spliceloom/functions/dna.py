@@ -86,29 +86,39 @@ def mismatches_after(reference: Column, found: Column) -> Column:
     return hamming(reference, found) + F.greatest(F.lit(0), F.length(found) - F.length(reference))
 
 
+def _codon_text(mitochondrial: bool) -> tuple[str, str]:
+    """All codons in one text, each before a space, and their amino acids at the codons' places; place 1 is for unknown ones."""
+    table = codon_table(mitochondrial)
+    return "? " + " ".join(table), "? " + "".join(f"{a}   " for a in table.values())
+
+
 def translate(cdna: Column, mitochondrial: Column | None = None, first_is_start: Column | None = None) -> Column:
     """Struct (amino_acids, ends_with_stop) of a coding sequence up to its first stop codon.
 
-    One or two trailing nucleotides are ignored; an unknown codon is an error.
+    One or two trailing nucleotides are ignored, as is all behind the stop. Both
+    fields are null if an unknown codon comes before.
     """
-    mitochondrial = F.lit(False) if mitochondrial is None else mitochondrial
-    first_is_start = F.lit(False) if first_is_start is None else first_is_start
 
-    def table(m: bool) -> Column:
-        return F.create_map(*[F.lit(x) for pair in codon_table(m).items() for x in pair])
+    def by_table(m: bool) -> Column:
+        codons, acids = map(F.lit, _codon_text(m))
+        at = lambda i: F.call_function("locate", F.substring(cdna, i, F.lit(3)), codons)
+        text = F.array_join(F.transform(places, lambda i: F.substring(acids, F.greatest(at(i), F.lit(1)), F.lit(1))), "")
+        if first_is_start is None:
+            return text
+        starts = first_is_start & F.substring(cdna, 1, 3).isin(*start_codons(m))
+        return F.when(starts, F.concat(F.lit("M"), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
 
     n = F.floor(F.length(cdna) / 3).cast("int")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    codons = F.transform(places, lambda i: F.substring(cdna, (i * 3 + 1).cast("int"), F.lit(3)))
+    places = F.when(n > 0, F.sequence(F.lit(1), n * 3 - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    protein = by_table(False) if mitochondrial is None else F.when(mitochondrial, by_table(True)).otherwise(by_table(False))
 
-    def residue(codon: Column, i: Column) -> Column:
-        starts = F.when(mitochondrial, codon.isin(*start_codons(True))).otherwise(codon.isin(*start_codons()))
-        acid = F.when(mitochondrial, F.try_element_at(table(True), codon)).otherwise(F.try_element_at(table(False), codon))
-        known = F.coalesce(acid, F.raise_error(F.concat(F.lit("unknown codon: "), codon)).cast("string"))
-        return F.when((i == 0) & first_is_start & starts, F.lit("M")).otherwise(known)
+    def cut(whole: Column) -> Column:
+        acids = F.substring_index(whole, "*", 1)
+        known = ~F.contains(acids, F.lit("?"))
+        return F.struct(F.when(known, acids).alias("amino_acids"), F.when(known, F.contains(whole, F.lit("*"))).alias("ends_with_stop"))
 
-    protein = F.array_join(F.transform(codons, residue), "")
-    return F.struct(F.substring_index(protein, "*", 1).alias("amino_acids"), F.contains(protein, F.lit("*")).alias("ends_with_stop"))
+    # The protein is made once and bound to a name.
+    return F.get(F.transform(F.array(protein), cut), F.lit(0))
 
 
 def frame_to_offset(frame: Column) -> Column:

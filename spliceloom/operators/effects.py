@@ -22,7 +22,8 @@ def transcript_effects(variants: DataFrame, transcripts: DataFrame) -> DataFrame
     """One row per variant and overlapping transcript with effect_class and both proteins.
 
     The mutant protein is translated from the changed transcript. Exonic variants
-    whose reference allele disagrees with the transcript count as incomplete.
+    whose reference allele disagrees with the transcript, or whose changed transcript
+    holds an unknown codon before its stop, count as incomplete.
     """
     rows = overlapping_transcripts(variants, transcripts)
     rows = rows.withColumn("i", interval_on_transcript(F.col("exons"), F.col("strand"), F.col("trimmed_pos"), F.col("trimmed_ref")))
@@ -42,7 +43,7 @@ def transcript_effects(variants: DataFrame, transcripts: DataFrame) -> DataFrame
         .when(first.isNull() | stop.isNull(), "NoncodingTranscript")
         .when(start < first, "FivePrimeUTR")
         .when(start >= stop + 3, "ThreePrimeUTR")
-        .when(~coding, "IncompleteTranscript")
+        .when(~coding | after.isNull(), "IncompleteTranscript")
         .when(before == after, "Silent")
         .when(~same_start, "StartLoss")
         .when(shift, "FrameShift")

@@ -66,7 +66,8 @@ def merge_pair(a: Read, b: Read) -> Read | None:
         if read.start < read.end:
             spans.append((place[keys[read.start]], place[keys[read.end - 1]] + 1))
         else:
-            at = place[keys[read.start]] if read.start < len(keys) else place[keys[-1]] + 1
+            # An empty interval at either end of its read goes to that end of the merged one.
+            at = 0 if read.start == 0 else len(order) if read.start == len(keys) else place[keys[read.start]]
             spans.append((at, at))
     full = [s for s in spans if s[0] < s[1]]
     start, end = (min(s[0] for s in full), max(s[1] for s in full)) if full else spans[0]
@@ -74,9 +75,10 @@ def merge_pair(a: Read, b: Read) -> Read | None:
     return Read("".join(bases), positions, qualities, start, end, a.count + b.count)
 
 
-def _order(read: Read) -> tuple[int, int, int]:
-    mapped = [p for p in read.positions if p is not None]
-    return (mapped[0], mapped[-1], len(read.sequence)) if mapped else (-1, -1, len(read.sequence))
+def _order(read: Read) -> tuple[bool, int, int, int]:
+    """By first and last mapped base and length; reads without mapped bases come last."""
+    mapped = [p for p in read.positions if p is not None] or [0]
+    return all(p is None for p in read.positions), mapped[0], mapped[-1], len(read.sequence)
 
 
 def merge_group(reads: list[Read]) -> list[Read]:

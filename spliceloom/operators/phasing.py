@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stage_table
+
 
 def shared_names(names: DataFrame, key: str = "variant_id", name: str = "name") -> DataFrame:
     """(a, b, n): variants and the number of distinct names both have, a < b.
@@ -27,29 +29,23 @@ def partners(pairs: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("variant_id")).agg(F.array_sort(F.collect_set("b")).alias("partners"))
 
 
-def phase_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def phase_components(pairs: DataFrame) -> DataFrame:
     """(variant_id, phase_group): connected components; the group is its smallest variant.
 
     Each round takes the smallest label of all neighbours and then the label's own
-    label, so paths shorten by half; rounds are cut by checkpoints. Variants
-    without partner have no row.
+    label, so paths shorten by half, until no label changes. Rounds are written to
+    the shared folder. Variants without partner have no row.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("v"), "label").checkpoint()
-    for _ in range(max_rounds):
+    edges = stage_table(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "phase-edges")
+    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("v"), "label")
+    labels, changed = stage_table(labels, "phase-labels"), True
+    while changed:
         near = edges.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "v", "left").select("v", F.least("label", F.coalesce("near", "label")).alias("m"), F.col("label").alias("old"))
         jump = lower.select(F.col("v").alias("m"), F.col("m").alias("next"))
-        moved = lower.join(jump, "m", "left").select("v", "old", F.least("m", F.coalesce("next", "m")).alias("label")).checkpoint()
-        changed = moved.where("label <> old").limit(1).count()
+        moved = stage_table(lower.join(jump, "m", "left").select("v", "old", F.least("m", F.coalesce("next", "m")).alias("label")), "phase-labels")
+        changed = moved.where("label <> old").limit(1).count() > 0
         labels = moved.select("v", "label")
-        if not changed:
-            break
     return labels.select(F.col("v").alias("variant_id"), F.col("label").alias("phase_group"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import cigar as C
@@ -41,11 +42,12 @@ def usable_alignments(alignments: DataFrame, options: ReadOptions = ReadOptions(
     if not options.use_duplicates:
         ok &= flag.bitwiseAND(F.lit(DUPLICATE)) == 0
     ok &= (F.col("seq") != "*") & (F.col("qual") != "*") & (F.length("seq") == F.length("qual"))
+    ok &= C.read_length("cigar") == F.length("seq")
     return alignments.where(ok)
 
 
 def reconcile_contigs(variants: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Variants with ``rname``, their contig's name among the alignments.
+    """Variants with ``rname``, their contig's name among the alignments, or in a table of contigs with that column.
 
     Names agree up to case and a leading chr; the same name is preferred, then
     the first in order. Variants on contigs without alignments have none.
@@ -73,13 +75,16 @@ def interval_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, st
     return a.join(b, meet & once).drop("_bin", "_rbin")
 
 
-def overlapping_alignments(variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
+def overlapping_alignments(
+    variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
+) -> DataFrame:
     """Alignments with an aligned base in each variant's locus, widened by one base on either side.
 
     Bins come from the aligned blocks, so a read spliced over a locus does not
-    meet it. A pair that meets in several blocks is taken at the first.
+    meet it. A pair that meets in several blocks is taken at the first. ``contigs``
+    (rname), as a file's header has them, spare a pass over the alignments.
     """
-    loci = reconcile_contigs(with_trimmed(variants), alignments).where("rname IS NOT NULL")
+    loci = reconcile_contigs(with_trimmed(variants), alignments if contigs is None else contigs).where("rname IS NOT NULL")
     windows = loci.select(
         "variant_id",
         F.col("rname").alias("locus_rname"),
@@ -104,8 +109,6 @@ def left_aligned_interval(seq: str, cigar: str, md: str, start: int, pos: int, r
 
     ``start`` is the read's first reference position from 0; the reference bases come from the MD tag.
     """
-    import re
-
     pairs: list[tuple[int | None, int | None]] = []
     i, r = 0, start
     for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
@@ -162,38 +165,31 @@ def left_aligned_interval(seq: str, cigar: str, md: str, start: int, pos: int, r
     return None
 
 
-def _left_align(rows: DataFrame) -> DataFrame:
-    """Rows with ``shifted`` (start, end) on the read, or null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                left_aligned_interval(*(batch.column(c)[i].as_py() for c in ("seq", "cigar", "md")), batch.column("pos")[i].as_py() - 1,
-                                      *(batch.column(c)[i].as_py() for c in ("trimmed_pos", "trimmed_ref", "trimmed_alt")))
-                for i in range(batch.num_rows)
-            ]
-            kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            shifted = pa.array([None if x is None else {"start": x[0], "end": x[1]} for x in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, shifted], [*batch.schema.names, "shifted"])
+@F.pandas_udf(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+def _left_aligned(seq: pd.Series, cigar: pd.Series, md: pd.Series, start: pd.Series, pos: pd.Series, ref: pd.Series, alt: pd.Series) -> pd.DataFrame:
+    """``left_aligned_interval`` of each row; nulls for a null read."""
+    rows = zip(seq, cigar, md, start, pos, ref, alt)
+    found = [(None, None) if r[0] is None else left_aligned_interval(*r) or (None, None) for r in rows]
+    return pd.DataFrame(found, columns=["start", "end"], dtype="Int64")
 
-    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return rows.mapInArrow(run, f"{schema},shifted:struct<start:bigint,end:bigint>")
 
-
-def locus_reads(variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
+def locus_reads(
+    variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
+) -> DataFrame:
     """Reads at each locus with the locus' interval on the read.
 
     Columns: variant_id, read_ordinal, name, sequence, reference_positions,
     quality_scores, source_read_count, reference_base0_start/end,
     read_base0_start/end.
     """
-    met = overlapping_alignments(variants, alignments, options)
+    met = overlapping_alignments(variants, alignments, options, contigs)
     pure_indel = (F.length("trimmed_ref") == 0) != (F.length("trimmed_alt") == 0)
     shiftable = pure_indel & F.col("md").isNotNull() & F.col("cigar").rlike("[ID]")
-    kept = [c for c in met.columns if c != "blocks"]
-    shifted = _left_align(met.where(shiftable).select(*kept)).withColumn("blocks", C.aligned_blocks("cigar", "pos"))
-    plain = met.where(~F.coalesce(shiftable, F.lit(False))).withColumn("shifted", F.lit(None).cast("struct<start:bigint,end:bigint>"))
-    rows = shifted.unionByName(plain)
+    # Reads that can't be shifted go to Python as nulls, so that the join above runs once.
+    of = lambda c: F.when(shiftable, c)
+    rows = met.withColumn(
+        "shifted", _left_aligned(*map(of, (F.col("seq"), F.col("cigar"), F.col("md"), F.col("pos") - 1, F.col("trimmed_pos"), F.col("trimmed_ref"), F.col("trimmed_alt"))))
+    )
 
     blocks, start, end = F.col("blocks"), F.col("locus_start"), F.col("locus_end")
     length = F.length("seq").cast("long")

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.dna import slice_text
 from ..functions.scores import alignment_score
+from ..functions.variants import with_trimmed
 from .effects import described
 from .evidence import CLASSES, UNITS
 from .filters import PREFIX
@@ -45,13 +46,22 @@ def trimmed_to(protein: Column, acids: Column, effect_start: Column, mutation_st
     return slice_text(protein, begin, begin + F.length(acids))
 
 
+def names_from_proteins(proteins: DataFrame, most: int | None = None) -> DataFrame:
+    """Sorted transcripts and genes behind the ``most`` best proteins of each variant, of all for None.
+
+    Columns: variant_id, transcript_ids, transcript_names, gene_ids, gene_names.
+    """
+    if most is not None:
+        proteins = proteins.where(F.col("protein_rank") <= most)
+    columns = ("transcript_ids", "transcript_names", "gene_ids", "gene_names")
+    each = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return proteins.groupBy("variant_id").agg(*map(each, columns))
+
+
 def results(variants: DataFrame, counts: DataFrame, proteins: DataFrame, effects: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Variants with counts, effect, overlaps and best protein; columns that need a protein are null or 0 without."""
     top = proteins.where("protein_rank = 1").drop("protein_rank", "reads")
-    every = proteins.groupBy("variant_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("transcript_ids"))).alias("all_transcripts"),
-        F.array_distinct(F.flatten(F.collect_list("gene_ids"))).alias("all_genes"),
-    )
+    every = names_from_proteins(proteins).select("variant_id", F.col("transcript_ids").alias("all_transcripts"), F.col("gene_ids").alias("all_genes"))
     effect = effects.select("variant_id", *[F.col(c).alias(n) for c, n in EFFECT_COLUMNS.items()])
     rows = described(variants).join(counts, "variant_id").join(effect, "variant_id", "left").join(overlaps, "variant_id", "left")
     rows = rows.join(top, "variant_id", "left").join(every, "variant_id", "left")
@@ -99,8 +109,15 @@ def results(variants: DataFrame, counts: DataFrame, proteins: DataFrame, effects
             "num_amino_acid_mismatches_from_reference": alignment_score(F.col("protein_sequence"), F.col("trimmed_reference_protein_sequence")),
         }
     )
-    agrees = F.col("num_amino_acid_mismatches_from_predicted_effect") == 0
-    rows = rows.withColumn("protein_sequence_matches_predicted_mutation_effect", F.when(has, F.coalesce(agrees, F.lit(False))))
+    # Null where one of the two proteins is missing: neither agreement nor difference is known.
+    same = F.col("num_amino_acid_mismatches_from_reference") == 0
+    rows = rows.withColumns(
+        {
+            "protein_sequence_matches_predicted_mutation_effect": F.col("num_amino_acid_mismatches_from_predicted_effect") == 0,
+            "protein_sequence_matches_reference": same,
+            "protein_sequence_different_from_reference": ~same,
+        }
+    )
     unused = ["amino_acids", "ends_with_stop_codon", "mutation_start_idx", "mutation_end_idx", "contains_mutation", "frameshift", "all_transcripts", "all_genes"]
     unused += ["num_supporting_fragments", "num_supporting_reads", "num_mismatches", "num_mismatches_before_variant", "num_mismatches_after_variant"]
     return rows.drop(*unused)
@@ -128,6 +145,7 @@ def flattened(rows: DataFrame) -> DataFrame:
         "protein_sequence_transcript_names", "protein_sequence_transcript_ids", "protein_sequence_mutation_start_idx",
         "protein_sequence_mutation_end_idx", "trimmed_predicted_mutant_protein_sequence", "trimmed_reference_protein_sequence",
         "protein_sequence_contains_mutation", "protein_sequence_contains_deletion", "protein_sequence_matches_predicted_mutation_effect",
+        "protein_sequence_matches_reference", "protein_sequence_different_from_reference",
     ]
     filters = [c for c in rows.columns if c.startswith(PREFIX)] + ["passes_all_filters"]
     order = [c for c in ["variant", *listed, *quantities, *has, *effect, *protein, *filters] if c in rows.columns]
@@ -142,15 +160,23 @@ def frame(
     rename: Mapping[str, str] | None = None,
     converters: Mapping[str, Callable[[Column], Column]] | None = None,
     extra: Mapping[str, Column] | None = None,
+    sizes: bool = True,
 ) -> DataFrame:
-    """Rows of an operator with chr, pos, ref and alt of the untrimmed variant in front; lists become their sizes."""
+    """Rows of an operator with chr, pos, ref and alt of the untrimmed variant in front.
+
+    Lists become their sizes unless ``sizes`` is False. Names in ``exclude`` and
+    ``converters`` must be columns, and what is excluded can't be converted.
+    """
     rename, converters = rename or {}, converters or {}
+    held = [c for c in rows.columns if c != "variant_id"]
+    if unknown := [c for c in exclude if c not in held] + [c for c in converters if c not in held or c in exclude]:
+        raise ValueError(f"no such columns: {', '.join(unknown)}; there are: {', '.join(held)}")
     columns = []
     for f in rows.schema.fields:
         if f.name in ("variant_id", *exclude):
             continue
         c = rows[f"`{f.name}`"]
-        c = converters[f.name](c) if f.name in converters else F.size(c) if isinstance(f.dataType, ArrayType) else c
+        c = converters[f.name](c) if f.name in converters else F.size(c) if sizes and isinstance(f.dataType, ArrayType) else c
         columns.append(c.alias(rename.get(f.name, f.name)))
     columns += [c.alias(n) for n, c in (extra or {}).items()]
     body = rows.select(rows["variant_id"].alias("_variant"), *columns)
@@ -159,6 +185,21 @@ def frame(
     return body.join(head, "_variant").select(*first, *[body[f"`{c}`"] for c in body.columns[1:]])
 
 
+def exploded_frame(rows: DataFrame, variants: DataFrame, elements: str, **options) -> DataFrame:
+    """``frame`` of the elements of a list column: one row for each, with its fields as columns; none for empty lists."""
+    each = rows.select("variant_id", F.explode(elements).alias("_element"))
+    return frame(each.select("variant_id", "_element.*"), variants, **options)
+
+
+def read_evidence_frame(evidence: DataFrame, variants: DataFrame) -> DataFrame:
+    """Alleles of each variant and its reads of either class, with multiplicity; 0 where there are none."""
+    of = lambda c: F.sum(F.when(F.col("allele_class") == c, F.col("source_read_count")).otherwise(0)).cast("long").alias(f"{c}_reads")
+    sums = evidence.groupBy("variant_id").agg(*map(of, CLASSES))
+    loci = with_trimmed(variants).select("variant_id", "trimmed_pos", "trimmed_ref", "trimmed_alt")
+    rows = loci.join(sums, "variant_id", "left").na.fill(0, [f"{c}_reads" for c in CLASSES])
+    return frame(rows, variants, rename={"trimmed_pos": "trimmed_base1_start"})
+
+
 def allele_reads_frame(reads: DataFrame, variants: DataFrame) -> DataFrame:
     return frame(reads, variants, exclude=("read_ordinal", "source_read_count", "trimmed_pos", "trimmed_ref", "trimmed_alt"))
 

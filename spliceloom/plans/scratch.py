@@ -17,9 +17,9 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     context = df.sparkSession.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.getCheckpointDir() is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
-        root = context._jsc.sc().getCheckpointDir().get()
+        root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -43,8 +43,12 @@ def test_translation(spark):
     assert one(spark, dna.translate(F.lit("CTGCTG"))).amino_acids == "LL"
     assert one(spark, dna.translate(F.lit("TGAATA"), F.lit(True))).amino_acids == "WM"
     assert tuple(one(spark, dna.translate(F.lit("")))) == ("", False)
-    with pytest.raises(Exception, match="unknown codon"):
-        one(spark, dna.translate(F.lit("ATN")))
+    assert tuple(one(spark, dna.translate(F.lit("ATGTAANNN")))) == ("M", True)
+    assert tuple(one(spark, dna.translate(F.lit("ATNTAA")))) == (None, None)
+    assert tuple(one(spark, dna.translate(F.lit("NTGATG"), F.lit(False), F.lit(True)))) == (None, None)
+    for mitochondrial in (False, True):
+        for codon, acid in dna.codon_table(mitochondrial).items():
+            assert tuple(one(spark, dna.translate(F.lit("GCC" + codon), F.lit(mitochondrial)))) == (("A", True) if acid == "*" else ("A" + acid, False))
 
 
 def test_codon_tables():

@@ -80,6 +80,13 @@ def test_mates_merge(spark):
     assert (both.sequence, both.start, both.end, both.count) == ("ACCGTGAA", 3, 4, 2)
     assert merge_pair(a, Read("CTTGAA", tuple(range(2, 8)), (30,) * 6, 1, 2, 1)) is None
     assert merge_pair(a, Read("CTTGAA", tuple(range(2, 8)), (20,) * 6, 1, 2, 1)).sequence == "ACCGTGAA"
+    # Empty intervals: inside a read at their base, at a read's end at the end of the merged read.
+    left, right = Read("ACCGTG", tuple(range(6)), (30,) * 6, 6, 6, 1), Read("CGTGAA", tuple(range(2, 8)), (30,) * 6, 0, 0, 1)
+    assert (merge_pair(left, right).start, merge_pair(right, left).start) == (8, 0)
+    inside = Read("ACCGTG", tuple(range(6)), (30,) * 6, 3, 3, 1)
+    assert (merge_pair(inside, right).start, merge_pair(inside, right).end) == (3, 3)
+    lost = Read("ACG", (None,) * 3, (30,) * 3, 0, 1, 1)
+    assert [r.sequence for r in merge_group([lost, b, a])] == ["ACCGTGAA", "ACG"]
     assert len(merge_group([a, b, Read("AA", (20, 21), (30, 30), 0, 1, 1)])) == 2
     rows = alignments(spark, [read("ACCGTG", "6M", 0), read("CGTGAA", "6M", 2)]).replace({"r1": "r0"}, subset=["qname"])
     merged = locus_reads(readers.literal_variants(spark, [("1", 4, "T", "G")]), rows, ReadOptions(merge_overlapping_mates=True)).collect()
