@@ -11,10 +11,10 @@ def trim_variant(pos: Column, ref: Column, alt: Column) -> Column:
 
     An alt that begins the ref is a deletion of the rest, a ref that begins the
     alt an insertion of the rest behind the last shared base. Partly shared
-    prefixes and shared suffixes stay.
+    prefixes and shared suffixes stay, and so do variants with an empty allele.
     """
-    deletion = F.startswith(ref, alt)
-    insertion = F.startswith(alt, ref)
+    deletion = F.startswith(ref, alt) & (F.length(alt) > 0)
+    insertion = F.startswith(alt, ref) & (F.length(ref) > 0)
     new_pos = F.when(deletion, pos + F.length(alt)).when(insertion, pos + F.length(ref) - 1).otherwise(pos)
     new_ref = F.when(deletion, F.substring(ref, F.length(alt) + 1, F.length(ref))).when(insertion, F.lit("")).otherwise(ref)
     new_alt = F.when(deletion, F.lit("")).when(insertion, F.substring(alt, F.length(ref) + 1, F.length(alt))).otherwise(alt)

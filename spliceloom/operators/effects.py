@@ -34,7 +34,7 @@ def transcript_effects(variants: DataFrame, transcripts: DataFrame) -> DataFrame
     coding = F.col("i").isNotNull() & first.isNotNull() & stop.isNotNull() & (start >= first) & (start < stop + 3) & (slice_text(seq, start, end) == ref)
     changed = F.concat(slice_text(seq, first, start), alt, slice_text(seq, end, F.length(seq)))
     mitochondrial = is_mitochondrial(F.col("contig"))
-    rows = rows.withColumn("_p", F.when(coding, translate(changed, mitochondrial, F.lit(True))))
+    rows = rows.withColumn("_changed", F.when(coding, changed)).withColumn("_p", translate(F.col("_changed"), mitochondrial, F.lit(True)))
     before, after = F.col("protein"), F.col("_p.amino_acids")
     shift = F.abs(F.length(ref) - F.length(alt)) % 3 != 0
     same_start = F.startswith(after, F.substring(before, 1, 1))

@@ -111,7 +111,8 @@ def translations(frames: DataFrame, options: ProteinOptions = ProteinOptions())
     cdna, offset = F.col("orf.cdna_sequence"), F.col("orf.offset_to_first_complete_codon")
     begin, end = F.col("orf.variant_cdna_interval_start"), F.col("orf.variant_cdna_interval_end")
     # Sequences with an unknown codon before the stop have no translation.
-    rows = frames.withColumn("_t", translate(slice_text(cdna, offset, F.length(cdna)), F.col("mitochondrial"))).where("_t.amino_acids IS NOT NULL")
+    rows = frames.withColumn("_c", slice_text(cdna, offset, F.length(cdna)))
+    rows = rows.withColumn("_t", translate(F.col("_c"), F.col("mitochondrial"))).drop("_c").where("_t.amino_acids IS NOT NULL")
     coding = F.greatest(begin - offset, F.lit(0))
     rows = rows.withColumn("_m", mutant_interval(coding, end - begin, F.length("sequence_at_variant_locus"), F.length("_t.amino_acids")))
     full = F.col("_t.amino_acids")

@@ -181,11 +181,6 @@ def contig_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.reconcile_contigs(wanted, nations.select(F.col("n_name").alias("rname"))).select("variant_id", "contig", "rname")
 
 
-def transcript_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
-    return _table(spark, sf_dir, "lineitem").join(listed, "l_partkey", "left_semi").groupBy("l_partkey").agg(F.count("*").alias("n_rows"))
-
-
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of a 20 + 1 + 20 sequence by line items that reach l_quantity before and l_tax * 1000 / 2 behind it."""
     row = F.struct(
@@ -222,13 +217,13 @@ def mutant_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def protein_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as translations: part = variant, flag and status = protein, order = read."""
     rows = _table(spark, sf_dir, "lineitem")
     read = F.struct(F.lit("").alias("prefix"), F.lit("").alias("allele"), F.lit("").alias("suffix"), F.col("l_orderkey").cast("string").alias("name"), F.col("l_linenumber").cast("long").alias("source_read_count"))
     orf = F.struct(F.lit("A").alias("cdna_sequence"), F.lit(0).alias("offset_to_first_complete_codon"), (F.col("l_linenumber") % 3).alias("num_mismatches_before_variant"), (F.col("l_quantity").cast("int") % 5).alias("num_mismatches_after_variant"))
     transcript = F.array(F.struct(F.col("l_suppkey").cast("string").alias("transcript_id"), F.lit("t").alias("transcript_name"), F.lit("g").alias("gene_id"), F.lit("g").alias("gene_name")))
-    translated = rows.select(
+    return rows.select(
         F.col("l_partkey").alias("variant_id"),
         F.concat("l_returnflag", "l_linestatus").alias("amino_acids"),
         F.lit(True).alias("contains_mutation"),
@@ -244,7 +239,10 @@ def protein_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         orf.alias("orf"),
         F.array(read).alias("reads"),
     )
-    top = proteins.protein_sequences(translated, proteins.ProteinOptions(per_variant=2))
+
+
+def protein_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = proteins.protein_sequences(_translated(spark, sf_dir), proteins.ProteinOptions(per_variant=2))
     columns = ["variant_id", "amino_acids", "protein_rank", "num_supporting_fragments", "num_supporting_reads", "num_mismatches_before_variant", "num_mismatches_after_variant"]
     return top.select(*columns, F.size("transcript_ids").alias("n_transcripts"))
 
@@ -302,7 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         allele_counts, allele_fractions, filter_columns, read_evidence_classes, modal_allele, unique_sequences, reverse_complement, n_trimmed,
         translate, distinct_kmers, hamming, trimmed_variants, variant_descriptions, allele_reads, base_counts, interval_join, contig_names,
-        transcript_whitelist, coverage, mutant_intervals, protein_ranking, phasing_counts, phasing_partners, phase_groups, windowed_counts,
+        coverage, mutant_intervals, protein_ranking, phasing_counts, phasing_partners, phase_groups, windowed_counts,
         assembled_sequences, alignment_scores,
     )
 }
@@ -359,7 +357,6 @@ ORACLE_SQL: dict[str, str] = {
     "interval_join": """SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_custkey = l_suppkey
         AND epoch(o_orderdate)::BIGINT >= epoch(l_shipdate)::BIGINT AND epoch(o_orderdate)::BIGINT < epoch(l_shipdate)::BIGINT + 30 * 86400""",
     "contig_names": "SELECT n_nationkey AS variant_id, 'chr' || lower(n_name) AS contig, n_name AS rname FROM nation",
-    "transcript_whitelist": "SELECT l_partkey, count(*) AS n_rows FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY ALL",
     "coverage": """WITH r AS (SELECT l_partkey, CAST(l_quantity AS INTEGER) AS p, CAST(round(l_tax * 500) AS INTEGER) AS s FROM lineitem),
         o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY p DESC) AS pr, row_number() OVER (PARTITION BY l_partkey ORDER BY s DESC) AS sr FROM r)
         SELECT l_partkey, CAST(least(count(*) FILTER (p >= 20), count(*) FILTER (s >= 20)) AS INTEGER) AS min_coverage,
@@ -388,6 +385,12 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT phase_group, name FROM g JOIN names USING (v) GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT phase_group, count(*) AS n FROM s GROUP BY ALL)
         SELECT phase_group, string_agg(CAST(v AS VARCHAR), ';' ORDER BY v) AS variants, CAST(coalesce(max(n), 0) AS INTEGER) AS n_supporting_names
         FROM g LEFT JOIN k USING (phase_group) GROUP BY phase_group""",
+    "alignment_scores": """WITH s AS (SELECT p_partkey, p_name AS a, p_type AS b, unnest(range(1 - length(p_type), length(p_name))) AS shift FROM part),
+        k AS (SELECT *, unnest(range(greatest(0, shift), least(length(a), length(b) + shift))) AS k FROM s),
+        w AS (SELECT p_partkey, shift, k, CASE WHEN substr(a, k + 1, 1) = substr(b, k - shift + 1, 1) THEN 2 ELSE 1 END AS won FROM k),
+        p AS (SELECT *, sum(won) OVER (PARTITION BY p_partkey, shift ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM w),
+        g AS (SELECT p_partkey, max(upto - low) AS gain FROM (SELECT *, min(upto - won) OVER (PARTITION BY p_partkey, shift ORDER BY k ROWS UNBOUNDED PRECEDING) AS low FROM p) GROUP BY p_partkey)
+        SELECT part.p_partkey, CAST(length(p_name) + length(p_type) - coalesce(gain, 0) AS INTEGER) AS score FROM part LEFT JOIN g USING (p_partkey)""",
     "windowed_counts": f"""WITH r AS (SELECT CAST(epoch(l_shipdate) AS BIGINT) // 2592000 * 2592000 AS window_start, l_partkey % 10 AS variant_id, {_ALLELES} AS c, l_linenumber AS n FROM lineitem)
         SELECT window_start, variant_id, CAST(coalesce(sum(n) FILTER (c = 'ref'), 0) AS BIGINT) AS num_ref_reads,
         CAST(coalesce(sum(n) FILTER (c = 'alt'), 0) AS BIGINT) AS num_alt_reads, CAST(coalesce(sum(n) FILTER (c = 'other'), 0) AS BIGINT) AS num_other_reads FROM r GROUP BY ALL""",

@@ -21,6 +21,9 @@ def one(spark, column):
         (10, "C", "T", (10, "C", "T"), (9, 10)),
         (10, "CA", "CT", (10, "CA", "CT"), (9, 11)),
         (5, "TT", "T", (6, "T", ""), (5, 6)),
+        (5, "", "GT", (5, "", "GT"), (5, 5)),
+        (5, "GT", "", (5, "GT", ""), (4, 6)),
+        (5, "GT", "GT", (7, "", ""), (7, 7)),
     ],
 )
 def test_trim_variant(spark, pos, ref, alt, want, interval):
