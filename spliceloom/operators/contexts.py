@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dna import frame_to_offset, is_mitochondrial, reverse_complement, slice_text
 from ..functions.variants import with_trimmed
@@ -73,37 +74,37 @@ def reference_contexts(variants: DataFrame, transcripts: DataFrame, context_size
         transcripts = transcripts.where(F.col("transcript_id").isin(whitelist))
     usable = transcripts.where("start_codon_offset IS NOT NULL AND stop_codon_offset IS NOT NULL AND length(protein) > 0 AND length(sequence) >= 6")
     rows = overlapping_transcripts(variants, usable)
-    rows = rows.withColumn("i", interval_on_transcript(F.col("exons"), F.col("strand"), F.col("trimmed_pos"), F.col("trimmed_ref"))).where("i IS NOT NULL")
+    # A list of one or no interval is exploded: filters on the interval then don't compute it again.
+    interval = interval_on_transcript(F.col("exons"), F.col("strand"), F.col("trimmed_pos"), F.col("trimmed_ref"))
+    rows = rows.withColumn("i", F.explode(F.filter(F.array(interval), lambda i: i.isNotNull())))
     start, end, seq = F.col("i.start"), F.col("i.end"), F.col("sequence")
-    at = slice_text(seq, start, end)
     expected = F.when(F.col("strand") == "+", F.col("trimmed_ref")).otherwise(reverse_complement(F.col("trimmed_ref")))
     first, stop = F.col("start_codon_offset"), F.col("stop_codon_offset")
-    rows = rows.where((at == expected) & (start >= first + 3) & (start < stop + 3))
-    before = slice_text(seq, start - context_size, start)
-    n, distance = F.length(before), start - first
-    codons = F.floor(distance / 3)
-    begins = start - n
-    offset = F.when(n >= distance, first - begins).otherwise(frame_to_offset(F.pmod(begins - first, F.lit(3))))
-    in_prefix = F.when(n >= distance, codons).otherwise(F.floor((n - offset) / 3))
+    rows = rows.where((slice_text(seq, start, end) == expected) & (start >= first + 3) & (start < stop + 3))
+    rows = rows.withColumn("before", slice_text(seq, start - context_size, start))
+    rows = rows.withColumns({"n": F.length("before"), "distance": start - first, "codons": F.floor((start - first) / 3)})
+    n, distance, codons = F.col("n"), F.col("distance"), F.col("codons")
+    whole = n >= distance
+    skip = F.when(whole, first - start + n).otherwise(frame_to_offset(F.pmod(start - n - first, F.lit(3))))
+    rows = rows.withColumn("skip", skip.cast("int"))
+    rows = rows.withColumn("in_prefix", F.when(whole, codons).otherwise(F.floor((n - F.col("skip")) / 3)))
     keyed = rows.select(
         "variant_id",
         "contig",
         "strand",
-        before.alias("sequence_before_variant_locus"),
-        at.alias("sequence_at_variant_locus"),
+        F.col("before").alias("sequence_before_variant_locus"),
+        slice_text(seq, start, end).alias("sequence_at_variant_locus"),
         slice_text(seq, end, end + context_size).alias("sequence_after_variant_locus"),
-        offset.cast("int").alias("offset_to_first_complete_codon"),
-        (n >= distance).alias("contains_start_codon"),
+        F.col("skip").alias("offset_to_first_complete_codon"),
+        whole.alias("contains_start_codon"),
         (n > distance - 3).alias("overlaps_start_codon"),
         (n > distance).alias("contains_five_prime_utr"),
-        slice_text(F.col("protein"), codons - in_prefix, codons).alias("amino_acids_before_variant"),
+        slice_text(F.col("protein"), codons - F.col("in_prefix"), codons).alias("amino_acids_before_variant"),
         F.struct("transcript_id", "transcript_name", "gene_id", "gene_name").alias("transcript"),
         (stop + 3 - first).alias("cds"),
     )
     grouped = keyed.groupBy("variant_id", *KEY).agg(
         F.array_sort(F.collect_set("transcript")).alias("transcripts"), F.max("cds").alias("max_cds"), F.first(is_mitochondrial(F.col("contig"))).alias("mitochondrial")
     )
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("variant_id").orderBy(F.desc("max_cds"), F.col("transcripts")[0]["transcript_id"], *KEY)
     return grouped.withColumn("context_rank", F.row_number().over(order))

@@ -27,14 +27,15 @@ def transcript_effects(variants: DataFrame, transcripts: DataFrame) -> DataFrame
     """
     rows = overlapping_transcripts(variants, transcripts)
     rows = rows.withColumn("i", interval_on_transcript(F.col("exons"), F.col("strand"), F.col("trimmed_pos"), F.col("trimmed_ref")))
-    seq, start, end = F.col("sequence"), F.col("i.start"), F.col("i.end")
+    oriented = lambda c: F.when(F.col("strand") == "+", F.col(c)).otherwise(reverse_complement(F.col(c)))
+    rows = rows.withColumns({"_start": F.col("i.start"), "_end": F.col("i.end"), "_ref": oriented("trimmed_ref"), "_alt": oriented("trimmed_alt")})
+    seq, start, end, ref, alt = (F.col(c) for c in ("sequence", "_start", "_end", "_ref", "_alt"))
     first, stop = F.col("start_codon_offset"), F.col("stop_codon_offset")
-    oriented = lambda c: F.when(F.col("strand") == "+", c).otherwise(reverse_complement(c))
-    ref, alt = oriented(F.col("trimmed_ref")), oriented(F.col("trimmed_alt"))
-    coding = F.col("i").isNotNull() & first.isNotNull() & stop.isNotNull() & (start >= first) & (start < stop + 3) & (slice_text(seq, start, end) == ref)
+    rows = rows.withColumn("_coding", F.coalesce(first.isNotNull() & stop.isNotNull() & (start >= first) & (start < stop + 3) & (slice_text(seq, start, end) == ref), F.lit(False)))
+    coding = F.col("_coding")
     changed = F.concat(slice_text(seq, first, start), alt, slice_text(seq, end, F.length(seq)))
-    mitochondrial = is_mitochondrial(F.col("contig"))
-    rows = rows.withColumn("_changed", F.when(coding, changed)).withColumn("_p", translate(F.col("_changed"), mitochondrial, F.lit(True)))
+    rows = rows.withColumn("_changed", F.when(coding, changed))
+    rows = rows.withColumn("_p", translate(F.col("_changed"), is_mitochondrial(F.col("contig")), F.lit(True)))
     before, after = F.col("protein"), F.col("_p.amino_acids")
     shift = F.abs(F.length(ref) - F.length(alt)) % 3 != 0
     same_start = F.startswith(after, F.substring(before, 1, 1))

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dna import mismatches_after, mismatches_before, reverse_complement, right_part, slice_text, translate
-from .assembly import min_coverage, trim_by_coverage
+from ..functions.dna import left_part, mismatches_after, mismatches_before, reverse_complement, right_part, slice_text, translate
 from .contexts import KEY
 
 TRANSLATION_KEY = ("amino_acids", "contains_mutation", "mutation_start_idx", "mutation_end_idx", "ends_with_stop_codon", "frameshift")
@@ -36,12 +35,8 @@ def codon_offset_after_trim(offset: Column, trimmed: Column) -> Column:
     return F.when(trimmed <= offset, offset - trimmed).otherwise((3 - (trimmed - offset) % 3) % 3)
 
 
-def variant_orf(prefix: Column, alt: Column, suffix: Column, strand: Column, before: Column, after: Column, offset: Column) -> Column:
-    """A sequence laid against a reference context in the transcript's direction, prefixes cut to one length."""
-    plus = strand == "+"
-    p = F.when(plus, prefix).otherwise(reverse_complement(suffix))
-    a = F.when(plus, alt).otherwise(reverse_complement(alt))
-    s = F.when(plus, suffix).otherwise(reverse_complement(prefix))
+def oriented_orf(p: Column, a: Column, s: Column, before: Column, after: Column, offset: Column) -> Column:
+    """A sequence (prefix, allele, suffix) in the transcript's direction laid against a reference context, prefixes cut to one length."""
     n = F.least(F.length(p), F.length(before))
     cdna_before, reference_before = right_part(p, n), right_part(before, n)
     return F.struct(
@@ -56,39 +51,49 @@ def variant_orf(prefix: Column, alt: Column, suffix: Column, strand: Column, bef
     )
 
 
-ORF_TYPE = (
-    "struct<cdna_sequence:string,offset_to_first_complete_codon:int,variant_cdna_interval_start:int,variant_cdna_interval_end:int,"
-    "reference_cdna_sequence_before_variant:string,reference_cdna_sequence_after_variant:string,"
-    "num_mismatches_before_variant:int,num_mismatches_after_variant:int>"
-)
-
-
 def match_frames(sequences: DataFrame, contexts: DataFrame, options: ProteinOptions = ProteinOptions()) -> DataFrame:
     """Every sequence against every context of its variant, with ``orf`` where they match.
 
     A sequence with too many mismatches is cut to the positions that one read more
-    covers and tried again, up to ``attempts`` times: a fold over the attempts
-    inside one projection.
+    covers and tried again, up to ``attempts`` times. An attempt only moves the
+    numbers of nucleotides kept on either side: distances of the mismatches from
+    the variant and the reads' reaches, longest first, are found once before.
     """
     rows = sequences.join(contexts, "variant_id")
-    strand, reads = F.col("strand"), F.col("reads")
+    plus = F.col("strand") == "+"
     before, after, offset = (F.col(c) for c in (KEY[1], KEY[3], KEY[4]))
+    turned = lambda a, b: F.when(plus, F.col(a)).otherwise(reverse_complement(F.col(b)))
+    rows = rows.withColumns({"_p": turned("prefix", "suffix"), "_a": turned("alt", "alt"), "_s": turned("suffix", "prefix")})
+    reach = lambda a, b: F.sort_array(F.transform("reads", lambda r: F.when(plus, F.length(r[a])).otherwise(F.length(r[b]))), asc=False)
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    one = F.lit(1)
+    differs_before = F.filter(up_to(F.least(F.length("_p"), F.length(before))), lambda i: F.substring("_p", -i, one) != F.substring(before, -i, one))
+    differs_after = F.filter(up_to(F.least(F.length("_s"), F.length(after))), lambda i: F.substring("_s", i, one) != F.substring(after, i, one))
+    rows = rows.withColumns({"_left": reach("prefix", "suffix"), "_right": reach("suffix", "prefix"), "_before": differs_before, "_after": differs_after})
+    left, right = F.col("_left"), F.col("_right")
 
     def attempt(state: Column, _: Column) -> Column:
-        p, a, s = state["prefix"], state["alt"], state["suffix"]
-        long = F.when(strand == "+", F.length(p)).otherwise(F.length(s)) >= options.min_prefix
-        orf = variant_orf(p, a, s, strand, before, after, offset)
-        wrong = orf["num_mismatches_before_variant"]
+        p, s = state["p"], state["s"]
+        within = lambda places, n: F.size(F.filter(places, lambda x: x <= n))
+        wrong = within(F.col("_before"), p)
         if options.count_after:
-            wrong = wrong + orf["num_mismatches_after_variant"]
-        over = state["closed"] | ~long
-        found = F.when(state["orf"].isNotNull(), state["orf"]).when(~over & (wrong <= options.max_mismatches), orf.cast(ORF_TYPE))
-        cut = trim_by_coverage(p, a, s, reads, min_coverage(p, s, reads) + 1)
-        return F.struct(cut["prefix"].alias("prefix"), cut["alt"].alias("alt"), cut["suffix"].alias("suffix"), over.alias("closed"), found.alias("orf"))
-
-    start = F.struct("prefix", "alt", "suffix", F.lit(False).alias("closed"), F.lit(None).cast(ORF_TYPE).alias("orf"))
-    tried = F.aggregate(F.sequence(F.lit(1), F.lit(options.attempts)), start, attempt, lambda state: state["orf"])
-    return rows.withColumn("orf", tried).where("orf IS NOT NULL")
+            wrong = wrong + within(F.col("_after"), s) + F.greatest(F.lit(0), s - F.length(after))
+        closed = state["closed"] | (p < options.min_prefix)
+        found = state["found"] | (~closed & (wrong <= options.max_mismatches))
+        k = F.least(F.size(F.filter(left, lambda x: x >= p)), F.size(F.filter(right, lambda x: x >= s)))  # reads over every position
+        enough = F.size(left) > k
+        cut = lambda n, reached: F.when(found, n).when(enough, F.least(n, F.coalesce(F.get(reached, k), F.lit(0)))).otherwise(0)
+        fields = {"p": cut(p, left), "s": cut(s, right), "gone": F.when(found, state["gone"]).otherwise(~enough), "closed": closed, "found": found}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    no = F.lit(False)
+    start = F.struct(F.length("_p").alias("p"), F.length("_s").alias("s"), no.alias("gone"), no.alias("closed"), no.alias("found"))
+    tried = F.aggregate(F.sequence(F.lit(1), F.lit(options.attempts)), start, attempt)
+    rows = rows.withColumn("_m", F.explode(F.filter(F.array(tried), lambda state: state["found"])))
+    allele = F.when(F.col("_m.gone"), "").otherwise(F.col("_a"))
+    rows = rows.withColumns({"_p": right_part(F.col("_p"), F.col("_m.p")), "_a": allele, "_s": left_part(F.col("_s"), F.col("_m.s"))})
+    orf = oriented_orf(F.col("_p"), F.col("_a"), F.col("_s"), before, after, offset)
+    return rows.withColumn("orf", orf).drop("_p", "_a", "_s", "_left", "_right", "_before", "_after", "_m")
 
 
 def mutant_interval(coding_before: Column, n_alt: Column, n_ref: Column, n_acids: Column) -> Column:
@@ -112,7 +117,8 @@ def translations(frames: DataFrame, options: ProteinOptions = ProteinOptions())
     begin, end = F.col("orf.variant_cdna_interval_start"), F.col("orf.variant_cdna_interval_end")
     # Sequences with an unknown codon before the stop have no translation.
     rows = frames.withColumn("_c", slice_text(cdna, offset, F.length(cdna)))
-    rows = rows.withColumn("_t", translate(F.col("_c"), F.col("mitochondrial"))).drop("_c").where("_t.amino_acids IS NOT NULL")
+    made = F.filter(F.array(translate(F.col("_c"), F.col("mitochondrial"))), lambda t: t["amino_acids"].isNotNull())
+    rows = rows.withColumn("_t", F.explode(made)).drop("_c")
     coding = F.greatest(begin - offset, F.lit(0))
     rows = rows.withColumn("_m", mutant_interval(coding, end - begin, F.length("sequence_at_variant_locus"), F.length("_t.amino_acids")))
     full = F.col("_t.amino_acids")

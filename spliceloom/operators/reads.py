@@ -258,7 +258,7 @@ def base_counts_by_position(reads: DataFrame) -> DataFrame:
     """Bases seen at each reference position of a locus' reads, one column per base."""
     zipped = F.explode(F.arrays_zip(F.col("reference_positions").alias("pos"), F.split("sequence", "").alias("base")))
     seen = reads.select("variant_id", zipped.alias("z")).select("variant_id", "z.pos", "z.base").where("pos IS NOT NULL")
-    return seen.groupBy("variant_id", "pos").pivot("base", ["A", "C", "G", "T"]).count().na.fill(0)
+    return seen.groupBy("variant_id", "pos").agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"])
 
 
 def modal_allele(reads: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ NULL_WITHOUT_PROTEIN = {
 
 
 def trimmed_to(protein: Column, acids: Column, effect_start: Column, mutation_start: Column) -> Column:
-    """The part of a predicted protein that a protein from reads covers: mutations laid on each other."""
+    """The part of a predicted protein that a protein from reads covers: mutations laid on each other; null without one of them."""
     begin = F.greatest(effect_start - mutation_start, F.lit(0))
-    return slice_text(protein, begin, begin + F.length(acids))
+    return F.when(acids.isNotNull(), slice_text(protein, begin, begin + F.length(acids)))
 
 
 def names_from_proteins(proteins: DataFrame, most: int | None = None) -> DataFrame:

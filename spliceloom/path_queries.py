@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import dna
 from .operators import assembly, contexts, effects, evidence, filters, proteins, reads, results
+from .plans.scratch import stage_table
 from .queries import _dna, _evidence, _table, _translated
 
 # Alignments: one per document, of all its A, C, G, T and N. Clips, gaps, flags and qualities depend on the id.
@@ -28,7 +29,7 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.upper("text"), "[^ACGTN]", "")
     rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", text.alias("seq")).where("length(seq) >= 40 AND lang IS NOT NULL")
     rows = rows.withColumns({"n": F.length("seq"), "h": F.expr("length(seq) div 2")})
-    return rows.select(
+    made = rows.select(
         F.col("doc_id").alias("read_ordinal"),
         F.expr("CASE WHEN doc_id % 17 <> 0 THEN CAST(doc_id AS STRING) END").alias("qname"),
         F.expr(FLAG).cast("int").alias("flag"),
@@ -40,6 +41,8 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("repeat('I', CAST(n - CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS INT))").alias("qual"),
         F.lit(None).cast("string").alias("md"),
     )
+    # Written like a real input: the optimiser then doesn't copy the layout above into the operators' filters.
+    return stage_table(made, "query-alignments")
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +127,7 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda a, z: F.struct(F.expr(a).cast("long").alias("start"), F.expr(z).cast("long").alias("end"))
     forward = F.array(span("1001", "1000 + h"), span("1101 + h", "1100 + n"))
     backward = F.array(span("1101 + n - h", "1100 + n"), span("1001", "1000 + n - h"))
-    return d.select(
+    made = d.select(
         "doc_id",
         F.col("doc_id").cast("string").alias("transcript_id"),
         F.lit("t").alias("transcript_name"),
@@ -142,6 +145,7 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n",
         "h",
     )
+    return stage_table(made, "query-transcripts")
 
 
 #: Offset of a transcript's variant, its genomic place, and its alleles in the transcript's direction.
@@ -155,9 +159,10 @@ NEW = "CASE doc_id % 4 WHEN 0 THEN translate(substr(sequence, t + 1, 1), 'ACGT',
 def _transcript_variants(transcripts: DataFrame) -> DataFrame:
     rows = transcripts.withColumn("t", F.expr(AT)).withColumns({"old": F.expr(OLD), "new": F.expr(NEW)})
     genomic = lambda c: F.expr(f"CASE WHEN doc_id % 2 = 0 THEN {c} ELSE reverse(translate({c}, 'ACGT', 'TGCA')) END")
-    return rows.select(
+    made = rows.select(
         F.col("doc_id").alias("variant_id"), F.col("doc_id").cast("string").alias("contig"), F.expr(PLACE).cast("long").alias("pos"), genomic("old").alias("ref"), genomic("new").alias("alt")
     )
+    return stage_table(made, "query-variants")
 
 
 def reference_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,8 +440,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT chr, CAST(pos AS BIGINT) AS pos, r AS ref, t AS alt, CAST(tp AS BIGINT) AS trimmed_base1_start, tr AS trimmed_ref, ta AS trimmed_alt,
         {", ".join(f"coalesce({c}_reads, 0) AS {c}_reads" for c in evidence.CLASSES)} FROM l LEFT JOIN c USING (variant_id)""",
     "merged_mates": """WITH d AS (SELECT doc_id, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS x FROM documents), m AS (SELECT * FROM d WHERE length(x) >= 40 AND lang IS NOT NULL)
-        SELECT lang AS variant_id, CAST(doc_id AS VARCHAR) AS name, substr(x, 1, 40) AS sequence, 2 AS source_read_count, 15 AS read_base0_start, 16 AS read_base0_end,
-        1200 + 10 * CASE WHEN doc_id % 3 = 1 THEN 20 ELSE 40 END AS sum_of_qualities FROM m WHERE doc_id % 3 <> 0
+        SELECT lang AS variant_id, CAST(doc_id AS VARCHAR) AS name, substr(x, 1, 40) AS sequence, CAST(2 AS BIGINT) AS source_read_count, CAST(15 AS BIGINT) AS read_base0_start, CAST(16 AS BIGINT) AS read_base0_end,
+        CAST(1200 + 10 * CASE WHEN doc_id % 3 = 1 THEN 20 ELSE 40 END AS BIGINT) AS sum_of_qualities FROM m WHERE doc_id % 3 <> 0
         UNION ALL SELECT lang, CAST(doc_id AS VARCHAR), substr(x, 1, 30), 1, 15, 16, 1200 FROM m WHERE doc_id % 3 = 0
         UNION ALL SELECT lang, CAST(doc_id AS VARCHAR), substr(x, 11, 10) || translate(substr(x, 21, 1), 'ACGT', 'CGTA') || substr(x, 22, 19), 1, 5, 6, 1200 FROM m WHERE doc_id % 3 = 0""",
     "reference_contexts": f"""WITH {_TRANSCRIPTS}, k AS (SELECT *, s + length(old) AS e, least(s, 30) AS w, s - 6 AS away FROM u WHERE NOT off AND s >= 9 AND s < stop + 3),
