@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from itertools import combinations
+import itertools
+from bisect import bisect_left, insort
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dna import left_part, right_part
+from ..plans.scratch import stage_table
 from .evidence import unique_sequences
 from .reads import modal_allele
 
@@ -34,33 +38,36 @@ class Sequence:
     def contains(self, other: Sequence) -> bool:
         return self.alt == other.alt and self.prefix.endswith(other.prefix) and self.suffix.startswith(other.suffix)
 
-    def overlap(self, other: Sequence) -> int:
-        """Shared nucleotides if this one reaches further left and ``other`` further right; else 0."""
-        fits = self.alt == other.alt and len(other.prefix) <= len(self.prefix) and len(other.suffix) >= len(self.suffix)
-        if not fits or not self.prefix.endswith(other.prefix) or not other.suffix.startswith(self.suffix):
-            return 0
-        return len(other.prefix) + len(self.suffix) + len(self.alt)
+    def joined(self, other: Sequence, least: int) -> tuple[int, Sequence] | None:
+        """Both as one and the nucleotides they share, if those are ``least`` or more.
 
-    def combine(self, other: Sequence, least: int) -> Sequence | None:
-        """Both as one, if one contains the other or they overlap by ``least`` or more."""
-        longer, shorter = (self, other) if len(self.text) >= len(other.text) else (other, self)
-        if longer.contains(shorter):
-            return Sequence(longer.prefix, longer.alt, longer.suffix, longer.reads | shorter.reads) if len(shorter.text) >= least else None
-        for left, right in ((self, other), (other, self)):
-            if left.overlap(right) >= max(1, least):
-                return Sequence(left.prefix, left.alt, right.suffix, left.reads | right.reads)
-        return None
+        Both hold the allele, so they agree if the shorter of their prefixes ends the
+        longer one and the shorter of their suffixes begins the longer one.
+        """
+        p, q = sorted((self.prefix, other.prefix), key=len)
+        s, t = sorted((self.suffix, other.suffix), key=len)
+        shared = len(p) + len(self.alt) + len(s)
+        if self.alt != other.alt or shared < max(1, least) or not (q.endswith(p) and t.startswith(s)):
+            return None
+        return shared, Sequence(q, self.alt, t, self.reads | other.reads)
 
 
 def collapse(sequences: list[Sequence]) -> list[Sequence]:
-    """Without sequences that a longer one contains; the first such one, longest first, takes their reads."""
+    """Without sequences that a longer one contains; the first such one, longest first, takes their reads.
+
+    Prefixes are kept backwards and sorted, so those that end in a given prefix lie next to each other.
+    """
     kept: list[Sequence] = []
-    for s in sorted(sequences, key=lambda s: -len(s.text)):
-        k = next((k for k, big in enumerate(kept) if big.contains(s)), None)
-        if k is None:
+    by_allele: dict[str, list[tuple[str, int]]] = {}
+    for s in sorted(sequences, key=lambda s: len(s.text), reverse=True):
+        backwards, places = s.prefix[::-1], by_allele.setdefault(s.alt, [])
+        fits = itertools.takewhile(lambda x: x[0].startswith(backwards), itertools.islice(places, bisect_left(places, (backwards, -1)), None))
+        into = min((k for _, k in fits if kept[k].suffix.startswith(s.suffix)), default=None)
+        if into is None:
+            insort(places, (backwards, len(kept)))
             kept.append(s)
         else:
-            kept[k] = Sequence(kept[k].prefix, kept[k].alt, kept[k].suffix, kept[k].reads | s.reads)
+            kept[into] = replace(kept[into], reads=kept[into].reads | s.reads)
     return kept
 
 
@@ -75,67 +82,59 @@ def pairs_to_try(sequences: list[Sequence], least: int) -> list[tuple[int, int]]
         text = sequences[k].text
         for piece in {text[i : i + n] for i in range(len(text) - n + 1)}:
             index.setdefault(piece, []).append(k)
-    return sorted({pair for held in index.values() for pair in combinations(held, 2)})
-
-
-def merge_round(sequences: list[Sequence], least: int) -> list[Sequence] | None:
-    """One round of merges, best first, each sequence once; null if nothing merges."""
-    scored = []
-    for i, j in pairs_to_try(sequences, least):
-        a, b = sequences[i], sequences[j]
-        if (both := a.combine(b, least)) is not None:
-            shared = len(a.text) + len(b.text) - len(both.text)
-            scored.append((-shared, -len(both.reads), i, j, both))
-    if not scored:
-        return None
-    used: set[int] = set()
-    merged: dict[tuple[str, str, str], frozenset] = {}
-    for _, _, i, j, both in sorted(scored, key=lambda x: x[:4]):
-        if i not in used and j not in used:
-            used |= {i, j}
-            key = both.prefix, both.alt, both.suffix
-            merged[key] = merged.get(key, frozenset()) | both.reads
-    return [Sequence(*key, reads) for key, reads in merged.items()] + [s for k, s in enumerate(sequences) if k not in used]
-
-
-def assemble(sequences: list[Sequence], least: int, limit: int | None = MERGE_LIMIT) -> list[Sequence]:
-    """Collapse, then merge overlaps until nothing changes; more than ``limit`` sequences are only collapsed; None merges all."""
-    if len(sequences) <= 1:
-        return sequences
+    return sorted({pair for held in index.values() for pair in itertools.combinations(held, 2)})
+
+
+def assemble(sequences: list[Sequence], least: int, limit: int | None = MERGE_LIMIT, sizes: Mapping[int, int] | None = None) -> list[Sequence]:
+    """Sequences collapsed and merged until none overlap, most reads first.
+
+    More than ``limit`` sequences are only collapsed; None merges all. In a round
+    the pair with the longest overlap goes first, then the one with most reads, and
+    a sequence is merged once. ``sizes`` says how many reads a number stands for.
+    """
+    support = lambda s: sum((sizes or {}).get(k, 1) for k in s.reads)
     current = collapse(sequences)
-    if limit is None or len(current) <= limit:
-        while (further := merge_round(current, least)) is not None:
-            current = further
-    return sorted(current, key=lambda s: -len(s.reads))
+    while limit is None or len(current) <= limit:
+        heap: list = []
+        for i, j in pairs_to_try(current, least):
+            if found := current[i].joined(current[j], least):
+                heappush(heap, (-found[0], -support(found[1]), i, j, found[1]))
+        if not heap:
+            break
+        free, made = dict(enumerate(current)), {}
+        while heap:
+            *_, i, j, both = heappop(heap)
+            if i in free and j in free:
+                del free[i], free[j]
+                same = made.get((both.prefix, both.suffix, both.alt), both)
+                made[both.prefix, both.suffix, both.alt] = replace(both, reads=both.reads | same.reads)
+        current = [*made.values(), *free.values()]
+    return sorted(current, key=support, reverse=True)
 
 
 def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_LIMIT) -> DataFrame:
-    """Unique sequences of each variant assembled; ``least`` is the overlap that merging needs, ``limit`` as in ``assemble``."""
+    """Unique sequences of each variant assembled; ``least`` is the overlap that merging needs, ``limit`` as in ``assemble``.
+
+    A task gets a variant's distinct sequences with their numbers of reads. The reads stay where they are: every read
+    belongs to one distinct sequence, and those of an assembled one are joined to it by its members.
+    """
+    unique = stage_table(unique, "unique-sequences")
+    kind = unique.schema["variant_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["seen"])
-        reads: dict[tuple, int] = {}
-        found = []
-        for r in rows:
-            numbers = [reads.setdefault(tuple(sorted(x.items())), len(reads)) for x in r["reads"]]
-            found.append(Sequence(r["prefix"], r["alt"], r["suffix"], frozenset(numbers)))
-        by_number = [dict(x) for x in reads]
-        out = [
-            {
-                "variant_id": rows[0]["variant_id"],
-                "prefix": s.prefix,
-                "alt": s.alt,
-                "suffix": s.suffix,
-                "reads": [by_number[k] for k in sorted(s.reads)],
-                "seen": n,
-            }
-            for n, s in enumerate(assemble(found, rows[0]["least"], limit))
-        ]
-        return pa.Table.from_pylist(out, schema=table.schema.remove(table.schema.get_field_index("least")))
-
-    columns = ["variant_id", "prefix", "alt", "suffix", "reads", "seen"]
-    rows = unique.select(*columns, least.cast("int").alias("least"))
-    return rows.groupBy("variant_id").applyInArrow(run, unique.select(*columns).schema)
+        rows = table.sort_by("seen").to_pylist()
+        found = [Sequence(r["prefix"], r["alt"], r["suffix"], frozenset([r["seen"]])) for r in rows]
+        made = assemble(found, rows[0]["least"], limit, {r["seen"]: r["n"] for r in rows})
+        out = [(table["variant_id"][0], s.prefix, s.alt, s.suffix, n, member) for n, s in enumerate(made) for member in s.reads]
+        names = ["variant_id", "prefix", "alt", "suffix", "rank", "seen"]
+        kinds = [table.schema.field("variant_id").type, *[pa.string()] * 3, pa.int64(), pa.int64()]
+        return pa.table([pa.array([r[k] if k else r[k].as_py() for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    groups = unique.select("variant_id", "prefix", "alt", "suffix", "seen", F.size("reads").alias("n"), least.cast("int").alias("least"))
+    members = groups.groupBy("variant_id").applyInArrow(run, f"variant_id {kind}, prefix string, alt string, suffix string, rank long, seen long")
+    joined = members.join(unique.select("variant_id", "seen", "reads"), ["variant_id", "seen"])
+    made = joined.groupBy("variant_id", "prefix", "alt", "suffix", "rank").agg(F.array_sort(F.flatten(F.collect_list("reads"))).alias("reads"))
+    return made.withColumnRenamed("rank", "seen").select("variant_id", "prefix", "alt", "suffix", "reads", "seen")
 
 
 def read_lengths(reads: Column, side: str) -> Column:

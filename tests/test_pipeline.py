@@ -155,8 +155,9 @@ def test_effects(spark, transcripts):
 def test_assembly():
     s = lambda p, a, t, *r: Sequence(p, a, t, frozenset(r))
     a, b, c = s("AACC", "G", "TT", 1), s("CC", "G", "TTAA", 2), s("C", "G", "T", 3)
-    assert a.contains(c) and not a.contains(b) and a.overlap(b) == 5
-    assert a.combine(b, 5) == s("AACC", "G", "TTAA", 1, 2) and a.combine(b, 6) is None
+    assert a.contains(c) and not a.contains(b)
+    assert a.joined(b, 5) == b.joined(a, 5) == (5, s("AACC", "G", "TTAA", 1, 2)) and a.joined(b, 6) is None
+    assert a.joined(c, 3) == (3, s("AACC", "G", "TT", 1, 3)) and a.joined(s("AACC", "T", "TT"), 1) is None
     assert collapse([c, a, b]) == [s("AACC", "G", "TT", 1, 3), b]
     assert assemble([a, b, c], 5) == [s("AACC", "G", "TTAA", 1, 2, 3)]
     rng = random.Random(3)
