@@ -51,9 +51,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-transcript-prefix-length", type=int, default=10)
     p.add_argument("--max-reference-transcript-mismatches", type=int, default=2)
     p.add_argument("--count-mismatches-after-variant", action="store_true")
-    p.add_argument("--context-size", type=int, default=30)
-    for name, kind, value in (("num-alt-reads", int, 3), ("num-alt-fragments", int, 2), ("fraction-alt-fragments", float, 0.005), ("ratio-alt-to-other-fragments", float, 3.0)):
-        p.add_argument(f"--min-{name}", type=kind, default=value)
+    p.add_argument("--reference-context-size", "--context-size", type=int, default=30)
+    p.add_argument("--variant-sequence-length", type=int, default=90, help="nucleotides of a sequence (variant-sequences only)")
+    limits = {"num-alt-reads": ("alt-rna-reads", int, 3), "num-alt-fragments": ("alt-rna-fragments", int, 2), "fraction-alt-fragments": ("alt-rna-fraction", float, 0.005)}
+    for name, (short, kind, value) in limits.items():
+        p.add_argument(f"--min-{short}", f"--min-{name}", dest=f"min_{name.replace('-', '_')}", type=kind, default=value)
+    p.add_argument("--min-ratio-alt-to-other-fragments", type=float, default=3.0)
     return p
 
 
@@ -73,7 +76,8 @@ def options_of(a: argparse.Namespace) -> Options:
         assembly=not a.disable_variant_sequence_assembly,
         min_overlap=a.min_assembly_overlap,
         thresholds={k: getattr(a, k) for k in base.thresholds},
-        context_size=a.context_size if a.command == "reference-contexts" else None,
+        context_size=a.reference_context_size if a.command == "reference-contexts" else None,
+        sequence_length=a.variant_sequence_length if a.command == "variant-sequences" else None,
     )
 
 
@@ -92,8 +96,9 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.appName("spliceloom").getOrCreate()
     alignments = readers.read_alignments(spark, a.bam) if a.bam else None
     transcripts = readers.read_transcripts(spark, a.transcripts) if a.transcripts else None
-    run = Run(variants_of(spark, a), alignments, transcripts, options_of(a))
-    readers.write_table(COMMANDS[a.command](run), a.output or f"spliceloom-{a.command}.csv", a.output_columns)
+    run = Run(variants_of(spark, a), alignments, transcripts, options_of(a), readers.read_contigs(spark, a.bam) if a.bam else None)
+    whole = a.command not in ("allele-reads", "variant-reads")  # tables of reads are too large for one task
+    readers.write_table(COMMANDS[a.command](run), a.output or f"spliceloom-{a.command}.csv", a.output_columns, whole)
 
 
 if __name__ == "__main__":

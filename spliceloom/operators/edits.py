@@ -31,10 +31,15 @@ def _unexplained(reference_before: pd.Series, before: pd.Series, reference_after
     return pd.Series(out)
 
 
-def unexplained_edits(proteins: DataFrame, known: DataFrame) -> DataFrame:
-    """(variant_id, transcript_id, transcript_name, edit): differences of each protein's cDNA from the transcript beside the variant."""
-    rows = proteins.select("variant_id", F.explode("translations").alias("t")).select("variant_id", "t.orf", F.explode("t.transcripts").alias("x"))
-    rows = rows.select("variant_id", "orf", "x.transcript_id").distinct().join(known, ["variant_id", "transcript_id"])
+def _with_transcripts(proteins: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keys, orf and transcript_id of every translation and transcript behind the proteins, each once."""
+    rows = proteins.select(*keys, F.explode("translations").alias("t")).select(*keys, "t.orf", F.explode("t.transcripts").alias("x"))
+    return rows.select(*keys, "orf", "x.transcript_id").distinct()
+
+
+def unexplained_edits(proteins: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("variant_id",)) -> DataFrame:
+    """(keys, transcript_id, transcript_name, edit): differences of each protein's cDNA from the transcript beside the variant."""
+    rows = _with_transcripts(proteins, keys).join(known, ["variant_id", "transcript_id"])
     cdna, begin, end = F.col("orf.cdna_sequence"), F.col("orf.variant_cdna_interval_start"), F.col("orf.variant_cdna_interval_end")
     found = _unexplained(
         F.col("orf.reference_cdna_sequence_before_variant"),
@@ -44,9 +49,26 @@ def unexplained_edits(proteins: DataFrame, known: DataFrame) -> DataFrame:
         F.col("edit.cdna_start"),
         F.col("edit.cdna_end"),
     )
-    each = rows.select("variant_id", "transcript_id", "transcript_name", F.explode(found).alias("e"))
+    each = rows.select(*keys, "transcript_id", "transcript_name", F.explode(found).alias("e"))
     edit = F.struct("e.cdna_start", "e.cdna_end", "e.alt_bases", F.lit(None).cast("long").alias("source_variant"))
-    return each.select("variant_id", "transcript_id", "transcript_name", edit.alias("edit")).distinct()
+    return each.select(*keys, "transcript_id", "transcript_name", edit.alias("edit")).distinct()
+
+
+def protein_edits(proteins: DataFrame, known: DataFrame) -> DataFrame:
+    """Edits behind each protein, over all its translations and transcripts, sorted and each once, by category.
+
+    Columns: variant_id, protein_rank, known_somatic, known_germline (always empty),
+    unexplained. Edits are structs of transcript, place, bases and source variant.
+    """
+    keys = ("variant_id", "protein_rank")
+    on = F.struct("transcript_id", "edit.cdna_start", "edit.cdna_end", "edit.alt_bases", "edit.source_variant")
+    gathered = lambda rows, name: rows.select(*keys, on.alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_set("e")).alias(name))
+    somatic = gathered(_with_transcripts(proteins, keys).drop("orf").distinct().join(known, ["variant_id", "transcript_id"]), "known_somatic")
+    other = gathered(unexplained_edits(proteins, known, keys), "unexplained")
+    rows = proteins.select(*keys).join(somatic, [*keys], "left").join(other, [*keys], "left")
+    none = lambda c: F.array().cast(rows.schema[c].dataType)
+    listed = lambda c: F.coalesce(c, none(c)).alias(c)
+    return rows.select(*keys, listed("known_somatic"), none("known_somatic").alias("known_germline"), listed("unexplained"))
 
 
 def categorized_edits(known: DataFrame, unexplained: DataFrame) -> DataFrame:

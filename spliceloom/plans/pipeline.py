@@ -35,6 +35,7 @@ class Options:
     min_shared_fragments: int = 2
     whitelist: list[str] | None = None
     context_size: int | None = None
+    sequence_length: int | None = None
 
     @classmethod
     def command_line(cls, **changes) -> Options:
@@ -43,7 +44,7 @@ class Options:
 
     @property
     def sequences(self) -> SequenceOptions:
-        return SequenceOptions(self.proteins.cdna_length, self.coverage, self.assembly, self.min_overlap)
+        return SequenceOptions(self.sequence_length or self.proteins.cdna_length, self.coverage, self.assembly, self.min_overlap)
 
 
 class Run:
@@ -53,12 +54,12 @@ class Run:
     are first asked for; the others are plans.
     """
 
-    def __init__(self, variants: DataFrame, alignments: DataFrame | None, transcripts: DataFrame | None, options: Options = Options()) -> None:
-        self.variants, self.alignments, self.transcripts, self.options = variants, alignments, transcripts, options
+    def __init__(self, variants: DataFrame, alignments: DataFrame | None, transcripts: DataFrame | None, options: Options = Options(), contigs: DataFrame | None = None) -> None:
+        self.variants, self.alignments, self.transcripts, self.options, self.contigs = variants, alignments, transcripts, options, contigs
 
     @cached_property
     def locus_reads(self) -> DataFrame:
-        return locus_reads(self.variants, self.alignments, self.options.reads)
+        return locus_reads(self.variants, self.alignments, self.options.reads, self.contigs)
 
     @cached_property
     def evidence(self) -> DataFrame:

@@ -1,4 +1,9 @@
-"""BAM files as a Spark data source: one task per file, records decoded from the gzip members in turn."""
+"""BAM files as a Spark data source.
+
+A file with an index (FILE.bai or FILE with .bai for .bam) is cut into ranges of about ``split_bytes`` compressed bytes
+that begin at records, one task each; a file without index is one task. Paths with a scheme are opened through Arrow's
+file systems, others as files that all executors see.
+"""
 
 from __future__ import annotations
 
@@ -18,27 +23,93 @@ CIGAR_CODES = "MIDNSHP=X"
 TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
 
+def _open(path: str):
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 class _Stream:
-    """Bytes of concatenated gzip members."""
+    """Bytes of concatenated gzip members, with places as indexes name them: a member's offset << 16 | a byte in it."""
 
     def __init__(self, path: str) -> None:
-        self.file = open(path, "rb")
-        self.inflate = zlib.decompressobj(31)
-        self.held = bytearray()
+        self.file = _open(path)
+        self.seek(0)
+
+    def seek(self, place: int) -> None:
+        self.file.seek(place >> 16)
+        self.at = self.next = place >> 16
+        self.raw, self.held, self.used = b"", b"", 0
+        if place & 0xFFFF:
+            self._member()
+            self.used = place & 0xFFFF
+
+    def tell(self) -> int:
+        return self.next << 16 if self.used == len(self.held) else self.at << 16 | self.used
+
+    def _member(self) -> bool:
+        """Take the next member; false at the end of the file."""
+        inflate, out, fed = zlib.decompressobj(31), [], 0
+        while not inflate.eof:
+            data = self.raw or self.file.read(1 << 16)
+            self.raw = b""
+            if not data:
+                break
+            fed += len(data)
+            out.append(inflate.decompress(data))
+        self.raw = inflate.unused_data
+        self.at, self.next = self.next, self.next + fed - len(self.raw)
+        self.held, self.used = b"".join(out), 0
+        return fed > 0
 
     def read(self, n: int) -> bytes:
-        while len(self.held) < n:
-            data = self.inflate.unused_data or self.file.read(1 << 16)
-            if not data:
+        out = []
+        while n:
+            if self.used == len(self.held) and not self._member():
                 break
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-            self.held += self.inflate.decompress(data)
-            if not self.inflate.eof and not self.inflate.unused_data:
-                continue
-        out = bytes(self.held[:n])
-        del self.held[:n]
-        return out
+            out.append(self.held[self.used : self.used + n])
+            self.used += len(out[-1])
+            n -= len(out[-1])
+        return b"".join(out)
+
+
+def record_places(index: bytes) -> list[int]:
+    """Places in the file at which records begin, in order, from the chunks and intervals of a BAI index."""
+    if index[:4] != b"BAI\1":
+        raise ValueError("not a BAI index")
+    found: set[int] = set()
+    (n_contigs,) = struct.unpack_from("<i", index, 4)
+    at = 8
+    for _ in range(n_contigs):
+        (n_bins,) = struct.unpack_from("<i", index, at)
+        at += 4
+        for _ in range(n_bins):
+            number, n_chunks = struct.unpack_from("<Ii", index, at)
+            at += 8
+            if number != 37450:  # the bin of counts holds no places
+                found.update(struct.unpack_from(f"<{2 * n_chunks}Q", index, at)[::2])
+            at += 16 * n_chunks
+        (n_intervals,) = struct.unpack_from("<i", index, at)
+        found.update(struct.unpack_from(f"<{n_intervals}Q", index, at + 4))
+        at += 4 + 8 * n_intervals
+    return sorted(found - {0})
+
+
+def _ranges(path: str, split_bytes: int) -> list[tuple[int | None, int | None]]:
+    """Ranges (begin, end) of places; null for the file's begin and end."""
+    index = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if "://" not in p and os.path.exists(p)), None)
+    cuts: list[int] = []
+    if index:
+        with open(index, "rb") as f:
+            last = 0
+            for place in record_places(f.read()):
+                if (place >> 16) - last >= split_bytes:
+                    cuts.append(place)
+                    last = place >> 16
+    return list(zip([None, *cuts], [*cuts, None]))
 
 
 def _md_tag(data: bytes) -> str | None:
@@ -59,9 +130,7 @@ def _md_tag(data: bytes) -> str | None:
     return None
 
 
-def decode_bam(path: str, base: int = 0) -> Iterator[tuple]:
-    """Records of a BAM file as rows of ``SCHEMA``; read_ordinal starts at ``base``."""
-    stream = _Stream(path)
+def _contigs(stream: _Stream, path: str) -> list[str]:
     if stream.read(4) != b"BAM\1":
         raise ValueError(f"{path} is not a BAM file")
     (n,) = struct.unpack("<i", stream.read(4))
@@ -72,8 +141,17 @@ def decode_bam(path: str, base: int = 0) -> Iterator[tuple]:
         (size,) = struct.unpack("<i", stream.read(4))
         names.append(stream.read(size)[:-1].decode())
         stream.read(4)
+    return names
+
+
+def decode_bam(path: str, base: int = 0, begin: int | None = None, end: int | None = None) -> Iterator[tuple]:
+    """Records of a BAM file that begin from ``begin`` to before ``end``, as rows of ``SCHEMA``; read_ordinal starts at ``base``."""
+    stream = _Stream(path)
+    names = _contigs(stream, path)
+    if begin is not None:
+        stream.seek(begin)
     ordinal = base
-    while len(head := stream.read(4)) == 4:
+    while (end is None or stream.tell() < end) and len(head := stream.read(4)) == 4:
         data = stream.read(struct.unpack("<i", head)[0])
         ref, pos, name_size, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", data)
         at = 32
@@ -92,39 +170,49 @@ def decode_bam(path: str, base: int = 0) -> Iterator[tuple]:
         ordinal += 1
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, base: int) -> None:
-        self.path, self.base = path, base
+class _Range(InputPartition):
+    def __init__(self, path: str, base: int, begin: int | None, end: int | None) -> None:
+        self.path, self.base, self.begin, self.end = path, base, begin, end
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, split_bytes: int, contigs: bool) -> None:
+        self.path, self.split_bytes, self.contigs = path, split_bytes, contigs
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
+        if "://" in self.path:
+            found = [self.path]
+        else:
+            found = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         if not found:
             raise FileNotFoundError(self.path)
-        return [_File(p, k << 40) for k, p in enumerate(found)]
+        # Ordinals grow in file order: file, range of the file, record of the range.
+        ranges = [[(None, None)] if self.contigs else _ranges(p, self.split_bytes) for p in found]
+        return [_Range(p, k << 52 | n << 32, *r) for k, (p, rs) in enumerate(zip(found, ranges)) for n, r in enumerate(rs)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        return decode_bam(partition.path, partition.base)
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        if self.contigs:
+            return ((name,) for name in _contigs(_Stream(partition.path), partition.path))
+        return decode_bam(partition.path, partition.base, partition.begin, partition.end)
 
 
 class BamSource(DataSource):
-    """spark.read.format("spliceloom_bam").load(path): a file, a pattern or a folder that all executors see."""
+    """spark.read.format("spliceloom_bam").load(path): a file, a pattern or a folder.
+
+    Option split_bytes is the size of a task's range, contigs=true reads only the names in the headers.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "spliceloom_bam"
 
     def schema(self) -> str:
-        return SCHEMA
+        return "rname string" if self.options.get("contigs") == "true" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("split_bytes", 32 << 20)), self.options.get("contigs") == "true")
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("spliceloom_bam").load(path)
+    return spark.read.format("spliceloom_bam").options(**options).load(path)

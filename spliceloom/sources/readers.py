@@ -20,6 +20,12 @@ def _numbered(variants: DataFrame) -> DataFrame:
     return variants.select(key.alias("variant_id"), "contig", F.col("pos").cast("long").alias("pos"), "ref", "alt").dropDuplicates(["variant_id"])
 
 
+def vcf_reference(spark: SparkSession, path: str) -> str | None:
+    """Reference genome that a VCF file's header names."""
+    named = spark.read.text(path).where(F.startswith("value", F.lit("##reference="))).limit(1).collect()
+    return named[0].value.partition("=")[2].strip() if named else None
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Variants of a VCF file; columns are taken by place, and each alternative allele is a variant."""
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
@@ -82,6 +88,19 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return read_sam(spark, path) if path.endswith(".sam") else spark.read.parquet(path)
 
 
+def read_contigs(spark: SparkSession, path: str) -> DataFrame | None:
+    """(rname): contigs that a file's header names; null for files without header."""
+    if path.endswith(".bam"):
+        from .bam import read_bam
+
+        return read_bam(spark, path, contigs="true").distinct()
+    if not path.endswith(".sam"):
+        return None
+    name = F.regexp_extract("value", "\tSN:([^\t]+)", 1)
+    found = spark.read.text(path).where(F.startswith("value", F.lit("@SQ"))).select(name.alias("rname")).distinct()
+    return found if found.limit(1).count() else None
+
+
 def ingest_alignments(alignments: DataFrame, path: str, partitions: int) -> None:
     """Write alignments sorted by place, so that row groups of other loci are skipped when they are read."""
     alignments.repartitionByRange(partitions, "rname", "pos").sortWithinPartitions("rname", "pos", "read_ordinal").write.parquet(path)
@@ -93,11 +112,11 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return reader.json(path) if path.endswith((".json", ".jsonl")) else reader.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Write one CSV file with a header, of all or the named columns."""
+def write_table(df: DataFrame, path: str, columns: list[str] | None = None, one_file: bool = True) -> None:
+    """Write CSV with a header, of all or the named columns; in one file, or in one of each task for tables of reads."""
     if columns:
         unknown = [c for c in columns if c not in df.columns]
         if unknown:
             raise ValueError(f"no such columns: {', '.join(unknown)}; there are: {', '.join(df.columns)}")
         df = df.select(*[F.col(f"`{c}`") for c in columns])
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)

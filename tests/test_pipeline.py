@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spliceloom import cli
 from spliceloom.functions.dna import codon_table
-from spliceloom.operators import assembly, edits, phasing, proteins
+from spliceloom.operators import assembly, edits, phasing, proteins, results
 from spliceloom.operators.assembly import Sequence, assemble, collapse, pairs_to_try
 from spliceloom.operators.contexts import reference_contexts
 from spliceloom.operators.effects import top_effects, transcript_effects
@@ -254,6 +254,35 @@ def test_edits(inputs, transcripts):
     assert [tuple(e)[:3] for e in minus.edits] == [(160, 161, new)]
     kinds = {x.category for x in edits.categorized_edits(known, more).collect()}
     assert "known_somatic" in kinds
+    of_proteins = {x.variant_id: x for x in edits.protein_edits(r.proteins, known).collect()}
+    assert len(of_proteins) == 3
+    for x in rows:
+        p = of_proteins[x.variant_id]
+        assert {tuple(e)[1:4] for e in p.known_somatic} | {tuple(e)[1:4] for e in p.unexplained} == {tuple(e)[:3] for e in x.edits}
+        assert p.known_germline == [] and p.known_somatic == sorted(p.known_somatic)
+
+
+def test_frames(spark):
+    rows = spark.createDataFrame([(1, 3, [("a", 1), ("b", 2)]), (2, 4, [])], "variant_id long, n int, reads array<struct<name:string,k:int>>")
+    variants = spark.createDataFrame([(1, "1", 5, "A", "C"), (2, "2", 6, "G", "")], readers.VARIANT_SCHEMA)
+    got = results.frame(rows, variants, rename={"n": "m"}).orderBy("pos")
+    assert [tuple(r) for r in got.collect()] == [("1", 5, "A", "C", 3, 2), ("2", 6, "G", "", 4, 0)] and got.columns[4:] == ["m", "reads"]
+    whole = results.frame(rows, variants, sizes=False).where("pos = 5").first()
+    assert [tuple(x) for x in whole.reads] == [("a", 1), ("b", 2)]
+    each = results.exploded_frame(rows, variants, "reads", rename={"k": "number"}, extra={"one": F.lit(1)}).orderBy("name").collect()
+    assert [tuple(r) for r in each] == [("1", 5, "A", "C", "a", 1, 1), ("1", 5, "A", "C", "b", 2, 1)]
+    for wrong in ({"exclude": ("x",)}, {"converters": {"x": F.size}}, {"exclude": ("n",), "converters": {"n": F.abs}}):
+        with pytest.raises(ValueError, match="no such columns"):
+            results.frame(rows, variants, **wrong)
+
+
+def test_names_from_proteins(spark):
+    rows = [(1, 1, ["t2", "t1"], ["g1"]), (1, 2, ["t3", "t1"], ["g0"]), (2, 1, ["t9"], ["g9"])]
+    made = [(v, k, t, [x + "n" for x in t], g, g) for v, k, t, g in rows]
+    frame = spark.createDataFrame(made, "variant_id int, protein_rank int, " + ", ".join(f"{c} array<string>" for c in ("transcript_ids", "transcript_names", "gene_ids", "gene_names")))
+    found = lambda most: {r.variant_id: (r.transcript_ids, r.gene_ids) for r in results.names_from_proteins(frame, most).collect()}
+    assert found(None) == {1: (["t1", "t2", "t3"], ["g0", "g1"]), 2: (["t9"], ["g9"])}
+    assert found(1)[1] == (["t1", "t2"], ["g1"])
 
 
 def test_commands(spark, inputs, transcripts, tmp_path):
@@ -262,7 +291,7 @@ def test_commands(spark, inputs, transcripts, tmp_path):
     transcripts.write.parquet(str(tmp_path / "transcripts"))
     vcf = tmp_path / "v.vcf"
     vcf.write_text("".join(f"{r.contig}\t{r.pos}\t.\t{r.ref}\t{r.alt}\t.\t.\t.\n" for r in variants.collect()))
-    rows = {"allele-counts": 4, "allele-reads": 34, "variant-sequences": 4, "reference-contexts": 3, "protein-sequences": 3, "results": 4}
+    rows = {"allele-counts": 4, "allele-reads": 34, "variant-sequences": 3, "reference-contexts": 3, "protein-sequences": 3, "results": 4}
     for command, n in rows.items():
         out = str(tmp_path / command)
         args = [command, "--vcf", str(vcf), "--bam", str(tmp_path / "reads"), "--transcripts", str(tmp_path / "transcripts"), "--output", out]
@@ -271,5 +300,10 @@ def test_commands(spark, inputs, transcripts, tmp_path):
         assert got.count() == n, command
         if command != "results":
             assert got.columns[:4] == ["chr", "pos", "ref", "alt"]
+    shorter = ["variant-sequences", *args[1:-1], str(tmp_path / "shorter"), "--variant-sequence-length", "63"]
+    cli.main(shorter, spark)
+    assert spark.read.csv(str(tmp_path / "shorter"), header=True).count() == 4
+    strict = cli.options_of(cli.parser().parse_args([*args, "--min-alt-rna-reads", "7", "--min-alt-rna-fraction", "0.5", "--min-num-alt-fragments", "4"]))
+    assert strict.thresholds == {"min_ratio_alt_to_other_fragments": 3.0, "min_fraction_alt_fragments": 0.5, "min_num_alt_fragments": 4, "min_num_alt_reads": 7}
     cli.main([*args[:-1], str(tmp_path / "few"), "--output-columns", "variant", "num_alt_reads"], spark)
     assert spark.read.csv(str(tmp_path / "few"), header=True).columns == ["variant", "num_alt_reads"]

@@ -9,6 +9,7 @@ from spliceloom.operators.evidence import allele_counts, counts_for_variants, wi
 from spliceloom.operators.mates import Read, merge_group, merge_pair
 from spliceloom.operators.reads import ReadOptions, allele_reads, locus_reads, modal_allele, read_evidence
 from spliceloom.sources import readers
+from spliceloom.sources.bam import read_bam
 
 SCHEMA = "read_ordinal long, qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual string, md string"
 
@@ -135,18 +136,47 @@ def test_bam(spark, tmp_path):
     ]
     with pytest.raises(ValueError, match="CRAM"):
         readers.read_alignments(spark, "x.cram")
+    assert [r.rname for r in readers.read_contigs(spark, str(path)).collect()] == ["1"]
+
+
+def test_bam_is_cut_at_records_of_its_index(spark, tmp_path):
+    records = [(f"q{k}", 0, k, [(5, 0)], "ACGTA", [30] * 5, b"") for k in range(30)]
+    data = bam_bytes(records)
+    (tmp_path / "x.bam").write_bytes(data)
+    members, body, at = [], b"", 0  # (offset in the file, offset in the text)
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        members.append((at, len(body)))
+        body += z.decompress(data[at:])
+        at = len(data) - len(z.unused_data)
+    places, k = [], body.index(struct.pack("<i", 1000)) + 4
+    while k < len(body):
+        start, inside = next((a, k - b) for a, b in reversed(members) if b <= k)
+        places.append(start << 16 | inside)
+        k += 4 + struct.unpack_from("<i", body, k)[0]
+    assert len(places) == 30
+    chunks = b"".join(struct.pack("<QQ", p, p) for p in places[::2])
+    index = b"BAI\1" + struct.pack("<i", 1) + struct.pack("<i", 2) + struct.pack("<Ii", 0, 15) + chunks + struct.pack("<IiQQ", 37450, 1, 7, 7)
+    (tmp_path / "x.bam.bai").write_bytes(index + struct.pack("<iQQ", 2, 0, places[1]))
+    whole = read_bam(spark, str(tmp_path / "x.bam"))
+    cut = read_bam(spark, str(tmp_path / "x.bam"), split_bytes="200")
+    assert whole.rdd.getNumPartitions() == 1 and cut.rdd.getNumPartitions() > 4
+    names = [[r.qname for r in frame.orderBy("read_ordinal").collect()] for frame in (whole, cut)]
+    assert names[0] == names[1] == [f"q{k}" for k in range(30)]
 
 
 def test_text_sources(spark, tmp_path):
     vcf = tmp_path / "v.vcf"
     vcf.write_text("##reference=x\n#CHROM POS ID REF ALT QUAL FILTER INFO\nchr1\t5\t.\tc\tCG,T\t.\t.\t.\n")
     assert {(r.contig, r.pos, r.ref, r.alt) for r in readers.read_vcf(spark, str(vcf)).collect()} == {("chr1", 5, "C", "CG"), ("chr1", 5, "C", "T")}
+    assert readers.vcf_reference(spark, str(vcf)) == "x"
     maf = tmp_path / "v.maf"
     maf.write_text("#v\nChromosome\tStart_Position\tReference_Allele\tTumor_Seq_Allele1\tTumor_Seq_Allele2\n1\t7\tA\tA\t-\n")
     assert [(r.pos, r.ref, r.alt) for r in readers.read_maf(spark, str(maf)).collect()] == [(7, "A", "")]
     sam = tmp_path / "v.sam"
-    sam.write_text("@HD\tVN:1\nq\t0\tchr1\t3\t60\t3M\t*\t0\t0\tacg\tIII\tNM:i:0\tMD:Z:3\n")
+    sam.write_text("@HD\tVN:1\n@SQ\tSN:chr1\tLN:9\nq\t0\tchr1\t3\t60\t3M\t*\t0\t0\tacg\tIII\tNM:i:0\tMD:Z:3\n")
     r = readers.read_sam(spark, str(sam)).first()
     assert (r.qname, r.pos, r.seq, r.md) == ("q", 3, "ACG", "3")
+    assert [r.rname for r in readers.read_contigs(spark, str(sam)).collect()] == ["chr1"]
     with pytest.raises(ValueError, match="no such columns"):
         readers.write_table(spark.range(1), str(tmp_path / "o"), ["nope"])
