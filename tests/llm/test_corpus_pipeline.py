@@ -29,6 +29,7 @@ def test_stages_and_run(spark, tmp_path):
     rows += [(300 + k, rows[k][1] + " tail", "en", "a", 0) for k in (4, 5, 7)]  # near copies
     rows += [(400, None, "en", "a", 0), (401, "", None, "b", 0)]
     text = {i: t or "" for i, t, *_ in rows}
+    source = {i: s for i, _, _, s, _ in rows}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, 1, int(i in toxic)) for i in range(160)]
@@ -55,6 +56,20 @@ def test_stages_and_run(spark, tmp_path):
             assert set(got) == kept and max(got.values()) == 1, name
         else:
             assert set(got) <= kept and max(got.values()) <= 3
+            # Words of a source come near its target: a few blocks of 16 words short, and one document taken in part.
+            sizes = Counter()
+            for i in kept:
+                sizes[source[i]] += len(WORD.findall(text[i]))
+            left, target = sum(sizes.values()), {}
+            weight = {"a": 1, "b": 2, None: 3}
+            for s in sorted(sizes, key=lambda s: sizes[s] / weight[s]):
+                share = left * weight[s] / sum(weight[x] for x in sizes if x not in target)
+                target[s] = min(share, 3 * sizes[s])
+                left -= target[s]
+            mixed = Counter()
+            for i, n in got.items():
+                mixed[source[i]] += n * len(WORD.findall(text[i]))
+            assert all(abs(mixed[s] - target[s]) <= 4 * 16 + 90 for s in sizes), (mixed, target)
     size = {i: len(WORD.findall(text[i])) for i in text}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     total, fill = Counter(), Counter()

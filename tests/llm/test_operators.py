@@ -24,7 +24,7 @@ from spliceloom.llm.secrets import scan_secrets, scan_text
 from spliceloom.llm.shingles import exact_sets, word_hashes
 from spliceloom.llm.suffix_dedup import suffix_dedup
 from spliceloom.llm.suffixes import suffix_array
-from spliceloom.llm.toxicity import maximal_segments, score_toxicity
+from spliceloom.llm.toxicity import fit_logistic, maximal_segments, score_toxicity, solve_lambda
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Columns with names that operators use inside.
@@ -205,6 +205,43 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert best_fit([60, 50, 40], [0, 1, 2], [5, 6, 5], 100, 1) == [0, 1, 1]
 
 
+def test_best_fit_against_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, capacity, most = rng.randint(1, 40), rng.choice([10, 30]), rng.randint(1, 3)
+        sizes = [rng.randint(0, capacity) for _ in range(n)]
+        sources, clusters = [rng.randrange(4) for _ in range(n)], [rng.randint(-1, 5) for _ in range(n)]
+        bins = []
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-sizes[i], i)):
+            fits = []
+            for b, held in enumerate(bins):
+                room = capacity - sum(sizes[j] for j in held)
+                crowded = sum(sources[j] == sources[i] for j in held) >= most
+                twin = clusters[i] >= 0 and any(clusters[j] == clusters[i] for j in held)
+                if room >= sizes[i] and not crowded and not twin:
+                    fits.append((room, b))
+            if not fits:
+                fits = [(capacity, len(bins))]
+                bins.append([])
+            want[i] = min(fits)[1]
+            bins[want[i]].append(i)
+        assert best_fit(sizes, sources, clusters, capacity, most) == want
+
+
+def test_packing_of_rows_without_source_or_id(spark):
+    rows = [(None, "a b c", None, 1), (None, "a b c", None, 2), (3, "d e", None, 3), (3, "f " * 25, "s", 4), (4, None, "s", 5), (5, "", None, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = pack(frame, capacity=10, per_source=2).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter({(None, 3): 2, (3, 2): 1, (3, 10): 2, (3, 5): 1, (4, 0): 1, (5, 0): 1})
+    by_bin = {}
+    for r in got:
+        by_bin.setdefault(r.bin, []).append(r)
+    for held in by_bin.values():
+        assert sum(r["size"] for r in held) == held[0].bin_fill <= 10 and max(Counter(r.source for r in held).values()) <= 2
+        assert len({r.cluster for r in held if r.cluster}) == sum(r.cluster is not None for r in held)
+
+
 def test_secrets(docs, none, rows):
     text = (
         'x = "Zk83hQpL20vvT"\npassword = x\nAPI_KEY: abcdefghijkl0\n"client_secret" => "qW9!xY7#zz" + "mN4@"\n'
@@ -379,6 +416,64 @@ def test_toxicity(spark):
     assert score_toxicity(frame, marks.limit(0)).count() == len(docs)
 
 
+def plain_toxicity(train, texts):
+    """Scores of texts after learning from (text, toxic), over dictionaries."""
+    tokens = lambda t: re.findall(r"\w+", t.lower())
+    parts = lambda w: [w, *("^" + w[:n] for n in (5, 4) if len(w) >= n)]
+    sides = {0: [tokens(t) for t, y in train if not y], 1: [tokens(t) for t, y in train if y]}
+    counts = {y: Counter(u for ws in sides[y] for u in {u for w in ws for u in parts(w)}) for y in sides}
+    clean, toxic = len(sides[0]), len(sides[1])
+    known = {}
+    for u in {*counts[0], *counts[1]}:
+        n = counts[0][u] + counts[1][u]
+        pseudo = max(10 * n / (clean + toxic), 0.5)
+        a, b = counts[1][u] + pseudo, counts[0][u] + pseudo
+        delta = math.log(a / (toxic + 11 - a)) - math.log(b / (clean + 11 - b))
+        if n >= 4 and abs(delta / math.sqrt(1 / a + 1 / b)) >= 3:
+            known[u] = max(-6, min(6, delta)) - 0.2
+    score = lambda ws: [next((known[u] for u in parts(w) if u in known), -0.2) for w in ws]
+    bins = Counter(round(s * 4) / 4 for ws in sides[0] for s in score(ws))
+    lam = solve_lambda([(s, n / sum(bins.values())) for s, n in bins.items()])
+    assert sum(n / sum(bins.values()) * math.exp(lam * s) for s, n in bins.items()) == pytest.approx(1, abs=1e-6)
+    best = [max((s for *_, s in maximal_segments(score(ws))), default=0.0) for ws in sides[0]]
+    mean = sum(round(4 * max(-25.0, lam * s - math.log(max(1, len(ws))))) / 4 for s, ws in zip(best, sides[0])) / len(best)
+    k = math.exp(mean - 0.5772156649015329)
+
+    def evidence(ws):
+        base = math.log(k * max(1, len(ws)))
+        return math.log1p(sum(max(0.0, lam * s - base) for *_, s in maximal_segments(score(ws))))
+
+    points = {}
+    for y in sides:
+        for ws in sides[y]:
+            points.setdefault(round(evidence(ws) * 32) / 32, [0, 0])[y] += 1
+    a, b = fit_logistic([(x, c, t) for x, (c, t) in sorted(points.items())])
+    return [1 / (1 + math.exp(-(a + b * evidence(tokens(t or ""))))) for t in texts]
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"word{k}" for k in range(80)] + ["vilest", "Vilely", "foul"]
+    rows, labels = [(None, "vilest vilest", 1, "x"), (777, None, 1, "x"), (778, "vilest " * 30_000, 0, "y")], [(777, 1)]
+    for i in range(300):
+        bad = i % 3 == 0
+        words = [rng.choice(vocab[80:] if bad and 5 <= k < 9 else vocab[:80] if rng.random() < 0.98 else vocab) for k in range(rng.randint(9, 40))]
+        rows.append((i, " ".join(words), 1 - bad, "label"))
+        labels.append((i, int(bad)))
+    rows += [rows[5], (301, rows[6][1], 0, "z")]  # a repeated row, and a text under two ids
+    labels.append((301, 1 - labels[4][1]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int, predicted string")
+    got = score_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    marks = dict(labels)
+    train = {}
+    for i, t, *_ in rows:
+        if i in marks and zlib.crc32(str(i).encode()) % 5:
+            train[t or ""] = max(train.get(t or "", 0), marks[i])
+    want = plain_toxicity(train.items(), [t for _, t, *_ in rows])
+    assert Counter((r.doc_id, round(r.score, 7)) for r in got) == Counter((i, round(w, 7)) for (i, *_), w in zip(rows, want))
+    assert all(r.predicted == int(r.score >= 0.5) for r in got) and len({r.score for r in got}) > 60
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(400):
