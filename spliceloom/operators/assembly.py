@@ -133,7 +133,7 @@ def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_
     groups = unique.select("variant_id", "prefix", "alt", "suffix", "seen", F.size("reads").alias("n"), least.cast("int").alias("least"))
     members = groups.groupBy("variant_id").applyInArrow(run, f"variant_id {kind}, prefix string, alt string, suffix string, rank long, seen long")
     joined = members.join(unique.select("variant_id", "seen", "reads"), ["variant_id", "seen"])
-    made = joined.groupBy("variant_id", "prefix", "alt", "suffix", "rank").agg(F.array_sort(F.flatten(F.collect_list("reads"))).alias("reads"))
+    made = joined.groupBy("variant_id", "prefix", "alt", "suffix", "rank").agg(F.sort_array(F.flatten(F.collect_list("reads"))).alias("reads"))
     return made.withColumnRenamed("rank", "seen").select("variant_id", "prefix", "alt", "suffix", "reads", "seen")
 
 
@@ -176,7 +176,7 @@ def trim_and_collapse(sequences: DataFrame, coverage: int) -> DataFrame:
     # Containment is transitive: the container of least rank is itself contained in none.
     container = t.join(big, "variant_id").where(inside).groupBy("variant_id", "rank").agg(F.min("b_rank").alias("into"))
     owned = t.join(container, ["variant_id", "rank"], "left").withColumn("into", F.coalesce("into", "rank"))
-    gathered = owned.groupBy("variant_id", "into").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("reads"))
+    gathered = owned.groupBy("variant_id", "into").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("reads"))
     return t.drop("reads").join(gathered.withColumnRenamed("into", "rank"), ["variant_id", "rank"]).drop("rank")
 
 
@@ -222,7 +222,7 @@ def variant_sequences(alt_reads: DataFrame, options: SequenceOptions = SequenceO
     unique = (
         clipped.select("variant_id", "_p", F.col("allele").alias("alt"), "_s", whole, "read_ordinal")
         .groupBy("variant_id", "_p", "alt", "_s")
-        .agg(F.array_sort(F.collect_set("read")).alias("reads"), F.min("read_ordinal").alias("seen"))
+        .agg(F.sort_array(F.collect_set("read")).alias("reads"), F.min("read_ordinal").alias("seen"))
         .withColumnsRenamed({"_p": "prefix", "_s": "suffix"})
     )
     if options.assembly:

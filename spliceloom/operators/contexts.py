@@ -104,7 +104,7 @@ def reference_contexts(variants: DataFrame, transcripts: DataFrame, context_size
         (stop + 3 - first).alias("cds"),
     )
     grouped = keyed.groupBy("variant_id", *KEY).agg(
-        F.array_sort(F.collect_set("transcript")).alias("transcripts"), F.max("cds").alias("max_cds"), F.first(is_mitochondrial(F.col("contig"))).alias("mitochondrial")
+        F.sort_array(F.collect_set("transcript")).alias("transcripts"), F.max("cds").alias("max_cds"), F.first(is_mitochondrial(F.col("contig"))).alias("mitochondrial")
     )
     order = Window.partitionBy("variant_id").orderBy(F.desc("max_cds"), F.col("transcripts")[0]["transcript_id"], *KEY)
     return grouped.withColumn("context_rank", F.row_number().over(order))

@@ -62,7 +62,7 @@ def protein_edits(proteins: DataFrame, known: DataFrame) -> DataFrame:
     """
     keys = ("variant_id", "protein_rank")
     on = F.struct("transcript_id", "edit.cdna_start", "edit.cdna_end", "edit.alt_bases", "edit.source_variant")
-    gathered = lambda rows, name: rows.select(*keys, on.alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_set("e")).alias(name))
+    gathered = lambda rows, name: rows.select(*keys, on.alias("e")).groupBy(*keys).agg(F.sort_array(F.collect_set("e")).alias(name))
     somatic = gathered(_with_transcripts(proteins, keys).drop("orf").distinct().join(known, ["variant_id", "transcript_id"]), "known_somatic")
     other = gathered(unexplained_edits(proteins, known, keys), "unexplained")
     rows = proteins.select(*keys).join(somatic, [*keys], "left").join(other, [*keys], "left")
@@ -86,6 +86,6 @@ def mutant_transcripts(proteins: DataFrame, known: DataFrame, unexplained: DataF
     rows = rows.withColumn("transcript_id", F.col("x.transcript_id")).withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("x", "rank", "n")
     order = F.struct("edit.cdna_start", "edit.cdna_end", "edit.alt_bases", "edit.source_variant")
     edits = known.unionByName(unexplained).select("variant_id", "transcript_id", order.alias("edit"))
-    edits = edits.groupBy("variant_id", "transcript_id").agg(F.array_sort(F.collect_set("edit")).alias("edits"))
+    edits = edits.groupBy("variant_id", "transcript_id").agg(F.sort_array(F.collect_set("edit")).alias("edits"))
     counts = evidence.select("variant_id", "num_alt_reads", "num_alt_fragments")
     return rows.join(edits, ["variant_id", "transcript_id"], "left").join(counts, "variant_id", "left")

@@ -113,7 +113,7 @@ def top_effects(variants: DataFrame, effects: DataFrame, whitelist: list[str] |
 
 def overlap_summary(effects: DataFrame) -> DataFrame:
     """Genes and transcripts over each variant, all and coding."""
-    when = lambda c, f: F.array_sort(F.collect_set(F.when(c, F.col(f))))
+    when = lambda c, f: F.sort_array(F.collect_set(F.when(c, F.col(f))))
     every, coding = F.lit(True), F.col("coding")
     return effects.groupBy("variant_id").agg(
         when(every, "gene_name").alias("overlapping_gene_names"),

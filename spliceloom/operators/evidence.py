@@ -56,5 +56,5 @@ def unique_sequences(reads: DataFrame, max_prefix: int | None, max_suffix: int |
     suffix = left_part(F.col("suffix"), F.lit(max_suffix)) if max_suffix else F.col("suffix")
     whole = F.struct("prefix", "allele", "suffix", "name", "source_read_count")
     rows = reads.select("variant_id", prefix.alias("p"), F.col("allele").alias("alt"), suffix.alias("s"), whole.alias("read"), "read_ordinal")
-    grouped = rows.groupBy("variant_id", "p", "alt", "s").agg(F.array_sort(F.collect_set("read")).alias("reads"), F.min("read_ordinal").alias("seen"))
+    grouped = rows.groupBy("variant_id", "p", "alt", "s").agg(F.sort_array(F.collect_set("read")).alias("reads"), F.min("read_ordinal").alias("seen"))
     return grouped.withColumnsRenamed({"p": "prefix", "s": "suffix"})

@@ -26,7 +26,7 @@ def phased_pairs(counts: DataFrame, least: int = 2) -> DataFrame:
 def partners(pairs: DataFrame) -> DataFrame:
     """(variant_id, partners): variants paired directly, sorted."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy(F.col("a").alias("variant_id")).agg(F.array_sort(F.collect_set("b")).alias("partners"))
+    return both.groupBy(F.col("a").alias("variant_id")).agg(F.sort_array(F.collect_set("b")).alias("partners"))
 
 
 def phase_components(pairs: DataFrame) -> DataFrame:
@@ -58,9 +58,9 @@ def phase_groups(pairs: DataFrame, names: DataFrame, proteins: DataFrame | None
     germline variants in the input, so that list is empty.
     """
     groups = phase_components(pairs)
-    members = groups.groupBy("phase_group").agg(F.array_sort(F.collect_set("variant_id")).alias("somatic_variants"))
+    members = groups.groupBy("phase_group").agg(F.sort_array(F.collect_set("variant_id")).alias("somatic_variants"))
     by_name = groups.join(names.select("variant_id", "name").distinct(), "variant_id").groupBy("phase_group", "name").agg(F.count("*").alias("n"))
-    support = by_name.where("n >= 2").groupBy("phase_group").agg(F.array_sort(F.collect_set("name")).alias("supporting_read_names"))
+    support = by_name.where("n >= 2").groupBy("phase_group").agg(F.sort_array(F.collect_set("name")).alias("supporting_read_names"))
     empty = F.array().cast("array<string>")
     out = members.join(support, "phase_group", "left").withColumns(
         {
@@ -70,10 +70,10 @@ def phase_groups(pairs: DataFrame, names: DataFrame, proteins: DataFrame | None
     )
     if proteins is not None:
         joined = groups.join(proteins, "variant_id")
-        flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+        flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
         more = joined.groupBy("phase_group").agg(
             flat("cdna_sequences").alias("cdna_sequences"),
-            F.array_sort(F.collect_set(F.when(F.col("contains_mutation"), F.col("amino_acids")))).alias("mutant_protein_sequences"),
+            F.sort_array(F.collect_set(F.when(F.col("contains_mutation"), F.col("amino_acids")))).alias("mutant_protein_sequences"),
             flat("transcript_ids").alias("transcript_ids"),
             flat("transcript_names").alias("transcript_names"),
         )

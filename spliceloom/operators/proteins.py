@@ -145,12 +145,12 @@ def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOp
     """
     t = F.struct("context_rank", "seq_rank", "prefix", "alt", "suffix", "sequence", "strand", "transcripts", "orf")
     grouped = translated.groupBy("variant_id", *TRANSLATION_KEY).agg(
-        F.array_sort(F.collect_list(t)).alias("translations"),
+        F.sort_array(F.collect_list(t)).alias("translations"),
         F.array_distinct(F.flatten(F.collect_list("reads"))).alias("reads"),
         F.min("orf.num_mismatches_before_variant").alias("num_mismatches_before_variant"),
         F.min("orf.num_mismatches_after_variant").alias("num_mismatches_after_variant"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("transcripts")))).alias("transcripts"),
-        F.array_sort(F.collect_set("orf.cdna_sequence")).alias("cdna_sequences"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("transcripts")))).alias("transcripts"),
+        F.sort_array(F.collect_set("orf.cdna_sequence")).alias("cdna_sequences"),
     )
     names = lambda f: F.array_sort(F.array_distinct(F.transform("transcripts", lambda x: x[f])))
     rows = grouped.withColumns(

@@ -221,7 +221,7 @@ def variant_sequences_frame(sequences: DataFrame, variants: DataFrame) -> DataFr
 
 
 def reference_contexts_frame(contexts: DataFrame, variants: DataFrame) -> DataFrame:
-    names = lambda f: lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x[f]))), ";")
+    names = lambda f: lambda c: F.array_join(F.sort_array(F.array_distinct(F.transform(c, lambda x: x[f]))), ";")
     return frame(contexts, variants, exclude=("max_cds", "context_rank"), converters={"transcripts": names("transcript_name")}, extra={"gene": names("gene_name")(contexts["transcripts"])})
 
 

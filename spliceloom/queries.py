@@ -103,7 +103,7 @@ def unique_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("long").alias("source_read_count"),
         F.col("doc_id").alias("read_ordinal"),
     )
-    return evidence.unique_sequences(parts, 2, 2).select("variant_id", "prefix", "alt", "suffix", F.size("reads").alias("n_reads"), "seen")
+    return evidence.unique_sequences(parts, 45, 44).select("variant_id", "prefix", "alt", "suffix", F.size("reads").alias("n_reads"), "seen")
 
 
 def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trimmed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dna(spark, sf_dir).where("length(dna) >= 6")
-    ref, alt = F.substring("dna", F.lit(1), (1 + F.col("doc_id") % 3).cast("int")), F.substring("dna", F.lit(1), (1 + F.col("doc_id") * 7 % 4).cast("int"))
+    ref, alt = F.expr("substr(dna, 1, CAST(length(dna) div 2 + doc_id % 3 AS INT))"), F.expr("substr(dna, 1, CAST(length(dna) div 2 + doc_id * 7 % 4 AS INT))")
     alt = F.when(F.col("doc_id") % 5 == 0, F.reverse(alt)).otherwise(alt)
     t = d.select("doc_id", ref.alias("ref"), alt.alias("alt")).where("ref <> alt").withColumn("t", trim_variant(F.col("doc_id"), F.col("ref"), F.col("alt")))
     i = base0_interval(F.col("t.pos"), F.col("t.ref"))
@@ -142,7 +142,7 @@ def trimmed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variant_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dna(spark, sf_dir).where("length(dna) >= 6")
-    ref, alt = F.substring("dna", 1, 2), F.substring("dna", F.lit(1), (1 + F.col("doc_id") % 4).cast("int"))
+    ref, alt = F.expr("substr(dna, 1, CAST(length(dna) div 2 AS INT))"), F.expr("substr(dna, 1, CAST(length(dna) div 2 + doc_id % 4 - 1 AS INT))")
     return d.where(ref != alt).select("doc_id", short_description(F.lit("chr1"), F.col("doc_id"), ref, alt).alias("description"))
 
 
@@ -324,8 +324,8 @@ ORACLE_SQL: dict[str, str] = {
     "modal_allele": """WITH c AS (SELECT l_partkey AS variant_id, l_returnflag AS allele, count(*) AS n_reads,
         min(l_orderkey * 1000 + l_linenumber * 10 + CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS seen FROM lineitem GROUP BY ALL)
         SELECT variant_id, allele, n_reads FROM c QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY n_reads DESC, seen) = 1""",
-    "unique_sequences": f"""WITH {_HALVES} SELECT source AS variant_id, right(substr(d, 1, n), 2) AS prefix, substr(d, n + 1, 1) AS alt,
-        left(substr(d, n + 2), 2) AS suffix, CAST(count(DISTINCT doc_id) AS INTEGER) AS n_reads, min(doc_id) AS seen FROM halves GROUP BY ALL""",
+    "unique_sequences": f"""WITH {_HALVES} SELECT source AS variant_id, right(substr(d, 1, n), 45) AS prefix, substr(d, n + 1, 1) AS alt,
+        left(substr(d, n + 2), 44) AS suffix, CAST(count(DISTINCT doc_id) AS INTEGER) AS n_reads, min(doc_id) AS seen FROM halves GROUP BY ALL""",
     "reverse_complement": f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS reverse_complement FROM documents",
     "n_trimmed": """SELECT doc_id, regexp_replace(d, '^.*N', '') AS prefix, split_part(d, 'N', 1) AS suffix
         FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS d FROM documents)""",
@@ -338,15 +338,15 @@ ORACLE_SQL: dict[str, str] = {
     "hamming": f"""WITH d AS (SELECT doc_id, {DNA} AS d FROM documents), b AS (SELECT x.doc_id, x.d AS a, y.d AS b, least(length(x.d), length(y.d)) AS n
         FROM d x JOIN d y ON y.doc_id = x.doc_id + 1), m AS (SELECT *, len(list_filter(range(1, n + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) AS k FROM b)
         SELECT doc_id, CAST(k AS INTEGER) AS mismatches, CAST(k + greatest(0, length(b) - length(a)) AS INTEGER) AS mismatches_after FROM m""",
-    "trimmed_variants": f"""WITH d AS (SELECT doc_id, {DNA} AS d FROM documents), v AS (SELECT doc_id, substr(d, 1, 1 + doc_id % 3) AS ref,
-        CASE WHEN doc_id % 5 = 0 THEN reverse(substr(d, 1, 1 + doc_id * 7 % 4)) ELSE substr(d, 1, 1 + doc_id * 7 % 4) END AS alt FROM d WHERE length(d) >= 6),
+    "trimmed_variants": f"""WITH d AS (SELECT doc_id, {DNA} AS d FROM documents), v AS (SELECT doc_id, substr(d, 1, length(d) // 2 + doc_id % 3) AS ref,
+        CASE WHEN doc_id % 5 = 0 THEN reverse(substr(d, 1, length(d) // 2 + doc_id * 7 % 4)) ELSE substr(d, 1, length(d) // 2 + doc_id * 7 % 4) END AS alt FROM d WHERE length(d) >= 6),
         t AS (SELECT doc_id, CASE WHEN starts_with(ref, alt) THEN doc_id + length(alt) WHEN starts_with(alt, ref) THEN doc_id + length(ref) - 1 ELSE doc_id END AS pos,
         CASE WHEN starts_with(ref, alt) THEN substr(ref, length(alt) + 1) WHEN starts_with(alt, ref) THEN '' ELSE ref END AS trimmed_ref,
         CASE WHEN starts_with(ref, alt) THEN '' WHEN starts_with(alt, ref) THEN substr(alt, length(ref) + 1) ELSE alt END AS trimmed_alt FROM v WHERE ref <> alt)
         SELECT *, CASE WHEN trimmed_ref = '' THEN pos ELSE pos - 1 END AS locus_start, CASE WHEN trimmed_ref = '' THEN pos ELSE pos - 1 END + length(trimmed_ref) AS locus_end FROM t""",
-    "variant_descriptions": f"""WITH v AS (SELECT doc_id, substr({DNA}, 1, 2) AS ref, substr({DNA}, 1, 1 + doc_id % 4) AS alt FROM documents WHERE length({DNA}) >= 6)
-        SELECT doc_id, 'chr1 g.' || CASE WHEN starts_with(ref, alt) THEN (doc_id + 1) || 'del' || substr(ref, 2)
-        ELSE (doc_id + 1) || '_' || (doc_id + 2) || 'ins' || substr(alt, 3) END AS description FROM v WHERE ref <> alt""",
+    "variant_descriptions": f"""WITH v AS (SELECT doc_id, {DNA} AS d FROM documents), h AS (SELECT *, length(d) // 2 AS h, doc_id % 4 AS k FROM v WHERE length(d) >= 6)
+        SELECT doc_id, 'chr1 g.' || CASE WHEN k = 0 THEN (doc_id + h - 1) || 'del' || substr(d, h, 1) ELSE (doc_id + h - 1) || '_' || (doc_id + h) || 'ins' || substr(d, h + 1, k - 1) END
+        AS description FROM h WHERE k <> 1""",
     "allele_reads": """WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS d FROM documents), r AS (SELECT doc_id,
         regexp_replace(substr(d, 1, doc_id % 11), '^.*N', '') AS prefix, substr(d, doc_id % 11 + 1, doc_id % 3) AS allele,
         split_part(substr(d, doc_id % 11 + doc_id % 3 + 1), 'N', 1) AS suffix FROM d WHERE length(d) >= 20)
