@@ -176,8 +176,10 @@ def trim_and_collapse(sequences: DataFrame, coverage: int) -> DataFrame:
     # Containment is transitive: the container of least rank is itself contained in none.
     container = t.join(big, "variant_id").where(inside).groupBy("variant_id", "rank").agg(F.min("b_rank").alias("into"))
     owned = t.join(container, ["variant_id", "rank"], "left").withColumn("into", F.coalesce("into", "rank"))
-    gathered = owned.groupBy("variant_id", "into").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("reads"))
-    return t.drop("reads").join(gathered.withColumnRenamed("into", "rank"), ["variant_id", "rank"]).drop("rank")
+    each = owned.select("variant_id", F.col("into").alias("rank"), F.explode("reads").alias("read"))
+    gathered = each.groupBy("variant_id", "rank").agg(F.sort_array(F.collect_set("read")).alias("reads"))
+    into = owned.where("into = rank").drop("reads", "into")
+    return into.join(gathered, ["variant_id", "rank"]).drop("rank")
 
 
 def keep_long_enough(sequences: DataFrame, preferred: int) -> DataFrame:

@@ -144,14 +144,18 @@ def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOp
     translations of the protein; mismatches are the least over them.
     """
     t = F.struct("context_rank", "seq_rank", "prefix", "alt", "suffix", "sequence", "strand", "transcripts", "orf")
-    grouped = translated.groupBy("variant_id", *TRANSLATION_KEY).agg(
+    keys = ["variant_id", *TRANSLATION_KEY]
+    # A read that several translations share is sent once by each task, and found equal by hash.
+    reads = translated.select(*keys, F.explode("reads").alias("read")).groupBy(*keys).agg(F.collect_set("read").alias("reads"))
+    grouped = translated.groupBy(*keys).agg(
         F.sort_array(F.collect_list(t)).alias("translations"),
-        F.array_distinct(F.flatten(F.collect_list("reads"))).alias("reads"),
         F.min("orf.num_mismatches_before_variant").alias("num_mismatches_before_variant"),
         F.min("orf.num_mismatches_after_variant").alias("num_mismatches_after_variant"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("transcripts")))).alias("transcripts"),
         F.sort_array(F.collect_set("orf.cdna_sequence")).alias("cdna_sequences"),
     )
+    none = F.array().cast(reads.schema["reads"].dataType)
+    grouped = grouped.join(reads, keys, "left").withColumn("reads", F.coalesce("reads", none))
     names = lambda f: F.array_sort(F.array_distinct(F.transform("transcripts", lambda x: x[f])))
     rows = grouped.withColumns(
         {
