@@ -98,4 +98,44 @@ WITH rows AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+    SELECT * FROM vectors WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0
+        AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), walk(v, w) AS (
+    SELECT a, b FROM links UNION SELECT walk.v, links.b FROM walk JOIN links ON links.a = walk.w
+), found AS (
+    SELECT vec_id, coalesce((SELECT count(*) FROM links WHERE a = vec_id), 0) AS n_links, least(vec_id, coalesce((SELECT min(w) FROM walk WHERE v = vec_id), vec_id)) AS component_id FROM vectors
+)
+SELECT *, vec_id = component_id AS kept FROM found
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+    FROM words WHERE len(w) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), links AS (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), walk(v, w) AS (
+    SELECT a, b FROM links UNION SELECT walk.v, links.b FROM walk JOIN links ON links.a = walk.w
+), least_of AS (
+    SELECT v, min(w) AS w FROM walk GROUP BY v
+)
+SELECT words.doc_id, coalesce(n, 0) AS n_shingles, least(words.doc_id, coalesce(least_of.w, words.doc_id)) AS component_id
+FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id LEFT JOIN least_of ON least_of.v = words.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
