@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dna import is_mitochondrial, reverse_complement, slice_text, translate
+from ..functions.dna import is_mitochondrial, letters, reverse_complement, slice_text, translate
 from ..functions.variants import short_description
 from .contexts import interval_on_transcript, overlapping_transcripts
 
@@ -18,6 +18,14 @@ PRIORITY = (
 CHANGES_PROTEIN = PRIORITY[7:]
 
 
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Number of leading characters that two texts share."""
+    same = F.zip_with(letters(a), letters(b), lambda x, y: x.eqNullSafe(y))
+    # Bound to a name, so that it is laid out once.
+    first = lambda flags: F.when(F.array_position(flags, False) > 0, F.array_position(flags, False) - 1).otherwise(F.size(flags))
+    return F.get(F.transform(F.array(same), first), F.lit(0)).cast("int")
+
+
 def transcript_effects(variants: DataFrame, transcripts: DataFrame) -> DataFrame:
     """One row per variant and overlapping transcript with effect_class and both proteins.
 
@@ -55,14 +63,16 @@ def transcript_effects(variants: DataFrame, transcripts: DataFrame) -> DataFrame
         .when(F.length(ref) == 0, "Insertion")
         .otherwise("ComplexSubstitution")
     )
-    shared = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
-    n_prefix = F.when(F.length(before) > 0, shared(before, after)).otherwise(0)
+    n_prefix = shared_prefix(before, after)
+    rows = rows.withColumns({"effect_class": kind, "_n": F.coalesce(n_prefix, F.lit(0))})
+    n_prefix = F.col("_n")
     tail_a, tail_b = slice_text(before, n_prefix, F.length(before)), slice_text(after, n_prefix, F.length(after))
-    n_suffix = F.when((F.length(tail_a) > 0) & (F.length(tail_b) > 0), shared(F.reverse(tail_a), F.reverse(tail_b))).otherwise(0)
-    rows = rows.withColumn("effect_class", kind)
+    rows = rows.withColumns({"_from": tail_a, "_to": tail_b})
+    rows = rows.withColumn("_x", F.coalesce(shared_prefix(F.reverse(F.col("_from")), F.reverse(F.col("_to"))), F.lit(0)))
+    n_suffix = F.col("_x")
     changes = F.col("effect_class").isin(*CHANGES_PROTEIN)
     mutated_end = F.when(F.col("effect_class") == "FrameShift", F.length(after)).otherwise(F.length(after) - n_suffix)
-    rows = rows.withColumns({"_n": n_prefix, "_e": F.greatest(mutated_end, n_prefix), "_from": tail_a, "_to": tail_b, "_x": n_suffix})
+    rows = rows.withColumn("_e", F.greatest(mutated_end, n_prefix))
     old = slice_text(F.col("_from"), F.lit(0), F.length("_from") - F.col("_x"))
     new = slice_text(F.col("_to"), F.lit(0), F.length("_to") - F.col("_x"))
     place = (F.col("_n") + 1).cast("string")

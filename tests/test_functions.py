@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spliceloom.functions import dna
 from spliceloom.functions.cigar import aligned_blocks, read_offset, reference_positions
 from spliceloom.functions.scores import differences, least_alignment
+from spliceloom.operators.effects import shared_prefix
 from spliceloom.functions.variants import base0_interval, short_description, trim_variant
 
 
@@ -76,6 +77,11 @@ def test_text_functions(spark):
     assert one(spark, dna.kmers(F.lit("AAAC"), 2)) == ["AA", "AC"]
 
 
+@pytest.mark.parametrize(("a", "b", "n"), [("ABC", "ABD", 2), ("ABC", "ABC", 3), ("ABC", "AB", 2), ("", "AB", 0), ("X", "Y", 0), ("AB", "ABCD", 2)])
+def test_shared_prefix(spark, a, b, n):
+    assert one(spark, shared_prefix(F.lit(a), F.lit(b))) == n
+
+
 def test_safe_ratio(spark):
     ratio = lambda a, b: one(spark, dna.safe_ratio(F.lit(a), F.lit(b)))
     assert (ratio(0, 0), ratio(0, 5), ratio(1, 4)) == (0.0, 0.0, 0.25)
