@@ -5,32 +5,34 @@ how often the context was seen (buckets by powers of two) and are learned by
 expectation-maximisation on counts from which the token itself is deleted, so
 every training token serves as held-out data once.
 
-Plan. Texts are packed into blocks, one row each. A block sends each of its
-distinct words once, with its training count; these are summed and numbered by a
-grouping over the words themselves, and each block gets the numbers and totals of
-its own words back. Bigrams are pairs of word numbers: a block sends its distinct
-ones, sorted and packed, to buckets of their hash, and gets their totals back in
-the order in which it asked. So hot words are summed before any shuffle, no
-vocabulary is gathered in one place, and no hash stands for a word or bigram.
+Plan. Texts are packed into blocks, one row each. A block sends its distinct words
+(128-bit cryptographic digests) and bigrams (64-bit hashes of their words'
+digests) with their training counts, sorted and packed, to buckets by leading
+bits; a bucket adds up the counts of all blocks and answers each block with the
+totals alone, in the order in which the block asked. So hot words are summed
+before any shuffle, and no vocabulary is ever gathered in one place.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_texts, bucket_bits, distinct_pairs, pack_blocks, planes, unplanes
+from .blocks import block_texts, bucket_bits, cuts, distinct_pairs, pack_blocks, planes, unplanes
 from .common import fold, materialize
 from .shingles import mix, plain_words
 
 LEVELS = 48
 STEP = 8.0  # cells per factor of two in the statistics of EM
-#: Number of a text's begin, as a context, and of its end, as a token.
-EDGE = 0
+#: What stands for a text's end, as a token, and for its begin, as a context, among the digests.
+END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+WORDS, PAIRS = 0, 1
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -47,119 +49,95 @@ def local_words(texts: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]
     return place, np.array(tokens, dtype=np.int64), np.array(lengths, dtype=np.int64)
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(word, block, place, n): each word of each block with its training count."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, flags, texts in zip(*batch.columns):
-                place, tokens, lengths = local_words(texts.as_py())
-                train = np.repeat(np.array(flags.as_py(), dtype=bool), lengths) & (tokens >= 0)
-                counts = np.bincount(tokens[train], minlength=len(place))
-                words = list(place)
-                for a in range(0, len(words), 50_000):
-                    part = words[a : a + 50_000]
-                    arrays = [part, [block.as_py()] * len(part), range(a, a + len(part)), counts[a : a + len(part)]]
-                    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, kinds)], ["word", "block", "place", "n"])
-
-    return blocks.select("block", "flags", "texts").mapInArrow(send, "word binary, block long, place int, n long")
-
-
-def number_words(words: DataFrame) -> DataFrame:
-    """(word, total, number): training counts summed; numbers from 1, with few gaps."""
-    totals = words.groupBy("word").agg(F.sum("n").alias("total"))
-    totals = materialize(totals.withColumn("at", F.monotonically_increasing_id()), "lm-words")
-    parts = totals.agg(F.coalesce(F.max(F.shiftright("at", 33)), F.lit(0)) + 1).first()[0]
-    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return totals.select("word", "total", (within * parts + F.shiftright("at", 33) + 1).alias("number"))
-
-
-def answer_words(words: DataFrame, numbered: DataFrame) -> DataFrame:
-    """(block, numbers, totals) of each block's words, by place."""
-
-    def collect(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        columns = [[planes(table[c].to_numpy())] for c in ("number", "total")]
-        return pa.table([table["block"].slice(0, 1), *(pa.array(c, pa.binary()) for c in columns)], ["block", "numbers", "totals"])
-
-    found = words.select("word", "block", "place").join(numbered, "word").select("block", "place", "number", "total")
-    return found.groupBy("block").applyInArrow(collect, "block long, numbers binary, totals binary")
-
-
 class Block:
-    """Tokens of a block with the training totals of their words and of their contexts, and its distinct bigrams."""
+    """Tokens of a block's texts: distinct words and bigrams in order, and each token's place among them."""
 
-    def __init__(self, flags: list[bool], texts: bytes, numbers: bytes | None, totals: bytes | None, n_docs: int, bits: int) -> None:
-        _, tokens, self.lengths = local_words(texts)
-        number, total = (np.append(unplanes(x or b"", "<i8"), y) for x, y in ((numbers, EDGE), (totals, n_docs)))
+    def __init__(self, flags: list[bool], texts: bytes, bits: int) -> None:
+        place, tokens, self.lengths = local_words(texts)
         self.train = np.repeat(np.array(flags, dtype=bool), self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.word = total[tokens].astype(np.float64)
-        second = number[tokens].astype(np.uint64)
+        found = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in place)
+        n_words = len(place)
+        del place
+        digests = np.frombuffer(found, dtype="<u8").reshape(-1, 2).astype(np.uint64)
+        second = np.append(digests[:, 0], END)[tokens]
         first = np.roll(second, 1)
-        first[self.starts] = EDGE
-        self.context = np.roll(self.word, 1)
-        self.context[self.starts] = n_docs
-        # Bigrams with a word that training texts don't hold are not there either.
-        self.known = np.flatnonzero((self.word > 0) & (self.context > 0))
-        a, b, place = distinct_pairs(first[self.known], second[self.known])
-        bucket = (mix(a * _A + mix(b ^ _B)) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        moved = np.empty(len(order), dtype=np.int64)
-        moved[order] = np.arange(len(order))
-        self.first, self.second, self.place = a[order], b[order], moved[place]
-        self.cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-
-    def pair_totals(self, answers: pa.Table) -> np.ndarray:
-        """Total of each token's bigram, from the buckets' answers."""
-        sizes = np.diff(self.cuts)
-        answers = answers.sort_by("bucket")
-        parts = [unplanes(t.as_py(), f"<u{len(t.as_py()) // int(sizes[b.as_py()])}") for b, t in zip(answers["bucket"], answers["totals"])]
-        totals = np.concatenate([np.zeros(0), *parts])
-        assert len(totals) == len(self.first)
-        out = np.zeros(len(self.word))
-        out[self.known] = totals[self.place]
+        first[self.starts] = BEGIN
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        moved = np.full(n_words + 1, n_words, dtype=np.int32)  # an end comes after all words
+        moved[order] = np.arange(n_words, dtype=np.int32)
+        pairs, pair = np.unique(mix(first * _A + mix(second ^ _B)), return_inverse=True)
+        self.grams = [digests[order, 0], pairs]
+        self.more = digests[order, 1]
+        self.places = [moved[tokens], pair.astype(np.int32)]
+        self.cuts = [cuts(g, bits) for g in self.grams]
+
+    def training_counts(self, kind: int) -> np.ndarray:
+        return np.bincount(self.places[kind][self.train], minlength=len(self.grams[kind])).astype(np.uint32)
+
+    def totals(self, kind: int, answers: pa.Table) -> np.ndarray:
+        """Totals of the block's words or bigrams, from the buckets' answers."""
+        sizes = np.diff(self.cuts[kind])
+        mine = answers.filter(pc.equal(answers["kind"], kind)).sort_by("bucket")
+        parts = [unplanes(t.as_py(), f"<u{len(t.as_py()) // int(sizes[b.as_py()])}") for b, t in zip(mine["bucket"], mine["totals"])]
+        out = np.concatenate([np.zeros(0), *parts])
+        assert len(out) == len(self.grams[kind])
         return out
 
 
-def send_pairs(blocks: DataFrame, n_docs: int, bits: int) -> DataFrame:
-    """(bucket, block, firsts, seconds, counts): a block's distinct bigrams and their training counts."""
+def send_counts(blocks: DataFrame, bits: int) -> DataFrame:
+    """(kind, bucket, block, keys, more, counts) of every block; ``more`` is the second half of words' digests."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *rest in zip(*batch.columns):
-                b = Block(*(x.as_py() for x in rest), n_docs, bits)
-                counts = np.bincount(b.place[b.train[b.known]], minlength=len(b.first)).astype(np.uint32)
-                full = np.flatnonzero(np.diff(b.cuts)).tolist()
-                spans = [slice(b.cuts[k], b.cuts[k + 1]) for k in full]
-                columns = [
-                    pa.array(full, pa.int32()),
-                    pa.array([block.as_py()] * len(full), pa.int64()),
-                    pa.array([planes(np.diff(b.first[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
-                    pa.array([planes(b.second[s]) for s in spans], pa.binary()),
-                    pa.array([planes(counts[s]) for s in spans], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "firsts", "seconds", "counts"])
-
-    fields = ["block", "flags", "texts", "numbers", "totals"]
-    return blocks.select(*fields).mapInArrow(send, "bucket int, block long, firsts binary, seconds binary, counts binary")
-
-
-def answer_pairs(sent: DataFrame) -> DataFrame:
-    """(block, bucket, totals): totals of a bucket's bigrams, returned to each block in its own order."""
+            for block, flags, texts in zip(*batch.columns):
+                b = Block(flags.as_py(), texts.as_py(), bits)
+                for kind in (WORDS, PAIRS):
+                    keys, counts, at = b.grams[kind], b.training_counts(kind), b.cuts[kind]
+                    full = np.flatnonzero(np.diff(at)).tolist()
+                    spans = [slice(at[k], at[k + 1]) for k in full]
+                    columns = [
+                        pa.array([kind] * len(full), pa.int32()),
+                        pa.array(full, pa.int32()),
+                        pa.array([block.as_py()] * len(full), pa.int64()),
+                        pa.array([planes(np.diff(keys[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
+                        pa.array([planes(b.more[s]) if kind == WORDS else b"" for s in spans], pa.binary()),
+                        pa.array([planes(counts[s]) for s in spans], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "block", "keys", "more", "counts"])
+
+    schema = "kind int, bucket int, block long, keys binary, more binary, counts binary"
+    return blocks.select("block", "flags", "texts").mapInArrow(send, schema)
+
+
+def answer_counts(sent: DataFrame) -> DataFrame:
+    """Totals of a bucket, returned to each block in its own order; its row without block has their sum and how many are not 0."""
 
     def answer(table: pa.Table) -> pa.Table:
-        firsts = [np.cumsum(unplanes(x.as_py(), "<u8"), dtype=np.uint64) for x in table["firsts"]]
-        seconds = np.concatenate([unplanes(x.as_py(), "<u8") for x in table["seconds"]])
-        a, _, place = distinct_pairs(np.concatenate(firsts), seconds)
-        counts = np.concatenate([unplanes(x.as_py(), "<u4") for x in table["counts"]])
-        totals = np.bincount(place, weights=counts, minlength=len(a))
-        answers = np.split(totals[place], np.cumsum([len(x) for x in firsts])[:-1])
+        kind = table["kind"][0].as_py()
+        asked = [np.cumsum(unplanes(x.as_py(), "<u8"), dtype=np.uint64) for x in table["keys"]]
+        keys = np.concatenate(asked)
+        if kind == WORDS:
+            place = distinct_pairs(keys, np.concatenate([unplanes(x.as_py(), "<u8") for x in table["more"]]))[2]
+        else:
+            place = np.unique(keys, return_inverse=True)[1]
+        del keys
+        totals = np.bincount(place, weights=np.concatenate([unplanes(x.as_py(), "<u4") for x in table["counts"]]))
+        answers = np.split(totals[place], np.cumsum([len(x) for x in asked])[:-1])
         packed = [planes(x.astype(np.uint8 if x.max() < 256 else np.uint32 if x.max() < 1 << 32 else np.uint64)) for x in answers]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array(packed, pa.binary())})
+        n = len(packed)
+        return pa.table(
+            {
+                "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
+                "kind": pa.array([kind] * (n + 1), pa.int32()),
+                "bucket": pa.array([table["bucket"][0].as_py()] * (n + 1), pa.int32()),
+                "totals": pa.array([*packed, None], pa.binary()),
+                "tokens": pa.array([*[0] * n, int(totals.sum())], pa.int64()),
+                "types": pa.array([*[0] * n, int(np.count_nonzero(totals))], pa.int64()),
+            }
+        )
 
-    return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, totals binary")
+    return sent.groupBy("kind", "bucket").applyInArrow(answer, "block long, kind int, bucket int, totals binary, tokens long, types long")
 
 
 def level(context: np.ndarray) -> np.ndarray:
@@ -199,7 +177,7 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     folds: int = 10,
-    block_bytes: int = 16_000_000,
+    block_bytes: int = 12_000_000,
     bits: int = 9,
 ) -> DataFrame:
     """Log10 probability of every whole text, learned from the ids outside fold 0.
@@ -207,7 +185,7 @@ def score_texts(
     Words are runs of characters other than white space, A-Z lower-cased, and an
     end follows each text. Returns one row per input row: the id column,
     held_out, n_tokens, n_known, train_tokens, base_score (unigrams with 0.1 added
-    to each count) and score. ``2**bits`` buckets share the bigrams, or as
+    to each count) and score. ``2**bits`` buckets share the counts, or as
     many as there are blocks, so that a bucket's fit a task at any size.
 
     Null or empty texts are the end alone. A null id is not held out. Repeated
@@ -222,27 +200,28 @@ def score_texts(
     blocks = materialize(pack_blocks(rows, block_bytes), "lm-blocks")
     bits = bucket_bits(blocks, bits)
     n_docs = blocks.select(F.sum(F.size(F.filter("flags", lambda t: t)))).first()[0] or 0
-    words = materialize(block_words(blocks), "lm-block-words")
-    numbered = number_words(words)
-    n_words, n_types = numbered.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
+    answers = materialize(answer_counts(send_counts(blocks, bits)), "lm-totals")
+    sums = answers.where((F.col("kind") == WORDS) & F.col("block").isNull())
+    n_words, n_types = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_train, n_types = n_words + n_docs, n_types + (n_docs > 0)
     uniform = 1 / (n_types + 1)
+    mine = answers.where(F.col("block").isNotNull()).select("block", "kind", "bucket", "totals")
+    both = blocks.groupBy("block").cogroup(mine.groupBy("block"))
 
-    vocabulary = materialize(answer_words(words, numbered), "lm-answers")
-    blocks = blocks.join(vocabulary, "block", "left")
-    answers = materialize(answer_pairs(send_pairs(blocks, n_docs, bits)), "lm-totals")
-    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-
-    def counted(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray]:
-        block = Block(*(left[c][0].as_py() for c in ("flags", "texts", "numbers", "totals")), n_docs, bits)
-        return block, block.pair_totals(right)
+    def counted(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
+        """The block, and the totals of each token's word, context and bigram."""
+        block = Block(left["flags"][0].as_py(), left["texts"][0].as_py(), bits)
+        word = np.append(block.totals(WORDS, right), n_docs)[block.places[WORDS]]
+        context = np.roll(word, 1)
+        context[block.starts] = n_docs
+        return block, word, context, block.totals(PAIRS, right)[block.places[PAIRS]]
 
     def statistics(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, pair = counted(left, right)
+        block, word, context, pair = counted(left, right)
         t = block.train
-        context = block.context[t] - 1
+        context = context[t] - 1
         cell = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * STEP), 1).astype(np.int64)
-        p2, p1 = cell(_ratio(pair[t] - 1, context)), cell((block.word[t] - 1) / max(1, n_train - 1))
+        p2, p1 = cell(_ratio(pair[t] - 1, context)), cell((word[t] - 1) / max(1, n_train - 1))
         code = (level(context) * 1024 + (p2 + 512)) * 1024 + (p1 + 512)
         codes, n = np.unique(code, return_counts=True)
         return pa.table({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
@@ -252,17 +231,17 @@ def score_texts(
     weights = learn_weights([(r.code >> 20, (r.code >> 10 & 1023) - 512, (r.code & 1023) - 512, r.n) for r in found], uniform)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, pair = counted(left, right)
-        w = weights[level(block.context)]
-        p = w[:, 0] * _ratio(pair, block.context) + w[:, 1] * (block.word / max(1, n_train)) + w[:, 2] * uniform
-        base = np.log10((block.word + 0.1) / (n_train + 0.1 * (n_types + 1)))
+        block, word, context, pair = counted(left, right)
+        w = weights[level(context)]
+        p = w[:, 0] * _ratio(pair, context) + w[:, 1] * (word / max(1, n_train)) + w[:, 2] * uniform
+        base = np.log10((word + 0.1) / (n_train + 0.1 * (n_types + 1)))
         n, starts = len(block.starts), block.starts
         return pa.table(
             {
                 "id": left["ids"].combine_chunks().flatten(),
                 "held_out": pa.array(~np.array(left["flags"][0].as_py(), dtype=bool)),
                 "n_tokens": pa.array(block.lengths, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((block.word > 0).astype(np.int64), starts), pa.int64()),
+                "n_known": pa.array(np.add.reduceat((word > 0).astype(np.int64), starts), pa.int64()),
                 "train_tokens": pa.array(np.full(n, n_train, dtype=np.int64)),
                 "base_score": pa.array(np.add.reduceat(base, starts)),
                 "score": pa.array(np.add.reduceat(np.log10(p), starts)),
