@@ -53,6 +53,23 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("variant_id", F.concat_ws(":", "contig", "pos"))
 
 
+def _shown(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Columns that may be null as text, null as 'none'."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in columns})
+
+
+def _shown_sql(sql: str, columns: tuple[str, ...]) -> str:
+    return f"SELECT * REPLACE ({', '.join(f"coalesce(CAST({c} AS VARCHAR), 'none') AS {c}" for c in columns)}) FROM ({sql})"
+
+
+EFFECT_NULLS = ("original_protein_sequence", "mutant_protein_sequence")
+RESULT_NULLS = (
+    "num_cdna_mismatches_in_top_protein_sequence", "num_amino_acid_mismatches_from_predicted_effect", "num_amino_acid_mismatches_from_reference",
+    "protein_sequence", "protein_sequence_contains_deletion", "trimmed_predicted_mutant_protein_sequence", "trimmed_reference_protein_sequence",
+    "protein_sequence_matches_predicted_mutation_effect", "protein_sequence_matches_reference", "protein_sequence_different_from_reference",
+)
+
+
 def usable_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _alignments(spark, sf_dir)
     strict = reads.ReadOptions(min_mapping_quality=3, use_duplicates=True, use_secondary=False)
@@ -174,7 +191,8 @@ def reference_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     transcripts = _transcripts(spark, sf_dir)
     found = effects.transcript_effects(_transcript_variants(transcripts), transcripts)
-    return found.select("variant_id", "effect_class", "modifies_protein_sequence", "original_protein_sequence", "mutant_protein_sequence", "coding", "transcript_length")
+    shown = _shown(found, EFFECT_NULLS)
+    return shown.select("variant_id", "effect_class", "modifies_protein_sequence", *EFFECT_NULLS, "coding", "transcript_length")
 
 
 def _line_effects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +215,7 @@ def _line_effects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def transcript_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most severe effect on listed transcripts, on all for variants that have none of those."""
     top = effects.top_effects(*_line_effects(spark, sf_dir), [str(k) for k in range(1, 9)])
-    return top.select("variant_id", "effect_class", "effect_description", "modifies_protein_sequence", "transcript_id")
+    return _shown(top, ("transcript_id",)).select("variant_id", "effect_class", "effect_description", "modifies_protein_sequence", "transcript_id")
 
 
 def variant_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +308,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = part.select(F.col("p_partkey").alias("variant_id"), *[listed.alias(f"overlapping_{c}") for c in ("gene_names", "gene_ids", "coding_gene_names", "coding_gene_ids", "transcript_ids", "coding_transcript_ids")])
     counts = evidence.counts_for_variants(variants, _evidence(spark, sf_dir))
     rows = results.results(variants, counts, made, known, over)
-    return rows.select(
+    return _shown(rows, RESULT_NULLS).select(
         "variant",
         "num_alt_reads",
         "num_total_fragments",
@@ -487,3 +505,5 @@ ORACLE_SQL: dict[str, str] = {
     "default_filters": _default_filters_sql(),
     "result_rows": _results_sql(),
 }
+for _name, _columns in (("transcript_effects", EFFECT_NULLS), ("transcript_whitelist", ("transcript_id",)), ("result_rows", RESULT_NULLS)):
+    ORACLE_SQL[_name] = _shown_sql(ORACLE_SQL[_name], _columns)
