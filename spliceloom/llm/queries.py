@@ -9,19 +9,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damage, digest_turns, repair_conversations
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .ngram_join import jaccard_join
 from .packing import pack
 from .secrets import scan_secrets
 from .suffix_dedup import suffix_dedup
+from .token_alignment import align_tokens
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
-# Where the box keeps the public vocabulary files; SPLICELOOM_RANKS names another file.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Where the box keeps the public vocabulary files; the settings in brackets name other files.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # SPLICELOOM_RANKS
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"  # SPLICELOOM_BYTE_LEVEL
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # SPLICELOOM_PIECES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +77,26 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), ranks)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level = Path(os.environ.get("SPLICELOOM_BYTE_LEVEL", BYTE_LEVEL)).read_bytes()
+    pieces = Path(os.environ.get("SPLICELOOM_PIECES", PIECES)).read_bytes()
+    return align_tokens(_table(spark, sf_dir, "documents"), byte_level, pieces)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    audits, turns = repair_conversations(damage(conversations), conversations)
+    digests = digest_turns(turns).withColumnRenamed("conv_id", "mended_id")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    joined = audits.join(digests, audits["conv_id"].eqNullSafe(digests["mended_id"]), "left")
+    return joined.select(*audits.columns, F.coalesce("sha256", empty).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -83,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_count_tokens": op10_count_tokens,
+    "op11_align_tokenizers": op11_align_tokenizers,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_repair_conversations": op13_repair_conversations,
 }
 
 OP8_SQL = r"""
@@ -138,4 +166,21 @@ SELECT words.doc_id, coalesce(n, 0) AS n_shingles, least(words.doc_id, coalesce(
 FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id LEFT JOIN least_of ON least_of.v = words.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+OP12_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+    SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line FROM texts
+), keyed AS (
+    SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), frequent AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT doc_id, place, line, keeper IS NOT NULL AND keeper <> doc_id AS dropped FROM keyed LEFT JOIN frequent USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op12_line_dedup": OP12_SQL}
