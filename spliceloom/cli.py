@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import results as R
 from .operators.proteins import ProteinOptions
-from .operators.reads import ReadOptions
+from .operators.reads import ReadOptions, locus_windows
 from .plans.pipeline import Options, Run
+from .plans.scratch import stage_table
 from .sources import readers
+from .sources.annotation import read_annotation
 
 COMMANDS = {
     "results": lambda r: R.flattened(r.results()),
     "protein-sequences": lambda r: R.protein_sequences_frame(r.proteins, r.variants),
     "translations": lambda r: R.translations_frame(r.translations, r.variants),
     "reference-contexts": lambda r: R.reference_contexts_frame(r.contexts, r.variants),
-    "allele-reads": lambda r: R.allele_reads_frame(r.evidence, r.variants),
+    "allele-reads": lambda r: R.allele_reads_frame(r.evidence, r.variants, r.transcripts),
     "allele-counts": lambda r: R.allele_counts_frame(r.counts, r.variants),
-    "variant-reads": lambda r: R.allele_reads_frame(r.alt_reads, r.variants),
-    "variant-sequences": lambda r: R.variant_sequences_frame(r.sequences, r.variants),
+    "variant-reads": lambda r: R.allele_reads_frame(r.alt_reads, r.variants, r.transcripts),
+    "variant-sequences": lambda r: R.variant_sequences_frame(r.sequences, r.variants, r.transcripts),
 }
 
 
@@ -35,7 +37,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json-variants", nargs="*", default=[])
     p.add_argument("--variant", nargs=4, action="append", default=[], metavar=("CONTIG", "POS", "REF", "ALT"))
     p.add_argument("--bam", help="a BAM or SAM file, or a Parquet folder of alignments")
-    p.add_argument("--transcripts", help="a table of transcripts")
+    p.add_argument("--transcripts", help="a table of transcripts; {reference} in its name or in those of annotation files is the reference genome")
+    p.add_argument("--gtf", help="annotation from which transcripts are made, with --fasta, the genome's sequence")
+    p.add_argument("--fasta")
+    p.add_argument("--genome", help="name of the reference genome; by default the one in the headers of the VCF files")
     p.add_argument("--output", help="folder of the CSV; by default spliceloom-COMMAND.csv")
     p.add_argument("--output-columns", nargs="*")
     p.add_argument("--min-mapping-quality", type=int, default=1)
@@ -91,12 +96,34 @@ def variants_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return reduce(DataFrame.unionByName, found).dropDuplicates(["variant_id"])
 
 
+def reference_of(spark: SparkSession, a: argparse.Namespace) -> str:
+    """The reference genome's name: the one given, or the one that all VCF files with such a header line name."""
+    named = [a.genome] if a.genome else sorted({n for p in a.vcf if (n := readers.vcf_reference(spark, p))})
+    if len(named) != 1:
+        raise SystemExit(f"one reference genome is needed for {{reference}}, there are: {', '.join(named) or 'none'}")
+    return named[0]
+
+
+def transcripts_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    paths = (a.transcripts, a.gtf, a.fasta)
+    if any("{reference}" in (p or "") for p in paths):
+        paths = tuple(p and p.replace("{reference}", reference_of(spark, a)) for p in paths)
+    table, gtf, fasta = paths
+    if table:
+        return readers.read_transcripts(spark, table)
+    if gtf and fasta:
+        return stage_table(read_annotation(spark, gtf, fasta), "transcripts")
+    return None
+
+
 def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("spliceloom").getOrCreate()
-    alignments = readers.read_alignments(spark, a.bam) if a.bam else None
-    transcripts = readers.read_transcripts(spark, a.transcripts) if a.transcripts else None
-    run = Run(variants_of(spark, a), alignments, transcripts, options_of(a), readers.read_contigs(spark, a.bam) if a.bam else None)
+    variants, alignments, contigs = variants_of(spark, a), None, None
+    if a.bam:
+        contigs = readers.read_contigs(spark, a.bam)
+        alignments = readers.read_alignments(spark, a.bam, locus_windows(variants, contigs) if contigs is not None else None)
+    run = Run(variants, alignments, transcripts_of(spark, a), options_of(a), contigs)
     whole = a.command not in ("allele-reads", "variant-reads")  # tables of reads are too large for one task
     readers.write_table(COMMANDS[a.command](run), a.output or f"spliceloom-{a.command}.csv", a.output_columns, whole)
 

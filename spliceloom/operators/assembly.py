@@ -6,6 +6,7 @@ import itertools
 from bisect import bisect_left, insort
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .reads import modal_allele
 
 INDEX_LENGTH = 15
 MERGE_LIMIT = 1000
+#: A variant counts as hot if it has this share of all sequences or more; so there are at most as many hot ones.
+HOT_SHARE = 1024
 
 
 @dataclass(frozen=True)
@@ -112,27 +115,156 @@ def assemble(sequences: list[Sequence], least: int, limit: int | None = MERGE_LI
     return sorted(current, key=support, reverse=True)
 
 
-def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_LIMIT) -> DataFrame:
+def with_container(sequences: DataFrame) -> DataFrame:
+    """Sequences with ``into``: the ``seen`` of the longest sequence that contains them, of equals the first seen; their own if none does.
+
+    A container has the contained one's prefix at the end of its own and its suffix at the beginning, so it answers for
+    every shape (lengths of prefix and suffix) of its variant that is no longer than itself: what it has in that shape is
+    looked up by text. All of this is aggregated before it is shuffled, so one variant's sequences spread over all tasks.
+    ``seen`` tells a variant's sequences apart.
+    """
+    sequences = stage_table(sequences, "sequences-to-collapse")
+    shape = F.struct(F.length("prefix").alias("p"), F.length("suffix").alias("s"))
+    shapes = stage_table(sequences.groupBy("variant_id").agg(F.collect_set(shape).alias("shapes"), F.count("*").alias("n")), "sequence-shapes")
+    hot = F.broadcast(shapes.where(F.col("n") * HOT_SHARE >= sequences.count()).drop("n"))
+    keys = sequences.select("variant_id", "prefix", "alt", "suffix", "seen")
+    shaped = keys.join(hot, "variant_id").unionByName(
+        keys.join(hot.select("variant_id"), "variant_id", "left_anti").join(shapes.drop("n"), "variant_id")
+    )
+    fits = F.filter("shapes", lambda x: (x["p"] <= F.length("prefix")) & (x["s"] <= F.length("suffix")))
+    longest = F.struct((-F.length("prefix") - F.length("suffix")).alias("size"), F.col("seen").alias("into"))
+    asked = shaped.select("variant_id", "alt", "prefix", "suffix", longest.alias("longest"), F.explode(fits).alias("x"))
+    answers = asked.groupBy("variant_id", "alt", right_part(F.col("prefix"), F.col("x.p")).alias("prefix"), left_part(F.col("suffix"), F.col("x.s")).alias("suffix"))
+    found = answers.agg(F.min("longest").alias("longest"))
+    return sequences.join(found, ["variant_id", "alt", "prefix", "suffix"]).withColumn("into", F.col("longest.into")).drop("longest")
+
+
+def overlapping_pairs(sequences: DataFrame) -> DataFrame:
+    """Pairs (a, b, a before b) of a variant's sequences that agree where they overlap, in ``least`` nucleotides or more.
+
+    Columns of ``sequences``: variant_id, at (its place), prefix, alt, suffix, support, least. The overlap has the shorter
+    of both prefixes and of both suffixes. Either one sequence gives each, and then that half is all of its own; or one
+    gives both, and then it lies within the other. So both meet in that overlap as a key.
+    """
+    p, s = F.length("prefix"), F.length("suffix")
+    known = sequences.groupBy("variant_id").agg(F.collect_set(p).alias("ps"), F.collect_set(s).alias("ss"), F.collect_set(F.struct(p.alias("p"), s.alias("s"))).alias("shapes"))
+    rows = sequences.join(known, "variant_id")
+
+    def cut(shapes: Column, side: str) -> DataFrame:
+        whole = F.struct("at", "prefix", "suffix", "support").alias(side)
+        each = rows.select("variant_id", "alt", "prefix", "suffix", "least", whole, F.explode(shapes).alias("x")).where(
+            F.col("x.p") + F.length("alt") + F.col("x.s") >= F.greatest(F.lit(1), F.col("least"))
+        )
+        return each.select("variant_id", "alt", right_part(F.col("prefix"), F.col("x.p")).alias("kp"), left_part(F.col("suffix"), F.col("x.s")).alias("ks"), side)
+
+    pair = lambda x, y: F.struct(x.cast("int").alias("p"), y.cast("int").alias("s"))
+    key = ["variant_id", "alt", "kp", "ks"]
+    upto = lambda c, n: F.filter(c, lambda x: x <= n)
+    crossed = cut(F.transform(upto("ss", s), lambda x: pair(p, x)), "one").join(cut(F.transform(upto("ps", p), lambda x: pair(x, s)), "two"), key)
+    within = cut(F.array(pair(p, s)), "one").join(cut(F.filter("shapes", lambda x: (x["p"] < p) & (x["s"] < s)), "two"), key)
+    # Two of equal text meet in both directions.
+    found = crossed.unionByName(within).where("one.at <> two.at AND (one.at < two.at OR one.prefix <> two.prefix OR one.suffix <> two.suffix)")
+    first = F.col("one.at") < F.col("two.at")
+    longer = lambda c: F.when(F.length(f"one.{c}") >= F.length(f"two.{c}"), F.col(f"one.{c}")).otherwise(F.col(f"two.{c}"))
+    return found.select(
+        "variant_id",
+        F.when(first, F.col("one.at")).otherwise(F.col("two.at")).alias("a"),
+        F.when(first, F.col("two.at")).otherwise(F.col("one.at")).alias("b"),
+        (F.length("kp") + F.length("alt") + F.length("ks")).alias("shared"),
+        (F.col("one.support") + F.col("two.support")).alias("support"),
+        longer("prefix").alias("prefix"),
+        "alt",
+        longer("suffix").alias("suffix"),
+    )
+
+
+def merge_in_rounds(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``assemble`` makes of collapsed sequences, as joins: for variants with more of them than one task should hold.
+
+    ``sequences``: variant_id, at (places from 1, longest first), seen, prefix, alt, suffix, support, least. Returns the
+    sequences of the last round and (variant_id, at, seen), their members.
+
+    In a round the greedy order takes the best pair that is left. A pair that is the best of both its sequences is taken
+    by that order whatever happens elsewhere, so all such pairs are taken at once, and again among the sequences that are
+    left. Every step is a table in the shared folder.
+    """
+    current = stage_table(sequences.drop("seen"), "merge-sequences")
+    members = stage_table(sequences.select("variant_id", "at", "seen"), "merge-members")
+    order = F.struct((-F.col("shared")).alias("s"), (-F.col("support")).alias("n"), "a", "b").alias("order")
+    while True:
+        pairs = stage_table(overlapping_pairs(current).select("*", order), "merge-pairs")
+        if not pairs.limit(1).count():
+            return current, members
+        taken = []
+        while pairs.limit(1).count():
+            ends = pairs.select("variant_id", F.explode(F.array("a", "b")).alias("at"), "order")
+            best = ends.groupBy("variant_id", "at").agg(F.min("order").alias("best"))
+            of = lambda side: best.select("variant_id", F.col("at").alias(side), F.col("best").alias(f"best_{side}"))
+            chosen = pairs.join(of("a"), ["variant_id", "a"]).join(of("b"), ["variant_id", "b"]).where("order = best_a AND order = best_b").drop("best_a", "best_b")
+            taken.append(stage_table(chosen, "merge-chosen"))
+            gone = stage_table(taken[-1].select("variant_id", F.explode(F.array("a", "b")).alias("at")), "merge-gone")
+            left = pairs
+            for side in ("a", "b"):
+                left = left.join(gone.withColumnRenamed("at", side), ["variant_id", side], "left_anti")
+            pairs = stage_table(left, "merge-pairs")
+        every = reduce(DataFrame.unionByName, taken)
+        made = every.groupBy("variant_id", "prefix", "alt", "suffix").agg(
+            F.min("order").alias("order"), F.sum("support").alias("support"), F.flatten(F.collect_list(F.array("a", "b"))).alias("from")
+        )
+        used = every.select("variant_id", F.explode(F.array("a", "b")).alias("at"))
+        free = current.join(used, ["variant_id", "at"], "left_anti").select("variant_id", "prefix", "alt", "suffix", F.lit(None).cast(made.schema["order"].dataType).alias("order"), "support", F.array("at").alias("from"))
+        least = current.groupBy("variant_id").agg(F.max("least").alias("least"))
+        place = Window.partitionBy("variant_id").orderBy(F.asc_nulls_last("order"), F.col("from")[0])
+        renewed = stage_table(made.unionByName(free).withColumn("new", F.row_number().over(place).cast("long")).join(least, "variant_id"), "merge-renewed")
+        moved = renewed.select("variant_id", "new", F.explode("from").alias("at"))
+        members = stage_table(members.join(moved, ["variant_id", "at"]).select("variant_id", F.col("new").alias("at"), "seen"), "merge-members")
+        current = stage_table(renewed.select("variant_id", F.col("new").alias("at"), "prefix", "alt", "suffix", "support", "least"), "merge-sequences")
+
+
+def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_LIMIT, at_once: int = MERGE_LIMIT) -> DataFrame:
     """Unique sequences of each variant assembled; ``least`` is the overlap that merging needs, ``limit`` as in ``assemble``.
 
-    A task gets a variant's distinct sequences with their numbers of reads. The reads stay where they are: every read
-    belongs to one distinct sequence, and those of an assembled one are joined to it by its members.
+    Sequences are collapsed by joins. Variants with up to ``at_once`` sequences left are merged by one task each, larger
+    ones that may be merged at all by ``merge_in_rounds``. The reads stay where they are: every read belongs to one
+    distinct sequence, and those of an assembled one are joined to it by its members.
     """
     unique = stage_table(unique, "unique-sequences")
     kind = unique.schema["variant_id"].dataType.simpleString()
+    counted = unique.select("variant_id", "prefix", "alt", "suffix", "seen", F.size("reads").cast("long").alias("n"), least.cast("int").alias("least"))
+    owned = stage_table(with_container(counted), "collapsed-members")
+    support = owned.groupBy("variant_id", F.col("into").alias("seen")).agg(F.sum("n").alias("support"))
+    kept = stage_table(owned.where("into = seen").drop("into", "n").join(support, ["variant_id", "seen"]), "collapsed-sequences")
+    sizes = kept.groupBy("variant_id").agg(F.count("*").alias("size"))
+    small = F.col("size") <= (at_once if limit is None else min(limit, at_once))
+    mergeable = F.lit(True) if limit is None else F.col("size") <= limit
+    sized = kept.join(sizes, "variant_id")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("seen").to_pylist()
         found = [Sequence(r["prefix"], r["alt"], r["suffix"], frozenset([r["seen"]])) for r in rows]
-        made = assemble(found, rows[0]["least"], limit, {r["seen"]: r["n"] for r in rows})
+        made = assemble(found, rows[0]["least"], limit, {r["seen"]: r["support"] for r in rows})
         out = [(table["variant_id"][0], s.prefix, s.alt, s.suffix, n, member) for n, s in enumerate(made) for member in s.reads]
         names = ["variant_id", "prefix", "alt", "suffix", "rank", "seen"]
         kinds = [table.schema.field("variant_id").type, *[pa.string()] * 3, pa.int64(), pa.int64()]
         return pa.table([pa.array([r[k] if k else r[k].as_py() for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    groups = unique.select("variant_id", "prefix", "alt", "suffix", "seen", F.size("reads").alias("n"), least.cast("int").alias("least"))
+    groups = sized.where(small).select("variant_id", "prefix", "alt", "suffix", "seen", "support", "least")
     members = groups.groupBy("variant_id").applyInArrow(run, f"variant_id {kind}, prefix string, alt string, suffix string, rank long, seen long")
-    joined = members.join(unique.select("variant_id", "seen", "reads"), ["variant_id", "seen"])
+
+    place = Window.partitionBy("variant_id").orderBy(F.desc(F.length("prefix") + F.length("alt") + F.length("suffix")), "seen")
+    large = sized.where(~small).withColumn("at", F.row_number().over(place).cast("long"))
+    ranked = Window.partitionBy("variant_id").orderBy(F.desc("support"), "at")
+    ranking = lambda df: df.withColumn("rank", (F.row_number().over(ranked) - 1).cast("long"))
+    columns = ["variant_id", "prefix", "alt", "suffix", "rank", "seen"]
+    members = members.unionByName(ranking(large.where(~mergeable)).select(columns))
+    merging = large.where(mergeable)
+    if merging.limit(1).count():
+        merged, of = merge_in_rounds(merging.drop("size"))
+        members = members.unionByName(ranking(merged).join(of, ["variant_id", "at"]).select(columns))
+
+    # From the collapsed sequences back to the distinct ones, and to their reads.
+    spread = members.withColumnRenamed("seen", "into").join(owned.select("variant_id", "into", "seen"), ["variant_id", "into"]).drop("into")
+    joined = spread.join(unique.select("variant_id", "seen", "reads"), ["variant_id", "seen"])
     made = joined.groupBy("variant_id", "prefix", "alt", "suffix", "rank").agg(F.sort_array(F.flatten(F.collect_list("reads"))).alias("reads"))
     return made.withColumnRenamed("rank", "seen").select("variant_id", "prefix", "alt", "suffix", "reads", "seen")
 
@@ -168,18 +300,13 @@ def trim_by_coverage(prefix: Column, alt: Column, suffix: Column, reads: Column,
 
 def trim_and_collapse(sequences: DataFrame, coverage: int) -> DataFrame:
     """Sequences trimmed to a coverage; those that a longer trimmed one contains give it their reads."""
-    order = Window.partitionBy("variant_id").orderBy(F.desc(F.length("prefix") + F.length("suffix") + F.length("alt")), "seen")
     t = sequences.withColumn("_t", trim_by_coverage(*(F.col(c) for c in ("prefix", "alt", "suffix", "reads")), F.lit(coverage)))
-    t = t.withColumns({c: F.col(f"_t.{c}") for c in ("prefix", "alt", "suffix")}).drop("_t").withColumn("rank", F.row_number().over(order))
-    big = t.select("variant_id", *[F.col(c).alias(f"b_{c}") for c in ("prefix", "alt", "suffix", "rank")])
-    inside = (F.col("alt") == F.col("b_alt")) & F.endswith("b_prefix", F.col("prefix")) & F.startswith("b_suffix", F.col("suffix")) & (F.col("b_rank") < F.col("rank"))
-    # Containment is transitive: the container of least rank is itself contained in none.
-    container = t.join(big, "variant_id").where(inside).groupBy("variant_id", "rank").agg(F.min("b_rank").alias("into"))
-    owned = t.join(container, ["variant_id", "rank"], "left").withColumn("into", F.coalesce("into", "rank"))
-    each = owned.select("variant_id", F.col("into").alias("rank"), F.explode("reads").alias("read"))
-    gathered = each.groupBy("variant_id", "rank").agg(F.sort_array(F.collect_set("read")).alias("reads"))
-    into = owned.where("into = rank").drop("reads", "into")
-    return into.join(gathered, ["variant_id", "rank"]).drop("rank")
+    t = t.withColumns({c: F.col(f"_t.{c}") for c in ("prefix", "alt", "suffix")}).drop("_t")
+    # Containment is transitive: the longest container is itself contained in none.
+    owned = with_container(t)
+    each = owned.select("variant_id", F.col("into").alias("seen"), F.explode("reads").alias("read"))
+    gathered = each.groupBy("variant_id", "seen").agg(F.sort_array(F.collect_set("read")).alias("reads"))
+    return owned.where("into = seen").drop("reads", "into").join(gathered, ["variant_id", "seen"])
 
 
 def keep_long_enough(sequences: DataFrame, preferred: int) -> DataFrame:

@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.scratch import stage_table
 
 
-def shared_names(names: DataFrame, key: str = "variant_id", name: str = "name") -> DataFrame:
+def shared_names(names: DataFrame, key: str = "variant_id", name: str = "name", block: int = 512) -> DataFrame:
     """(a, b, n): variants and the number of distinct names both have, a < b.
 
-    One shuffle on the name; pairs come only from names that several variants have.
+    Pairs come only from names that several variants have. A name with up to ``block`` variants makes its pairs in a
+    row; the variants of others are dealt to blocks, and each pair of blocks is a task's work of its own.
     """
     distinct = names.select(F.col(key).alias("v"), F.col(name).alias("name")).where("name IS NOT NULL").distinct()
-    pairs = distinct.select(F.col("v").alias("a"), "name").join(distinct.select(F.col("v").alias("b"), "name"), "name").where("a < b")
+    counted = stage_table(distinct.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1"), "shared-names")
+
+    few = counted.where(F.col("n") <= block).groupBy("name").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    firsts = few.select("vs", F.posexplode("vs").alias("i", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("vs", F.col("i") + 2, F.size("vs"))).alias("b"))
+
+    many = counted.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block))
+    many = many.withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = many.select("v", "name", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    left = dealt.where("mine = low").select(F.col("v").alias("x"), "name", "low", "high")
+    right = dealt.where("mine = high").select(F.col("v").alias("y"), "name", "low", "high")
+    # Within a block a pair meets in both orders, between two blocks once.
+    met = left.join(right, ["name", "low", "high"]).where("low < high OR x < y")
+    pairs = pairs.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

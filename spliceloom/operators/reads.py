@@ -75,19 +75,16 @@ def interval_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, st
     return a.join(b, meet & once).drop("_bin", "_rbin")
 
 
-def overlapping_alignments(
-    variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
-) -> DataFrame:
-    """Alignments with an aligned base in each variant's locus, widened by one base on either side.
+def locus_windows(variants: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Variants (trimmed) by contig of the alignments, with their locus widened by one base on either side.
 
-    Bins come from the aligned blocks, so a read spliced over a locus does not
-    meet it. A pair that meets in several blocks is taken at the first. ``contigs``
-    (rname), as a file's header has them, spare a pass over the alignments.
+    ``contigs`` has the alignments' contigs as ``rname``. Columns: variant_id, rname, trimmed_pos, trimmed_ref,
+    trimmed_alt, locus_start, locus_end, window_start, window_end (half open from 0).
     """
-    loci = reconcile_contigs(with_trimmed(variants), alignments if contigs is None else contigs).where("rname IS NOT NULL")
-    windows = loci.select(
+    loci = reconcile_contigs(with_trimmed(variants), contigs).where("rname IS NOT NULL")
+    return loci.select(
         "variant_id",
-        F.col("rname").alias("locus_rname"),
+        "rname",
         "trimmed_pos",
         "trimmed_ref",
         "trimmed_alt",
@@ -96,6 +93,18 @@ def overlapping_alignments(
         F.greatest(F.lit(0), F.col("locus_start") - 1).alias("window_start"),
         (F.col("locus_end") + 1).alias("window_end"),
     )
+
+
+def overlapping_alignments(
+    variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
+) -> DataFrame:
+    """Alignments with an aligned base in each variant's locus, widened by one base on either side.
+
+    Bins come from the aligned blocks, so a read spliced over a locus does not
+    meet it. A pair that meets in several blocks is taken at the first. ``contigs``
+    (rname), as a file's header has them, spare a pass over the alignments.
+    """
+    windows = locus_windows(variants, alignments if contigs is None else contigs).withColumnRenamed("rname", "locus_rname")
     reads = usable_alignments(alignments, options).withColumn("blocks", C.aligned_blocks("cigar", "pos"))
     parts = reads.select("*", F.posexplode("blocks").alias("block_no", "b")).select(
         "*", F.col("b.ref").alias("block_start"), (F.col("b.ref") + F.col("b.len")).alias("block_end")

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType
 from ..functions.dna import slice_text
 from ..functions.scores import alignment_score
 from ..functions.variants import with_trimmed
+from .contexts import overlapping_transcripts
 from .effects import described
 from .evidence import CLASSES, UNITS
 from .filters import PREFIX
@@ -200,8 +201,27 @@ def read_evidence_frame(evidence: DataFrame, variants: DataFrame) -> DataFrame:
     return frame(rows, variants, rename={"trimmed_pos": "trimmed_base1_start"})
 
 
-def allele_reads_frame(reads: DataFrame, variants: DataFrame) -> DataFrame:
-    return frame(reads, variants, exclude=("read_ordinal", "source_read_count", "trimmed_pos", "trimmed_ref", "trimmed_alt"))
+def gene_names(variants: DataFrame, transcripts: DataFrame | None) -> DataFrame:
+    """(variant_id, gene): names of the genes with a transcript over each variant, sorted and joined; empty without any."""
+    ids = variants.select("variant_id")
+    if transcripts is None:
+        return ids.withColumn("gene", F.lit(""))
+    spans = transcripts.select("transcript_id", "contig", "exons", "gene_name")
+    over = overlapping_transcripts(variants.select("variant_id", "contig", "pos", "ref", "alt"), spans)
+    found = over.groupBy("variant_id").agg(F.array_join(F.sort_array(F.collect_set("gene_name")), ";").alias("gene"))
+    return ids.join(found, "variant_id", "left").select("variant_id", F.coalesce("gene", F.lit("")).alias("gene"))
+
+
+def _with_genes(rows: DataFrame, variants: DataFrame, transcripts: DataFrame | None, **options) -> DataFrame:
+    """``frame`` with the column gene at the end."""
+    genes = gene_names(variants, transcripts)
+    joined = rows.join(genes.withColumnsRenamed({"variant_id": "_variant_id", "gene": "_gene"}), F.col("variant_id") == F.col("_variant_id")).drop("_variant_id")
+    exclude = ("_gene", *options.pop("exclude", ()))
+    return frame(joined, variants, exclude=exclude, extra={"gene": joined["_gene"]}, **options)
+
+
+def allele_reads_frame(reads: DataFrame, variants: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    return _with_genes(reads, variants, transcripts, exclude=("read_ordinal", "source_read_count", "trimmed_pos", "trimmed_ref", "trimmed_alt"))
 
 
 def allele_counts_frame(counts: DataFrame, variants: DataFrame) -> DataFrame:
@@ -212,12 +232,12 @@ def allele_counts_frame(counts: DataFrame, variants: DataFrame) -> DataFrame:
 def locus_reads_frame(reads: DataFrame) -> DataFrame:
     """Locus reads with lists joined by semicolons, without variant columns."""
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("None"))), ";").alias(c)
-    keep = [c for c in reads.columns if c not in ("variant_id", "read_ordinal")]
+    keep = [c for c in reads.columns if c not in ("variant_id", "read_ordinal", "source_read_count")]
     return reads.select(*[listed(c) if isinstance(reads.schema[c].dataType, ArrayType) else F.col(c) for c in keep])
 
 
-def variant_sequences_frame(sequences: DataFrame, variants: DataFrame) -> DataFrame:
-    return frame(sequences, variants, exclude=("seq_rank",), rename={"alt": "allele"})
+def variant_sequences_frame(sequences: DataFrame, variants: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    return _with_genes(sequences, variants, transcripts, exclude=("seq_rank",), rename={"alt": "allele"})
 
 
 def reference_contexts_frame(contexts: DataFrame, variants: DataFrame) -> DataFrame:
@@ -230,13 +250,16 @@ def translations_frame(translated: DataFrame, variants: DataFrame) -> DataFrame:
     offset = translated["orf"]["offset_to_first_complete_codon"]
     whole = F.length(cdna) - offset
     extra = {
+        "untrimmed_variant_sequence": translated["sequence"],
+        "reference_context": F.array_join(F.transform(translated["transcripts"], lambda x: x["transcript_name"]), ";"),
+        "variant_orf": slice_text(cdna, offset, offset + whole - whole % 3),
         "cdna_sequence": cdna,
-        "in_frame_cdna_sequence": slice_text(cdna, offset, offset + whole - whole % 3),
-        "transcript_names": F.array_join(F.transform(translated["transcripts"], lambda x: x["transcript_name"]), ";"),
-        "num_reads": F.size(translated["reads"]),
+        # Reads with multiplicity: merged mates are two.
+        "untrimmed_variant_sequence_read_count": F.aggregate(translated["reads"], F.lit(0).cast("long"), lambda n, r: n + r["source_read_count"]),
     }
     keep = ["variant_id", "amino_acids", "contains_mutation", "mutation_start_idx", "mutation_end_idx", "ends_with_stop_codon", "frameshift"]
-    return frame(translated.select(*keep, "orf", "transcripts", "reads"), variants, exclude=("orf", "transcripts", "reads"), extra=extra)
+    hidden = ("sequence", "orf", "transcripts", "reads")
+    return frame(translated.select(*keep, *hidden), variants, exclude=hidden, extra=extra)
 
 
 def protein_sequences_frame(proteins: DataFrame, variants: DataFrame) -> DataFrame:

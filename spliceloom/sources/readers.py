@@ -77,14 +77,20 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments by file name: .sam, .bam, or Parquet with the same columns."""
+def read_alignments(spark: SparkSession, path: str, loci: DataFrame | None = None) -> DataFrame:
+    """Alignments by file name: .sam, .bam, or Parquet with the same columns.
+
+    With ``loci`` (rname, window_start, window_end; see ``locus_windows``) only those parts of BAM files are read whose
+    index says that they may hold alignments there. Files of the other kinds are read whole.
+    """
     if path.endswith(".cram"):
         raise ValueError("CRAM needs its reference sequences; convert it to BAM or SAM")
     if path.endswith(".bam"):
-        from .bam import read_bam
+        from .bam import read_bam, read_bam_at
 
-        return read_bam(spark, path)
+        if loci is None:
+            return read_bam(spark, path)
+        return read_bam_at(spark, path, loci.select("rname", F.col("window_start").alias("start"), F.col("window_end").alias("end")))
     return read_sam(spark, path) if path.endswith(".sam") else spark.read.parquet(path)
 
 
