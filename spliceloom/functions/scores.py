@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dna import letters
+
 
 def least_alignment(a: str, b: str, min_length: int = 1) -> int:
     """Least cost of laying equally long parts of two sequences on each other.
@@ -32,13 +33,44 @@ def least_alignment(a: str, b: str, min_length: int = 1) -> int:
 
 
 def alignment_score(a: Column, b: Column, min_length: int = 1) -> Column:
-    """``least_alignment`` of two columns; null if either is null."""
+    """``least_alignment`` of two columns; null if either is null.
+
+    A column that is kept saves at least 1, so the best part of a diagonal is all of it: its cost is the sum of both
+    lengths, less 2 for each column, plus its mismatches.
+    """
+
+    def least(x: Column) -> Column:
+        n_a, n_b = F.size(x["a"]), F.size(x["b"])
+
+        def cost(shift: Column) -> Column:
+            low = F.greatest(F.lit(0), shift)
+            n = F.least(n_a, n_b + shift) - low
+            wrong = F.size(F.filter(F.zip_with(F.slice(x["a"], low + 1, n), F.slice(x["b"], low - shift + 1, n), lambda p, q: p != q), lambda differs: differs))
+            return F.when(n >= min_length, n_a + n_b - 2 * n + wrong)
+
+        shifts = F.when((n_a > 0) & (n_b > 0), F.sequence(1 - n_b, n_a - 1)).otherwise(F.array().cast("array<int>"))
+        return F.least(n_a + n_b, F.coalesce(F.array_min(F.transform(shifts, cost)), n_a + n_b))
+
+    # Bound to a name: the lambda would split both texts for each shift.
+    both = F.array(F.struct(letters(a).alias("a"), letters(b).alias("b")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.get(F.transform(both, least), F.lit(0))).cast("int")
+
+
+def edit_runs(reference: Column, found: Column, offset: Column) -> Column:
+    """``differences`` of equally long texts as an array of structs (start, end, alt); unequal lengths are an error."""
 
-    @F.pandas_udf("int")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else least_alignment(p, q, min_length) for p, q in zip(x, y)], dtype="Int32")
+    def runs(x: Column) -> Column:
+        places = F.when(F.size(x["same"]) > 0, F.sequence(F.lit(0), F.size(x["same"]) - 1)).otherwise(F.array().cast("array<int>"))
+        differs = lambda i: ~F.coalesce(F.get(x["same"], i), F.lit(True))
+        starts, ends = F.filter(places, lambda i: differs(i) & ~differs(i - 1)), F.filter(places, lambda i: differs(i) & ~differs(i + 1))
+        run = lambda s, e: F.struct((x["offset"] + s).alias("start"), (x["offset"] + e + 1).alias("end"), F.substring(x["found"], s + 1, e - s + 1).alias("alt"))
+        return F.zip_with(starts, ends, run)
 
-    return score(a, b)
+    same = F.zip_with(letters(reference), letters(found), lambda p, q: p == q)
+    bound = F.array(F.struct(same.alias("same"), found.alias("found"), offset.cast("int").alias("offset")))
+    return F.when(F.length(reference) == F.length(found), F.get(F.transform(bound, runs), F.lit(0))).otherwise(
+        F.when(reference.isNotNull() & found.isNotNull(), F.raise_error(F.lit("texts differ in length")))
+    )
 
 
 def differences(reference: str, found: str, offset: int = 0, keep_ends: bool = True) -> list[tuple[int, int, str]]:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dna import left_part, right_part
+from ..functions.reach import added_up, bases_within, covering, kth_longest, reach_of, reads_in, tallied
 from ..plans.scratch import stage_table
-from .evidence import unique_sequences
+from .evidence import READ, distinct_reads, unique_sequences
 from .reads import modal_allele
 
 INDEX_LENGTH = 15
@@ -221,16 +222,19 @@ def merge_in_rounds(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
         current = stage_table(renewed.select("variant_id", F.col("new").alias("at"), "prefix", "alt", "suffix", "support", "least"), "merge-sequences")
 
 
-def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_LIMIT, at_once: int = MERGE_LIMIT) -> DataFrame:
+def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_LIMIT, at_once: int = MERGE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Unique sequences of each variant assembled; ``least`` is the overlap that merging needs, ``limit`` as in ``assemble``.
 
+    ``unique``: variant_id, prefix, alt, suffix, seen, left_reach, right_reach, n_source_reads. Returns the assembled
+    sequences with the same columns, ``seen`` being their place, best first; and (variant_id, seen, place) of the
+    sequences that went into each. Reads take no part: every one belongs to one distinct sequence.
+
     Sequences are collapsed by joins. Variants with up to ``at_once`` sequences left are merged by one task each, larger
-    ones that may be merged at all by ``merge_in_rounds``. The reads stay where they are: every read belongs to one
-    distinct sequence, and those of an assembled one are joined to it by its members.
+    ones that may be merged at all by ``merge_in_rounds``.
     """
     unique = stage_table(unique, "unique-sequences")
     kind = unique.schema["variant_id"].dataType.simpleString()
-    counted = unique.select("variant_id", "prefix", "alt", "suffix", "seen", F.size("reads").cast("long").alias("n"), least.cast("int").alias("least"))
+    counted = unique.select("variant_id", "prefix", "alt", "suffix", "seen", reads_in(F.col("left_reach")).alias("n"), least.cast("int").alias("least"))
     owned = stage_table(with_container(counted), "collapsed-members")
     support = owned.groupBy("variant_id", F.col("into").alias("seen")).agg(F.sum("n").alias("support"))
     kept = stage_table(owned.where("into = seen").drop("into", "n").join(support, ["variant_id", "seen"]), "collapsed-sequences")
@@ -244,69 +248,71 @@ def assemble_groups(unique: DataFrame, least: Column, limit: int | None = MERGE_
         found = [Sequence(r["prefix"], r["alt"], r["suffix"], frozenset([r["seen"]])) for r in rows]
         made = assemble(found, rows[0]["least"], limit, {r["seen"]: r["support"] for r in rows})
         out = [(table["variant_id"][0], s.prefix, s.alt, s.suffix, n, member) for n, s in enumerate(made) for member in s.reads]
-        names = ["variant_id", "prefix", "alt", "suffix", "rank", "seen"]
+        names = ["variant_id", "prefix", "alt", "suffix", "place", "seen"]
         kinds = [table.schema.field("variant_id").type, *[pa.string()] * 3, pa.int64(), pa.int64()]
         return pa.table([pa.array([r[k] if k else r[k].as_py() for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     groups = sized.where(small).select("variant_id", "prefix", "alt", "suffix", "seen", "support", "least")
-    members = groups.groupBy("variant_id").applyInArrow(run, f"variant_id {kind}, prefix string, alt string, suffix string, rank long, seen long")
-
-    place = Window.partitionBy("variant_id").orderBy(F.desc(F.length("prefix") + F.length("alt") + F.length("suffix")), "seen")
-    large = sized.where(~small).withColumn("at", F.row_number().over(place).cast("long"))
-    ranked = Window.partitionBy("variant_id").orderBy(F.desc("support"), "at")
-    ranking = lambda df: df.withColumn("rank", (F.row_number().over(ranked) - 1).cast("long"))
-    columns = ["variant_id", "prefix", "alt", "suffix", "rank", "seen"]
-    members = members.unionByName(ranking(large.where(~mergeable)).select(columns))
+    made = groups.groupBy("variant_id").applyInArrow(run, f"variant_id {kind}, prefix string, alt string, suffix string, place long, seen long")
+
+    order = Window.partitionBy("variant_id").orderBy(F.desc(F.length("prefix") + F.length("alt") + F.length("suffix")), "seen")
+    large = sized.where(~small).withColumn("at", F.row_number().over(order).cast("long"))
+    best = Window.partitionBy("variant_id").orderBy(F.desc("support"), "at")
+    placed = lambda df: df.withColumn("place", (F.row_number().over(best) - 1).cast("long"))
+    columns = ["variant_id", "prefix", "alt", "suffix", "place", "seen"]
+    made = made.unionByName(placed(large.where(~mergeable)).select(columns))
     merging = large.where(mergeable)
     if merging.limit(1).count():
         merged, of = merge_in_rounds(merging.drop("size"))
-        members = members.unionByName(ranking(merged).join(of, ["variant_id", "at"]).select(columns))
-
-    # From the collapsed sequences back to the distinct ones, and to their reads.
-    spread = members.withColumnRenamed("seen", "into").join(owned.select("variant_id", "into", "seen"), ["variant_id", "into"]).drop("into")
-    joined = spread.join(unique.select("variant_id", "seen", "reads"), ["variant_id", "seen"])
-    made = joined.groupBy("variant_id", "prefix", "alt", "suffix", "rank").agg(F.sort_array(F.flatten(F.collect_list("reads"))).alias("reads"))
-    return made.withColumnRenamed("rank", "seen").select("variant_id", "prefix", "alt", "suffix", "reads", "seen")
+        made = made.unionByName(placed(merged).join(of, ["variant_id", "at"]).select(columns))
 
-
-def read_lengths(reads: Column, side: str) -> Column:
-    """Lengths of the reads' unclipped prefixes or suffixes, longest first."""
-    return F.sort_array(F.transform(reads, lambda r: F.length(r[side])), asc=False)
+    # From the collapsed sequences back to the distinct ones.
+    spread = made.withColumnRenamed("seen", "into").join(owned.select("variant_id", "into", "seen"), ["variant_id", "into"]).drop("into")
+    spread = stage_table(spread, "assembled-members")
+    whole = added_up(spread.join(unique.drop("prefix", "alt", "suffix"), ["variant_id", "seen"]), ["variant_id", "prefix", "alt", "suffix", "place"])
+    return whole.withColumnRenamed("place", "seen"), spread.select("variant_id", "seen", "place")
 
 
 def min_coverage(prefix: Column, suffix: Column, reads: Column) -> Column:
     """Fewest reads over any position: reads all span the variant, so the ends decide."""
-    over = lambda side, n: F.size(F.filter(reads, lambda r: F.length(r[side]) >= n))
-    return F.least(over("prefix", F.length(prefix)), over("suffix", F.length(suffix)))
+    return F.least(covering(reach_of(reads, "prefix"), F.length(prefix)), covering(reach_of(reads, "suffix"), F.length(suffix))).cast("int")
 
 
 def mean_coverage(prefix: Column, alt: Column, suffix: Column, reads: Column) -> Column:
-    summed = lambda side, n: F.aggregate(reads, F.lit(0), lambda s, r: s + F.least(F.length(r[side]), n))
-    bases = F.size(reads) * F.length(alt) + summed("prefix", F.length(prefix)) + summed("suffix", F.length(suffix))
+    bases = F.size(reads) * F.length(alt) + bases_within(reach_of(reads, "prefix"), F.length(prefix)) + bases_within(reach_of(reads, "suffix"), F.length(suffix))
     return bases / (F.length(prefix) + F.length(alt) + F.length(suffix))
 
 
-def trim_by_coverage(prefix: Column, alt: Column, suffix: Column, reads: Column, k: Column) -> Column:
+def trim_by_reach(prefix: Column, alt: Column, suffix: Column, left: Column, right: Column, k: Column) -> Column:
     """Struct (prefix, alt, suffix) of the positions that ``k`` reads or more cover; all empty if the variant has fewer."""
-    enough = F.size(reads) >= k
-    reach = lambda side: F.coalesce(F.get(read_lengths(reads, side), k - 1), F.lit(0))
+    enough = reads_in(left) >= k
     k = F.greatest(k, F.lit(1))
+    reach = lambda side: F.coalesce(kth_longest(side, k), F.lit(0))
     return F.struct(
-        F.when(enough, right_part(prefix, reach("prefix"))).otherwise("").alias("prefix"),
+        F.when(enough, right_part(prefix, reach(left))).otherwise("").alias("prefix"),
         F.when(enough, alt).otherwise("").alias("alt"),
-        F.when(enough, left_part(suffix, reach("suffix"))).otherwise("").alias("suffix"),
+        F.when(enough, left_part(suffix, reach(right))).otherwise("").alias("suffix"),
     )
 
 
-def trim_and_collapse(sequences: DataFrame, coverage: int) -> DataFrame:
-    """Sequences trimmed to a coverage; those that a longer trimmed one contains give it their reads."""
-    t = sequences.withColumn("_t", trim_by_coverage(*(F.col(c) for c in ("prefix", "alt", "suffix", "reads")), F.lit(coverage)))
+def trim_by_coverage(prefix: Column, alt: Column, suffix: Column, reads: Column, k: Column) -> Column:
+    """``trim_by_reach`` of a list of reads."""
+    return trim_by_reach(prefix, alt, suffix, reach_of(reads, "prefix"), reach_of(reads, "suffix"), k)
+
+
+def trim_and_collapse(sequences: DataFrame, coverage: int) -> tuple[DataFrame, DataFrame]:
+    """Sequences trimmed to a coverage; those that a longer trimmed one contains give it their reads.
+
+    Returns the sequences left, with the columns of ``unique`` (see ``assemble_groups``), and (variant_id, seen, into)
+    of all.
+    """
+    t = sequences.withColumn("_t", trim_by_reach(*(F.col(c) for c in ("prefix", "alt", "suffix", "left_reach", "right_reach")), F.lit(coverage)))
     t = t.withColumns({c: F.col(f"_t.{c}") for c in ("prefix", "alt", "suffix")}).drop("_t")
     # Containment is transitive: the longest container is itself contained in none.
-    owned = with_container(t)
-    each = owned.select("variant_id", F.col("into").alias("seen"), F.explode("reads").alias("read"))
-    gathered = each.groupBy("variant_id", "seen").agg(F.sort_array(F.collect_set("read")).alias("reads"))
-    return owned.where("into = seen").drop("reads", "into").join(gathered, ["variant_id", "seen"])
+    owned = stage_table(with_container(t), "trimmed-sequences")
+    whole = added_up(owned.select("variant_id", F.col("into").alias("seen"), "left_reach", "right_reach", "n_source_reads"), ["variant_id", "seen"])
+    left = owned.where("into = seen").select("variant_id", "seen", "prefix", "alt", "suffix").join(whole, ["variant_id", "seen"])
+    return left, owned.select("variant_id", "seen", "into")
 
 
 def keep_long_enough(sequences: DataFrame, preferred: int) -> DataFrame:
@@ -318,7 +324,7 @@ def keep_long_enough(sequences: DataFrame, preferred: int) -> DataFrame:
 
 def with_support(sequences: DataFrame, coverage: int) -> DataFrame:
     """Only sequences whose every position has ``coverage`` reads."""
-    return sequences.where(min_coverage(F.col("prefix"), F.col("suffix"), F.col("reads")) >= coverage)
+    return sequences.where(F.least(covering(F.col("left_reach"), F.length("prefix")), covering(F.col("right_reach"), F.length("suffix"))) >= coverage)
 
 
 @dataclass(frozen=True)
@@ -335,32 +341,43 @@ class SequenceOptions:
     merge_limit: int | None = MERGE_LIMIT
 
 
-def variant_sequences(alt_reads: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
-    """Sequences of each variant from its alt reads.
+def sequences_with_reads(alt_reads: DataFrame, options: SequenceOptions = SequenceOptions()) -> tuple[DataFrame, DataFrame]:
+    """Sequences of each variant from its alt reads, and the reads of each.
 
-    Columns: variant_id, seq_rank (most reads first), prefix, alt, suffix, sequence, reads.
-    The odd nucleotide of the surroundings goes before the variant. Alleles longer
-    than ``length`` are an error.
+    Sequences: variant_id, seq_rank (most reads first), prefix, alt, suffix, sequence, n_reads, n_source_reads (with
+    multiplicity), left_reach, right_reach (see ``functions.reach``). Reads: variant_id, seq_rank, prefix, allele, suffix,
+    name, source_read_count; each distinct read once. The odd nucleotide of the surroundings goes before the variant.
+    Alleles longer than ``length`` are an error.
+
+    Neither has more in a row than a sequence or a read: a locus of any depth is spread over all tasks.
     """
     rows = modal_allele(alt_reads)
     around = F.lit(options.length) - F.length("allele")
     around = F.when(around >= 0, around).otherwise(F.raise_error(F.lit("the allele is longer than the sequence length")))
     after = F.floor(around / 2).cast("int")
-    clipped = rows.withColumns({"_p": right_part(F.col("prefix"), around - after), "_s": left_part(F.col("suffix"), after)})
-    whole = F.struct("prefix", "allele", "suffix", "name", "source_read_count").alias("read")
-    unique = (
-        clipped.select("variant_id", "_p", F.col("allele").alias("alt"), "_s", whole, "read_ordinal")
-        .groupBy("variant_id", "_p", "alt", "_s")
-        .agg(F.sort_array(F.collect_set("read")).alias("reads"), F.min("read_ordinal").alias("seen"))
-        .withColumnsRenamed({"_p": "prefix", "_s": "suffix"})
-    )
+    reads = stage_table(distinct_reads(rows, around - after, after), "sequence-reads")
+    keys = ["variant_id", "p", "alt", "s"]
+    unique = tallied(reads.withColumnRenamed("allele", "alt"), keys, F.lit(1), F.col("read_ordinal"), F.col("source_read_count"), F.length("prefix"), F.length("suffix"))
+    unique = stage_table(unique, "distinct-sequences")
+    # Which sequence a distinct one ends in, step by step.
+    ends_in = unique.select(*keys, "seen")
+    current = unique.withColumnsRenamed({"p": "prefix", "s": "suffix"})
     if options.assembly:
-        unique = assemble_groups(unique, F.least(F.lit(options.min_overlap), F.floor((options.length - F.length("alt")) / 2)), options.merge_limit)
-    kept = keep_long_enough(trim_and_collapse(unique, options.coverage), options.length)
-    order = Window.partitionBy("variant_id").orderBy(F.desc(F.size("reads")), "seen")
-    return kept.select(
-        "variant_id", F.row_number().over(order).alias("seq_rank"), "prefix", "alt", "suffix", F.concat("prefix", "alt", "suffix").alias("sequence"), "reads"
-    )
+        current, members = assemble_groups(current, F.least(F.lit(options.min_overlap), F.floor((options.length - F.length("alt")) / 2)), options.merge_limit)
+        ends_in = ends_in.join(members, ["variant_id", "seen"]).drop("seen").withColumnRenamed("place", "seen")
+    current, into = trim_and_collapse(current, options.coverage)
+    ends_in = ends_in.join(into, ["variant_id", "seen"]).drop("seen").withColumnRenamed("into", "seen")
+    order = Window.partitionBy("variant_id").orderBy(F.desc("n_reads"), "seen")
+    kept = keep_long_enough(current, options.length).withColumn("n_reads", reads_in(F.col("left_reach")))
+    kept = stage_table(kept.withColumn("seq_rank", F.row_number().over(order)), "ranked-sequences")
+    ends_in = ends_in.join(kept.select("variant_id", "seen", "seq_rank"), ["variant_id", "seen"]).drop("seen").withColumnRenamed("alt", "allele")
+    columns = ["variant_id", "seq_rank", "prefix", "alt", "suffix", F.concat("prefix", "alt", "suffix").alias("sequence"), "n_reads", "n_source_reads", "left_reach", "right_reach"]
+    return kept.select(*columns), reads.join(ends_in, ["variant_id", "p", "allele", "s"]).select("variant_id", "seq_rank", *READ)
+
+
+def variant_sequences(alt_reads: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
+    """The sequences of ``sequences_with_reads``."""
+    return sequences_with_reads(alt_reads, options)[0]
 
 
 __all__ = ["Sequence", "SequenceOptions", "assemble", "collapse", "unique_sequences", "variant_sequences"]

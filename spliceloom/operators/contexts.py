@@ -34,13 +34,24 @@ def spliced_offset(exons: Column, strand: Column, position: Column) -> Column:
 
 def interval_on_transcript(exons: Column, strand: Column, pos: Column, ref: Column) -> Column:
     """Struct (start, end) of a trimmed variant on the transcript, half open from 0; null off the exons."""
+    forward = strand == "+"
     at = spliced_offset(exons, strand, pos)
-    point = F.when(strand == "+", at + 1).otherwise(at)
-    places = F.transform(F.sequence(pos, pos + F.greatest(F.length(ref) - 1, F.lit(0))), lambda p: spliced_offset(exons, strand, p))
-    found = F.filter(places, lambda x: x.isNotNull())
-    insertion = F.length(ref) == 0
-    start = F.when(insertion, point).otherwise(F.array_min(found))
-    end = F.when(insertion, point).otherwise(F.array_max(found) + 1)
+    point = F.when(forward, at + 1).otherwise(at)
+    # Exons clipped to the variant: their outermost bases are the first and the last on the transcript.
+    last = pos + F.greatest(F.length(ref) - 1, F.lit(0))
+    met = F.filter(exons, lambda e: (e["start"] <= last) & (e["end"] >= pos))
+    ends = F.struct(
+        F.array_min(F.transform(met, lambda e: F.greatest(e["start"], pos))).alias("low"), F.array_max(F.transform(met, lambda e: F.least(e["end"], last))).alias("high")
+    )
+
+    def span(e: Column) -> Column:
+        low, high = spliced_offset(exons, strand, e["low"]), spliced_offset(exons, strand, e["high"])
+        return F.struct(F.when(forward, low).otherwise(high).alias("start"), (F.when(forward, high).otherwise(low) + 1).alias("end"))
+
+    # Bound to a name, so that the ends are found once and not for every exon.
+    replaced = F.get(F.transform(F.array(ends), span), F.lit(0))
+    start = F.when(F.length(ref) == 0, point).otherwise(replaced["start"])
+    end = F.when(F.length(ref) == 0, point).otherwise(replaced["end"])
     return F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
 
 

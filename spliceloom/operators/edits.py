@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.dna import reverse_complement
-from ..functions.scores import differences
+from ..functions.dna import left_part, reverse_complement
+from ..functions.scores import edit_runs
 from .contexts import interval_on_transcript, overlapping_transcripts
 
 
@@ -21,16 +19,6 @@ def variant_edits(variants: DataFrame, transcripts: DataFrame) -> DataFrame:
     return rows.select("variant_id", "transcript_id", "transcript_name", edit.alias("edit"))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("cdna_start", IntegerType()), StructField("cdna_end", IntegerType()), StructField("alt_bases", StringType())])))
-def _unexplained(reference_before: pd.Series, before: pd.Series, reference_after: pd.Series, after: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    out = []
-    for rb, b, ra, a, s, e in zip(reference_before, before, reference_after, after, start, end):
-        n = min(len(ra), len(a))
-        found = differences(rb, b, int(s) - len(rb), keep_ends=False) + differences(ra[:n], a[:n], int(e), keep_ends=False)
-        out.append([{"cdna_start": x, "cdna_end": y, "alt_bases": t} for x, y, t in found])
-    return pd.Series(out)
-
-
 def _with_transcripts(proteins: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Keys, orf and transcript_id of every translation and transcript behind the proteins, each once."""
     rows = proteins.select(*keys, F.explode("translations").alias("t")).select(*keys, "t.orf", F.explode("t.transcripts").alias("x"))
@@ -41,14 +29,14 @@ def unexplained_edits(proteins: DataFrame, known: DataFrame, keys: tuple[str, ..
     """(keys, transcript_id, transcript_name, edit): differences of each protein's cDNA from the transcript beside the variant."""
     rows = _with_transcripts(proteins, keys).join(known, ["variant_id", "transcript_id"])
     cdna, begin, end = F.col("orf.cdna_sequence"), F.col("orf.variant_cdna_interval_start"), F.col("orf.variant_cdna_interval_end")
-    found = _unexplained(
-        F.col("orf.reference_cdna_sequence_before_variant"),
-        F.substring(cdna, F.lit(1), begin),
-        F.col("orf.reference_cdna_sequence_after_variant"),
-        F.substring(cdna, end + 1, F.length(cdna)),
-        F.col("edit.cdna_start"),
-        F.col("edit.cdna_end"),
+    before, after = F.col("orf.reference_cdna_sequence_before_variant"), F.col("orf.reference_cdna_sequence_after_variant")
+    found_before, found_after = F.substring(cdna, F.lit(1), begin), F.substring(cdna, end + 1, F.length(cdna))
+    n = F.least(F.length(after), F.length(found_after))
+    runs = F.concat(
+        edit_runs(before, found_before, F.col("edit.cdna_start") - F.length(before)),
+        edit_runs(left_part(after, n), left_part(found_after, n), F.col("edit.cdna_end")),
     )
+    found = F.transform(runs, lambda r: F.struct(r["start"].alias("cdna_start"), r["end"].alias("cdna_end"), r["alt"].alias("alt_bases")))
     each = rows.select(*keys, "transcript_id", "transcript_name", F.explode(found).alias("e"))
     edit = F.struct("e.cdna_start", "e.cdna_end", "e.alt_bases", F.lit(None).cast("long").alias("source_variant"))
     return each.select(*keys, "transcript_id", "transcript_name", edit.alias("edit")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import left_part, right_part, safe_ratio
@@ -45,16 +45,24 @@ def counts_for_variants(variants: DataFrame, evidence: DataFrame) -> DataFrame:
     return with_fractions(found)
 
 
+#: What makes up a read beside its variant; ``name`` alone does not tell reads of one fragment apart.
+READ = ("prefix", "allele", "suffix", "name", "source_read_count")
+
+
+def distinct_reads(reads: DataFrame, max_prefix: Column | None, max_suffix: Column | None) -> DataFrame:
+    """Each distinct read of a variant once: the columns of ``READ``, its first read_ordinal, and its clipped surroundings ``p`` and ``s``."""
+    found = reads.groupBy("variant_id", *READ).agg(F.min("read_ordinal").alias("read_ordinal"))
+    prefix = F.col("prefix") if max_prefix is None else right_part(F.col("prefix"), max_prefix)
+    suffix = F.col("suffix") if max_suffix is None else left_part(F.col("suffix"), max_suffix)
+    return found.withColumns({"p": prefix, "s": suffix})
+
+
 def unique_sequences(reads: DataFrame, max_prefix: int | None, max_suffix: int | None) -> DataFrame:
-    """Distinct (prefix, allele, suffix) of clipped reads with the set of reads that have them.
+    """Distinct (prefix, allele, suffix) of clipped reads with the number of distinct reads that have them.
 
-    A size of None or 0 does not clip. Columns: variant_id, prefix, alt, suffix,
-    reads (structs of the whole reads), seen (first ordinal). Hot loci shrink to
-    their distinct sequences before any grouped Python.
+    A size of None or 0 does not clip. Columns: variant_id, prefix, alt, suffix, n_reads, seen (first ordinal). The reads
+    themselves are those of ``distinct_reads`` with the same p, allele and s.
     """
-    prefix = right_part(F.col("prefix"), F.lit(max_prefix)) if max_prefix else F.col("prefix")
-    suffix = left_part(F.col("suffix"), F.lit(max_suffix)) if max_suffix else F.col("suffix")
-    whole = F.struct("prefix", "allele", "suffix", "name", "source_read_count")
-    rows = reads.select("variant_id", prefix.alias("p"), F.col("allele").alias("alt"), suffix.alias("s"), whole.alias("read"), "read_ordinal")
-    grouped = rows.groupBy("variant_id", "p", "alt", "s").agg(F.sort_array(F.collect_set("read")).alias("reads"), F.min("read_ordinal").alias("seen"))
+    rows = distinct_reads(reads, F.lit(max_prefix) if max_prefix else None, F.lit(max_suffix) if max_suffix else None)
+    grouped = rows.groupBy("variant_id", "p", F.col("allele").alias("alt"), "s").agg(F.count("*").alias("n_reads"), F.min("read_ordinal").alias("seen"))
     return grouped.withColumnsRenamed({"p": "prefix", "s": "suffix"})

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dna import left_part, mismatches_after, mismatches_before, reverse_complement, right_part, slice_text, translate
+from ..functions.reach import covering, kth_longest, reach_of, reads_in
 from .contexts import KEY
 
 TRANSLATION_KEY = ("amino_acids", "contains_mutation", "mutation_start_idx", "mutation_end_idx", "ends_with_stop_codon", "frameshift")
@@ -64,12 +67,12 @@ def match_frames(sequences: DataFrame, contexts: DataFrame, options: ProteinOpti
     before, after, offset = (F.col(c) for c in (KEY[1], KEY[3], KEY[4]))
     turned = lambda a, b: F.when(plus, F.col(a)).otherwise(reverse_complement(F.col(b)))
     rows = rows.withColumns({"_p": turned("prefix", "suffix"), "_a": turned("alt", "alt"), "_s": turned("suffix", "prefix")})
-    reach = lambda a, b: F.sort_array(F.transform("reads", lambda r: F.when(plus, F.length(r[a])).otherwise(F.length(r[b]))), asc=False)
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     one = F.lit(1)
     differs_before = F.filter(up_to(F.least(F.length("_p"), F.length(before))), lambda i: F.substring("_p", -i, one) != F.substring(before, -i, one))
     differs_after = F.filter(up_to(F.least(F.length("_s"), F.length(after))), lambda i: F.substring("_s", i, one) != F.substring(after, i, one))
-    rows = rows.withColumns({"_left": reach("prefix", "suffix"), "_right": reach("suffix", "prefix"), "_before": differs_before, "_after": differs_after})
+    reach = lambda a, b: F.when(plus, F.col(a)).otherwise(F.col(b))
+    rows = rows.withColumns({"_left": reach("left_reach", "right_reach"), "_right": reach("right_reach", "left_reach"), "_before": differs_before, "_after": differs_after})
     left, right = F.col("_left"), F.col("_right")
 
     def attempt(state: Column, _: Column) -> Column:
@@ -80,9 +83,9 @@ def match_frames(sequences: DataFrame, contexts: DataFrame, options: ProteinOpti
             wrong = wrong + within(F.col("_after"), s) + F.greatest(F.lit(0), s - F.length(after))
         closed = state["closed"] | (p < options.min_prefix)
         found = state["found"] | (~closed & (wrong <= options.max_mismatches))
-        k = F.least(F.size(F.filter(left, lambda x: x >= p)), F.size(F.filter(right, lambda x: x >= s)))  # reads over every position
-        enough = F.size(left) > k
-        cut = lambda n, reached: F.when(found, n).when(enough, F.least(n, F.coalesce(F.get(reached, k), F.lit(0)))).otherwise(0)
+        k = F.least(covering(left, p), covering(right, s))  # reads over every position
+        enough = reads_in(left) > k
+        cut = lambda n, reached: F.when(found, n).when(enough, F.least(n, F.coalesce(kth_longest(reached, k + 1), F.lit(0)))).otherwise(0)
         fields = {"p": cut(p, left), "s": cut(s, right), "gone": F.when(found, state["gone"]).otherwise(~enough), "closed": closed, "found": found}
         return F.struct(*[c.alias(name) for name, c in fields.items()])
 
@@ -93,7 +96,7 @@ def match_frames(sequences: DataFrame, contexts: DataFrame, options: ProteinOpti
     allele = F.when(F.col("_m.gone"), "").otherwise(F.col("_a"))
     rows = rows.withColumns({"_p": right_part(F.col("_p"), F.col("_m.p")), "_a": allele, "_s": left_part(F.col("_s"), F.col("_m.s"))})
     orf = oriented_orf(F.col("_p"), F.col("_a"), F.col("_s"), before, after, offset)
-    return rows.withColumn("orf", orf).drop("_p", "_a", "_s", "_left", "_right", "_before", "_after", "_m")
+    return rows.withColumn("orf", orf).drop("_p", "_a", "_s", "_left", "_right", "_before", "_after", "_m", "left_reach", "right_reach")
 
 
 def mutant_interval(coding_before: Column, n_alt: Column, n_ref: Column, n_acids: Column) -> Column:
@@ -136,17 +139,32 @@ def translations(frames: DataFrame, options: ProteinOptions = ProteinOptions())
     return rows.withColumn("contains_mutation", has_mutation(F.col("mutation_start_idx"), F.col("mutation_end_idx"), F.length("amino_acids")))
 
 
-def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOptions()) -> DataFrame:
+def protein_reads(translated: DataFrame, reads: DataFrame | None) -> DataFrame:
+    """The reads behind each protein as rows: variant_id, the key columns and ``read``; once for each translation.
+
+    They come from ``reads`` (see ``sequences_with_reads``), or from a list of ``reads`` in each translation.
+    """
+    keys = ["variant_id", *TRANSLATION_KEY]
+    if reads is None:
+        return translated.select(*keys, F.explode("reads").alias("read"))
+    of = reads.select("variant_id", "seq_rank", F.struct(*[c for c in reads.columns if c not in ("variant_id", "seq_rank")]).alias("read"))
+    # A sequence has a few translations to a protein at most, by context: these are one before they meet its reads.
+    return translated.select(*keys, "seq_rank").distinct().join(of, ["variant_id", "seq_rank"]).select(*keys, "read")
+
+
+def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOptions(), reads: DataFrame | None = None) -> DataFrame:
     """Translations grouped by equal protein, ranked and cut to the best of each variant.
 
     Better: more fragments, more reads, fewer mismatches before and after, longer;
     then the first context and sequence. Support counts distinct reads over all
-    translations of the protein; mismatches are the least over them.
+    translations of the protein; mismatches are the least over them. ``reads`` as
+    in ``protein_reads``; they are counted in two steps, by name and then by protein.
     """
     t = F.struct("context_rank", "seq_rank", "prefix", "alt", "suffix", "sequence", "strand", "transcripts", "orf")
     keys = ["variant_id", *TRANSLATION_KEY]
-    # A read that several translations share is sent once by each task, and found equal by hash.
-    reads = translated.select(*keys, F.explode("reads").alias("read")).groupBy(*keys).agg(F.collect_set("read").alias("reads"))
+    once = protein_reads(translated, reads).groupBy(*keys, "read").agg(F.lit(1).alias("_one"))
+    by_name = once.groupBy(*keys, F.col("read.name").alias("_name")).agg(F.count("*").alias("n"), F.sum("read.source_read_count").alias("weight"))
+    counts = by_name.groupBy(*keys).agg(F.count("*").alias("num_supporting_fragments"), F.sum("weight").alias("num_supporting_reads"), F.sum("n").alias("num_reads"))
     grouped = translated.groupBy(*keys).agg(
         F.sort_array(F.collect_list(t)).alias("translations"),
         F.min("orf.num_mismatches_before_variant").alias("num_mismatches_before_variant"),
@@ -154,13 +172,14 @@ def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOp
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("transcripts")))).alias("transcripts"),
         F.sort_array(F.collect_set("orf.cdna_sequence")).alias("cdna_sequences"),
     )
-    none = F.array().cast(reads.schema["reads"].dataType)
-    grouped = grouped.join(reads, keys, "left").withColumn("reads", F.coalesce("reads", none))
+    # Keys may be null, and a protein without reads stays.
+    numbers = ("num_supporting_fragments", "num_supporting_reads", "num_reads")
+    same = [grouped[c].eqNullSafe(counts[c]) for c in keys]
+    grouped = grouped.join(counts, reduce(and_, same), "left").select(*[grouped[c] for c in grouped.columns], *[F.coalesce(counts[c], F.lit(0)).alias(c) for c in numbers])
     names = lambda f: F.array_sort(F.array_distinct(F.transform("transcripts", lambda x: x[f])))
     rows = grouped.withColumns(
         {
-            "num_supporting_fragments": F.size(F.array_distinct(F.transform("reads", lambda r: r["name"]))),
-            "num_supporting_reads": F.aggregate("reads", F.lit(0).cast("long"), lambda s, r: s + r["source_read_count"]),
+            "num_supporting_fragments": F.col("num_supporting_fragments").cast("int"),
             "num_mismatches": F.col("num_mismatches_before_variant") + F.col("num_mismatches_after_variant"),
             "transcript_ids": names("transcript_id"),
             "transcript_names": names("transcript_name"),

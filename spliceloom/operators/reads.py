@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import cigar as C
 from ..functions.dna import after_last_n, before_first_n, slice_text
+from ..functions.indels import left_aligned_interval
 from ..functions.variants import with_trimmed
 from .mates import merge_mates
 
@@ -113,75 +111,6 @@ def overlapping_alignments(
     return met.where(F.col("block_no") == C.first_overlap(F.col("blocks"), F.col("window_start"), F.col("window_end"))).drop("block_no", "block_start", "block_end", "locus_rname")
 
 
-def left_aligned_interval(seq: str, cigar: str, md: str, start: int, pos: int, ref: str, alt: str) -> tuple[int, int] | None:
-    """Where an indel of the read lies on it, if the indel or one of its left shifts is the trimmed variant.
-
-    ``start`` is the read's first reference position from 0; the reference bases come from the MD tag.
-    """
-    pairs: list[tuple[int | None, int | None]] = []
-    i, r = 0, start
-    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
-        for _ in range(int(n)):
-            if op in "M=X":
-                pairs.append((i, r))
-            elif op == "I":
-                pairs.append((i, None))
-            elif op == "D":
-                pairs.append((None, r))
-            i += op in "M=XIS"
-            r += op in "M=XDN"
-    deleted = {p: None for a, p in pairs if a is None}
-    aligned = [(a, p) for a, p in pairs if a is not None and p is not None]
-    bases: dict[int, str] = {}
-    at, removed = 0, list(deleted)
-    for n, gap, base in re.findall(r"(\d+)|\^([A-Z]+)|([A-Z])", md.upper()):
-        if n:
-            for a, p in aligned[at : at + int(n)]:
-                bases[p] = seq[a]
-            at += int(n)
-        elif gap:
-            for p, c in zip(removed, gap):
-                bases[p] = c
-            removed = removed[len(gap) :]
-        elif at < len(aligned):
-            bases[aligned[at][1]] = base
-            at += 1
-    k = 0
-    while k < len(pairs):
-        a, p = pairs[k]
-        if a is not None and p is not None:
-            k += 1
-            continue
-        end = k
-        while end < len(pairs) and (pairs[end][0] is None, pairs[end][1] is None) == (a is None, p is None):
-            end += 1
-        run, before = pairs[k:end], k - 1
-        if p is None:
-            text = "".join(seq[x] for x, _ in run)
-            lo, hi = run[0][0], run[-1][0] + 1
-        else:
-            text = "".join(bases.get(x, "N") for _, x in run)
-            lo = hi = pairs[before][0] + 1 if before >= 0 and pairs[before][0] is not None else 0
-        while before >= 0 and pairs[before][0] is not None and pairs[before][1] is not None:
-            last = pairs[before][1]
-            if p is None and (last + 1, "", text) == (pos, ref, alt) or p is not None and (last + 2, text, "") == (pos, ref, alt):
-                return lo, hi
-            base = bases.get(last)
-            if base is None or base != text[-1]:
-                break
-            text, lo, hi, before = base + text[:-1], lo - 1, hi - 1, before - 1
-        k = end
-    return None
-
-
-@F.pandas_udf(StructType([StructField("start", LongType()), StructField("end", LongType())]))
-def _left_aligned(seq: pd.Series, cigar: pd.Series, md: pd.Series, start: pd.Series, pos: pd.Series, ref: pd.Series, alt: pd.Series) -> pd.DataFrame:
-    """``left_aligned_interval`` of each row; nulls for a null read."""
-    rows = zip(seq, cigar, md, start, pos, ref, alt)
-    found = [(None, None) if r[0] is None else left_aligned_interval(*r) or (None, None) for r in rows]
-    return pd.DataFrame(found, columns=["start", "end"], dtype="Int64")
-
-
 def locus_reads(
     variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
 ) -> DataFrame:
@@ -194,11 +123,9 @@ def locus_reads(
     met = overlapping_alignments(variants, alignments, options, contigs)
     pure_indel = (F.length("trimmed_ref") == 0) != (F.length("trimmed_alt") == 0)
     shiftable = pure_indel & F.col("md").isNotNull() & F.col("cigar").rlike("[ID]")
-    # Reads that can't be shifted go to Python as nulls, so that the join above runs once.
-    of = lambda c: F.when(shiftable, c)
-    rows = met.withColumn(
-        "shifted", _left_aligned(*map(of, (F.col("seq"), F.col("cigar"), F.col("md"), F.col("pos") - 1, F.col("trimmed_pos"), F.col("trimmed_ref"), F.col("trimmed_alt"))))
-    )
+    columns = map(F.col, ("seq", "cigar", "md", "blocks", "trimmed_pos", "trimmed_ref", "trimmed_alt"))
+    # A list of one or no interval, behind a generator: filters on the interval then don't compute it again.
+    rows = met.withColumn("shifted", F.explode(F.array(F.when(shiftable, left_aligned_interval(*columns)))))
 
     blocks, start, end = F.col("blocks"), F.col("locus_start"), F.col("locus_end")
     length = F.length("seq").cast("long")

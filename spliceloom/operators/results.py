@@ -61,7 +61,7 @@ def names_from_proteins(proteins: DataFrame, most: int | None = None) -> DataFra
 
 def results(variants: DataFrame, counts: DataFrame, proteins: DataFrame, effects: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Variants with counts, effect, overlaps and best protein; columns that need a protein are null or 0 without."""
-    top = proteins.where("protein_rank = 1").drop("protein_rank", "reads")
+    top = proteins.where("protein_rank = 1").drop("protein_rank", "num_reads")
     every = names_from_proteins(proteins).select("variant_id", F.col("transcript_ids").alias("all_transcripts"), F.col("gene_ids").alias("all_genes"))
     effect = effects.select("variant_id", *[F.col(c).alias(n) for c, n in EFFECT_COLUMNS.items()])
     rows = described(variants).join(counts, "variant_id").join(effect, "variant_id", "left").join(overlaps, "variant_id", "left")
@@ -237,7 +237,8 @@ def locus_reads_frame(reads: DataFrame) -> DataFrame:
 
 
 def variant_sequences_frame(sequences: DataFrame, variants: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
-    return _with_genes(sequences, variants, transcripts, exclude=("seq_rank",), rename={"alt": "allele"})
+    hidden = ("seq_rank", "n_source_reads", "left_reach", "right_reach")
+    return _with_genes(sequences, variants, transcripts, exclude=hidden, rename={"alt": "allele", "n_reads": "reads"})
 
 
 def reference_contexts_frame(contexts: DataFrame, variants: DataFrame) -> DataFrame:
@@ -255,14 +256,14 @@ def translations_frame(translated: DataFrame, variants: DataFrame) -> DataFrame:
         "variant_orf": slice_text(cdna, offset, offset + whole - whole % 3),
         "cdna_sequence": cdna,
         # Reads with multiplicity: merged mates are two.
-        "untrimmed_variant_sequence_read_count": F.aggregate(translated["reads"], F.lit(0).cast("long"), lambda n, r: n + r["source_read_count"]),
+        "untrimmed_variant_sequence_read_count": translated["n_source_reads"],
     }
     keep = ["variant_id", "amino_acids", "contains_mutation", "mutation_start_idx", "mutation_end_idx", "ends_with_stop_codon", "frameshift"]
-    hidden = ("sequence", "orf", "transcripts", "reads")
+    hidden = ("sequence", "orf", "transcripts", "n_source_reads")
     return frame(translated.select(*keep, *hidden), variants, exclude=hidden, extra=extra)
 
 
 def protein_sequences_frame(proteins: DataFrame, variants: DataFrame) -> DataFrame:
     gene = {"gene": F.array_join(proteins["gene_names"], ";")}
-    return frame(proteins, variants, exclude=("protein_rank", "gene_names", "gene_ids", "num_protein_sequences"), extra=gene)
+    return frame(proteins, variants, rename={"num_reads": "reads"}, exclude=("protein_rank", "gene_names", "gene_ids", "num_protein_sequences"), extra=gene)
 

@@ -110,6 +110,21 @@ def evidence_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.read_evidence_frame(found, variants)
 
 
+def allele_counts_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants, found = _locus_evidence(spark, sf_dir)
+    return results.allele_counts_frame(evidence.counts_for_variants(variants, found), variants)
+
+
+def allele_reads_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of every variant, with the genes of two transcripts that lie on each contig."""
+    variants, found = _locus_evidence(spark, sf_dir)
+    span = lambda a, z: F.struct(F.lit(a).cast("long").alias("start"), F.lit(z).cast("long").alias("end"))
+    first = F.struct(F.lit("ta").alias("transcript_id"), F.lit("ga").alias("gene_name"), F.array(span(1, 55)).alias("exons"))
+    second = F.struct(F.lit("tb").alias("transcript_id"), F.lit("gb").alias("gene_name"), F.array(span(40, 60), span(90, 95)).alias("exons"))
+    transcripts = variants.select("contig").distinct().select("contig", F.explode(F.array(first, second)).alias("x")).select("contig", "x.*")
+    return results.allele_reads_frame(found, variants, transcripts)
+
+
 def merged_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two reads of a document that overlap by 20; by id the second differs in one base, of equal or lower quality, or agrees."""
     d = _dna(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("length(dna) >= 40 AND lang IS NOT NULL")
@@ -188,6 +203,12 @@ def reference_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("variant_id", *contexts.KEY, F.size("transcripts").alias("n_transcripts"), "max_cds", "mitochondrial", "context_rank")
 
 
+def reference_contexts_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = _transcripts(spark, sf_dir)
+    variants = _transcript_variants(transcripts)
+    return results.reference_contexts_frame(contexts.reference_contexts(variants, transcripts, 30), variants)
+
+
 def transcript_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     transcripts = _transcripts(spark, sf_dir)
     found = effects.transcript_effects(_transcript_variants(transcripts), transcripts)
@@ -231,7 +252,7 @@ def variant_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("long").alias("source_read_count"),
     )
     made = assembly.variant_sequences(rows, assembly.SequenceOptions(length=15, coverage=1))
-    return made.select("variant_id", "seq_rank", "prefix", "alt", "suffix", "sequence", F.size("reads").alias("n_reads"))
+    return made.select("variant_id", "seq_rank", "prefix", "alt", "suffix", "sequence", F.col("n_reads").cast("int").alias("n_reads"))
 
 
 def translated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +359,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        usable_alignments, locus_reads, locus_counts, evidence_frame, merged_mates, reference_contexts, transcript_effects, transcript_whitelist,
+        usable_alignments, locus_reads, locus_counts, evidence_frame, allele_counts_frame, allele_reads_frame, reference_contexts_frame, merged_mates, reference_contexts, transcript_effects, transcript_whitelist,
         variant_sequences, translated_frames, protein_subsequences, default_filters, result_rows,
     )
 }
@@ -457,6 +478,19 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_frame": f"""WITH {_ALLELES}, c AS (SELECT variant_id, {", ".join(f"count(*) FILTER (kind = '{c}') AS {c}_reads" for c in evidence.CLASSES)} FROM kept GROUP BY ALL)
         SELECT chr, CAST(pos AS BIGINT) AS pos, r AS ref, t AS alt, CAST(tp AS BIGINT) AS trimmed_base1_start, tr AS trimmed_ref, ta AS trimmed_alt,
         {", ".join(f"coalesce({c}_reads, 0) AS {c}_reads" for c in evidence.CLASSES)} FROM l LEFT JOIN c USING (variant_id)""",
+    "allele_counts_frame": f"""WITH {_ALLELES}, c AS (SELECT variant_id, {", ".join(f"count(*) FILTER (kind = '{c}') AS num_{c}_reads, count(DISTINCT doc_id) FILTER (kind = '{c}') AS num_{c}_fragments" for c in evidence.CLASSES)} FROM kept GROUP BY ALL)
+        SELECT chr, CAST(pos AS BIGINT) AS pos, r AS ref, t AS alt, {", ".join(f"coalesce(num_{c}_{u}, 0) AS num_{c}_{u}" for c in evidence.CLASSES for u in evidence.UNITS)} FROM l LEFT JOIN c USING (variant_id)""",
+    "allele_reads_frame": f"""WITH {_ALLELES}, x AS (SELECT *, regexp_replace(substr(bases, 1, begin_at), '^.*N', '') AS prefix, split_part(substr(bases, end_at + 1), 'N', 1) AS suffix FROM kept)
+        SELECT chr, CAST(pos AS BIGINT) AS pos, r AS ref, t AS alt, prefix, allele, suffix, CAST(doc_id AS VARCHAR) AS name, prefix || allele || suffix AS sequence, kind AS allele_class,
+        concat_ws(';', CASE WHEN tp BETWEEN 1 AND 55 THEN 'ga' END, CASE WHEN tp BETWEEN 40 AND 95 THEN 'gb' END) AS gene FROM x""",
+    "reference_contexts_frame": f"""WITH {_TRANSCRIPTS}, k AS (SELECT *, s + length(old) AS e, least(s, 30) AS w, s - 6 AS away FROM u WHERE NOT off AND s >= 9 AND s < stop + 3),
+        o AS (SELECT *, CAST(CASE WHEN w >= away THEN 6 - (s - w) ELSE (3 - (s - w - 6) % 3) % 3 END AS INTEGER) AS skip FROM k),
+        g AS (SELECT *, CASE WHEN w >= away THEN away // 3 ELSE (w - skip) // 3 END AS c, {PLACE} AS pos FROM o)
+        SELECT CAST(doc_id AS VARCHAR) AS chr, CAST(pos AS BIGINT) AS pos, CASE WHEN doc_id % 2 = 0 THEN old ELSE reverse(translate(old, 'ACGT', 'TGCA')) END AS ref,
+        CASE WHEN doc_id % 2 = 0 THEN new ELSE reverse(translate(new, 'ACGT', 'TGCA')) END AS alt, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
+        substr(sequence, s - w + 1, w) AS sequence_before_variant_locus, old AS sequence_at_variant_locus, substr(sequence, e + 1, 30) AS sequence_after_variant_locus,
+        skip AS offset_to_first_complete_codon, w >= away AS contains_start_codon, w > away - 3 AS overlaps_start_codon, w > away AS contains_five_prime_utr,
+        substr(protein, CAST(away // 3 - c + 1 AS BIGINT), CAST(c AS BIGINT)) AS amino_acids_before_variant, 't' AS transcripts, false AS mitochondrial, 'gene' AS gene FROM g""",
     "merged_mates": """WITH d AS (SELECT doc_id, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS x FROM documents), m AS (SELECT * FROM d WHERE length(x) >= 40 AND lang IS NOT NULL)
         SELECT lang AS variant_id, CAST(doc_id AS VARCHAR) AS name, substr(x, 1, 40) AS sequence, CAST(2 AS BIGINT) AS source_read_count, CAST(15 AS BIGINT) AS read_base0_start, CAST(16 AS BIGINT) AS read_base0_end,
         CAST(1200 + 10 * CASE WHEN doc_id % 3 = 1 THEN 20 ELSE 40 END AS BIGINT) AS sum_of_qualities FROM m WHERE doc_id % 3 <> 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import phasing
-from ..operators.assembly import SequenceOptions, variant_sequences
+from ..operators.assembly import SequenceOptions, sequences_with_reads, variant_sequences
 from ..operators.contexts import reference_contexts
 from ..operators.effects import overlap_summary, top_effects, transcript_effects
 from ..operators.evidence import counts_for_variants
@@ -86,23 +86,28 @@ class Run:
     def sequences(self) -> DataFrame:
         return variant_sequences(self.alt_reads, self.options.sequences)
 
+    @cached_property
+    def translatable(self) -> tuple[DataFrame, DataFrame]:
+        """Sequences and reads of variants with a context: the rest is left out before any assembly."""
+        known = self.contexts.select("variant_id").distinct()
+        sequences, reads = sequences_with_reads(self.alt_reads.join(known, "variant_id", "left_semi"), self.options.sequences)
+        return stage_table(sequences, "sequences"), stage_table(reads, "reads-of-sequences")
+
     @cached_property
     def translations(self) -> DataFrame:
-        # Only variants with a context need sequences: the rest is left out before any assembly.
-        translatable = self.contexts.select("variant_id").distinct()
-        sequences = stage_table(variant_sequences(self.alt_reads.join(translatable, "variant_id", "left_semi"), self.options.sequences), "sequences")
-        frames = stage_table(match_frames(sequences, self.contexts, self.options.proteins), "frames")
+        frames = stage_table(match_frames(self.translatable[0], self.contexts, self.options.proteins), "frames")
         return stage_table(translations(frames, self.options.proteins), "translations")
 
     @cached_property
     def proteins(self) -> DataFrame:
-        return stage_table(protein_sequences(self.translations, self.options.proteins), "proteins")
+        return stage_table(protein_sequences(self.translations, self.options.proteins, self.translatable[1]), "proteins")
 
     def phased_by_reads(self) -> DataFrame:
         return phasing.phased_pairs(phasing.shared_names(self.alt_reads), self.options.min_shared_fragments)
 
     def phased_in_proteins(self) -> DataFrame:
-        names = self.proteins.where("protein_rank = 1").select("variant_id", F.explode("reads.name").alias("name"))
+        best = self.proteins.where("protein_rank = 1").select("variant_id", F.explode("translations.seq_rank").alias("seq_rank")).distinct()
+        names = self.translatable[1].join(best, ["variant_id", "seq_rank"], "left_semi").select("variant_id", "name")
         return phasing.phased_pairs(phasing.shared_names(names), self.options.min_shared_fragments)
 
     def results(self) -> DataFrame:

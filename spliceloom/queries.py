@@ -103,7 +103,7 @@ def unique_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("long").alias("source_read_count"),
         F.col("doc_id").alias("read_ordinal"),
     )
-    return evidence.unique_sequences(parts, 45, 44).select("variant_id", "prefix", "alt", "suffix", F.size("reads").alias("n_reads"), "seen")
+    return evidence.unique_sequences(parts, 45, 44).select("variant_id", "prefix", "alt", "suffix", F.col("n_reads").cast("int").alias("n_reads"), "seen")
 
 
 def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,7 @@ def assembled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("long").alias("source_read_count"),
     )
     made = assembly.variant_sequences(rows, assembly.SequenceOptions(length=31, coverage=1, assembly=True, min_overlap=10))
-    return made.select("variant_id", "seq_rank", "prefix", "alt", "suffix", F.size("reads").alias("n_reads"))
+    return made.select("variant_id", "seq_rank", "prefix", "alt", "suffix", F.col("n_reads").cast("int").alias("n_reads"))
 
 
 def alignment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,13 +295,34 @@ def alignment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", scores.alignment_score(F.col("p_name"), F.col("p_type")).alias("score"))
 
 
+def collapsed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents' nucleotides around their middle, by source: each with the longest one that contains it."""
+    d = _dna(spark, sf_dir).where("length(dna) >= 41 AND source IS NOT NULL")
+    n = F.floor(F.length("dna") / 2)
+    rows = d.select(
+        F.col("source").alias("variant_id"),
+        F.col("doc_id").alias("seen"),
+        dna.slice_text(F.col("dna"), n - F.col("doc_id") % 9, n).alias("prefix"),
+        dna.slice_text(F.col("dna"), n, n + 1).alias("alt"),
+        dna.slice_text(F.col("dna"), n + 1, n + 1 + F.col("doc_id") % 7).alias("suffix"),
+    )
+    return assembly.with_container(rows).select("variant_id", "seen", "into")
+
+
+def edit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of letters in which names and types of parts differ, over the length of the shorter."""
+    n = F.least(F.length("p_name"), F.length("p_type"))
+    runs = scores.edit_runs(dna.left_part(F.col("p_name"), n), dna.left_part(F.col("p_type"), n), F.lit(0))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.explode(runs).alias("r")).select("p_partkey", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.alt").alias("alt"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         allele_counts, allele_fractions, filter_columns, read_evidence_classes, modal_allele, unique_sequences, reverse_complement, n_trimmed,
         translate, distinct_kmers, hamming, trimmed_variants, variant_descriptions, allele_reads, base_counts, interval_join, contig_names,
         coverage, mutant_intervals, protein_ranking, phasing_counts, phasing_partners, phase_groups, windowed_counts,
-        assembled_sequences, alignment_scores,
+        assembled_sequences, alignment_scores, collapsed_sequences, edit_runs,
     )
 }
 
@@ -391,6 +412,14 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT *, sum(won) OVER (PARTITION BY p_partkey, shift ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM w),
         g AS (SELECT p_partkey, max(upto - low) AS gain FROM (SELECT *, min(upto - won) OVER (PARTITION BY p_partkey, shift ORDER BY k ROWS UNBOUNDED PRECEDING) AS low FROM p) GROUP BY p_partkey)
         SELECT part.p_partkey, CAST(length(p_name) + length(p_type) - coalesce(gain, 0) AS INTEGER) AS score FROM part LEFT JOIN g USING (p_partkey)""",
+    "collapsed_sequences": f"""WITH {_HALVES}, q AS (SELECT source, doc_id, substr(d, n - doc_id % 9 + 1, doc_id % 9) AS p, substr(d, n + 1, 1) AS alt, substr(d, n + 2, doc_id % 7) AS s
+            FROM halves WHERE length(d) >= 41 AND source IS NOT NULL)
+        SELECT x.source AS variant_id, x.doc_id AS seen, y.doc_id AS into
+        FROM q x JOIN q y ON x.source = y.source AND x.alt = y.alt AND ends_with(y.p, x.p) AND starts_with(y.s, x.s)
+        QUALIFY row_number() OVER (PARTITION BY x.source, x.doc_id ORDER BY length(y.p) + length(y.s) DESC, y.doc_id) = 1""",
+    "edit_runs": """WITH t AS (SELECT p_partkey, p_name AS a, p_type AS b, unnest(range(1, least(length(p_name), length(p_type)) + 1)) AS i FROM part),
+        d AS (SELECT p_partkey, i, substr(b, i, 1) AS c, i - row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS run FROM t WHERE substr(a, i, 1) <> substr(b, i, 1))
+        SELECT p_partkey, CAST(min(i) - 1 AS INTEGER) AS start, CAST(max(i) AS INTEGER) AS "end", string_agg(c, '' ORDER BY i) AS alt FROM d GROUP BY p_partkey, run""",
     "windowed_counts": f"""WITH r AS (SELECT CAST(epoch(l_shipdate) AS BIGINT) // 2592000 * 2592000 AS window_start, l_partkey % 10 AS variant_id, {_ALLELES} AS c, l_linenumber AS n FROM lineitem)
         SELECT window_start, variant_id, CAST(coalesce(sum(n) FILTER (c = 'ref'), 0) AS BIGINT) AS num_ref_reads,
         CAST(coalesce(sum(n) FILTER (c = 'alt'), 0) AS BIGINT) AS num_alt_reads, CAST(coalesce(sum(n) FILTER (c = 'other'), 0) AS BIGINT) AS num_other_reads FROM r GROUP BY ALL""",

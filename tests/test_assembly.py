@@ -2,11 +2,13 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.operators.assembly import Sequence, SequenceOptions, assemble, assemble_groups, trim_and_collapse, variant_sequences, with_container
+from spliceloom.functions.reach import bases_within, covering, kth_longest, reach_of, reads_in
+from spliceloom.operators.assembly import Sequence, SequenceOptions, assemble, assemble_groups, sequences_with_reads, trim_and_collapse, variant_sequences, with_container
 from spliceloom.operators.phasing import shared_names
 
 READ = "array<struct<prefix:string,allele:string,suffix:string,name:string,source_read_count:bigint>>"
@@ -52,18 +54,32 @@ def test_containers(spark):
         assert got[v, seen] == min(over)[1]
 
 
+def tables(spark, rows):
+    """Sequences with histograms instead of their lists of reads."""
+    frame = spark.createDataFrame(rows, SCHEMA)
+    return frame.select("variant_id", "prefix", "alt", "suffix", "seen", reach_of(F.col("reads"), "prefix").alias("left_reach"), reach_of(F.col("reads"), "suffix").alias("right_reach"), F.size("reads").cast("long").alias("n_source_reads"))
+
+
+def reach_by_hand(reads, side):
+    counted = Counter(len(r[side]) for r in reads)
+    return sorted(counted.items(), reverse=True)
+
+
 @pytest.mark.parametrize("limit", [None, 25])
 @pytest.mark.parametrize("at_once", [0, 6, 1000])
 def test_groups_are_assembled_alike_by_tasks_and_by_joins(spark, limit, at_once):
     rows = random_groups(3, 8, 45) + [(50, *r[1:]) for r in random_groups(4, 1, 3)]
-    frame = spark.createDataFrame(rows, SCHEMA)
-    found = assemble_groups(frame, F.lit(8), limit, at_once).collect()
+    made, members = (x.collect() for x in assemble_groups(tables(spark, rows), F.lit(8), limit, at_once))
     for v in {r[0] for r in rows}:
-        want = assemble(sequences_of(rows, v), 8, limit, {r[5]: len(r[4]) for r in rows if r[0] == v})
-        got = sorted((r for r in found if r.variant_id == v), key=lambda r: r.seen)
+        mine = {r[5]: r[4] for r in rows if r[0] == v}
+        want = assemble(sequences_of(rows, v), 8, limit, {k: len(x) for k, x in mine.items()})
+        got = sorted((r for r in made if r.variant_id == v), key=lambda r: r.seen)
         assert [(r.prefix, r.alt, r.suffix) for r in got] == [(s.prefix, s.alt, s.suffix) for s in want]
-        names = {r[5]: [x[3] for x in r[4]] for r in rows if r[0] == v}
-        assert [sorted(x.name for x in r.reads) for r in got] == [sorted(n for k in s.reads for n in names[k]) for s in want]
+        assert {(r.place, r.seen) for r in members if r.variant_id == v} == {(n, k) for n, s in enumerate(want) for k in s.reads}
+        for r, s in zip(got, want, strict=True):
+            reads = [x for k in s.reads for x in mine[k]]
+            assert r.n_source_reads == len(reads)
+            assert [[tuple(x) for x in h] for h in (r.left_reach, r.right_reach)] == [reach_by_hand(reads, 0), reach_by_hand(reads, 2)]
 
 
 def test_merging_takes_several_rounds(spark):
@@ -71,19 +87,57 @@ def test_merging_takes_several_rounds(spark):
     rng = random.Random(8)
     text = "".join(rng.choice("ACGT") for _ in range(200))
     rows = [(1, text[40 + k : 100], "", text[100 : 130 + 2 * k], [(text[40 + k : 100], "", text[100 : 130 + 2 * k], f"n{k}", 1)], k + 1) for k in range(12)]
-    got = assemble_groups(spark.createDataFrame(rows, SCHEMA), F.lit(30), None, 0).collect()
-    assert [(r.prefix, r.suffix, len(r.reads)) for r in got] == [(text[40:100], text[100:152], 12)]
+    made, members = assemble_groups(tables(spark, rows), F.lit(30), None, 0)
+    assert [(r.prefix, r.suffix, r.n_source_reads) for r in made.collect()] == [(text[40:100], text[100:152], 12)]
+    assert members.count() == 12
 
 
 def test_collapsed_reads_go_to_the_longest(spark):
     rows = random_groups(5, 6, 50)
-    got = trim_and_collapse(spark.createDataFrame(rows, SCHEMA), 1).collect()
+    kept, into = (x.collect() for x in trim_and_collapse(tables(spark, rows), 1))
     for v in {r[0] for r in rows}:
         want = assemble(sequences_of(rows, v), 10**6, 0)
-        names = {r[5]: {x[3] for x in r[4]} for r in rows if r[0] == v}
-        assert {(r.prefix, r.alt, r.suffix, tuple(sorted(x.name for x in r.reads))) for r in got if r.variant_id == v} == {
-            (s.prefix, s.alt, s.suffix, tuple(sorted(set().union(*(names[k] for k in s.reads))))) for s in want
-        }
+        assert {(r.prefix, r.alt, r.suffix, r.seen) for r in kept if r.variant_id == v} == {(s.prefix, s.alt, s.suffix, next(r[5] for r in rows if r[:4] == (v, s.prefix, s.alt, s.suffix))) for s in want}
+        sizes = {r[5]: len(r[4]) for r in rows if r[0] == v}
+        seen = {(r.prefix, r.alt, r.suffix): r for r in kept if r.variant_id == v}
+        for s in want:
+            r = seen[s.prefix, s.alt, s.suffix]
+            assert {x.seen for x in into if x.variant_id == v and x.into == r.seen} == set(s.reads)
+            assert r.n_source_reads == sum(sizes[k] for k in s.reads)
+
+
+@pytest.mark.parametrize("assembly", [False, True])
+def test_reads_of_sequences(spark, assembly):
+    """Every read is with one sequence that it agrees with; counts and histograms are those of its reads."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("ACGT") for _ in range(80))
+    rows = []
+    for k in range(150):
+        left, right = rng.randint(5, 40), rng.randint(5, 39)
+        rows.append((k % 3, k, text[40 - left : 40], "A", text[41 : 41 + right], f"n{k // 2}", 1 + k % 2))
+    rows += [(0, 1000, *rows[0][2:]), (0, 1001, *rows[3][2:])]  # repeated reads
+    frame = spark.createDataFrame(rows, "variant_id long, read_ordinal long, prefix string, allele string, suffix string, name string, source_read_count long")
+    sequences, reads = (x.collect() for x in sequences_with_reads(frame, SequenceOptions(length=41, coverage=2, assembly=assembly, min_overlap=10)))
+    assert len(reads) == len({tuple(r) for r in reads}) and sequences
+    for s in sequences:
+        mine = [r for r in reads if (r.variant_id, r.seq_rank) == (s.variant_id, s.seq_rank)]
+        assert len(mine) == s.n_reads and sum(r.source_read_count for r in mine) == s.n_source_reads
+        assert [[tuple(x) for x in h] for h in (s.left_reach, s.right_reach)] == [reach_by_hand([(r.prefix, r.suffix) for r in mine], side) for side in (0, 1)]
+        assert s.sequence == s.prefix + s.alt + s.suffix and len(s.sequence) == 41
+
+
+def test_histograms(spark):
+    rng = random.Random(4)
+    for _ in range(5):
+        reads = [("A" * rng.randint(0, 6), "C" * rng.randint(0, 6)) for _ in range(rng.randint(0, 12))]
+        frame = spark.createDataFrame([(reads,)], "reads array<struct<prefix:string,suffix:string>>").withColumn("r", reach_of(F.col("reads"), "prefix"))
+        lengths = sorted((len(p) for p, _ in reads), reverse=True)
+        row = frame.select("r", reads_in(F.col("r")).alias("n"), *[f(F.col("r"), F.lit(k)).alias(f"{f.__name__}{k}") for f in (covering, kth_longest, bases_within) for k in range(8)]).first()
+        assert row.n == len(reads) and [tuple(x) for x in row.r] == reach_by_hand(reads, 0)
+        for k in range(8):
+            assert row[f"covering{k}"] == sum(x >= k for x in lengths)
+            assert row[f"kth_longest{k}"] == (lengths[k - 1] if 1 <= k <= len(lengths) else None)
+            assert row[f"bases_within{k}"] == sum(min(x, k) for x in lengths)
 
 
 def test_one_hot_variant(spark):
@@ -109,7 +163,7 @@ def test_one_hot_variant(spark):
     began = time.time()
     got = variant_sequences(rows, SequenceOptions(length=49, coverage=1, assembly=True))
     # The longest sequences are those of every 35th read, and hold the other nine of their text.
-    assert got.agg(F.count("*"), F.sum(F.size("reads"))).first()[:] == (1715, 17150)
+    assert got.agg(F.count("*"), F.sum("n_reads")).first()[:] == (1715, 17150)
     assert time.time() - began < 180
 
 

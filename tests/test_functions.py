@@ -1,11 +1,13 @@
 """Scalar functions against known values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from spliceloom.functions import dna
 from spliceloom.functions.cigar import aligned_blocks, read_offset, reference_positions
-from spliceloom.functions.scores import differences, least_alignment
+from spliceloom.functions.scores import alignment_score, differences, edit_runs, least_alignment
 from spliceloom.operators.effects import shared_prefix
 from spliceloom.functions.variants import base0_interval, short_description, trim_variant
 
@@ -115,6 +117,21 @@ def test_differences():
     assert differences("", "") == []
 
 
+def test_scores_and_runs_as_columns(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ABC") for _ in range(n))
+    pairs = [(text(rng.randint(0, 9)), text(rng.randint(0, 9))) for _ in range(120)] + [("", ""), (None, "A"), ("A", None)]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    for least in (0, 1, 4):
+        for r in frame.select("a", "b", alignment_score(F.col("a"), F.col("b"), least).alias("got")).collect():
+            assert r.got == (None if r.a is None or r.b is None else least_alignment(r.a, r.b, least))
+    equal = spark.createDataFrame([(a, text(len(a)), k) for k, (a, _) in enumerate(pairs) if a is not None] + [(None, None, 3)], "a string, b string, k int")
+    for r in equal.select("a", "b", "k", edit_runs(F.col("a"), F.col("b"), F.col("k")).alias("got")).collect():
+        assert (r.got if r.a is None else [tuple(x) for x in r.got]) == (None if r.a is None else differences(r.a, r.b, r.k))
+    with pytest.raises(Exception, match="differ in length"):
+        frame.select(edit_runs(F.lit("ab"), F.lit("a"), F.lit(0))).first()
+
+
 def test_cigar(spark):
     df = spark.createDataFrame([("2S3M2I2M100N4M1D2M3S", 11)], "cigar string, pos long").withColumn("b", aligned_blocks("cigar", "pos"))
     row = df.select("b", read_offset(F.col("b"), F.lit(12)).alias("o"), read_offset(F.col("b"), F.lit(50)).alias("gap"), reference_positions(F.col("b"), F.lit(18)).alias("p")).first()

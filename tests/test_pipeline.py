@@ -262,6 +262,35 @@ def test_edits(inputs, transcripts):
         assert p.known_germline == [] and p.known_somatic == sorted(p.known_somatic)
 
 
+def test_tables_name_genes_and_count_source_reads(inputs, transcripts):
+    variants, alignments = inputs
+    stages = Run(variants, alignments, transcripts, Options())
+    genes = {(r.chr, r.pos): r.gene for r in results.allele_reads_frame(stages.evidence, variants, transcripts).select("chr", "pos", "gene").distinct().collect()}
+    (_, plus, *_), (_, minus, *_) = snv("+", 150)[0], snv("-", 160)[0]
+    assert genes[("1", plus)] == "gene+" and genes[("2", minus)] == "gene-"
+    assert {r.gene for r in results.gene_names(variants, transcripts).collect()} == {"gene+", "gene-"}
+    assert {r.gene for r in results.gene_names(variants, None).collect()} == {""}
+    far = readers.literal_variants(variants.sparkSession, [("1", 5, "A", "C")])
+    assert [r.gene for r in results.gene_names(far, transcripts).collect()] == [""]
+    frame = results.variant_sequences_frame(stages.sequences, variants, transcripts)
+    assert frame.columns == ["chr", "pos", "ref", "alt", "prefix", "allele", "suffix", "sequence", "reads", "gene"]
+    assert "source_read_count" not in results.allele_reads_frame(stages.evidence, variants).columns
+    assert "source_read_count" not in results.locus_reads_frame(stages.locus_reads).columns
+
+    # Each read stands for two, as merged mates do.
+    doubled = Run(variants, alignments, transcripts, Options())
+    doubled.evidence = stages.evidence.withColumn("source_read_count", F.lit(2).cast("long"))
+    counts = [
+        {r.untrimmed_variant_sequence: (r.untrimmed_variant_sequence_read_count, r.variant_orf, r.reference_context) for r in results.translations_frame(x.translations, variants).collect()}
+        for x in (stages, doubled)
+    ]
+    assert counts[0].keys() == counts[1].keys() and len(counts[0]) >= 2
+    for sequence, (n, orf, names) in counts[0].items():
+        assert counts[1][sequence][0] == 2 * n > 0 and len(orf) % 3 == 0 and names in ("T+-1", "T--1")
+    proteins_frame = results.protein_sequences_frame(stages.proteins, variants)
+    assert {"reads", "gene"} <= set(proteins_frame.columns) and all(r.reads == r.num_supporting_reads > 0 for r in proteins_frame.collect())
+
+
 def test_frames(spark):
     rows = spark.createDataFrame([(1, 3, [("a", 1), ("b", 2)]), (2, 4, [])], "variant_id long, n int, reads array<struct<name:string,k:int>>")
     variants = spark.createDataFrame([(1, "1", 5, "A", "C"), (2, "2", 6, "G", "")], readers.VARIANT_SCHEMA)

@@ -1,12 +1,17 @@
 """Reads at loci on hand-made alignments."""
 
+import random
+import re
 import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from spliceloom.functions.cigar import aligned_blocks
+from spliceloom.functions.indels import left_aligned_interval as left_aligned
 from spliceloom.operators.evidence import allele_counts, counts_for_variants, with_fractions
-from spliceloom.operators.mates import Read, merge_group, merge_pair
+from spliceloom.operators.mates import Read, merge_group, merge_mates, merge_pair
 from spliceloom.operators.reads import ReadOptions, allele_reads, locus_reads, modal_allele, read_evidence
 from spliceloom.sources import readers
 from spliceloom.sources.bam import read_bam
@@ -57,6 +62,127 @@ def test_left_alignment(spark):
     assert alleles(spark, ("1", 1, "AA", "A"), [read("AAA", "2M1D1M", 0, "2^A1")]) == [("A", "", "AA", "alt")]
 
 
+def left_aligned_interval(seq: str, cigar: str, md: str, start: int, pos: int, ref: str, alt: str) -> tuple[int, int] | None:
+    """Where an indel of the read lies on it, if the indel or one of its left shifts is the trimmed variant.
+
+    ``start`` is the read's first reference position from 0; the reference bases come from the MD tag.
+    """
+    pairs: list[tuple[int | None, int | None]] = []
+    i, r = 0, start
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        for _ in range(int(n)):
+            if op in "M=X":
+                pairs.append((i, r))
+            elif op == "I":
+                pairs.append((i, None))
+            elif op == "D":
+                pairs.append((None, r))
+            i += op in "M=XIS"
+            r += op in "M=XDN"
+    deleted = {p: None for a, p in pairs if a is None}
+    aligned = [(a, p) for a, p in pairs if a is not None and p is not None]
+    bases: dict[int, str] = {}
+    at, removed = 0, list(deleted)
+    for n, gap, base in re.findall(r"(\d+)|\^([A-Z]+)|([A-Z])", md.upper()):
+        if n:
+            for a, p in aligned[at : at + int(n)]:
+                bases[p] = seq[a]
+            at += int(n)
+        elif gap:
+            for p, c in zip(removed, gap):
+                bases[p] = c
+            removed = removed[len(gap) :]
+        elif at < len(aligned):
+            bases[aligned[at][1]] = base
+            at += 1
+    k = 0
+    while k < len(pairs):
+        a, p = pairs[k]
+        if a is not None and p is not None:
+            k += 1
+            continue
+        end = k
+        while end < len(pairs) and (pairs[end][0] is None, pairs[end][1] is None) == (a is None, p is None):
+            end += 1
+        run, before = pairs[k:end], k - 1
+        if p is None:
+            text = "".join(seq[x] for x, _ in run)
+            lo, hi = run[0][0], run[-1][0] + 1
+        else:
+            text = "".join(bases.get(x, "N") for _, x in run)
+            lo = hi = pairs[before][0] + 1 if before >= 0 and pairs[before][0] is not None else 0
+        while before >= 0 and pairs[before][0] is not None and pairs[before][1] is not None:
+            last = pairs[before][1]
+            if p is None and (last + 1, "", text) == (pos, ref, alt) or p is not None and (last + 2, text, "") == (pos, ref, alt):
+                return lo, hi
+            base = bases.get(last)
+            if base is None or base != text[-1]:
+                break
+            text, lo, hi, before = base + text[:-1], lo - 1, hi - 1, before - 1
+        k = end
+    return None
+
+
+def test_left_alignment_in_closed_form(spark):
+    """Reads with all kinds of operations against shifting base by base; variants are places that shifts reach, and others."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(400):
+        ops, seq, md, run, ref = [], "", "", 0, 10
+        if rng.random() < 0.3:
+            ops.append((2, "S"))
+            seq += "".join(rng.choice("AC") for _ in range(2))
+        hits = []
+        for k in range(rng.randint(2, 5)):
+            n = rng.randint(1, 8)
+            ops.append((n, "M"))
+            for _ in range(n):
+                base = rng.choice("AC")
+                seq += base
+                if rng.random() < 0.05:
+                    md, run = md + str(run) + "G", 0
+                else:
+                    run += 1
+            ref += n
+            op = rng.choice("IIDDN-")
+            n = rng.randint(1, 4)
+            if op == "I":
+                text = "".join(rng.choice("AC") for _ in range(n))
+                ops.append((n, "I"))
+                seq += text
+                hits.append((ref, "", text))
+                if rng.random() < 0.1:
+                    ops += [(1, "P"), (1, "I")]
+                    seq += "A"
+            elif op == "D":
+                text = "".join(rng.choice("AC") for _ in range(n))
+                ops.append((n, "D"))
+                md, run = md + str(run) + "^" + text, 0
+                hits.append((ref + 1, text, ""))
+                ref += n
+            elif op == "N":
+                ops.append((10, "N"))
+                ref += 10
+        ops.append((3, "M"))
+        seq += "CAC"
+        md += str(run + 3) if rng.random() < 0.9 else ""
+        cigar = "".join(f"{n}{op}" for n, op in ops)
+        for pos, r, a in hits[:2]:
+            for back in range(4):
+                text = r or a
+                turned = text[-back % len(text) :] + text[: -back % len(text)] if back else text
+                rows.append((seq, cigar, md, 10, pos - back, turned if r else "", turned if a else ""))
+    frame = spark.createDataFrame(rows, "seq string, cigar string, md string, start long, p long, r string, a string").withColumn("pos", F.col("start") + 1)
+    frame = frame.withColumn("blocks", aligned_blocks("cigar", "pos"))
+    found = frame.select("*", left_aligned(*map(F.col, ("seq", "cigar", "md", "blocks", "p", "r", "a"))).alias("got")).collect()
+    shifted = 0
+    for x in found:
+        want = left_aligned_interval(x.seq, x.cigar, x.md, x.start, x.p, x.r, x.a)
+        assert (x.got and tuple(x.got)) == want, x
+        shifted += want is not None
+    assert 300 < shifted < len(found) - 300
+
+
 def test_filters_and_contigs(spark):
     r = [read("ACCGTG", "6M", 0, flag=f, mapq=q, rname=c) for f, q, c in [(0, 10, "chr1"), (4, 10, "chr1"), (256, 10, "chr1"), (1024, 10, "chr1"), (0, 0, "chr1"), (2048, 255, "chr1")]]
     assert len(alleles(spark, ("1", 4, "T", "G"), r)) == 3
@@ -94,6 +220,38 @@ def test_mates_merge(spark):
     assert [(r.sequence, r.source_read_count) for r in merged] == [("ACCGTGAA", 2)]
 
 
+def test_pairs_merge_by_aggregation_as_one_by_one(spark):
+    """Random pairs: overlapping or not, with insertions, clips, gaps, conflicts and empty intervals."""
+    rng = random.Random(9)
+    schema = (
+        "variant_id long, read_ordinal long, name string, sequence string, reference_positions array<long>, quality_scores array<int>, source_read_count long, "
+        "reference_base0_start long, reference_base0_end long, read_base0_start long, read_base0_end long"
+    )
+    truth = "".join(rng.choice("ACGT") for _ in range(60))
+    rows = []
+    for k in range(300):
+        for half in range(2):
+            positions, p = [], rng.randint(0, 12) + 6 * half
+            for _ in range(rng.randint(3, 12)):
+                positions.append(None if rng.random() < 0.12 else p)
+                p += (positions[-1] is not None) * (1 if rng.random() < 0.93 else 3)
+            if k % 37 == 0 and half:
+                positions = [None] * len(positions)
+            bases = "".join("A" if p is None else truth[p] if rng.random() < 0.97 else "T" for p in positions)
+            start = rng.randint(0, len(bases))
+            end = min(len(bases), start + rng.choice([0, 1, 2]))
+            rows.append((k % 5, 1000 - 2 * k + half, f"n{k}", bases, positions, [rng.choice([20, 30, 30]) for _ in bases], 1, 5, 6, start, end))
+    frame = spark.createDataFrame(rows, schema)
+    got = {(r.name, r.read_ordinal): tuple(r)[3:7] + tuple(r)[9:] for r in merge_mates(frame).collect()}
+    want = {}
+    for k in range(300):
+        mine = sorted((r for r in rows if r[2] == f"n{k}"), key=lambda r: r[1])
+        for n, m in enumerate(merge_group([Read(r[3], tuple(r[4]), tuple(r[5]), r[9], r[10], r[6]) for r in mine])):
+            want[f"n{k}", mine[n][1]] = (m.sequence, list(m.positions), list(m.qualities), m.count, m.start, m.end)
+    assert 320 < len(want) < 580
+    assert got == want
+
+
 def test_counts(spark):
     rows = [(1, "ref", "a", 1), (1, "ref", "a", 1), (1, "alt", "b", 2), (1, "other", "c", 1), (1, "other", "d", 2), (1, "alt", "c", 0)]
     frame = spark.createDataFrame(rows, "variant_id long, allele_class string, name string, source_read_count long")
