@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus assignment-aware lexing with constant propagation.
 
 Method. A lexer reads source and configuration syntax (``name = literal``,
-``"name": "literal"``, ``name := a + "b"``, ...) into name-literal pairs. Names
+``"name": "literal"``, ``name := a + b"c"``, ``<name>literal</name>``, ``--name
+literal``, ``set_name("literal")``, ...) into name-literal pairs. Names
 that stand for constants are replaced by the literals they were given last before
 in the text, or else first after. A literal is reported if the name it reaches is sensitive and the
 literal looks like a secret, at the place where it is written.
@@ -11,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,11 +55,23 @@ PLACEHOLDER = re.compile(
     re.IGNORECASE,
 )
 
-TERM = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^\s,;+(){}\[\]\"']++"
+# Strings with the prefixes and quotes of common languages; what is no string is a name, a number or a bare value.
+STRING = (
+    r"[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''"
+    r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+')"
+)
+TERM = STRING + r"|[^\s,;+(){}\[\]\"'<>]++"
 PAIR = re.compile(
     rf"(?<![\w.-])[\"']?([A-Za-z_][\w.-]*+)[\"']?\]?[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+((?:{TERM})(?:[ \t]*+\+[ \t]*+(?:{TERM}))*+)"
 )
 TERMS = re.compile(TERM)
+QUOTED = re.compile(r"[rRbBuUfF]{0,2}(\"\"\"|'''|[\"'])")
+# Other syntax that gives a name a literal: <name>literal</name>, --name literal, set_name("literal").
+MARKUP = re.compile(r"<([A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>([^<>\s]++)</\1>")
+FLAG = re.compile(rf"(?<![\w-])--?([A-Za-z][\w-]*+)(?:=|[ \t]++)((?:{STRING})|[^\s\"'<>=-][^\s\"'<>]*+)")
+CALL = re.compile(rf"(?<![\w.-])(?:\w++\.)*+([A-Za-z_]\w*+)\(\s*+({STRING})\s*+[,)]")
+# First words of functions that ask for a secret by its name.
+ASKS = {"get", "getenv", "getpass", "read", "load", "fetch", "find", "has", "is", "check", "require", "lookup", "input", "prompt"}
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 GATE = tuple(w.encode() for w in SENSITIVE)
 _FOLDED = bytes(range(256)).lower()
@@ -130,6 +145,27 @@ def may_name_secrets(text: str) -> bool:
     return any(w in squeezed for w in GATE)
 
 
+def unquoted(word: str, at: int) -> Literal | None:
+    """What a string at ``at`` holds; null for other terms."""
+    quote = QUOTED.match(word)
+    if not quote or len(word) < quote.end() + len(quote[1]):
+        return None
+    end = len(word) - len(quote[1])
+    return at + quote.end(), at + end, word[quote.end() : end]
+
+
+def other_literals(text: str) -> Iterator[tuple[str, int, str]]:
+    """Name, place and text of literals that are given to names without an assignment."""
+    if "</" in text:
+        yield from ((m[1], m.start(2), m[2]) for m in MARKUP.finditer(text))
+    if "-" in text:
+        yield from ((m[1], m.start(2), m[2]) for m in FLAG.finditer(text))
+    for m in CALL.finditer(text):
+        words = WORDS.findall(m[1])
+        if words and words[0].lower() not in ASKS:
+            yield m[1], m.start(2), m[2]
+
+
 def lexed_secrets(text: str, least: float = 0.6) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name; each place once."""
     known: dict[str, Value] = {}
@@ -139,19 +175,26 @@ def lexed_secrets(text: str, least: float = 0.6) -> list[tuple[int, int]]:
     for pair in PAIR.finditer(text):
         name, at = pair[1], pair.start(2)
         value = Value([])
-        for term in TERMS.finditer(pair[2]):
-            word = term[0]
-            if word[0] in "\"'" and len(word) > 1:
-                value.parts.append((at + term.start() + 1, at + term.end() - 1, word[1:-1]))
+        terms = list(TERMS.finditer(pair[2]))
+        called = text[pair.end() : pair.end() + 1] in ("(", "[")
+        for term in terms:
+            word, literal = term[0], unquoted(term[0], at + term.start())
+            if literal:
+                value.parts.append(literal)
             elif word in known:
                 value.parts.append(known[word])
             else:
+                # A bare word may be a name that gets its literal later, and a literal itself only if it stands alone.
                 ahead.append((value, len(value.parts), word))
-                value.parts.append((at + term.start(), at + term.end(), word))
+                alone = len(terms) == 1 and not called
+                value.parts.append((at + term.start(), at + term.end(), word) if alone else Value([]))
         known[name] = value
         first.setdefault(name, value)
         if weight := name_weight(name):
             sensitive.append((weight, value))
+    for name, start, word in other_literals(text):
+        if weight := name_weight(name):
+            sensitive.append((weight, Value([unquoted(word, start) or (start, start + len(word), word)])))
     for value, k, word in ahead:
         if first.get(word, value) is not value:
             value.parts[k] = first[word]
@@ -178,8 +221,10 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base = base_spans(text)
     if not may_name_secrets(text):
         return base, base
-    more = [(s, 3, e) for s, e in lexed_secrets(text) if not any(b <= s and e <= f for b, _, f in base)]
-    return base, sorted(base + more)
+    starts = [b for b, _, _ in base]
+    reach = list(accumulate((f for _, _, f in base), max))  # the furthest end of the spans that begin up to here
+    held = lambda s, e: (k := bisect_right(starts, s)) > 0 and reach[k - 1] >= e
+    return base, sorted(base + [(s, 3, e) for s, e in lexed_secrets(text) if not held(s, e)])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
