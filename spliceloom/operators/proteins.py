@@ -60,8 +60,11 @@ def match_frames(sequences: DataFrame, contexts: DataFrame, options: ProteinOpti
     A sequence with too many mismatches is cut to the positions that one read more
     covers and tried again, up to ``attempts`` times. An attempt only moves the
     numbers of nucleotides kept on either side: distances of the mismatches from
-    the variant and the reads' reaches, longest first, are found once before.
+    the variant are found once before, and how far reads reach are histograms
+    (left_reach, right_reach), made of a list of ``reads`` if they aren't given.
     """
+    if "left_reach" not in sequences.columns:
+        sequences = sequences.withColumns({"left_reach": reach_of(F.col("reads"), "prefix"), "right_reach": reach_of(F.col("reads"), "suffix")})
     rows = sequences.join(contexts, "variant_id")
     plus = F.col("strand") == "+"
     before, after, offset = (F.col(c) for c in (KEY[1], KEY[3], KEY[4]))
