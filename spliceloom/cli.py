@@ -124,7 +124,8 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         contigs = readers.read_contigs(spark, a.bam)
         alignments = readers.read_alignments(spark, a.bam, locus_windows(variants, contigs) if contigs is not None else None)
     run = Run(variants, alignments, transcripts_of(spark, a), options_of(a), contigs)
-    whole = a.command not in ("allele-reads", "variant-reads")  # tables of reads are too large for one task
+    # Tables of reads, sequences and translations are too large for one task.
+    whole = a.command not in ("allele-reads", "variant-reads", "variant-sequences", "translations")
     readers.write_table(COMMANDS[a.command](run), a.output or f"spliceloom-{a.command}.csv", a.output_columns, whole)
 
 

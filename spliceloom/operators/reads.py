@@ -163,6 +163,21 @@ def locus_reads(
     return merge_mates(reads) if options.merge_overlapping_mates else reads
 
 
+def reads_at_locus(
+    alignments: DataFrame, contig: str, start: int, end: int, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
+) -> DataFrame:
+    """``locus_reads`` of a place without any variant: from ``start`` to before ``end``, from 0; between two bases if they are equal.
+
+    variant_id is contig:start-end.
+    """
+    if not 0 <= start <= end:
+        raise ValueError(f"no such interval: {start}-{end}")
+    # Letters that no read has: nothing is trimmed, and no indel is shifted to them.
+    row = (f"{contig}:{start}-{end}", contig, start + 1 if end > start else start, "?" * (end - start), "!" * max(end - start, 1))
+    locus = alignments.sparkSession.createDataFrame([row], "variant_id string, contig string, pos long, ref string, alt string")
+    return locus_reads(locus, alignments, options, contigs)
+
+
 def allele_reads(reads: DataFrame) -> DataFrame:
     """Locus reads as prefix, allele and suffix; those with an N in the allele go, and N ends prefix and suffix."""
     seq, a, z = F.col("sequence"), F.col("read_base0_start"), F.col("read_base0_end")

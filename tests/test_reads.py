@@ -12,7 +12,7 @@ from spliceloom.functions.cigar import aligned_blocks
 from spliceloom.functions.indels import left_aligned_interval as left_aligned
 from spliceloom.operators.evidence import allele_counts, counts_for_variants, with_fractions
 from spliceloom.operators.mates import Read, merge_group, merge_mates, merge_pair
-from spliceloom.operators.reads import ReadOptions, allele_reads, locus_reads, modal_allele, read_evidence
+from spliceloom.operators.reads import ReadOptions, allele_reads, locus_reads, modal_allele, read_evidence, reads_at_locus
 from spliceloom.sources import readers
 from spliceloom.sources.bam import read_bam
 
@@ -183,6 +183,19 @@ def test_left_alignment_in_closed_form(spark):
     assert 300 < shifted < len(found) - 300
 
 
+def test_reads_of_a_bare_locus(spark):
+    rows = alignments(spark, [read("ACCGTG", "6M", 0), read("CGTGAA", "2M2I2M", 2), read("AC", "2M", 50), read("ACCG", "2M3D2M", 1)])
+    columns = ("read_ordinal", "sequence", "reference_base0_start", "reference_base0_end", "read_base0_start", "read_base0_end")
+    for start, end, variant in ((3, 4, ("1", 4, "A", "C")), (3, 5, ("1", 4, "AA", "CC")), (4, 4, ("1", 4, "A", "AGGGGG"))):
+        want = locus_reads(readers.literal_variants(spark, [variant]), rows).select(*columns)
+        got = reads_at_locus(rows, "chr1", start, end)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.collect())) != []
+        assert {r.variant_id for r in got.collect()} == {f"chr1:{start}-{end}"}
+    assert reads_at_locus(rows, "1", 500, 501).count() == 0
+    with pytest.raises(ValueError, match="interval"):
+        reads_at_locus(rows, "1", 5, 4)
+
+
 def test_filters_and_contigs(spark):
     r = [read("ACCGTG", "6M", 0, flag=f, mapq=q, rname=c) for f, q, c in [(0, 10, "chr1"), (4, 10, "chr1"), (256, 10, "chr1"), (1024, 10, "chr1"), (0, 0, "chr1"), (2048, 255, "chr1")]]
     assert len(alleles(spark, ("1", 4, "T", "G"), r)) == 3
