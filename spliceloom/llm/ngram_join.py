@@ -142,7 +142,8 @@ def near_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray, c
     """For each set, the ones not smaller (of the other side, if ``crossed``) that may link with it, closest first.
 
     Of two bitmaps the longer is folded to the shorter's length: its halves are
-    combined, which again gives parities. Unequal bits bound the difference.
+    combined, which again gives parities. Unequal bits bound the difference, and
+    those of a quarter of the words already rule most pairs out.
     """
     order = np.argsort(sizes, kind="stable")
     sizes, side, bitmaps = sizes[order], side[order], [bitmaps[k] for k in order.tolist()]
@@ -158,13 +159,19 @@ def near_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray, c
                 b = b[: len(b) // 2] ^ b[len(b) // 2 :]
             folded.append(b)
         matrix = np.stack(folded)
+        first = max(1, width // 4)
         for i in range(begin, own_end):
             stop = int(np.searchsorted(sizes, sizes[i] * rule.whole // rule.part, side="right"))
-            others = np.arange(i + 1, stop)
+            bound = (rule.whole - rule.part) * (sizes[i + 1 : stop] + sizes[i]) // (rule.whole + rule.part)
+            some = np.bitwise_count(matrix[i + 1 - begin : stop - begin, :first] ^ matrix[i - begin, :first]).sum(axis=1) <= bound
             if crossed:
-                others = others[side[others] != side[i]]
+                some &= side[i + 1 : stop] != side[i]
+            at = np.flatnonzero(some)
+            if not len(at):
+                continue
+            others, bound = at + i + 1, bound[at]
             apart = np.bitwise_count(matrix[others - begin] ^ matrix[i - begin]).sum(axis=1)
-            ok = apart <= (rule.whole - rule.part) * (sizes[others] + sizes[i]) // (rule.whole + rule.part)
+            ok = apart <= bound
             if ok.any():
                 yield int(order[i]), order[others[ok][np.argsort(apart[ok], kind="stable")]]
 
@@ -463,7 +470,7 @@ def jaccard_join(
     n_shingles, class_id (a number for equal words) and component_id, the smallest
     id reachable by links, its own included. ``class_bits`` of a digest number the
     classes, and digests that share them get others. ``most`` members of a group
-    are compared in one task.
+    are compared on their words in one task, and four times as many on their bitmaps.
 
     Null or empty texts have no n-grams and link with nothing, not even with each
     other. Ids must be integers; a null id reaches its component's smallest other
@@ -483,8 +490,10 @@ def jaccard_join(
             population[number] = population.get(number, 0) + r.n
     levels = {number: plan_level(rule, number, sets) for number, sets in population.items()}
 
-    parts = materialize(group_parts(keyed(rows, n, rule, levels, class_bits, moved), most), "join-groups")
-    families = components(connect(*group_tiles(parts, most), most, lambda t: candidates(t, classes, rule)))
+    # A task holds more bitmaps than texts: a class has a bit or two for each n-gram here, but all its words when it is verified.
+    bitmaps = 4 * most
+    parts = materialize(group_parts(keyed(rows, n, rule, levels, class_bits, moved), bitmaps), "join-groups")
+    families = components(connect(*group_tiles(parts, bitmaps), bitmaps, lambda t: candidates(t, classes, rule)))
     families = families.select(F.col("node").alias("class"), F.col("component").alias("group"))
     families = materialize(families.join(classes.select("class", "id"), "class"), "join-families")
     wanted = families.select("class", F.col("id").alias("wanted"))
