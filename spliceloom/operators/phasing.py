@@ -22,7 +22,10 @@ def shared_names(names: DataFrame, key: str = "variant_id", name: str = "name",
     firsts = few.select("vs", F.posexplode("vs").alias("i", "a"))
     pairs = firsts.select("a", F.explode(F.slice("vs", F.col("i") + 2, F.size("vs"))).alias("b"))
 
-    many = counted.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block))
+    many = counted.where(F.col("n") > block)
+    if not many.limit(1).count():
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    many = many.withColumn("blocks", F.ceil(F.col("n") / block))
     many = many.withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = many.select("v", "name", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     left = dealt.where("mine = low").select(F.col("v").alias("x"), "name", "low", "high")
