@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dna, scores
@@ -58,10 +58,15 @@ def _fractions_sql() -> str:
 DNA = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 
 
+def _letters(letters: str) -> Column:
+    """Only these letters of a text, taken out by runs of others; behind a generator, so filters and cuts don't do it again."""
+    return F.explode(F.array(F.regexp_replace(F.upper("text"), f"[^{letters}]+", "")))
+
+
 def _dna(spark: SparkSession, sf_dir: str, letters: str = "ACGT") -> DataFrame:
     """Documents reduced to nucleotides: (doc_id, source, dna)."""
     rows = _table(spark, sf_dir, "documents")
-    return rows.select("doc_id", "source", F.regexp_replace(F.upper("text"), f"[^{letters}]", "").alias("dna"))
+    return rows.select("doc_id", "source", _letters(letters).alias("dna"))
 
 
 def allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
