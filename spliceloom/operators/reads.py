@@ -12,6 +12,7 @@ from ..functions import cigar as C
 from ..functions.dna import after_last_n, before_first_n, slice_text
 from ..functions.indels import left_aligned_interval
 from ..functions.variants import with_trimmed
+from ..plans.scratch import stage_table
 from .mates import merge_mates
 
 
@@ -28,6 +29,8 @@ class ReadOptions:
 
 
 SECONDARY, DUPLICATE, UNMAPPED = 256, 1024, 4
+#: As many loci are sent to the reads instead of meeting them by bins.
+FEW_LOCI = 65536
 
 
 def usable_alignments(alignments: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
@@ -93,22 +96,43 @@ def locus_windows(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     )
 
 
-def overlapping_alignments(
+def alignments_near_loci(
     variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
 ) -> DataFrame:
-    """Alignments with an aligned base in each variant's locus, widened by one base on either side.
+    """Usable alignments with ``blocks`` and ``loci``, the list of ``locus_windows`` that an aligned base of theirs lies in.
 
-    Bins come from the aligned blocks, so a read spliced over a locus does not
-    meet it. A pair that meets in several blocks is taken at the first. ``contigs``
+    Bins come from the aligned blocks, so a read spliced over a locus does not meet it. A locus is listed once, at the
+    read's first block and bin that meet it; reads without any are left out. Up to ``FEW_LOCI`` loci go to the reads, which
+    then stay where they are however many lie on one locus; more of them meet the reads by contig and bin. ``contigs``
     (rname), as a file's header has them, spare a pass over the alignments.
     """
-    windows = locus_windows(variants, alignments if contigs is None else contigs).withColumnRenamed("rname", "locus_rname")
+    windows = stage_table(locus_windows(variants, alignments if contigs is None else contigs), "locus-windows")
+    bins = lambda s, e: F.explode(F.sequence(F.floor(s / options.bin_size), F.floor((e - 1) / options.bin_size)))
+    window = F.struct(*[c for c in windows.columns if c != "rname"])
+    binned = windows.select(F.col("rname").alias("locus_rname"), bins(F.col("window_start"), F.col("window_end")).alias("locus_bin"), window.alias("w"))
+    near = binned.groupBy("locus_rname", "locus_bin").agg(F.collect_list("w").alias("near"))
+    if windows.limit(FEW_LOCI + 1).count() <= FEW_LOCI:
+        near = F.broadcast(near)
     reads = usable_alignments(alignments, options).withColumn("blocks", C.aligned_blocks("cigar", "pos"))
-    parts = reads.select("*", F.posexplode("blocks").alias("block_no", "b")).select(
-        "*", F.col("b.ref").alias("block_start"), (F.col("b.ref") + F.col("b.len")).alias("block_end")
-    )
-    met = interval_join(windows, parts.drop("b"), ("locus_rname", "window_start", "window_end"), ("rname", "block_start", "block_end"), options.bin_size)
-    return met.where(F.col("block_no") == C.first_overlap(F.col("blocks"), F.col("window_start"), F.col("window_end"))).drop("block_no", "block_start", "block_end", "locus_rname")
+    parts = reads.select("*", F.posexplode("blocks").alias("block_no", "b")).where("b.len > 0")
+    start, end = F.col("b.ref"), F.col("b.ref") + F.col("b.len")
+    met = parts.withColumn("block_bin", bins(start, end)).join(near, (F.col("rname") == F.col("locus_rname")) & (F.col("block_bin") == F.col("locus_bin")))
+
+    def here(w: Column) -> Column:
+        overlap = (w["window_start"] < end) & (start < w["window_end"]) & (F.floor(F.greatest(w["window_start"], start) / options.bin_size) == F.col("block_bin"))
+        return overlap & (C.first_overlap(F.col("blocks"), w["window_start"], w["window_end"]) == F.col("block_no"))
+
+    # Behind a generator: the filter on the list then doesn't compute it again.
+    listed = met.withColumn("loci", F.explode(F.array(F.filter("near", here)))).where(F.size("loci") > 0)
+    return listed.drop("block_no", "b", "block_bin", "locus_rname", "locus_bin", "near")
+
+
+def overlapping_alignments(
+    variants: DataFrame, alignments: DataFrame, options: ReadOptions = ReadOptions(), contigs: DataFrame | None = None
+) -> DataFrame:
+    """Alignments with an aligned base in each variant's locus, widened by one base on either side; see ``alignments_near_loci``."""
+    met = alignments_near_loci(variants, alignments, options, contigs)
+    return met.withColumn("w", F.explode("loci")).select(*[c for c in met.columns if c != "loci"], "w.*")
 
 
 def locus_reads(
@@ -120,7 +144,18 @@ def locus_reads(
     quality_scores, source_read_count, reference_base0_start/end,
     read_base0_start/end.
     """
-    met = overlapping_alignments(variants, alignments, options, contigs)
+    near = alignments_near_loci(variants, alignments, options, contigs)
+    length = F.length("seq").cast("long")
+    first, last = C.clipped_start(F.col("cigar")), length - C.clipped_end(F.col("cigar"))
+    # What a read has at every locus is laid out before its loci are.
+    laid_out = near.withColumns(
+        {
+            "positions": C.reference_positions(F.col("blocks"), length),
+            "scores": F.transform(F.split("qual", ""), lambda q: F.ascii(q) - 33),
+            "clips": F.struct(first.alias("first"), last.alias("last")),
+        }
+    )
+    met = laid_out.withColumn("w", F.explode("loci")).select(*[c for c in laid_out.columns if c != "loci"], "w.*")
     pure_indel = (F.length("trimmed_ref") == 0) != (F.length("trimmed_alt") == 0)
     shiftable = pure_indel & F.col("md").isNotNull() & F.col("cigar").rlike("[ID]")
     columns = map(F.col, ("seq", "cigar", "md", "blocks", "trimmed_pos", "trimmed_ref", "trimmed_alt"))
@@ -128,22 +163,22 @@ def locus_reads(
     rows = met.withColumn("shifted", F.explode(F.array(F.when(shiftable, left_aligned_interval(*columns)))))
 
     blocks, start, end = F.col("blocks"), F.col("locus_start"), F.col("locus_end")
-    length = F.length("seq").cast("long")
-    first, last = C.clipped_start(F.col("cigar")), length - C.clipped_end(F.col("cigar"))
     before, after = C.read_offset(blocks, start - 1), C.read_offset(blocks, start)
     insertion = F.length("trimmed_ref") == 0
-    ins_start = F.when(before.isNull() & after.isNull(), F.lit(None)).when(before.isNull(), first).otherwise(before + 1)
-    ins_end = F.when(before.isNull() & after.isNull(), F.lit(None)).when(after.isNull(), last).otherwise(after)
+    ins_start = F.when(before.isNull() & after.isNull(), F.lit(None)).when(before.isNull(), F.col("clips.first")).otherwise(before + 1)
+    ins_end = F.when(before.isNull() & after.isNull(), F.lit(None)).when(after.isNull(), F.col("clips.last")).otherwise(after)
     sub_start = F.coalesce(after, before + 1)
     sub_end = F.coalesce(C.read_offset(blocks, end), C.read_offset(blocks, end - 1) + 1)
-    rows = rows.withColumns(
+    interval = F.struct(
+        F.coalesce(F.col("shifted.start"), F.when(insertion, ins_start).otherwise(sub_start)).alias("a"),
+        F.coalesce(F.col("shifted.end"), F.when(insertion, ins_end).otherwise(sub_end)).alias("z"),
+    )
+    rows = rows.withColumn("interval", F.explode(F.array(interval))).withColumns(
         {
-            "a": F.coalesce(F.col("shifted.start"), F.when(insertion, ins_start).otherwise(sub_start)),
-            "z": F.coalesce(F.col("shifted.end"), F.when(insertion, ins_end).otherwise(sub_end)),
-            "positions": C.reference_positions(blocks, length),
-            "scores": F.transform(F.split("qual", ""), lambda q: F.ascii(q) - 33),
-            "first": F.lit(0).cast("long") if options.use_soft_clipped else first,
-            "last": length if options.use_soft_clipped else last,
+            "a": F.col("interval.a"),
+            "z": F.col("interval.z"),
+            "first": F.lit(0).cast("long") if options.use_soft_clipped else F.col("clips.first"),
+            "last": length if options.use_soft_clipped else F.col("clips.last"),
         }
     ).where("a IS NOT NULL AND z IS NOT NULL")
     cut = lambda c: F.slice(c, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import dna
 from .operators import assembly, contexts, effects, evidence, filters, proteins, reads, results
 from .plans.scratch import stage_table
-from .queries import _dna, _evidence, _table, _translated
+from .queries import _dna, _evidence, _letters, _table, _translated
 
 # Alignments: one per document, of all its A, C, G, T and N. Clips, gaps, flags and qualities depend on the id.
 CIGAR = """CASE WHEN doc_id % 19 = 0 THEN (n + 1) || 'M' WHEN doc_id % 6 = 0 THEN n || 'M' WHEN doc_id % 6 = 1 THEN '3S' || (n - 3) || 'M'
@@ -26,8 +26,7 @@ PLACES = tuple(range(9, 130, 10))
 
 
 def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace(F.upper("text"), "[^ACGTN]", "")
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", text.alias("seq")).where("length(seq) >= 40 AND lang IS NOT NULL")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", _letters("ACGTN").alias("seq")).where("length(seq) >= 40 AND lang IS NOT NULL")
     rows = rows.withColumns({"n": F.length("seq"), "h": F.expr("length(seq) div 2")})
     made = rows.select(
         F.col("doc_id").alias("read_ordinal"),
@@ -79,8 +78,10 @@ def usable_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locus_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reads.locus_reads(_variants(spark, sf_dir), _alignments(spark, sf_dir))
-    mapped = F.filter("reference_positions", lambda p: p.isNotNull())
-    return found.select(
+    mapped = F.col("mapped")
+    # Behind a generator: listed once for both columns that are made of it.
+    listed = found.withColumn("mapped", F.explode(F.array(F.filter("reference_positions", lambda p: p.isNotNull()))))
+    return listed.select(
         "variant_id",
         F.col("read_ordinal").alias("doc_id"),
         "reference_base0_start",

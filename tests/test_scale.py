@@ -1,8 +1,11 @@
 """Steps that decide how queries grow: what is done once, and what is sent where."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from spliceloom import queries
+from spliceloom.operators import reads
+from spliceloom.plans.scratch import stage_table
 
 TEXTS = ["Acgt gaTTaca", "", None, "xyz\nNNAéC\r\ncg T", "AAAA", "\U0001f9ecGCİt"]
 
@@ -20,3 +23,26 @@ def test_letters_of_a_text_are_taken_out_once(spark, documents):
     assert got == {k: t if t is None else "".join(c for c in t.upper() if c in "ACGT") for k, t in enumerate(TEXTS)}
     cut = dna.where("length(dna) >= 2").selectExpr("doc_id", "substr(dna, 1, length(dna) div 2) AS p", "substr(dna, length(dna) div 2 + 1) AS s")
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def _alignments(spark, n, parts):
+    rows = [(k, f"r{k}", 0, "1", 1 + k % 7, 60, "6M2I6M" if k % 3 else "5M3D4M9N5M", "ACGTACGTACGTAC", "I" * 14, None) for k in range(n)]
+    kinds = "read_ordinal long, qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual string, md string"
+    return spark.createDataFrame(rows, kinds).repartition(parts)
+
+
+def test_reads_of_one_locus_stay_spread(spark, monkeypatch):
+    variants = spark.createDataFrame([(f"v{p}", "chr1", p, "A", "C") for p in (4, 9, 15)], "variant_id string, contig string, pos long, ref string, alt string")
+    alignments = stage_table(_alignments(spark, 60, 6), "test-alignments")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        found = reads.locus_reads(variants, alignments)
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        few = sorted(map(str, found.collect()))
+        monkeypatch.setattr(reads, "FEW_LOCI", 0)
+        assert len(few) > 100 and sorted(map(str, reads.locus_reads(variants, alignments).collect())) == few
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
