@@ -159,9 +159,10 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
     merged = met.groupBy(*keys).agg(F.sort_array(F.collect_list(base)).alias("m"), F.max(F.col("n") == 2).alias("shared"), F.max(conflict).alias("refused"))
     merged = merged.where("shared AND NOT refused").select(*keys, "m")
 
+    # Merged or not, a pair is met once: what its bases make is not worked out again for those that stay.
     first = reads.where("_read = 0").drop("_read")
-    second = reads.where("_read = 1").select(*keys, *[F.col(c).alias(f"_{c}") for c in ("sequence", "read_base0_start", "read_base0_end", "source_read_count")])
-    joined = first.join(second, list(keys)).join(merged, list(keys))
+    second = reads.where("_read = 1").select(*keys, F.struct(*pairs.columns).alias("_second"))
+    joined = first.join(second, list(keys)).join(merged, list(keys), "left")
     size = F.size("m")
 
     def at(flag: str) -> Column:
@@ -173,20 +174,20 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
         return full, F.when(full, at(f"begins_{n}")).otherwise(empty).cast("long"), F.when(full, at(f"ends_{n}") + 1).otherwise(empty).cast("long")
 
     a_full, a_start, a_end = span(0, F.col("read_base0_start"), F.col("read_base0_end"), F.length("sequence"))
-    b_full, b_start, b_end = span(1, F.col("_read_base0_start"), F.col("_read_base0_end"), F.length("_sequence"))
+    b_full, b_start, b_end = span(1, F.col("_second.read_base0_start"), F.col("_second.read_base0_end"), F.length("_second.sequence"))
     pick = lambda both, a, b: F.when(a_full & b_full, both(a, b)).when(b_full & ~a_full, b).otherwise(a)
     of_base = lambda f: F.transform("m", lambda x: x[f])
     new = {
         "sequence": F.array_join(of_base("base"), ""),
         "reference_positions": of_base("position"),
         "quality_scores": of_base("quality"),
-        "source_read_count": F.col("source_read_count") + F.col("_source_read_count"),
+        "source_read_count": F.col("source_read_count") + F.col("_second.source_read_count"),
         "read_base0_start": pick(F.least, a_start, b_start),
         "read_base0_end": pick(F.greatest, a_end, b_end),
     }
-    done = joined.select(*[new[c].cast(pairs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in pairs.columns])
-    apart = reads.join(merged.select(*keys), list(keys), "left_anti").select(*pairs.columns)
-    return done.unionByName(apart)
+    one = F.struct(*[new[c].cast(pairs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in pairs.columns])
+    apart = F.array(F.struct(*pairs.columns), F.col("_second"))
+    return joined.select(F.explode(F.when(F.col("m").isNotNull(), F.array(one)).otherwise(apart)).alias("r")).select("r.*")
 
 
 def merge_mates(reads: DataFrame) -> DataFrame:
@@ -196,7 +197,9 @@ def merge_mates(reads: DataFrame) -> DataFrame:
     as supplementary alignments make them, go through ``merge_group`` one by one.
     """
     counted = stage_table(reads.withColumn("_n", F.count("*").over(Window.partitionBy("variant_id", "name"))), "reads-by-name")
-    single, several = counted.where("_n = 1").drop("_n"), counted.where("_n > 2").drop("_n")
+    # Two reads without a name are no pair.
+    unnamed = "(variant_id IS NULL OR name IS NULL)"
+    single, several = counted.where(f"_n = 1 OR _n = 2 AND {unnamed}").drop("_n"), counted.where("_n > 2").drop("_n")
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["read_ordinal"])
@@ -221,4 +224,4 @@ def merge_mates(reads: DataFrame) -> DataFrame:
         return pa.Table.from_pylist(out, schema=table.schema)
 
     merged = several.groupBy("variant_id", "name").applyInArrow(merge, reads.schema)
-    return single.unionByName(merge_pairs(counted.where("_n = 2").drop("_n"))).unionByName(merged)
+    return single.unionByName(merge_pairs(counted.where(f"_n = 2 AND NOT {unnamed}").drop("_n"))).unionByName(merged)

@@ -128,7 +128,7 @@ def allele_reads_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two reads of a document that overlap by 20; by id the second differs in one base, of equal or lower quality, or agrees."""
-    d = _dna(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("length(dna) >= 40 AND lang IS NOT NULL")
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", _letters("ACGT").alias("dna")).where("length(dna) >= 40 AND lang IS NOT NULL")
     other = F.expr("CASE WHEN doc_id % 3 < 2 THEN concat(substr(dna, 11, 10), translate(substr(dna, 21, 1), 'ACGT', 'CGTA'), substr(dna, 22, 19)) ELSE substr(dna, 11, 30) END")
     both = F.array(
         F.struct(F.lit(0).alias("k"), F.expr("substr(dna, 1, 30)").alias("seq"), F.lit("I" * 30).alias("qual")),

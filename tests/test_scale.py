@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spliceloom import queries
-from spliceloom.operators import reads
+from spliceloom.operators import mates, reads
 from spliceloom.plans.scratch import stage_table
 
 TEXTS = ["Acgt gaTTaca", "", None, "xyz\nNNAéC\r\ncg T", "AAAA", "\U0001f9ecGCİt"]
@@ -46,3 +46,13 @@ def test_reads_of_one_locus_stay_spread(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_bases_of_mates_are_laid_out_once(spark):
+    row = lambda k, at: ("v", k, "a" if k < 2 else f"b{k // 2}", "ACGTA", list(range(at, at + 5)), [30] * 5, 1, 3, 4, 3 - at, 4 - at)
+    kinds = "variant_id string, read_ordinal long, name string, sequence string, reference_positions array<bigint>, quality_scores array<int>, source_read_count long, reference_base0_start long, reference_base0_end long, read_base0_start long, read_base0_end long"
+    # The second of the first pair agrees; those of the other differ in bases of equal quality.
+    pairs = spark.createDataFrame([row(0, 0), row(1, 0), row(2, 0), row(3, 1)], kinds)
+    made = mates.merge_pairs(pairs)
+    assert sorted((r.name, r.read_ordinal, r.sequence, r.source_read_count) for r in made.collect()) == [("a", 0, "ACGTA", 2), ("b1", 2, "ACGTA", 1), ("b1", 3, "ACGTA", 1)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
