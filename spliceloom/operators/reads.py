@@ -62,18 +62,24 @@ def reconcile_contigs(variants: DataFrame, alignments: DataFrame) -> DataFrame:
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], bin_size: int) -> DataFrame:
-    """Pairs whose half-open intervals (key, start, end) overlap, each once.
+    """Pairs whose half-open intervals (key, start, end) of whole numbers overlap, each once.
 
-    Both sides are dealt to bins of the axis; a pair is taken in the bin where the
-    later of the two starts lies, so that it needs no deduplication.
+    Left intervals are sent once, so the larger side belongs there: each to the bin of its start, in bins of the least
+    doubling of ``bin_size`` that is as wide as the interval. For every such width that occurs, the right ones go to the
+    bins that they meet and the one before, where intervals that reach them start.
     """
     (lk, ls, le), (rk, rs, re) = left_on, right_on
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size)))
-    a = left.where(F.col(le) > F.col(ls)).withColumn("_bin", bins(ls, le))
-    b = right.where(F.col(re) > F.col(rs)).withColumn("_rbin", bins(rs, re))
+    over = F.floor((F.col(le) - F.col(ls) - 1) / bin_size)
+    a = left.where(F.col(le) > F.col(ls)).withColumn("_doublings", F.when(over == 0, 0).otherwise(F.length(F.bin(over))))
+    place = lambda x, n: F.floor(x / (bin_size * F.pow(F.lit(2.0), n)))
+    # Bins of all widths are one number; no more than 63 widths come here.
+    bin_of = lambda at, n: at * 64 + n
+    widths = [r[0] for r in a.select("_doublings").distinct().collect()]
+    a = a.withColumn("_bin", bin_of(place(F.col(ls), F.col("_doublings")), F.col("_doublings"))).drop("_doublings")
+    met = lambda n: F.transform(F.sequence(place(F.col(rs), F.lit(n)) - 1, place(F.col(re) - 1, F.lit(n))), lambda x: bin_of(x, n))
+    b = right.where(F.col(re) > F.col(rs)).withColumn("_rbin", F.explode(F.concat(F.array().cast("array<bigint>"), *map(met, widths))))
     meet = (F.col(lk) == F.col(rk)) & (F.col("_bin") == F.col("_rbin")) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-    once = F.floor(F.greatest(F.col(ls), F.col(rs)) / bin_size) == F.col("_bin")
-    return a.join(b, meet & once).drop("_bin", "_rbin")
+    return a.join(b, meet).drop("_bin", "_rbin")
 
 
 def locus_windows(variants: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def transcripts_from(parts: DataFrame, chunks: DataFrame) -> DataFrame:
         "transcript_id", "contig", plain(F.col("contig")).alias("place"), (F.col("e.start") - 1).alias("exon_start"), F.col("e.end").alias("exon_end")
     )
     laid = chunks.select(plain(F.col("contig")).alias("chunk_place"), F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"), "bases")
-    met = interval_join(exons, laid, ("place", "exon_start", "exon_end"), ("chunk_place", "chunk_start", "chunk_end"), CHUNK)
+    met = interval_join(laid, exons, ("chunk_place", "chunk_start", "chunk_end"), ("place", "exon_start", "exon_end"), CHUNK)
     begin = F.greatest("exon_start", "chunk_start")
     piece = slice_text(F.col("bases"), begin - F.col("chunk_start"), F.least("exon_end", "chunk_end") - F.col("chunk_start"))
     pieces = met.select("transcript_id", "contig", F.struct(begin.alias("at"), piece.alias("text")).alias("piece"))

@@ -1,5 +1,7 @@
 """Steps that decide how queries grow: what is done once, and what is sent where."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,39 @@ def test_bases_of_mates_are_laid_out_once(spark):
     made = mates.merge_pairs(pairs)
     assert sorted((r.name, r.read_ordinal, r.sequence, r.source_read_count) for r in made.collect()) == [("a", 0, "ACGTA", 2), ("b1", 2, "ACGTA", 1), ("b1", 3, "ACGTA", 1)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
+def _sent(df):
+    """Rows that a plan's shuffles sent."""
+
+    def walk(node):
+        metric = node.metrics().get("shuffleRecordsWritten")
+        inner = [node.children().apply(k) for k in range(node.children().size())]
+        return (metric.get().value() if metric.isDefined() else 0) + sum(map(walk, inner))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    return walk(plan)
+
+
+def test_intervals_of_the_larger_side_are_sent_once(spark):
+    rng = random.Random(7)
+    lengths = (-1, 0, 1, 2, 5, 6, 9, 10, 11, 19, 20, 21, 39, 40, 41, 300)
+    spans = lambda n: [(k, rng.choice("ab"), s, s + rng.choice(lengths)) for k in range(n) for s in [rng.randrange(-60, 200)]]
+    left, right = [*spans(150), (998, None, 0, 9), (999, "a", None, 9)], [*spans(60), (998, None, 0, 9), (999, "a", 0, None)]
+    a, b = spark.createDataFrame(left, "i long, k string, s long, e long"), spark.createDataFrame(right, "j long, rk string, rs long, re long")
+    met = lambda x, y: None not in x[1:] + y[1:] and x[1] == y[1] and max(x[2], y[2]) < min(x[3], y[3]) and x[2] < x[3] and y[2] < y[3]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false")):
+            spark.conf.set(k, v)
+        found = reads.interval_join(a, b, ("k", "s", "e"), ("rk", "rs", "re"), 10)
+        assert found.columns == ["i", "k", "s", "e", "j", "rk", "rs", "re"]
+        assert sorted((r.i, r.j) for r in found.collect()) == sorted((x[0], y[0]) for x in left for y in right if met(x, y))
+        # Of 30 wide ones in bins of 10, 500 go once; a place goes to two bins.
+        many = spark.range(500).selectExpr("id AS i", "'a' AS k", "id AS s", "id + 30 AS e")
+        places = spark.range(20).selectExpr("id AS j", "'a' AS rk", "id AS rs", "id + 1 AS re")
+        assert _sent(reads.interval_join(many, places, ("k", "s", "e"), ("rk", "rs", "re"), 10)) == 540
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
