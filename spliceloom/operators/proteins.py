@@ -170,6 +170,8 @@ def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOp
     counts = by_name.groupBy(*keys).agg(F.count("*").alias("num_supporting_fragments"), F.sum("weight").alias("num_supporting_reads"), F.sum("n").alias("num_reads"))
     grouped = translated.groupBy(*keys).agg(
         F.sort_array(F.collect_list(t)).alias("translations"),
+        # Apart from the list, which is left out where nothing else needs it.
+        F.min(F.struct("context_rank", "seq_rank")).alias("_first"),
         F.min("orf.num_mismatches_before_variant").alias("num_mismatches_before_variant"),
         F.min("orf.num_mismatches_after_variant").alias("num_mismatches_after_variant"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("transcripts")))).alias("transcripts"),
@@ -188,7 +190,6 @@ def protein_sequences(translated: DataFrame, options: ProteinOptions = ProteinOp
             "transcript_names": names("transcript_name"),
             "gene_ids": names("gene_id"),
             "gene_names": names("gene_name"),
-            "_first": F.struct(F.col("translations")[0]["context_rank"], F.col("translations")[0]["seq_rank"]),
         }
     )
     order = Window.partitionBy("variant_id").orderBy(

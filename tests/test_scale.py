@@ -94,3 +94,11 @@ def test_intervals_of_the_larger_side_are_sent_once(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_translations_are_listed_only_where_they_are_shown(spark, tmp_path):
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(k, k % 2, k % 3, k, 2.0, "A", "F") for k in range(6)], kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = queries.protein_ranking(spark, str(tmp_path))
+    assert sorted((r.variant_id, r.num_supporting_fragments, r.n_transcripts) for r in made.collect()) == [(0, 3, 3), (1, 3, 3)]
+    assert "translations" not in made._jdf.queryExecution().optimizedPlan().toString()
