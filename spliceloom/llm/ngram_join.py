@@ -34,17 +34,21 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_empty, materialize
-from .graph import Forest, components, runs
+from .graph import components, runs
 from .shingles import exact_sets, mix, ngrams, plain_words, word_hashes
 
 RATIO = 1.6  # sizes of a level; near the least number of keys for t from 0.8 to 0.9
+#: Words of bitmaps compared at once.
+_AT_ONCE = 1 << 17
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -85,49 +89,66 @@ class Rule:
         return [own] + [own + 1] * (n >= self.least_partner(self.edges(own + 1)[0]))
 
 
+def empty_segments(n: int, slots: int, exact: int, spare: int) -> tuple[float, float]:
+    """For a set of size ``n``: the share of its one-slot segments that are empty, and the chance that more than ``spare`` are."""
+    share = (1 - 1 / slots) ** n
+    mean = exact * share
+    spread = math.sqrt(max(0.0, mean + exact * (exact - 1) * (1 - 2 / slots) ** n - mean**2))
+    over = spare + 0.5 - mean
+    return share, math.erfc(over / spread / math.sqrt(2)) / 2 if spread else float(over < 0)
+
+
 def plan_level(rule: Rule, number: int, sets: int) -> Level:
-    """Allocation of a level that ``sets`` sets take part in, of least expected cost."""
-    top = rule.edges(number)[1] - 1
+    """Allocation of a level that ``sets`` sets take part in, of least expected cost.
+
+    A set with more empty segments than it may leave out sends all of them, and they agree with those of every other
+    such set. The smallest sets of a level have the most, so the spare slots are chosen by sets of all its sizes.
+    """
+    low, top = rule.edges(number)[0], rule.edges(number)[1] - 1
     need = rule.most_apart(2 * top) + 1
+    least = min(rule.least_partner(low), top)
+    sizes = [round(least * (top / least) ** (k / 8)) for k in range(9)]
     best = None
     for pairs in sorted({0, need // 8, need // 4, need // 2}):
         exact = need - 2 * pairs
-        per = top / need
-        empty = exact * math.exp(-per)
-        spare = 0 if need == 1 else math.ceil(empty + 3 * math.sqrt(empty)) if exact else 0
-        slots = need + spare
-        per = top / slots
-        chance = sets * ((exact + spare) * math.exp(-2 * per) * (spare == 0) + pairs * ((1 + 2 * per) * math.exp(-2 * per)) ** 2)
-        chance += sets * (exact + spare) * math.exp(-4 * per)
-        keys = exact + spare + pairs * (1 + 2 * per)
-        if best is None or keys + chance < best[0]:
-            best = (keys + chance, Level(number, slots, exact + spare, spare))
+        for spare in sorted({math.ceil(need * k / 40) for k in range(81)}) if exact and need > 1 else [0]:
+            slots, per = need + spare, top / (need + spare)
+            empty = [empty_segments(n, slots, exact + spare, spare) for n in sizes] if exact else [(0.0, 0.0)]
+            sent = sum(share * chance for share, chance in empty) / len(empty)
+            filled = sum(1 - share for share, _ in empty) / len(empty)
+            keys = (exact + spare) * filled + pairs * (1 + 2 * per)
+            # A member of a group of empty segments is sent on with its bitmap, and a comparison there is cheaper than a key.
+            chance = (exact + spare) * sent * (4 + sets * sent / 16) + sets * pairs * ((1 + 2 * per) * math.exp(-2 * per)) ** 2
+            if best is None or keys + chance < best[0]:
+                best = (keys + chance, Level(number, slots, exact + spare, spare))
     return best[1]
 
 
+@lru_cache(maxsize=256)
+def segment_tags(level: Level) -> np.ndarray:
+    """A number for each segment of a level."""
+    n = level.exact + (level.slots - level.exact) // 2
+    return mix(np.arange(n, dtype=np.uint64) * _C3 + np.uint64(level.number))
+
+
 def segment_keys(items: np.ndarray, level: Level) -> np.ndarray:
     """Keys of a set's segments."""
-    values = mix(items * _C1 + np.uint64(level.number))
-    slot = ((values >> np.uint64(33)) % np.uint64(level.slots)).astype(np.int64)
-    wide = (level.slots - level.exact) // 2
-    segment = np.where(slot < level.exact, slot, level.exact + (slot - level.exact) // 2)
+    values, tags = mix(items * _C1 + np.uint64(level.number)), segment_tags(level)
+    segment = ((values >> np.uint64(33)) % np.uint64(level.slots)).astype(np.int64)
+    wide = len(tags) > level.exact
+    if wide:
+        segment = np.where(segment < level.exact, segment, level.exact + (segment - level.exact) // 2)
     parts = mix(values ^ _C2)
-    order = np.argsort(segment, kind="stable")
-    segment, parts = segment[order], parts[order]
-    n = level.exact + wide
-    counts = np.bincount(segment, minlength=n)
-    running = np.concatenate(([np.uint64(0)], np.cumsum(parts, dtype=np.uint64)))
-    ends = np.cumsum(counts)
-    sums = running[ends] - running[ends - counts]
-    tag = np.arange(n, dtype=np.uint64) * _C3 + np.uint64(level.number)
-    kept = np.ones(n, dtype=bool)
-    empty = np.flatnonzero(counts[: level.exact] == 0)
-    if len(empty) <= level.spare:
-        kept[empty] = False
-    keys = [mix(sums + mix(tag))[kept]]
+    sums, kept = np.zeros(len(tags), dtype=np.uint64), np.zeros(len(tags), dtype=bool)
+    np.add.at(sums, segment, parts)
+    kept[segment] = True
+    kept[level.exact :] = True
+    if len(tags) - np.count_nonzero(kept) > level.spare:
+        kept[:] = True
+    keys = [mix(sums[kept] + tags[kept])]
     if wide:
         inner = segment >= level.exact
-        keys.append(mix(sums[segment[inner]] - parts[inner] + mix(tag[segment[inner]])))
+        keys.append(mix(sums[segment[inner]] - parts[inner] + tags[segment[inner]]))
     return np.concatenate(keys)
 
 
@@ -139,7 +160,7 @@ def parity_bitmap(items: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray, crossed: bool, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the ones not smaller (of the other side, if ``crossed``) that may link with it, closest first.
+    """For each set that has some, the ones not smaller (of the other side, if ``crossed``) that may link with it, closest first.
 
     Of two bitmaps the longer is folded to the shorter's length: its halves are
     combined, which again gives parities. Unequal bits bound the difference, and
@@ -160,24 +181,37 @@ def near_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray, c
             folded.append(b)
         matrix = np.stack(folded)
         first = max(1, width // 4)
-        for i in range(begin, own_end):
-            stop = int(np.searchsorted(sizes, sizes[i] * rule.whole // rule.part, side="right"))
-            bound = (rule.whole - rule.part) * (sizes[i + 1 : stop] + sizes[i]) // (rule.whole + rule.part)
-            some = np.bitwise_count(matrix[i + 1 - begin : stop - begin, :first] ^ matrix[i - begin, :first]).sum(axis=1) <= bound
+        i = begin
+        while i < own_end:
+            # Several sets at once, as the work for one is mostly calls.
+            rows = max(1, _AT_ONCE // (max(1, end - i - 1) * first))
+            rows = slice(i, min(own_end, i + rows))
+            i = rows.stop
+            own, others = np.arange(rows.start, rows.stop), np.arange(rows.start + 1, end)
+            bound = (rule.whole - rule.part) * (sizes[own, None] + sizes[None, others]) // (rule.whole + rule.part)
+            some = np.bitwise_count(matrix[own - begin, None, :first] ^ matrix[None, others - begin, :first]).sum(axis=2) <= bound
+            some &= (others > own[:, None]) & (sizes[others] <= sizes[own, None] * rule.whole // rule.part)
             if crossed:
-                some &= side[i + 1 : stop] != side[i]
-            at = np.flatnonzero(some)
+                some &= side[others] != side[own, None]
+            at, to = np.nonzero(some)
             if not len(at):
                 continue
-            others, bound = at + i + 1, bound[at]
-            apart = np.bitwise_count(matrix[others - begin] ^ matrix[i - begin]).sum(axis=1)
-            ok = apart <= bound
-            if ok.any():
-                yield int(order[i]), order[others[ok][np.argsort(apart[ok], kind="stable")]]
+            a, b = own[at], others[to]
+            apart = np.concatenate([np.bitwise_count(matrix[a[k : k + n] - begin] ^ matrix[b[k : k + n] - begin]).sum(axis=1) for n in [max(1, _AT_ONCE // width)] for k in range(0, len(a), n)])
+            ok = apart <= bound[at, to]
+            a, b, apart = a[ok], b[ok], apart[ok]
+            closest = np.lexsort((apart, a))
+            a, b = a[closest], b[closest]
+            edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))).tolist() if len(a) else []
+            for x, y in zip(edges, [*edges[1:], len(a)]):
+                yield int(order[a[x]]), order[b[x:y]]
 
 
 def set_of(words: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(ngrams(words, n))
+    grams = np.sort(ngrams(words, n))
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = grams[1:] != grams[:-1]
+    return grams[new]
 
 
 def digest_of(words: list[bytes]) -> bytes:
@@ -270,7 +304,10 @@ def keyed(rows: DataFrame, n: int, rule: Rule, levels: dict[int, Level], bits: i
 
 
 def group_parts(keys: DataFrame, most: int) -> DataFrame:
-    """(key, part, members, digest) of keys that several classes share, in parts of ``most`` members."""
+    """(key, part, members, digest) of keys that several classes share, in parts of ``most`` members.
+
+    A class that several tasks sent is in a part once, but may be in several parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held, parts = None, [], 0
@@ -293,9 +330,6 @@ def group_parts(keys: DataFrame, most: int) -> DataFrame:
 
         for batch in batches:
             key, member = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])
-            key, member = key[new], member[new]
             begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
             ends = np.append(begins[1:], len(key))
             # Most keys belong to one class alone.
@@ -303,10 +337,9 @@ def group_parts(keys: DataFrame, most: int) -> DataFrame:
             edge = [0, len(begins) - 1] if len(begins) else []
             for g in sorted({*shared, *edge}):
                 a, b = begins[g], ends[g]
-                k, members = int(key[a]), member[a:b].tolist()
+                k, members = int(key[a]), sorted(set(member[a:b].tolist()))
                 if held_key is not None and k == held_key:
-                    members = members[1:] if held and members[0] == held[-1] else members
-                    held = held + members
+                    held = sorted({*held, *members})
                 else:
                     close()
                     held_key, held, parts = k, members, 0
@@ -320,7 +353,7 @@ def group_parts(keys: DataFrame, most: int) -> DataFrame:
             if out:
                 yield rows()
 
-    ordered = keys.repartition("key").sortWithinPartitions("key", "class")
+    ordered = keys.repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, "key long, part int, members array<long>, digest long")
 
 
@@ -367,20 +400,35 @@ def group_tiles(parts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     small = parts.where("part = 0").join(parts.where("part = 1").select("key"), "key", "left_anti")
     small = small.groupBy("digest").agg(F.min(F.struct("key", "members")).alias("g"))
     small = small.select(F.xxhash64("digest").alias("tile"), F.explode("g.members").alias("class"))
-    return small, star(large.select(F.col("key").alias("group"), F.explode("members").alias("class")), most)
+    return small, star(large.select(F.col("key").alias("group"), F.explode("members").alias("class")).distinct(), most)
+
+
+def spanning(near: Iterator[tuple[int, np.ndarray]], label: np.ndarray, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs among those of ``near_pairs``; rows of one label are joined before."""
+    found, apart = [], len(np.unique(label)) - 1
+    if not apart:
+        return found
+    for i, others in near:
+        while len(others := others[label[others] != label[i]]):
+            j, others = int(others[0]), others[1:]
+            if linked(i, j):
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+        if len(found) == apart:
+            break
+    return found
 
 
-def _links(frame: DataFrame, links: Callable[[pa.RecordBatch, Forest], list[tuple[int, int]]]) -> DataFrame:
-    """(a, b) of all tiles of ``frame``; classes of one label are joined before."""
+def _links(frame: DataFrame, links: Callable[[pa.RecordBatch, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) of all tiles of ``frame``; ``links`` gets a tile and what its classes are labelled, and returns rows of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in runs(batches, "tile"):
-            forest = Forest()
-            for c, label in zip(group.column("class").to_pylist(), group.column("label").to_pylist()):
-                if label is not None:
-                    forest.join(c, label)
-            out += links(group, forest)
+            ids = group.column("class").to_numpy()
+            labels = group.column("label")
+            label = labels.to_numpy().copy() if not labels.null_count else pc.coalesce(labels, group.column("class")).to_numpy().copy()
+            out += [(int(ids[i]), int(ids[j])) for i, j in links(group, label)]
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -396,12 +444,10 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def candidates(tiles: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): a spanning forest, in each tile, of the pairs whose bitmaps allow a link."""
 
-    def links(group: pa.RecordBatch, forest: Forest) -> list[tuple[int, int]]:
-        ids = group.column("class").to_pylist()
+    def links(group: pa.RecordBatch, label: np.ndarray) -> list[tuple[int, int]]:
         sizes, side = group.column("size").to_numpy(), group.column("side").to_numpy()
-        bitmaps = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("bitmap")]
-        near = near_pairs(sizes, bitmaps, side, group.column("crossed")[0].as_py(), rule)
-        return [(ids[i], ids[j]) for i, others in near for j in others.tolist() if forest.join(ids[i], ids[j])]
+        bitmaps = [np.frombuffer(v, dtype=np.uint64) for v in group.column("bitmap").to_pylist()]
+        return spanning(near_pairs(sizes, bitmaps, side, group.column("crossed")[0].as_py(), rule), label, lambda i, j: True)
 
     return _links(tiles.join(classes.select("class", "size", "bitmap"), "class"), links)
 
@@ -409,19 +455,16 @@ def candidates(tiles: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 def verified(tiles: DataFrame, sets: DataFrame, n: int, rule: Rule) -> DataFrame:
     """(a, b): links that connect the sets of each tile, decided on the words of ``sets`` (class, words)."""
 
-    def links(group: pa.RecordBatch, forest: Forest) -> list[tuple[int, int]]:
-        ids, found = group.column("class").to_pylist(), []
+    def links(group: pa.RecordBatch, label: np.ndarray) -> list[tuple[int, int]]:
         items = exact_sets(group.column("words").to_pylist(), n)
         sizes, side = np.array([len(x) for x in items]), group.column("side").to_numpy()
-        for i, others in near_pairs(sizes, [parity_bitmap(x) for x in items], side, group.column("crossed")[0].as_py(), rule):
-            for j in others.tolist():
-                if forest.find(ids[i]) == forest.find(ids[j]):
-                    continue
-                common = sizes[i] + sizes[j] - len(np.union1d(items[i], items[j]))
-                if rule.links(int(common), int(sizes[i]), int(sizes[j])):
-                    forest.join(ids[i], ids[j])
-                    found.append((ids[i], ids[j]))
-        return found
+
+        def linked(i: int, j: int) -> bool:
+            common = sizes[i] + sizes[j] - len(np.union1d(items[i], items[j]))
+            return rule.links(int(common), int(sizes[i]), int(sizes[j]))
+
+        near = near_pairs(sizes, [parity_bitmap(x) for x in items], side, group.column("crossed")[0].as_py(), rule)
+        return spanning(near, label, linked)
 
     return _links(tiles.join(sets.select("class", "words"), "class"), links)
 
