@@ -279,19 +279,24 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences assembled from nucleotides of all documents, by source."""
+    """Sequences assembled from nucleotides of all documents, by source.
+
+    A document gives two reads over its middle nucleotide: one reaches 15 nucleotides before it and 8 to 13 behind it,
+    the other the reverse, so a sequence of full length only comes from merging. Sources of any size are merged.
+    """
     d = _dna(spark, sf_dir).where("length(dna) >= 41")
-    n = F.floor(F.length("dna") / 2)
-    rows = d.select(
+    n, few = F.floor(F.length("dna") / 2), F.lit(8) + F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(6))
+    reach = F.array(F.struct(F.lit(0).alias("k"), F.lit(15).cast("long").alias("left"), few.alias("right")), F.struct(F.lit(1).alias("k"), few.alias("left"), F.lit(15).cast("long").alias("right")))
+    rows = d.withColumn("x", F.explode(reach)).select(
         F.col("source").alias("variant_id"),
-        F.col("doc_id").alias("read_ordinal"),
-        dna.slice_text(F.col("dna"), F.lit(0), n).alias("prefix"),
+        (F.col("doc_id") * 2 + F.col("x.k")).alias("read_ordinal"),
+        dna.slice_text(F.col("dna"), n - F.col("x.left"), n).alias("prefix"),
         dna.slice_text(F.col("dna"), n, n + 1).alias("allele"),
-        dna.slice_text(F.col("dna"), n + 1, F.length("dna")).alias("suffix"),
+        dna.slice_text(F.col("dna"), n + 1, n + 1 + F.col("x.right")).alias("suffix"),
         F.col("doc_id").cast("string").alias("name"),
         F.lit(1).cast("long").alias("source_read_count"),
     )
-    made = assembly.variant_sequences(rows, assembly.SequenceOptions(length=31, coverage=1, assembly=True, min_overlap=10))
+    made = assembly.variant_sequences(rows, assembly.SequenceOptions(length=31, coverage=1, assembly=True, min_overlap=10, merge_limit=None))
     return made.select("variant_id", "seq_rank", "prefix", "alt", "suffix", F.col("n_reads").cast("int").alias("n_reads"))
 
 
